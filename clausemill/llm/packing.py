@@ -1,6 +1,6 @@
 """Packing of token sequences into windows by multiway differencing.
 
-Each document is cut into full windows and a rest; the rest is cut into at most a few even pieces. Full
+Each document is cut into full windows and a rest; the rest is cut into a few pieces of unlike sizes. Full
 windows stand alone. The other pieces of a block are packed by Karmarkar-Karp differencing into k windows:
 every piece starts as a partial partition of k sums of which one is not zero; the two partial partitions
 with the largest imbalance are merged, the largest sum of one with the smallest of the other, until one is
@@ -85,15 +85,20 @@ def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
         k += 1
 
 
-def cuts(n: int, capacity: int, piece: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: full windows, then the rest in even pieces of ``piece`` at most."""
+def cuts(n: int, capacity: int, piece: int, tail: int, fine: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n tokens: full windows, then the rest.
+
+    The rest is cut into even pieces of ``piece`` at most, a tail below ``tail`` and a sliver below ``fine``:
+    differencing levels the large pieces with the tails and what is left with the slivers.
+    """
     found = [(at, capacity) for at in range(0, n - n % capacity, capacity)]
     rest, at = n % capacity, n - n % capacity
-    parts = -(-rest // piece)
-    for j in range(parts):
-        size = rest // parts + (j < rest % parts)
-        found.append((at, size))
-        at += size
+    body, end = rest - rest % tail, rest % tail
+    parts = -(-body // piece)
+    for size in [*(body // parts + (j < body % parts) for j in range(parts)), end - end % fine, end % fine]:
+        if size:
+            found.append((at, size))
+            at += size
     return found
 
 
@@ -101,7 +106,9 @@ def pack_documents(
     docs: DataFrame,
     vocabulary_path: str | None = None,
     capacity: int = 1024,
-    piece: int = 256,
+    piece: int = 512,
+    tail: int = 128,
+    fine: int = 16,
     block: int = 2048,
     end_id: int = 0,
     doc_id: str = "doc_id",
@@ -147,7 +154,7 @@ def pack_documents(
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = code.encode(value.as_py() or "") + end
                 n = len(ids) // 4
-                for start, length in cuts(n, capacity, piece):
+                for start, length in cuts(n, capacity, piece, tail, fine):
                     own = ids[4 * start : 4 * (start + length)]
                     row = (key, start, length, zlib.crc32(own), n, own if with_ids else None)
                     if length == capacity:

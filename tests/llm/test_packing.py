@@ -45,8 +45,8 @@ def test_window_count_rises_until_nothing_exceeds():
 def test_cuts_cover_every_token_once():
     for n in (1, 255, 256, 257, 1023, 1024, 1025, 5000):
         at = 0
-        for start, length in cuts(n, 1024, 256):
-            assert start == at and (length == 1024 or 1 <= length <= 256)
+        for start, length in cuts(n, 1024, 512, 128, 16):
+            assert start == at and (length == 1024 or 1 <= length <= 512)
             at += length
         assert at == n
 
