@@ -10,7 +10,7 @@ CONFLICT = "</s>[INST] ok [/INST]"
 
 
 def op5_chat_format(spark, sf_dir):
-    own = spark.createDataFrame([(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{CONFLICT}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
     done = format_conversations(turns)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
