@@ -53,7 +53,8 @@ def test_cuts_cover_every_token_once():
 
 def test_coder_agrees_with_the_tokenizer():
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    code = Coder(vocabulary(), cache=50)
+    code = Coder(vocabulary())
+    assert code.fast
     r = random.Random(5)
     texts = ["", " ", "a<|endoftext|>b", "été  ñandú\n\n x's", "中文   ½ ²", "\x00\x85\xa0 a"]
     texts += ["".join(r.choice("aé 's\n\t1½².,!ß ") for _ in range(60)) for _ in range(200)]
