@@ -49,3 +49,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
+
+# Runs by their diagonals: equal lines of two places, neighbours on one diagonal joined, runs of 50 words or more.
+ORACLES["op2_line_dedup"] = r"""
+WITH d AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (SELECT r, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM d),
+w AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS i,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), p AS (
+  SELECT a.r AS ar, a.i AS ai, b.r AS br, a.i - b.i AS diag, a.n, a.k
+  FROM w a JOIN w b ON a.line = b.line AND (b.r < a.r OR b.r = a.r AND b.i < a.i)
+), g AS (SELECT *, ai - row_number() OVER (PARTITION BY ar, br, diag ORDER BY ai) AS island FROM p),
+runs AS (SELECT ar, min(k) AS f, max(k) AS t FROM g GROUP BY ar, br, diag, island HAVING sum(n) >= 50),
+gone AS (SELECT DISTINCT ar AS r, unnest(range(f, t + 1)) AS k FROM runs),
+kept AS (
+  SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.k) AS t FROM l ANTI JOIN gone ON l.r = gone.r AND l.k = gone.k GROUP BY l.r
+), n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, coalesce(n.n, 0) AS n_deleted, length(coalesce(kept.t, '')) AS kept_chars, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""
