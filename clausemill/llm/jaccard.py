@@ -14,8 +14,8 @@ sizes bounds the overlap. Tokens of one document only never make a pair, so only
    more nodes and sends them with their frequency to the nodes' buckets. Hot tokens go to the nodes directly,
    with their frequency, so no bucket gathers a hot token.
 3. A node keeps its repeated tokens in the first order. Unless its prefix reaches one, it has no link.
-4. Star rounds: in every token's group each node is tried against one pivot, so the pairs are linear in the
-   group; verified links give components. Then the pairs that lie in different components, and only those, are
+4. Star rounds: in every token's group each node is tried against one pivot, then against a few of those that
+   lie in other components, so the pairs are linear in the group; verified links give components. Then the pairs that lie in different components, and only those, are
    tried: links inside a component change nothing, and no other link is left out.
 
 Defined results for odd input: a null or empty text, or one without words, has no shingle and is linked with
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.llm.components import components
@@ -268,7 +268,7 @@ def near_duplicates(
     percent: int = 75,
     doc_id: str = "doc_id",
     text: str = "text",
-    star_rounds: int = 2,
+    pivots: tuple[int, ...] = (1, 8),
     hot_share: float = HOT_SHARE,
     hot_least: int = HOT_LEAST,
     bucket_tokens: int = BUCKET_TOKENS,
@@ -297,15 +297,15 @@ def near_duplicates(
         "postings",
     )
     links, roots = None, None
-    for k in range(star_rounds + 1):
+    for k in range(len(pivots) + 1):
         now = postings.withColumn("root", F.col("node")) if roots is None else _rooted(postings, roots)
-        groups = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "root", "n", "at")).alias("p"))
-        groups = groups.where("low != high")
-        if k < star_rounds:
-            x, y = now.alias("x"), groups.select("token", "p.*").alias("y")
+        groups = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+        open_ = now.join(groups, "token", "left_semi")
+        if k < len(pivots):  # the same nodes come first in every group, so few different ones are drawn
+            order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)), "node")
+            x, y = open_.alias("x"), open_.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= pivots[k]).alias("y")
             apart = F.expr("x.root != y.root")
         else:
-            open_ = now.join(groups.select("token"), "token", "left_semi")
             x, y = open_.alias("x"), open_.alias("y")
             apart = F.expr("x.root < y.root")
         tried = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & F.expr(_possible(percent)))

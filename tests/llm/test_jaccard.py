@@ -44,7 +44,7 @@ def corpus(seed, n=120):
 
 
 def test_against_brute_force(spark):
-    for seed, options in ((1, {}), (2, {"hot_least": 4, "hot_share": 0.05, "bucket_tokens": 300}), (3, {"star_rounds": 0}), (4, {"percent": 50, "size": 2})):
+    for seed, options in ((1, {}), (2, {"hot_least": 4, "hot_share": 0.05, "bucket_tokens": 300}), (3, {"pivots": ()}), (4, {"percent": 50, "size": 2})):
         rows = corpus(seed)
         got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), **options).collect()
         want = brute(rows, options.get("size", 5), options.get("percent", 75))
