@@ -71,3 +71,36 @@ kept AS (
 SELECT doc_id, coalesce(n.n, 0) AS n_deleted, length(coalesce(kept.t, '')) AS kept_chars, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
 """
+
+ORACLES["op3_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(html, '')) AS h, length(html) AS n, 1700000000 + page_id * 60 AS s,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare
+  FROM pages
+), u AS (
+  SELECT *,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^(?:[^/?@]*@)?([^/?]*)', 1)), '^www\d*\.', ''), ':(?:80|443)?$', '') AS host,
+    regexp_replace(regexp_extract(bare, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)(?:=|$)'))) AS q
+  FROM p
+), k AS (
+  SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM u
+), r AS (
+  SELECT 2 * page_id AS record_id, url_key, s, true AS full_, page_id, h, n FROM k
+  UNION ALL SELECT 2 * page_id + 1, url_key, s + 10800, false, page_id, h, n FROM k
+), f AS (
+  SELECT *, last_value(CASE WHEN full_ THEN {'id': record_id, 's': s, 'h': h, 'n': n} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY s, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b
+  FROM r
+), o AS (
+  SELECT *, CASE WHEN b IS NULL THEN 'missing'
+    WHEN page_id % 10 = 0 THEN 'changed'
+    WHEN page_id % 10 = 2 THEN 'unchecked'
+    WHEN h = b.h THEN 'matched' ELSE 'changed' END AS outcome
+  FROM f WHERE NOT full_
+)
+SELECT record_id, url_key, b.id AS response_id, b.s AS response_s, outcome,
+  CASE WHEN outcome = 'matched' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || b.n || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: ' || strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: "' || b.h[1:12] || '"' ELSE '' END AS headers
+FROM o
+"""
