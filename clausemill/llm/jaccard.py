@@ -337,7 +337,11 @@ def _route(buckets: int):
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of each group of near duplicates: the one whose id names the group; rows without words all stay."""
-    found = near_duplicates(docs, doc_id=doc_id, **options)
-    dropped = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[doc_id] == dropped["__dropped"], "left_anti")
+    """One row of each group of near duplicates, the one with the least document id (null last); rows without words all stay."""
+    held = Store(docs.sparkSession, "keep-one").save(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    found = near_duplicates(held, doc_id="__row", **options).where("n_shingles > 0").toDF("__row", "n", "group")
+    place = F.struct(F.isnull(doc_id).alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
+    grouped = held.select("__row", place.alias("place")).join(found, "__row")
+    firsts = grouped.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = grouped.select("__row", "group").join(firsts, "group").where(F.col("__row") != F.col("first.row")).select("__row")
+    return held.join(gone, "__row", "left_anti").drop("__row")
