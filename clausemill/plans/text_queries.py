@@ -1,25 +1,25 @@
-"""Queries on normalised text."""
+"""Queries on texts: normalisation, duplicates, labels, readability, segmentation."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.operators import documents as D
+from clausemill.operators import paired, similarity
 from clausemill.plans.registry import query
 from clausemill.session import table
 
+#: DuckDB form of T.collapse on texts whose blanks are space, tab, CR and LF.
+CLAUSE = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'), ' ')"
+
 
 @query(
     "pessimistic_label",
-    r"""
-    SELECT trim(regexp_replace(d.text, '\s+', ' ', 'g'), ' ') AS clause,
-           count(*) AS n_rows,
-           count(DISTINCT d.source) AS n_sources,
-           min(l.quality) AS score,
-           max(l.toxic) AS toxic,
-           count(DISTINCT l.quality) > 1 AS has_conflict
-    FROM documents d JOIN labels l USING (doc_id)
-    GROUP BY 1
+    f"""
+    SELECT {CLAUSE.format("d.text")} AS clause, count(*) AS n_rows, count(DISTINCT d.source) AS n_sources,
+           min(l.quality) AS score, max(l.toxic) AS toxic, count(DISTINCT l.quality) > 1 AS has_conflict
+    FROM documents d JOIN labels l USING (doc_id) GROUP BY 1
     """,
 )
 def pessimistic_label(spark, sf_dir):
@@ -37,3 +37,304 @@ def pessimistic_label(spark, sf_dir):
             (F.countDistinct("quality") > 1).alias("has_conflict"),
         )
     )
+
+
+@query("clause_normalize", f"SELECT doc_id, {CLAUSE.format('text')} AS clause, length({CLAUSE.format('text')}) AS n FROM documents WHERE length({CLAUSE.format('text')}) > 0")
+def clause_normalize(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("clause"))
+    return docs.where("length(clause) > 0").withColumn("n", F.length("clause").cast("long"))
+
+
+@query("clause_normalize_nfkc", f"SELECT doc_id, {CLAUSE.format('text')} AS clause FROM documents")
+def clause_normalize_nfkc(spark, sf_dir):
+    """With Unicode composition; the driver's texts are composed already, so plain SQL gives the same."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.clause_text(F.col("text")).alias("clause"))
+
+
+@query(
+    "exact_duplicate_groups",
+    f"""
+    SELECT {CLAUSE.format("text")} AS clause, count(*) AS n, list_sort(list(DISTINCT source)) AS sources,
+           arg_min(doc_id, [-length(text), doc_id]) AS longest_doc, min(doc_id) AS first_doc
+    FROM documents GROUP BY 1 HAVING count(*) > 1
+    """,
+)
+def exact_duplicate_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    grouped = docs.groupBy(T.collapse(F.col("text")).alias("clause")).agg(
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_set("source")).alias("sources"),
+        F.min_by("doc_id", F.struct(-F.length("text"), F.col("doc_id"))).alias("longest_doc"),
+        F.min("doc_id").alias("first_doc"),
+    )
+    return grouped.where("n > 1")
+
+
+@query(
+    "paragraph_segment",
+    r"""
+    WITH p AS (
+      SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')) AS t,
+        generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), 1) - 1 AS paragraph_id
+      FROM documents
+    ) SELECT doc_id, paragraph_id, length(t) AS n_chars, length(t) < 15 AS skipped FROM p
+    """,
+)
+def paragraph_segment(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.paragraphs(docs, separator="\n").select("doc_id", F.col("paragraph_id").cast("long").alias("paragraph_id"), F.length("text").cast("long").alias("n_chars"), "skipped")
+
+
+def _pieces(spark, sf_dir):
+    paras = D.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), separator="\n")
+    return paras, D.chunks(paras, limit=64)
+
+
+@query("document_chunks")
+def document_chunks(spark, sf_dir):
+    """Greedy sentence packing; the fold has no SQL form. Tests hold it against a plain loop."""
+    return _pieces(spark, sf_dir)[1]
+
+
+@query("document_report")
+def document_report(spark, sf_dir):
+    paras, pieces = _pieces(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("harm_class"))
+    return D.document_report(paras, pieces, labels)
+
+
+@query("restored_paragraphs")
+def restored_paragraphs(spark, sf_dir):
+    paras, pieces = _pieces(spark, sf_dir)
+    return D.restored(paras, pieces.select("doc_id", "paragraph_id", "chunk_id", "estimated_tokens"))
+
+
+@query("overlapping_chunks")
+def overlapping_chunks(spark, sf_dir):
+    return D.overlapping_chunks(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "percentiles_length",
+    """
+    SELECT lang, count(*) AS n, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95,
+      quantile_cont(n_chars, 0.99) AS p99, min(n_chars) AS least, max(n_chars) AS most, avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END) AS share_over
+    FROM documents GROUP BY lang
+    """,
+)
+def percentiles_length(spark, sf_dir):
+    return D.length_profile(table(spark, sf_dir, "documents"), F.col("n_chars"), 2000, "lang")
+
+
+@query(
+    "upper_median_length",
+    """
+    SELECT source, min(n_chars) AS least, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS upper_median, max(n_chars) AS most
+    FROM documents GROUP BY source
+    """,
+)
+def upper_median_length(spark, sf_dir):
+    return D.upper_median(table(spark, sf_dir, "documents"), "n_chars", "source")
+
+
+@query(
+    "describe_length",
+    "SELECT count(n_chars) AS n, avg(n_chars) AS mean, stddev_samp(n_chars) AS std, stddev_pop(n_chars) AS std_pop, min(n_chars) AS least, quantile_cont(n_chars, 0.05) AS p5, median(n_chars) AS p50, max(n_chars) AS most FROM documents",
+)
+def describe_length(spark, sf_dir):
+    c = F.col("n_chars")
+    return table(spark, sf_dir, "documents").agg(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.stddev_pop(c).alias("std_pop"),
+        F.min(c).alias("least"), F.percentile(c, F.lit(0.05)).alias("p5"), F.median(c).alias("p50"), F.max(c).alias("most"),
+    )
+
+
+_READ = r"""
+  SELECT conv_id, turn, role, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_replace(s, '\s+', '', 'g') <> '')) AS s,
+    regexp_extract_all(text, '[A-Za-z'']+') AS w FROM conversations
+"""
+_SYL = r"""list_sum(list_transform(w, lambda x: CASE WHEN trim(lower(x), '''') = '' THEN 0 ELSE greatest(1,
+  len(regexp_extract_all(trim(lower(x), ''''), '[aeiouy]+')) - CASE WHEN trim(lower(x), '''') LIKE '%e' AND len(regexp_extract_all(trim(lower(x), ''''), '[aeiouy]+')) > 1
+    AND trim(lower(x), '''') NOT LIKE '%le' AND trim(lower(x), '''') NOT LIKE '%ee' THEN 1 ELSE 0 END) END))"""
+FLESCH = f"""
+WITH r AS ({_READ}), c AS (SELECT conv_id, turn, role, s, len(w) AS w, coalesce({_SYL}, 0) AS y FROM r)
+SELECT conv_id, turn, role, CASE WHEN w > 0 AND s > 0 THEN 206.835 - 1.015 * w / s - 84.6 * y / w END AS ease,
+  CASE WHEN w > 0 AND s > 0 THEN 0.39 * w / s + 11.8 * y / w - 15.59 END AS grade FROM c
+"""
+
+
+def _flesch(spark, sf_dir):
+    ease, grade = T.flesch(*T.readability_counts(F.col("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ease.alias("ease"), grade.alias("grade"))
+
+
+@query("flesch", f"SELECT conv_id, turn, role, round(ease, 6) AS ease, round(grade, 6) AS grade FROM ({FLESCH})")
+def flesch(spark, sf_dir):
+    return _flesch(spark, sf_dir).select("conv_id", "turn", "role", F.round("ease", 6).alias("ease"), F.round("grade", 6).alias("grade"))
+
+
+def _pairs(spark, sf_dir):
+    f = _flesch(spark, sf_dir)
+    asked = f.where("role = 'user'").groupBy("conv_id").agg(F.avg("ease").alias("before"))
+    told = f.where("role = 'assistant'").groupBy("conv_id").agg(F.avg("ease").alias("after"))
+    return asked.join(told, "conv_id").withColumn("parity", F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd"))
+
+
+PAIRS = f"""
+f AS ({FLESCH}), p AS (
+  SELECT conv_id, avg(ease) FILTER (role = 'user') AS before, avg(ease) FILTER (role = 'assistant') AS after, CASE WHEN conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS parity
+  FROM f GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role = 'assistant') > 0
+), k AS (SELECT * FROM p WHERE before IS NOT NULL AND after IS NOT NULL)
+"""
+
+
+@query(
+    "paired_readability",
+    f"""
+    WITH {PAIRS}, s AS (SELECT *, unnest(['all', 'parity=' || parity]) AS stratum FROM k)
+    SELECT stratum, count(*) AS n, round(avg(before), 6) AS before_mean, round(avg(after), 6) AS after_mean, round(avg(after - before), 6) AS mean_difference,
+      round(avg(after - before) / stddev_samp(after - before), 6) AS cohens_d, round(avg(CASE WHEN after > before THEN 1.0 ELSE 0.0 END), 6) AS share_improved
+    FROM s GROUP BY stratum
+    """,
+)
+def paired_readability(spark, sf_dir):
+    m = paired.by_strata(_pairs(spark, sf_dir), "parity").drop("t_statistic")
+    return m.select("stratum", "n", *[F.round(c, 6).alias(c) for c in ("before_mean", "after_mean", "mean_difference", "cohens_d", "share_improved")])
+
+
+@query(
+    "signed_ranks",
+    f"""
+    WITH {PAIRS}, d AS (SELECT parity, after - before AS d FROM k WHERE after <> before),
+    r AS (SELECT *, rank() OVER (PARTITION BY parity ORDER BY abs(d)) + (count(*) OVER (PARTITION BY parity, abs(d)) - 1) / 2.0 AS rk FROM d)
+    SELECT parity, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS rank_up, sum(CASE WHEN d < 0 THEN rk ELSE 0 END) AS rank_down,
+      round(sum(sign(d) * rk) / sum(rk), 6) AS rank_biserial FROM r GROUP BY parity
+    """,
+)
+def signed_ranks(spark, sf_dir):
+    return paired.signed_ranks(_pairs(spark, sf_dir), "parity").withColumn("rank_biserial", F.round("rank_biserial", 6))
+
+
+@query(
+    "html_clean",
+    r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS text FROM pages",
+)
+def html_clean(spark, sf_dir):
+    """Tags to spaces; entities are left, as the oracle has no table of them."""
+    return table(spark, sf_dir, "pages").select("page_id", T.html_clean(F.col("html"), decode=False).alias("text"))
+
+
+@query("html_clean_entities")
+def html_clean_entities(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.html_clean(F.col("html")).alias("text"))
+
+
+_WORDS = r"list_distinct(list_filter(string_split(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'), ' '), lambda x: x <> ''))"
+
+
+@query(
+    "jaccard_neighbours",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE n_chars < 2000),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+    SELECT a, b, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE i / greatest(na + nb - i, 1) END, 9) AS jaccard FROM p
+    """,
+)
+def jaccard_neighbours(spark, sf_dir):
+    """Word-set similarity of each short document and the next one."""
+    d = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", T.word_set(F.col("text")).alias("w"))
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
+    return d.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(T.jaccard(F.col("w"), F.col("v"), 1.0), 9).alias("jaccard"))
+
+
+@query(
+    "jaccard_bands",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE n_chars < 2000),
+    p AS (SELECT len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
+    j AS (SELECT round(CASE WHEN na + nb = 0 THEN 1.0 ELSE i / greatest(na + nb - i, 1) END, 9) AS x FROM p)
+    SELECT count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, min(x) AS least, max(x) AS most, round(stddev_samp(x), 6) AS std,
+      count(*) FILTER (x >= 0.8) AS high, count(*) FILTER (x >= 0.5 AND x < 0.8) AS middle, count(*) FILTER (x < 0.5) AS low FROM j
+    """,
+)
+def jaccard_bands(spark, sf_dir):
+    x = F.col("jaccard")
+    return jaccard_neighbours(spark, sf_dir).agg(
+        F.count("*").alias("n"), F.round(F.avg(x), 6).alias("mean"), F.round(F.median(x), 6).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.stddev_samp(x), 6).alias("std"),
+        F.count_if(x >= 0.8).alias("high"), F.count_if((x >= 0.5) & (x < 0.8)).alias("middle"), F.count_if(x < 0.5).alias("low"),
+    )
+
+
+@query("merged_changes")
+def merged_changes(spark, sf_dir):
+    """Greedy merging of the paragraphs of each source's short documents, as lists of changes."""
+    docs = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("what_changed"),
+        F.element_at(F.array(*map(F.lit, ("harmful", "neutral", "fair"))), (F.col("turn") % 3 + 1).cast("int")).alias("harm_label"),
+        F.element_at(F.array(*map(F.lit, ("added", "modified", "removed"))), (F.col("conv_id") % 3 + 1).cast("int")).alias("change_type"),
+    )
+    return similarity.merged_changes(docs)
+
+
+@query(
+    "benchmark_containment",
+    f"""
+    SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(lower({CLAUSE.format("d.text")}), lower({CLAUSE.format("b.text")}))
+    WHERE length(trim(b.text)) > 0
+    """,
+)
+def benchmark_containment(spark, sf_dir):
+    """Items that stand whole in a document, blanks and case aside.
+
+    The benchmark is the query set and bounded; it is held against all documents by their words' eight-word runs first.
+    """
+    inner = lambda c: F.transform(F.array(F.split(T.matching_text(c), " ")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 4, F.lit(2))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))))[0]
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.matching_text(F.col("text")).alias("n"), inner(F.col("text")).alias("runs"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", T.matching_text(F.col("text")))
+    words = F.split("h", " ")
+    theirs = docs.select("doc_id", F.explode(F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))))[0]).alias("run"))
+    mine = items.select("item_id", F.element_at("runs", 1).alias("run"))
+    near = theirs.join(mine, "run").select("item_id", "doc_id").distinct()
+    full = near.join(items.select("item_id", "n"), "item_id").join(docs.select("doc_id", "h"), "doc_id")
+    few = items.where((F.size(F.split("n", " ")) < 6) & (F.col("n") != "")).select("item_id", "n")  # too short for a run
+    full = full.unionByName(docs.select("doc_id", "h").join(few, F.contains("h", "n")).select(full.columns))
+    return full.where(F.contains("h", "n") & (F.col("n") != "")).select("item_id", "doc_id").distinct()
+
+
+@query("tfidf_nearest")
+def tfidf_nearest(spark, sf_dir):
+    """Contamination of benchmark items by conversation turns: top-1 cosine of character n-grams. Tests hold it against brute force."""
+    train = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    test = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    near = similarity.nearest(train, test, "row_id", "text")
+    return near.select("id", "best_id", F.round("similarity", 6).alias("similarity"), *similarity.threshold_flags(F.col("similarity")))
+
+
+@query("contamination_shares")
+def contamination_shares(spark, sf_dir):
+    return similarity.contamination(tfidf_nearest(spark, sf_dir).select("similarity"))
+
+
+@query(
+    "function_samples",
+    r"""
+    SELECT doc_id, CASE WHEN length(text) > 100 THEN text[1:100] || '...' ELSE text END AS preview, length(text) // 4 AS tokens,
+      md5('v1' || text)[1:16] AS key, 'src' || '__' || source AS run, replace(lower(trim(upper(source) || ' X')), ' ', '_') AS screen,
+      round(1 / (1 + exp(-least(60, greatest(-60, (doc_id % 200) - 100)))), 9) AS p, 2 - doc_id % 3 AS score, doc_id % 3 + 1 AS klass
+    FROM documents
+    """,
+)
+def function_samples(spark, sf_dir):
+    from clausemill.functions import numeric as N
+
+    d, text, n = table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id")
+    return d.select(
+        "doc_id", T.preview(text).alias("preview"), T.token_estimate(text).alias("tokens"), T.cache_key("v1", text).alias("key"), T.run_id(F.lit("src"), F.lit(None).cast("string"), F.col("source")).alias("run"),
+        T.screen_key(F.concat(F.upper("source"), F.lit(" X"))).alias("screen"), F.round(N.sigmoid((n % 200 - 100).cast("double")), 9).alias("p"), T.level_score(n % 3).alias("score"), T.score_class(n % 3).alias("klass"),
+    )
+
+
+@query("html_flags", "SELECT page_id, regexp_matches(html, '(?i)\\barticle\\b') AS has_article, lower(regexp_extract(html, '(?i)\\b(footer|article|nav)\\b', 1)) AS first_code FROM pages")
+def html_flags(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.col("html").rlike(r"(?i)\barticle\b").alias("has_article"), T.first_code(F.col("html"), ["nav", "article", "footer"]).alias("first_code"))
+
