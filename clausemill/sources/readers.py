@@ -87,7 +87,7 @@ def parallel_lines(spark: SparkSession, path: str, kinds: list[str]) -> DataFram
     Lines end at line feeds alone, so other line separators stay inside a line.
     """
     files = spark.read.text([f"{path}/*.{k}" for k in kinds], wholetext=True).withColumn("file", F.col("_metadata.file_name"))
-    body = F.regexp_replace("value", "\n$", "")
+    body = F.regexp_replace("value", r"\n\z", "")
     rows = files.select(F.regexp_extract("file", r"^(.*)\.[^.]+$", 1).alias("platform"), F.regexp_extract("file", r"\.([^.]+)$", 1).alias("kind"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     wide = rows.groupBy("platform", "pos").pivot("kind", kinds).agg(F.first("line"))
     whole = F.lit(True)
