@@ -71,3 +71,15 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def topic_probabilities(logits: Column, topics: list[str], digits: int = 4) -> Column:
+    """Map of topic to probability, from an array of logits in topic order."""
+    return F.map_from_arrays(F.array(*map(F.lit, topics)), F.transform(F.slice(logits, 1, len(topics)), lambda x: F.bround(sigmoid(x.cast("double")), digits)))
+
+
+def predicted_topics(logits: Column, topics: list[str], threshold: float = 0.5) -> Column:
+    """Topics whose probability reaches the threshold, most likely first; equal ones in topic order."""
+    rows = F.transform(F.slice(logits, 1, len(topics)), lambda x, i: F.struct((-sigmoid(x.cast("double"))).alias("p"), i.alias("i")))
+    chosen = F.filter(rows, lambda r: r["p"] <= -threshold)
+    return F.transform(F.array_sort(chosen), lambda r: F.get(F.array(*map(F.lit, topics)), r["i"]))

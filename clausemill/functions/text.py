@@ -256,3 +256,54 @@ def expanded_query(c: Column, synonyms: dict[str, str]) -> Column:
     for key, words in reversed(list(synonyms.items())):
         found = F.when(F.contains(F.lower(c), F.lit(key.lower())), F.concat_ws(" ", c, F.lit(words))).otherwise(found)
     return found
+
+
+def json_cell(c: Column, schema: str) -> Column:
+    """A JSON text as a value of a schema; null for null and for what does not parse."""
+    return F.from_json(F.nullif(F.trim(c), F.lit("")), schema)
+
+
+def without_ids(ids: Column, excluded: Sequence[str]) -> Column:
+    """A list of ids without the excluded ones, in its order."""
+    return F.filter(ids, lambda x: ~x.isin(list(excluded)))
+
+
+#: Community classes and their scores; a blocker is a bad clause of its own kind.
+CLASS_SCORES = {"blocker": -1, "bad": -1, "neutral": 0, "good": 1}
+
+
+def class_score(c: Column) -> tuple[Column, Column, Column]:
+    """Score of a community class, whether it is a blocker, and its parse status; other classes have no score."""
+    score = ordinal(c, CLASS_SCORES)
+    return score, F.coalesce(F.lower(F.trim(c)) == "blocker", F.lit(False)), F.when(score.isNull(), "unknown_class").otherwise("parsed")
+
+
+def domain_int(c: Column, low: int = -1, high: int = 1) -> Column:
+    """A text as a whole number of a domain; null for anything else."""
+    x = c.try_cast("double")
+    return F.when((x == F.floor(x)) & x.between(low, high), x.try_cast("int"))
+
+
+def first_text(*cs: Column) -> Column:
+    """The first of the texts that is not blank; null if all are."""
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cs])
+
+
+def holds_any_code(segment: Column, codes: Sequence[str]) -> Column:
+    """Whether a lower-cased segment holds any of the codes as a substring. It finds codes inside words, and never one with capitals."""
+    s = F.lower(segment)
+    found = F.lit(False)
+    for code in codes:
+        found = found | F.contains(s, F.lit(code))
+    return found
+
+
+def company_of(filename: Column, *others: Column) -> Column:
+    """The company from a document's file name, else from other columns."""
+    return first_text(F.regexp_replace(filename, r"(?i)\.docx$", ""), *others)
+
+
+def changed_pair(old: Column, new: Column, explanation: Column) -> Column:
+    """(source, explanation) of a change, the new text before the old one; null where either is blank."""
+    source, told = first_text(new, old), first_text(explanation)
+    return F.when(source.isNotNull() & told.isNotNull(), F.struct(source.alias("source"), told.alias("explanation")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clausemill.plans import label_queries, table_queries, text_queries  # noqa: F401
+from clausemill.plans import flow_queries, label_queries, table_queries, text_queries  # noqa: F401
 from clausemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
