@@ -104,3 +104,48 @@ SELECT record_id, url_key, b.id AS response_id, b.s AS response_s, outcome,
     || 'date: ' || strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: "' || b.h[1:12] || '"' ELSE '' END AS headers
 FROM o
 """
+
+
+ORACLES["op4_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, string_split(coalesce(text, ''), chr(10)) AS ls
+  FROM documents
+), x AS (
+  SELECT r, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w, length(l) AS c, length(regexp_replace(l, '\p{Lu}+', '', 'g')) AS no_lu, length(regexp_replace(l, '\p{Ll}+', '', 'g')) AS no_ll
+  FROM (SELECT r, unnest(ls) AS l FROM d)
+), j AS (
+  SELECT r, l, w, len(w) AS n, len(list_distinct(w)) AS u, c, c - no_lu AS up, c - no_ll AS lo, c - length(regexp_replace(l, '[#*$%&|<>]+', '', 'g')) AS sym,
+    c - length(regexp_replace(l, '[|»›>·•]+', '', 'g')) AS sep, (c - length(regexp_replace(l, '!+', '', 'g'))) / 2.0 AS ex
+  FROM x
+), v AS (
+  SELECT r, l, w, n, n = 0 OR NOT (
+    sym > 0.1 * c OR up + lo >= 20 AND up > 0.6 * (up + lo) OR n >= 3 AND ex > 0.3 * n OR sep >= 2 AND sep > 0.25 * n OR n >= 12 AND u < 0.25 * n
+    OR n <= 3 AND NOT regexp_matches(l, '[.!?…:;。！？"''”’»)\]]\s*$')
+    OR n <= 40 AND regexp_matches(lower(l), 'accept all cookies|we use cookies|cookie policy|enable javascript|javascript is disabled|all rights reserved|terms of use|terms of service|privacy policy|sign up for our newsletter|subscribe to our newsletter|click here to|lorem ipsum')
+  ) AS ok FROM j
+), lines AS (
+  SELECT r, coalesce(sum(length(array_to_string(w, ''))) FILTER (ok), 0) AS left_, count(*) FILTER (n > 0) - count(DISTINCT l) FILTER (n > 0) AS dup FROM v GROUP BY r
+), win AS (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS t FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT win.r, unnest(range(i, i + 8)) AS k FROM win JOIN (SELECT r, t FROM win GROUP BY 1, 2 HAVING count(*) > 1) USING (r, t)) GROUP BY r),
+b AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS n_symbols, dup AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, left_
+  FROM d JOIN lines USING (r) LEFT JOIN rep USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND left_ >= 0.5 * word_chars AS kept
+FROM b
+"""
+
+ORACLES["op7_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT r, r AS other FROM n UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.other),
+c AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.other GROUP BY reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
+"""

@@ -4,7 +4,7 @@ Everything is a column expression over one row, so there is no shuffle and no Py
 
 Defined results for odd input: a null text counts as the empty text, which has no words and fails the
 base rule; a text of any length is read whole; equal rows give equal results, row by row; an empty table
-gives an empty table; other columns pass through untouched and may have any name but those added.
+gives an empty table; other columns pass through untouched, but for the names added.
 """
 
 from __future__ import annotations
@@ -118,19 +118,23 @@ def line_passes(line: Column, rules: Rules) -> Column:
     return let(found, judged)
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "kept_share", "kept")
+
+
 def line_first_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
     """Adds the counts, ``clean_text`` (the lines that pass), ``kept_share``, ``base_failed`` and ``kept``.
 
     ``kept`` is false where the base rule fails, where no word is left, or where the passing lines hold
     less than ``min_kept_share`` of the word characters.
     """
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
     counted = (
-        docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+        docs.select(*kept, F.col(text).alias("__given")).withColumn("__text", F.coalesce(F.col("__given"), F.lit("")))
         .withColumn("__words", words(F.col("__text")))
         .withColumn("__lines", F.split("__text", "\n"))
     )
     measured = counted.select(
-        *docs.columns,
+        *kept,
         "__lines",
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
