@@ -50,7 +50,7 @@ def test_verdict_and_clean_text(spark):
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     prose = "\n".join("The " + " ".join(word() for _ in range(9)) + "." for _ in range(6))
     menu = "Home | News | Sport | Contact | Login | Register"
-    rows = [(1, prose, "", 0, ""), (2, menu + "\n" + prose + "\nRead more", "", 0, ""), (3, prose.split("\n")[0] + "\n" + "\n".join(menu + f" {i} | {i * 3}" for i in range(5)), "", 0, "")]
+    rows = [(1, prose, "", 0, ""), (2, menu + "\n" + prose + "\nRead more", "", 0, ""), (3, prose.split("\n")[0] + "\n" + "\n".join(" | ".join(word() for _ in range(7)) for _ in range(5)), "", 0, "")]
     got = {r.doc_id: r for r in line_first_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1].kept and got[1].clean_text == prose and got[1].kept_share == 1.0
     assert got[2].kept and got[2].clean_text == prose
