@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.operators.relational import running_sum
 
 TokenCount = Callable[[Column], Column]
 
@@ -103,16 +104,16 @@ def length_profile(df: DataFrame, value: Column, limit: float, *keys: str) -> Da
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Least, upper middle and largest value: element n div 2 of the sorted list, not interpolated.
 
-    It is found in the counts of distinct values, so no list of all values is gathered.
+    It is found in running sums of the counts of distinct values, so no list of all values is gathered.
     """
-    from pyspark.sql import Window
-
     sizes = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    through = F.sum("k").over(Window.partitionBy(*keys).orderBy(value))
-    total = F.sum("k").over(Window.partitionBy(*keys))
-    told = sizes.withColumn("through", through).withColumn("total", total)
-    own = told.groupBy(*keys) if keys else told
-    return own.agg(F.min(value).alias("least"), F.min(F.when(F.col("through") > F.floor(F.col("total") / 2), F.col(value))).alias("upper_median"), F.max(value).alias("most"))
+    through = running_sum(sizes, F.col("k"), "through", [value], list(keys))
+    own = sizes.groupBy(*keys) if keys else sizes
+    totals = own.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.sum("k").alias("total"))
+    told = through.join(totals, list(keys)) if keys else through.crossJoin(F.broadcast(totals))
+    told = told.where(F.col("through") > F.floor(F.col("total") / 2))
+    out = told.groupBy(*keys, "least", "most") if keys else told.groupBy("least", "most")
+    return out.agg(F.min(value).alias("upper_median")).select(*keys, "least", "upper_median", "most")
 
 
 def document_report(paras: DataFrame, pieces: DataFrame, predictions: DataFrame | None = None) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.operators.relational import running_sum
+
 
 def moments(pairs: DataFrame, *keys: str, higher_is_better: bool = True) -> DataFrame:
     """n, means, mean difference, paired effect size, t statistic and share improved, of columns before and after."""
@@ -28,12 +30,11 @@ def moments(pairs: DataFrame, *keys: str, higher_is_better: bool = True) -> Data
 def average_ranks(values: DataFrame, value: str, *keys: str) -> DataFrame:
     """Adds ``rank``: equal values share the mean of their places.
 
-    Places come from the counts of distinct values, so a value that many rows share is summed before the window.
+    Places are running sums of the counts of distinct values, dealt by range.
     """
     sizes = values.groupBy(*keys, value).agg(F.count("*").alias("__peers"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    below = F.sum("__peers").over(order) - F.col("__peers")
-    ranked = sizes.withColumn("rank", below + (F.col("__peers") + 1) / 2).drop("__peers")
+    through = running_sum(sizes, F.col("__peers"), "__through", [value], list(keys))
+    ranked = through.withColumn("rank", F.col("__through") - F.col("__peers") + (F.col("__peers") + 1) / 2).drop("__peers", "__through")
     return values.join(ranked, [*keys, value])
 
 

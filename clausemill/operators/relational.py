@@ -58,17 +58,31 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total").orderBy(F.desc("n"), *columns)
 
 
+def running_sum(df: DataFrame, value: Column, name: str, order: list, keys: list[str] = ()) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to this one in a total order, for each key.
+
+    Rows are dealt by range, also within a key, and summed in their partitions; the sums of the partitions
+    before are added. The number of partitions is given, so both looks at them see the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.withColumn("__value", value).repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    local = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy("__part", *keys).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    same = F.col("a.__part") == F.col("b.__part")
+    for k in keys:  # a null key is a key
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    told = parts.withColumn("__local", F.sum("__value").over(local)).alias("a").join(sums.alias("b"), same)
+    return told.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.__local") + F.col("b.__before")).alias(name))
+
+
 def numbered(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """Row numbers from 0 in a total order, to be written once at ingest.
 
-    Rows are dealt by range and numbered in their partitions; the counts of the partitions before are added.
     The order must be total, so that a second look gives the same numbers.
     """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    local = Window.partitionBy("__part").orderBy(*order)
-    sizes = parts.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return parts.withColumn("__i", F.row_number().over(local) - 1).join(F.broadcast(before), "__part").withColumn(name, F.col("__i") + F.col("__before")).drop("__part", "__i", "__before")
+    return running_sum(df, F.lit(1).cast("long"), "__n", order).withColumn(name, F.col("__n") - 1).drop("__n")
 
 
 def positions(df: DataFrame, order: list, start: int, stop: int) -> DataFrame:
