@@ -264,12 +264,12 @@ def denormalize_nested(spark, sf_dir):
     return nested.select("service_id", F.size("cases").cast("long").alias("n_cases"), total.cast("long").alias("n_points"))
 
 
-@query("document_ids", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'claudette:' || source WHEN doc_id % 3 = 1 THEN 'svc' || lang ELSE 'unknown:' || doc_id END AS document FROM documents")
+@query("document_ids", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'tagged:' || source WHEN doc_id % 3 = 1 THEN 'svc' || lang ELSE 'unknown:' || doc_id END AS document FROM documents")
 def document_ids(spark, sf_dir):
     n = F.col("doc_id")
-    a = F.when(n % 3 == 0, F.array(F.struct(F.lit("tos_dr").alias("source_dataset"), F.lit("9").alias("source_id")), F.struct(F.lit("claudette").alias("source_dataset"), F.concat("source", F.lit(":4:a1")).alias("source_id"))))
+    a = F.when(n % 3 == 0, F.array(F.struct(F.lit("points").alias("source_dataset"), F.lit("9").alias("source_id")), F.struct(F.lit("tagged").alias("source_dataset"), F.concat("source", F.lit(":4:a1")).alias("source_id"))))
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", fusion.document_id(a, F.when(n % 3 == 1, F.concat(F.lit("svc"), "lang")), n, ["claudette", "100_tos"]).alias("document"))
+    return d.select("doc_id", fusion.document_id(a, F.when(n % 3 == 1, F.concat(F.lit("svc"), "lang")), n, ["tagged", "coded"]).alias("document"))
 
 
 @query("vector_topk", """
