@@ -163,7 +163,7 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 6, rate: f
     return {f: (w[0], w[1]) for f, w in emit.items()}, move
 
 
-def default_model(training_pages: int = 300, seed: int = 7) -> tuple[Weights, list[list[float]]]:
+def default_model(training_pages: int = 500, seed: int = 7) -> tuple[Weights, list[list[float]]]:
     """The field fitted on ``training_pages`` made pages."""
     from clausemill.llm.html_pages import labelled_page
 

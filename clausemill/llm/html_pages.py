@@ -84,7 +84,7 @@ def labelled_page(r: random.Random) -> tuple[str, set[str]]:
             own(f"{a} {b} {c}")
             body.append(f'<p>{a} <a href="/x">{b}</a> {c}</p>')
         else:
-            body.append(_furniture(r, r.choice(["ad", "side", "share", "form"])))
+            body.append(_furniture(r, r.choice(["ad", "side", "share", "form", "notice", "talk", "nav"])))
     inner = "".join(body)
     wrap = r.random()
     if wrap < 0.55:
