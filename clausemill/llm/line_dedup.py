@@ -83,7 +83,8 @@ def doubled(ranks: DataFrame, h: int, store: Store, parts: int) -> DataFrame:
 
 def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) -> DataFrame:
     """(row, from_line, to_line) of windows that are later copies."""
-    often = lines.groupBy("id").count().where("count > 1").select("id")
+    # written, so that the join deals both sides anew and the engine can split a line that very many documents hold
+    often = store.save(lines.groupBy("id").count().where("count > 1").select("id"), "often")
     active = store.save(lines.join(often, "id", "left_semi"), "active")
     pick = lambda c, start: F.struct(start.cast("int").alias("start"), F.col(c).alias("size"), F.col(f"{c}_from").alias("from_line"), F.col(f"{c}_to").alias("to_line"))
     both = F.array_distinct(F.array(pick("ahead", F.col("i")), pick("back", F.col("i") - F.col("back") + 1)))
@@ -98,8 +99,9 @@ def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) ->
         last = ranks.select("row", (F.col("i") + h).alias("stop"), F.col("rank").alias("second"))
         named = named.withColumn("stop", F.col("start") + F.col("size")).join(last, ["row", "stop"])
         place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"), F.col("start").alias("start"))
-        named = named.select("row", "size", "from_line", "to_line", "first", "second", place.alias("place"))
+        named = store.save(named.select("row", "size", "from_line", "to_line", "first", "second", place.alias("place")), f"named-{h}")
         earliest = named.groupBy("size", "first", "second").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1")
+        earliest = store.save(earliest, f"earliest-{h}")
         found.append(named.join(earliest, ["size", "first", "second"]).where("place != earliest").select("row", "from_line", "to_line"))
         if 2 * h <= longest:
             ranks = doubled(ranks, h, store, parts)
