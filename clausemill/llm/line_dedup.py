@@ -134,7 +134,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", te
     lines = held.select("__row", F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_lines(min_words), _LINES)
     runs = repeated_runs(store.save(lines, "lines"), store, min_words, parts)
     runs = runs.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("from_line", "to_line")).alias("__runs"))
-    told = held.join(runs, "__row", "left").select(*columns, "__runs")
+    runs = store.save(runs, "runs")
+    store.keep("docs", "runs")
+    # always a merge join: the texts are dealt once whatever the size of the runs, so the plan is one for all sizes
+    told = held.join(runs.hint("merge"), "__row", "left").select(*columns, "__runs")
     at = columns.index(text)
     schema = T.StructType([told.schema[c] for c in columns] + [T.StructField("n_deleted", T.LongType())])
 

@@ -7,6 +7,8 @@ executor costs no earlier stage. All stages but the last return the columns of `
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +19,36 @@ from clausemill.llm.packing import pack_documents
 from clausemill.llm.quality import line_first_quality
 from clausemill.llm.store import Store
 
+#: Stores of the stages so far, whose results have been written when the next stage begins.
+_SPENT: list[Store] = []
+
+
+def _stage(f):
+    """A stage that first drops what the stages before it have left in the shared folder."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _SPENT:
+            _SPENT.pop().remove()
+        with Store.noted() as made:
+            out = f(spark, docs, sf_dir)
+        _SPENT.extend(made)
+        return out
+
+    return run
+
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
     kept = line_first_quality(docs.select(*COLUMNS)).where("kept")
     return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; a document of which no word is left goes with them."""
     done = dedup_lines(docs.select(*COLUMNS))
@@ -33,16 +56,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return done.where(left).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     return keep_one(docs.select(*COLUMNS))
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     return decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in windows of 1024 tokens."""
     return pack_documents(docs)

@@ -68,3 +68,14 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_and_extra_columns(spark, tmp_path):
+    rows, items = corpus(7)
+    spark.createDataFrame([(None, None), (1, None), (None, items[0]), *enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd = [(*r, "x", 1, True) for r in rows] + [(None, rows[3][1], None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(odd, SCHEMA + ", clean_text string, n_words long, kept boolean")
+    for _, stage_ in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage_(spark, docs, str(tmp_path)).collect(), SCHEMA)
+    assert docs.columns == corpus_pipeline.COLUMNS and docs.where("doc_id IS NULL").count() == 0 and docs.count() > 30
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 30
