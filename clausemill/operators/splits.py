@@ -19,7 +19,7 @@ def stratum(primary: Column, harm: Column) -> Column:
 def collapse_rare(df: DataFrame, key: str, least: int) -> DataFrame:
     """Strata of fewer than ``least`` rows become one; counted by an aggregate, so a large stratum is no single task."""
     small = df.groupBy(key).count().where(F.col("count") < least).select(key, F.lit(True).alias("__small"))
-    return df.join(F.broadcast(small), key, "left").withColumn(key, F.when(F.col("__small"), RARE).otherwise(F.col(key))).drop("__small")
+    return df.join(small, key, "left").withColumn(key, F.when(F.col("__small"), RARE).otherwise(F.col(key))).drop("__small")
 
 
 def stratified_split(df: DataFrame, key: str, row_id: str = "row_id", seed: int = 42, validation: float = 0.1, test: float = 0.1, least: int = 5) -> DataFrame:

@@ -21,9 +21,9 @@ def crosstab_margins(spark, sf_dir):
     return R.crosstab(table(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"])
 
 
-@query("pivot_lang_source", "SELECT source, coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS en, coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS fr FROM documents GROUP BY source")
+@query("pivot_lang_source", "SELECT source, coalesce(sum(n_chars) FILTER (lang = 'de'), 0) AS de, coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS en, coalesce(sum(n_chars) FILTER (lang = 'es'), 0) AS es, coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS fr FROM documents GROUP BY source")
 def pivot_lang_source(spark, sf_dir):
-    return R.pivot(table(spark, sf_dir, "documents").where("lang IN ('en', 'fr')"), "source", "lang", ["en", "fr"], F.sum("n_chars"))
+    return R.pivot(table(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"], F.sum("n_chars"))
 
 
 @query("unpivot_labels", "SELECT doc_id, 'quality' AS variable, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels")
@@ -273,21 +273,21 @@ def document_ids(spark, sf_dir):
 
 
 @query("vector_topk", """
-WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings)
+WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings)
 SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def vector_topk(spark, sf_dir):
-    """The ten best of all vectors for a fixed query set of ten: top-k is the feature."""
+    """The ten best of all vectors for each query, which are the rows whose id 100 divides: top-k is the feature."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.vector_search(q, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10).select("query_id", "chunk_id", "rank")
 
 
 @query("vector_topk_source", """
-WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e USING (label))
+WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e USING (label))
 SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
 def vector_topk_source(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
     return retrieval.vector_search(q, e.select(F.col("vec_id").alias("chunk_id"), "label", "embedding"), 5, "label").select("query_id", "chunk_id", "rank")
 
 
@@ -356,8 +356,10 @@ SELECT query_id, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(1
 def ir_measures_oracle(spark, sf_dir):
     """The measures on a rule for relevance that SQL can repeat."""
     queries, chunks, ranked = _search(spark, sf_dir)
-    relevant = queries.select("query_id").crossJoin(F.broadcast(chunks.select("chunk_id"))).where((F.col("chunk_id") + F.col("query_id")) % 4 == 0)
-    m = retrieval.measures(ranked, relevant, 10)
+    relevant = ranked.where((F.col("chunk_id") + F.col("query_id")) % 4 == 0).select("query_id", "chunk_id")
+    sizes = chunks.groupBy(F.pmod(-F.col("chunk_id"), F.lit(4)).alias("rest")).agg(F.count("*").alias("n_relevant"))
+    totals = queries.select("query_id", F.pmod("query_id", F.lit(4)).alias("rest")).join(sizes, "rest").select("query_id", "n_relevant")
+    m = retrieval.measures(ranked, relevant, 10, totals)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in retrieval.MEASURES])
 
 

@@ -235,14 +235,14 @@ _WORDS = r"list_distinct(list_filter(string_split(regexp_replace(regexp_replace(
 @query(
     "jaccard_neighbours",
     f"""
-    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE n_chars < 2000),
+    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
     p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
     SELECT a, b, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE i / greatest(na + nb - i, 1) END, 9) AS jaccard FROM p
     """,
 )
 def jaccard_neighbours(spark, sf_dir):
-    """Word-set similarity of each short document and the next one."""
-    d = table(spark, sf_dir, "documents").where("n_chars < 2000").select("doc_id", T.word_set(F.col("text")).alias("w"))
+    """Word-set similarity of each document and the one with the next id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.word_set(F.col("text")).alias("w"))
     b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return d.join(b, "doc_id").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"), F.round(T.jaccard(F.col("w"), F.col("v"), 1.0), 9).alias("jaccard"))
 
@@ -250,7 +250,7 @@ def jaccard_neighbours(spark, sf_dir):
 @query(
     "jaccard_bands",
     f"""
-    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE n_chars < 2000),
+    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
     p AS (SELECT len(list_intersect(a.w, b.w)) AS i, len(a.w) AS na, len(b.w) AS nb FROM d a JOIN d b ON b.doc_id = a.doc_id + 1),
     j AS (SELECT round(CASE WHEN na + nb = 0 THEN 1.0 ELSE i / greatest(na + nb - i, 1) END, 9) AS x FROM p)
     SELECT count(*) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, min(x) AS least, max(x) AS most, round(stddev_samp(x), 6) AS std,

@@ -270,3 +270,12 @@ def test_average_ranks(spark):
     assert sorted(tuple(r) for r in paired.average_ranks(df, "v").collect()) == [(1.0, 1.0), (2.0, 2.0), (3.0, 3.5), (3.0, 3.5)]
 
 
+
+
+def test_vector_search_in_blocks(spark):
+    r = random.Random(6)
+    rows = [(i, [r.random() for _ in range(4)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    q = v.where("chunk_id < 9").toDF("query_id", "query_vector")
+    whole, parts = (sorted(tuple(x) for x in retrieval.vector_search(q, v, 5, block=b).collect()) for b in (100, 2))
+    assert whole == parts and len(whole) == 45
