@@ -11,7 +11,7 @@ from clausemill.functions import text as T
 from clausemill.operators import analysis, metrics, probes, retrieval, scoring
 from clausemill.plans.label_queries import harm
 from clausemill.plans.registry import query
-from clausemill.plans.table_queries import _search
+from clausemill.plans.table_queries import _search, stamped
 from clausemill.session import table
 from clausemill.streaming import events as S
 
@@ -176,11 +176,11 @@ def _stream(spark, sf_dir):
 @query("stream_gap_sessions", """
 WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, round(sum(value), 6) AS value FROM k GROUP BY user_id, s""")
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n_events, round(sum(value), 6) AS value FROM k GROUP BY user_id, s""")
 def stream_gap_sessions(spark, sf_dir):
     """The gap sessions read as a stream, through the memory sink."""
     out = S.drained(spark, S.gap_sessions(_stream(spark, sf_dir), late="3650 days"), f"gaps_{uuid.uuid4().hex}", "complete")
-    return out.withColumn("value", F.round("value", 6))
+    return stamped(out)
 
 
 @query("stream_stamped_events")

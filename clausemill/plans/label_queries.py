@@ -16,7 +16,7 @@ CELLS = """
 cells AS (
   SELECT doc_id AS row_id, t AS topic_index,
     CAST(CASE t WHEN 0 THEN quality WHEN 1 THEN toxic ELSE (doc_id + quality) % 2 END AS DOUBLE) AS label,
-    CASE WHEN (doc_id + t) % 5 = 0 THEN 0.0 ELSE 1.0 END AS mask,
+    CAST(CASE WHEN (doc_id + t) % 5 = 0 THEN 0 ELSE 1 END AS DOUBLE) AS mask,
     CASE WHEN (doc_id * 7 + t * 3) % 4 < 2 THEN 1 ELSE 0 END AS prediction,
     CASE WHEN (doc_id * 5 + t) % 3 = 0 THEN 1 ELSE 0 END AS prediction_b,
     ((doc_id * 7 + t * 3) % 20 - 9.5) / 4 AS logit
@@ -54,8 +54,8 @@ def mask_cell_counts(spark, sf_dir):
 WITH {CELLS}, named AS (SELECT CAST(topic_index AS VARCHAR) AS topic, precision, recall, f1, support, observed FROM tab)
 SELECT topic, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support, observed FROM (
   SELECT * FROM named
-  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support), sum(observed) FROM tab
-  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support), sum(observed) FROM tab
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT), CAST(sum(observed) AS BIGINT) FROM tab
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT), CAST(sum(observed) AS BIGINT) FROM tab
 )""")
 def per_topic_table(spark, sf_dir):
     t = metrics.with_average_rows(metrics.per_topic(cells(spark, sf_dir)))
@@ -281,7 +281,7 @@ long AS (
 m AS (SELECT DISTINCT l.text, f.topic_id FROM long l JOIN full_ f USING (source) WHERE l.source <> 's2' UNION SELECT text, topic_id FROM long WHERE source = 's2'),
 sc AS (SELECT text, topic_id, min(score) AS score, count(DISTINCT score) > 1 AS conflict FROM long GROUP BY 1, 2),
 cell AS (
-  SELECT x.text, t AS topic_index, 't' || t AS topic_id, CASE WHEN sc.score IS NULL THEN 0.0 ELSE 1.0 END AS label, CASE WHEN m.text IS NULL THEN 0.0 ELSE 1.0 END AS mask, sc.score, coalesce(sc.conflict, false) AS conflict
+  SELECT x.text, t AS topic_index, 't' || t AS topic_id, CAST(CASE WHEN sc.score IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS label, CAST(CASE WHEN m.text IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS mask, sc.score, coalesce(sc.conflict, false) AS conflict
   FROM (SELECT DISTINCT text FROM long) x, (SELECT unnest([0, 1, 2, 3]) AS t) LEFT JOIN sc ON sc.text = x.text AND sc.topic_id = 't' || t LEFT JOIN m ON m.text = x.text AND m.topic_id = 't' || t
 )
 """

@@ -16,12 +16,12 @@ from clausemill.streaming import events as S
 
 @query("crosstab_margins", """
 WITH c AS (SELECT CASE WHEN grouping(source) = 1 THEN 'All' ELSE source END AS source, CASE WHEN grouping(lang) = 1 THEN 'All' ELSE lang END AS lang, count(*) AS n FROM documents GROUP BY CUBE (source, lang))
-SELECT source, coalesce(sum(n) FILTER (lang = 'de'), 0) AS de, coalesce(sum(n) FILTER (lang = 'en'), 0) AS en, coalesce(sum(n) FILTER (lang = 'es'), 0) AS es, coalesce(sum(n) FILTER (lang = 'fr'), 0) AS fr, coalesce(sum(n) FILTER (lang = 'All'), 0) AS "All" FROM c GROUP BY source""")
+SELECT source, CAST(coalesce(sum(n) FILTER (lang = 'de'), 0) AS BIGINT) AS de, CAST(coalesce(sum(n) FILTER (lang = 'en'), 0) AS BIGINT) AS en, CAST(coalesce(sum(n) FILTER (lang = 'es'), 0) AS BIGINT) AS es, CAST(coalesce(sum(n) FILTER (lang = 'fr'), 0) AS BIGINT) AS fr, CAST(coalesce(sum(n) FILTER (lang = 'All'), 0) AS BIGINT) AS "All" FROM c GROUP BY source""")
 def crosstab_margins(spark, sf_dir):
     return R.crosstab(table(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"])
 
 
-@query("pivot_lang_source", "SELECT source, coalesce(sum(n_chars) FILTER (lang = 'de'), 0) AS de, coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS en, coalesce(sum(n_chars) FILTER (lang = 'es'), 0) AS es, coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS fr FROM documents GROUP BY source")
+@query("pivot_lang_source", "SELECT source, CAST(coalesce(sum(n_chars) FILTER (lang = 'de'), 0) AS BIGINT) AS de, CAST(coalesce(sum(n_chars) FILTER (lang = 'en'), 0) AS BIGINT) AS en, CAST(coalesce(sum(n_chars) FILTER (lang = 'es'), 0) AS BIGINT) AS es, CAST(coalesce(sum(n_chars) FILTER (lang = 'fr'), 0) AS BIGINT) AS fr FROM documents GROUP BY source")
 def pivot_lang_source(spark, sf_dir):
     return R.pivot(table(spark, sf_dir, "documents"), "source", "lang", ["de", "en", "es", "fr"], F.sum("n_chars"))
 
@@ -211,9 +211,14 @@ def screen_wall_times(spark, sf_dir):
 @query("gap_sessions", """
 WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 k AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o)
-SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n_events, round(sum(value), 6) AS value FROM k GROUP BY user_id, s""")
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n_events, round(sum(value), 6) AS value FROM k GROUP BY user_id, s""")
 def gap_sessions(spark, sf_dir):
-    return S.gap_sessions(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 6))
+    return stamped(S.gap_sessions(table(spark, sf_dir, "events")))
+
+
+def stamped(found):
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us")
+    return found.select("user_id", micros("start"), micros("end"), "n_events", F.round("value", 6).alias("value"))
 
 
 @query("accepted_events", "SELECT CASE event_type WHEN 'click' THEN 'click' ELSE 'x' END AS event_type, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1")
@@ -379,7 +384,7 @@ def softmax_argmax(spark, sf_dir):
     return e.select("vec_id", N.argmax(F.col("embedding")).alias("argmax"), F.round(F.array_max(N.softmax(F.col("embedding"))), 6).alias("confidence"))
 
 
-@query("vector_compaction", "SELECT vec_id, [embedding[1], embedding[3], embedding[6]] AS kept, list_transform([0, 1, 2, 3], lambda i: CASE WHEN i = label % 4 THEN 10.0 ELSE -10.0 END) AS one_hot FROM embeddings")
+@query("vector_compaction", "SELECT vec_id, [embedding[1], embedding[3], embedding[6]] AS kept, list_transform([0, 1, 2, 3], lambda i: CAST(CASE WHEN i = label % 4 THEN 10 ELSE -10 END AS DOUBLE)) AS one_hot FROM embeddings")
 def vector_compaction(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", N.compacted(F.col("embedding"), [0, 2, 5]).alias("kept"), N.one_hot_logits(F.array(F.col("label") % 4), 4).alias("one_hot"))

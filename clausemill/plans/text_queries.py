@@ -117,13 +117,14 @@ def overlapping_chunks(spark, sf_dir):
 @query(
     "percentiles_length",
     """
-    SELECT lang, count(*) AS n, quantile_cont(n_chars, 0.5) AS p50, quantile_cont(n_chars, 0.9) AS p90, quantile_cont(n_chars, 0.95) AS p95,
-      quantile_cont(n_chars, 0.99) AS p99, min(n_chars) AS least, max(n_chars) AS most, avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END) AS share_over
+    SELECT lang, count(*) AS n, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90, round(quantile_cont(n_chars, 0.95), 6) AS p95,
+      round(quantile_cont(n_chars, 0.99), 6) AS p99, min(n_chars) AS least, max(n_chars) AS most, round(avg(CASE WHEN n_chars > 2000 THEN 1.0 ELSE 0.0 END), 9) AS share_over
     FROM documents GROUP BY lang
     """,
 )
 def percentiles_length(spark, sf_dir):
-    return D.length_profile(table(spark, sf_dir, "documents"), F.col("n_chars"), 2000, "lang")
+    p = D.length_profile(table(spark, sf_dir, "documents"), F.col("n_chars"), 2000, "lang")
+    return p.withColumns({c: F.round(c, 6) for c in ("p50", "p90", "p95", "p99")}).withColumn("share_over", F.round("share_over", 9))
 
 
 @query(
@@ -139,13 +140,13 @@ def upper_median_length(spark, sf_dir):
 
 @query(
     "describe_length",
-    "SELECT count(n_chars) AS n, avg(n_chars) AS mean, stddev_samp(n_chars) AS std, stddev_pop(n_chars) AS std_pop, min(n_chars) AS least, quantile_cont(n_chars, 0.05) AS p5, median(n_chars) AS p50, max(n_chars) AS most FROM documents",
+    "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, round(stddev_pop(n_chars), 6) AS std_pop, min(n_chars) AS least, round(quantile_cont(n_chars, 0.05), 6) AS p5, round(median(n_chars), 6) AS p50, max(n_chars) AS most FROM documents",
 )
 def describe_length(spark, sf_dir):
     c = F.col("n_chars")
     return table(spark, sf_dir, "documents").agg(
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.stddev_pop(c).alias("std_pop"),
-        F.min(c).alias("least"), F.percentile(c, F.lit(0.05)).alias("p5"), F.median(c).alias("p50"), F.max(c).alias("most"),
+        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.round(F.stddev_pop(c), 6).alias("std_pop"),
+        F.min(c).alias("least"), F.round(F.percentile(c, F.lit(0.05)), 6).alias("p5"), F.round(F.median(c), 6).alias("p50"), F.max(c).alias("most"),
     )
 
 
