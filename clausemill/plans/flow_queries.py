@@ -162,7 +162,7 @@ def reranked_chunks(spark, sf_dir):
 @query("merged_rank_lists", """
 WITH l AS (SELECT user_id AS query_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS list, event_id AS rank, CAST(floor(value) AS BIGINT) AS content FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id, content ORDER BY list, rank) AS n FROM l), p AS (SELECT query_id, content, row_number() OVER (PARTITION BY query_id ORDER BY list, rank) AS place FROM o WHERE n = 1)
-SELECT * FROM p WHERE place <= 5""")
+SELECT * FROM p WHERE place <= 5""", place="INTEGER")
 def merged_rank_lists(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("list"), F.col("event_id").alias("rank"), F.floor("value").cast("long").alias("content"))
     return retrieval.merged_ranks(rows, "content", 5).select("query_id", "content", "place")

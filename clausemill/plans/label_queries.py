@@ -109,7 +109,7 @@ def harm(spark, sf_dir):
     return rows.select(n, "source", (F.col("quality") + F.col("toxic")).alias("truth"), ((n * 7 + F.col("quality")) % 3).cast("int").alias("predicted"), F.when(n % 6 == 0, 0.0).otherwise(1.0).alias("mask"))
 
 
-@query("confusion_matrix", f"WITH {HARM} SELECT truth, predicted, count(*) AS n FROM v GROUP BY truth, predicted")
+@query("confusion_matrix", f"WITH {HARM} SELECT truth, predicted, count(*) AS n FROM v GROUP BY truth, predicted", predicted="INTEGER")
 def confusion_matrix(spark, sf_dir):
     return metrics.confusion(harm(spark, sf_dir))
 
@@ -144,7 +144,7 @@ def agreement_rate(spark, sf_dir):
     return metrics.agreement(pairs).withColumn("agreement", F.round("agreement", 9))
 
 
-@query("metric_parity", f"WITH {CELLS} SELECT 0.0 AS largest, 0 AS one_sided, true AS within FROM (SELECT 1)")
+@query("metric_parity", f"WITH {CELLS} SELECT 0.0 AS largest, 0 AS one_sided, true AS within FROM (SELECT 1)", largest="DOUBLE", one_sided="BIGINT")
 def metric_parity(spark, sf_dir):
     t = metrics.per_topic(cells(spark, sf_dir))
     return metrics.parity(t, t, "topic_index", "f1")
@@ -248,7 +248,7 @@ def source_holdout(spark, sf_dir):
     return splits.hold_out(d, "src0").select("doc_id", "split")
 
 
-@query("assignment_check", "SELECT 0 AS without_split, 0 AS without_row, 0 AS changed")
+@query("assignment_check", "SELECT 0 AS without_split, 0 AS without_row, 0 AS changed", without_split="BIGINT", without_row="BIGINT", changed="BIGINT")
 def assignment_check(spark, sf_dir):
     d = _sided(spark, sf_dir).withColumn("row_id", F.col("doc_id"))
     return splits.check_assignment(d, splits.assignment(d, "text"), "text")
@@ -316,7 +316,7 @@ def taxonomy_dimension(spark, sf_dir):
     return topic_table(spark)
 
 
-@query("fused_cells", f"WITH {LONG} SELECT * FROM cell")
+@query("fused_cells", f"WITH {LONG} SELECT * FROM cell", score="INTEGER")
 def fused_cells(spark, sf_dir):
     return fused(spark, sf_dir)[1]
 
@@ -327,13 +327,13 @@ WITH {LONG}, w AS (
     coalesce(list(topic_id ORDER BY topic_index) FILTER (label = 1), []) AS active_topic_ids, coalesce(list(topic_id ORDER BY topic_index) FILTER (conflict), []) AS conflict_topic_ids, bool_or(conflict) AS has_score_conflict
   FROM cell GROUP BY text
 ), p AS (SELECT text, list_sort(list(DISTINCT source)) AS sources, min(score) AS harm_score FROM long GROUP BY text)
-SELECT w.*, sources, harm_score, harm_score + 1 AS harm_score_class, 1.0 AS harm_mask FROM w JOIN p USING (text)""")
+SELECT w.*, sources, harm_score, harm_score + 1 AS harm_score_class, 1.0 AS harm_mask FROM w JOIN p USING (text)""", scores="INTEGER[]", harm_score="INTEGER", harm_score_class="INTEGER", harm_mask="DOUBLE")
 def fused_wide(spark, sf_dir):
     long, cell = fused(spark, sf_dir)
     return fusion.wide_table(cell, long).drop("topic_scores", "native_annotations")
 
 
-@query("narrow_wide", f"WITH {LONG} SELECT text, list(CASE WHEN conflict THEN NULL ELSE score END ORDER BY topic_index) AS scores FROM cell GROUP BY text")
+@query("narrow_wide", f"WITH {LONG} SELECT text, list(CASE WHEN conflict THEN NULL ELSE score END ORDER BY topic_index) AS scores FROM cell GROUP BY text", scores="INTEGER[]")
 def narrow_wide(spark, sf_dir):
     long, cell = fused(spark, sf_dir)
     return fusion.wide_table(cell, long, "null").select("text", "scores")
@@ -341,7 +341,7 @@ def narrow_wide(spark, sf_dir):
 
 @query("fusion_conflicts", f"""
 WITH {LONG} SELECT text, topic_id, list_sort(list(DISTINCT score)) AS scores, list_sort(list(DISTINCT source)) AS sources, count(*) AS n_rows, arg_min(raw, [-length(raw), pos]) AS raw
-FROM long GROUP BY 1, 2 HAVING count(DISTINCT score) > 1""")
+FROM long GROUP BY 1, 2 HAVING count(DISTINCT score) > 1""", scores="INTEGER[]")
 def fusion_conflicts(spark, sf_dir):
     return fusion.conflicts(long_table(spark, sf_dir))
 

@@ -12,15 +12,19 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``; ``sql`` is its oracle where SQL can express it."""
+def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Register a query under ``name``; ``sql`` is its oracle where SQL can express it.
+
+    ``types`` casts columns of the oracle to the query's types.
+    """
 
     def put(f: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if types else sql
         return f
 
     return put

@@ -53,7 +53,7 @@ def multi_tag_groups(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("n")).where("n > 1")
 
 
-@query("conditional_profile", "SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS large, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM events")
+@query("conditional_profile", "SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (value > 50) AS large, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM events", errors="BIGINT")
 def conditional_profile(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("value") > 50).alias("large"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
@@ -233,7 +233,7 @@ def rejected_events(spark, sf_dir):
     return refused.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("sequence_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events")
+@query("sequence_numbers", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq FROM events", seq="INTEGER")
 def sequence_numbers(spark, sf_dir):
     by = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, sf_dir, "events").select("event_id", (F.row_number().over(by) - 1).alias("seq"))
@@ -279,7 +279,7 @@ def document_ids(spark, sf_dir):
 
 @query("vector_topk", """
 WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q, embeddings)
-SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""", rank="INTEGER")
 def vector_topk(spark, sf_dir):
     """The ten best of all vectors for each query, which are the rows whose id 100 divides: top-k is the feature."""
     e = table(spark, sf_dir, "embeddings")
@@ -289,7 +289,7 @@ def vector_topk(spark, sf_dir):
 
 @query("vector_topk_source", """
 WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e USING (label))
-SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""", rank="INTEGER")
 def vector_topk_source(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("query_vector"))
@@ -312,7 +312,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 """
 
 
-@query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25")
+@query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25", rank="INTEGER")
 def bm25_topk(spark, sf_dir):
     return _search(spark, sf_dir)[2].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
@@ -320,7 +320,7 @@ def bm25_topk(spark, sf_dir):
 @query("rrf_fusion", f"""
 WITH {BM25}, a AS (SELECT query_id, chunk_id, rank FROM r WHERE rank <= 25), b AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank_b FROM a),
 u AS (SELECT query_id, chunk_id, 0.5 / (60 + rank) AS s FROM a UNION ALL SELECT query_id, chunk_id, 0.5 / (60 + rank_b) FROM b), g AS (SELECT query_id, chunk_id, round(sum(s), 12) AS score FROM u GROUP BY 1, 2)
-SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g""")
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g""", rank="INTEGER")
 def rrf_fusion(spark, sf_dir):
     a = _search(spark, sf_dir)[2].select("query_id", "chunk_id", "rank")
     b = a.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")))
@@ -357,7 +357,7 @@ WITH {BM25}, k AS (SELECT * FROM r WHERE rank <= 10), m AS (SELECT query_id, ran
 g AS (SELECT query_id, sum(rel) AS f, count(*) AS n, min(rank) FILTER (rel = 1) AS first, sum(rel * ln(2) / ln(rank + 1)) AS dcg FROM m GROUP BY 1),
 tot AS (SELECT item_id AS query_id, count(*) AS total FROM benchmark, documents WHERE (doc_id + item_id) % 4 = 0 GROUP BY 1)
 SELECT query_id, CASE WHEN f > 0 THEN 1.0 ELSE 0.0 END AS hit, round(coalesce(1 / first, 0), 6) AS mrr, round(f / n, 6) AS precision, round(f / total, 6) AS recall,
-  round(CASE WHEN f > 0 THEN dcg / list_sum(list_transform(range(1, CAST(f AS INT) + 1), lambda i: ln(2) / ln(i + 1))) ELSE 0 END, 6) AS ndcg FROM g JOIN tot USING (query_id)""")
+  round(CASE WHEN f > 0 THEN dcg / list_sum(list_transform(range(1, CAST(f AS INT) + 1), lambda i: ln(2) / ln(i + 1))) ELSE 0 END, 6) AS ndcg FROM g JOIN tot USING (query_id)""", hit="DOUBLE")
 def ir_measures_oracle(spark, sf_dir):
     """The measures on a rule for relevance that SQL can repeat."""
     queries, chunks, ranked = _search(spark, sf_dir)
@@ -372,7 +372,7 @@ def ir_measures_oracle(spark, sf_dir):
 WITH {BM25}, e AS (SELECT min(doc_id) AS a, max(doc_id) AS z FROM documents), k AS (SELECT * FROM r WHERE rank <= 25),
 u AS (SELECT DISTINCT query_id, a AS chunk_id, 0 AS pin, 0 AS place FROM k, e UNION ALL SELECT DISTINCT query_id, z, 0, 1 FROM k, e UNION ALL SELECT query_id, chunk_id, 1, rank FROM k),
 o AS (SELECT u.*, row_number() OVER (PARTITION BY query_id, text ORDER BY pin, place) AS n FROM u JOIN documents ON chunk_id = doc_id), p AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY pin, place) AS rank FROM o WHERE n = 1)
-SELECT * FROM p WHERE rank <= 15""")
+SELECT * FROM p WHERE rank <= 15""", rank="INTEGER")
 def pinned_context(spark, sf_dir):
     _, chunks, ranked = _search(spark, sf_dir)
     return retrieval.pinned(ranked, chunks, 15)
@@ -398,7 +398,7 @@ def formatted_cells(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(interval_cell(F.avg(d), F.min(d), F.max(d)).alias("cell"), N.seconds_text(F.sum("l_quantity")).alias("seconds"))
 
 
-@query("top_k_per_group", "SELECT l_returnflag, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 10")
+@query("top_k_per_group", "SELECT l_returnflag, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS rank FROM lineitem) WHERE rank <= 10", rank="INTEGER")
 def top_k_per_group(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"))
     return retrieval.top_k(li, 10, "l_returnflag").select("l_returnflag", "l_orderkey", "l_linenumber", "rank")
