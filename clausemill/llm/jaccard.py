@@ -4,12 +4,13 @@ A document is the set of its distinct shingles, as 64-bit hashes. Documents with
 two sets reach the similarity, they share a token among the first ``n - ceil(t * n) + 1`` of each, under any
 total order of the tokens. Three orders are used, all with rare tokens first: by exact document frequency;
 and twice by its power of two with differently mixed hashes inside. A pair is a candidate only if it shares a
-prefix token under each of them. The first order also gives the places of the shared token, which with the
-sizes bounds the overlap. Tokens of one document only never make a pair, so only repeated ones are kept.
+prefix token under each of them. The orders also give the places of the shared token, which with the
+sizes bound the overlap; so does, within groups that stay open, a bitmap of token parities. Tokens of one document only never make a pair, so only repeated ones are kept.
 
-1. One pass makes (document, set size, node) and the tokens that are frequent within a partition. Tokens whose
-   frequent parts sum to a fixed share of all documents are hot; their number has a bound that does not grow
-   with the input (twice the mean set size over that share), so they are broadcast.
+1. One pass makes (document, set size, node) and the tokens that are frequent within a batch (in 8 documents
+   or more). Tokens whose frequent parts sum to half of ``hot_share`` of all documents are hot; their number has
+   a bound that does not grow with the input (twice the mean set size over that share), so they are broadcast.
+   That changes where a token is counted and its place among the frequent ones, never a result.
 2. A second pass sends every other token to a bucket, as packed arrays. A bucket finds the tokens of two or
    more nodes and sends them with their frequency to the nodes' buckets. Hot tokens go to the nodes directly,
    with their frequency, so no bucket gathers a hot token.
@@ -33,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.llm.columns import let
 from clausemill.llm.components import components
 from clausemill.llm.store import Store
 
@@ -213,7 +215,9 @@ def _repeated(buckets: int):
     return run
 
 
-_NODE = "node long, n long, unique long, tokens array<long>, prefix array<long>, prefix2 array<long>, prefix3 array<long>"
+_NODE = "node long, n long, unique long, tokens array<long>, prefix array<long>, prefix2 array<long>, prefix3 array<long>, bits array<long>"
+#: 64-bit words of a node's bitmap: the parity of its repeated tokens in each of their bits.
+_BITS = 8
 
 
 def _nodes(percent: int):
@@ -227,7 +231,9 @@ def _nodes(percent: int):
         fresh[1:] = (nodes[1:] != nodes[:-1]) | (tokens[1:] != tokens[:-1])
         nodes, sizes, tokens, dfs = nodes[fresh], sizes[fresh], tokens[fresh], dfs[fresh]
         first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.empty(0, dtype=np.int64)
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
+        bit = mixed(tokens, 31) % np.uint64(64 * _BITS)
+        word, bit = (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
         level = np.floor(np.log2(np.maximum(dfs, 1))).astype(np.int64)
         mixes = [mixed(tokens, 11), mixed(tokens, 23)]
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(nodes)], strict=True):
@@ -237,23 +243,36 @@ def _nodes(percent: int):
             if reach > 0:
                 own = tokens[a:b].view(np.int64)
                 others = [own[np.lexsort((m[a:b], level[a:b]))[:reach]] for m in mixes]
-                for column, value in zip(out, (int(nodes[a]), n, unique, own, own[:reach], *others), strict=True):
+                bits = np.zeros(_BITS, dtype=np.uint64)
+                np.bitwise_xor.at(bits, word[a:b], bit[a:b])
+                for column, value in zip(out, (int(nodes[a]), n, unique, own, own[:reach], *others, bits.view(np.int64)), strict=True):
                     column.append(value)
-        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 4
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 5
         names = [x.split()[0] for x in _NODE.split(", ")]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
+def _reaches(percent: int, prefix: str) -> Column:
+    """Whether the first token that a and b share under an order leaves room for enough overlap; false without one."""
+    mine, theirs = F.col(f"{prefix}_a"), F.col(f"{prefix}_b")
+
+    def bound(x: Column) -> Column:
+        left = [F.col(f"n_{s}") - F.col(f"unique_{s}") - F.array_position(p, x) for s, p in (("a", mine), ("b", theirs))]
+        return (100 + percent) * (1 + F.least(*left)) >= percent * (F.col("n_a") + F.col("n_b"))
+
+    return F.coalesce(let(F.get(F.array_intersect(mine, theirs), F.lit(0)), bound), F.lit(False))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The candidates (a, b) that share a prefix token under the other orders too and reach the similarity."""
-    side = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("prefix2", "prefix3")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.arrays_overlap("prefix2_a", "prefix2_b") & F.arrays_overlap("prefix3_a", "prefix3_b")).select("a", "b")
-    full = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    measured = both.join(full("a"), "a").join(full("b"), "b").select("a", "b", "n_a", "n_b", shared.alias("shared"))
+    """The candidates (a, b) that pass the prefix and place filters of the other orders too and reach the similarity."""
+    side = lambda x, *own: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in own])
+    filters = ("n", "unique", "prefix2", "prefix3")
+    both = pairs.join(side("a", *filters), "a").join(side("b", *filters), "b")
+    both = both.where(_reaches(percent, "prefix2") & _reaches(percent, "prefix3")).select("a", "b", "n_a", "n_b")
+    measured = both.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    measured = measured.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("tokens_a", "tokens_b")).alias("shared"))
     return measured.where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
@@ -262,6 +281,12 @@ def _possible(percent: int) -> str:
     return f"(100 + {percent}) * (1 + least(x.n - 1 - x.at, y.n - 1 - y.at)) >= {percent} * (x.n + y.n) AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
 
 
+def _room(percent: int) -> str:
+    """Whether the bitmaps leave room for enough overlap: bits that differ are tokens of one side, and so are unique tokens."""
+    differ = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(_BITS))
+    return f"(100 + {percent}) * (x.n - x.unique + y.n - y.unique - ({differ})) >= 2 * {percent} * (x.n + y.n)"
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -296,32 +321,44 @@ def near_duplicates(
         nodes.select("node", "n", "unique", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", (F.col("unique") + F.col("pos")).alias("at")),
         "postings",
     )
-    links, roots = None, None
+    roots = None
     for k in range(len(pivots) + 1):
         now = postings.withColumn("root", F.col("node")) if roots is None else _rooted(postings, roots)
         groups = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
         open_ = now.join(groups, "token", "left_semi")
+        first = F.lit(True)
+        if k:  # few groups are left open: bitmaps leave out most other pairs, and each comes from its first shared token alone
+            open_ = open_.join(nodes.select("node", "unique", "prefix", "bits"), "node").withColumn("before", F.slice("prefix", 1, (F.col("at") - F.col("unique")).cast("int")))
+            first = F.expr(_room(percent)) & ~F.arrays_overlap("x.before", "y.before")
+        x, y, apart = open_.alias("x"), open_.alias("y"), F.expr("x.root < y.root")
         if k < len(pivots):  # the same nodes come first in every group, so few different ones are drawn
             order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)), "node")
-            x, y = open_.alias("x"), open_.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= pivots[k]).alias("y")
+            y = open_.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= pivots[k]).alias("y")
             apart = F.expr("x.root != y.root")
-        else:
-            x, y = open_.alias("x"), open_.alias("y")
-            apart = F.expr("x.root < y.root")
-        tried = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & F.expr(_possible(percent)))
+        tried = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & F.expr(_possible(percent)) & first)
         pairs = tried.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        found = _verified(pairs, nodes, percent)
-        if roots is not None:  # components so far are links to their roots
-            found = found.union(roots.where("node != root").select("node", "root"))
-        links = store.save(found, f"links-{k}")
-        roots = components(links, store, f"round-{k}")
+        links = store.save(_verified(pairs, nodes, percent), f"links-{k}")
+        roots = store.save(_contracted(links, roots, store, k), f"roots-{k}")
     least = members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = store.save(least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    store.keep("profile", "rooted")
     out = members.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _contracted(links: DataFrame, roots: DataFrame | None, store: Store, k: int) -> DataFrame:
+    """(node, root) after new links: only the links between the components so far are followed."""
+    if roots is None:
+        return components(links, store, f"round-{k}")
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    between = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).distinct()
+    merged = components(between, store, f"round-{k}")
+    moved = roots.join(merged.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return moved.union(merged.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
 def _rooted(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
