@@ -50,7 +50,7 @@ BUCKET_TOKENS = 2_000_000
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = found
         return found

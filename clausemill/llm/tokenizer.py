@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import regex
@@ -32,21 +33,26 @@ def _byte_of_char() -> dict[str, int]:
 
 class Coder:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.pattern = regex.compile(PRETOKEN)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            content = json.load(f)
+        special = [re.escape(t["content"]) for t in content.get("added_tokens") or ()]
         self.special = re.compile("|".join(special)) if special else None
-        self.fast = self._fast(path)
+        self.fast = self._fast(content["model"])
+
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which is loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     @staticmethod
-    def _fast(path: str):
+    def _fast(model: dict):
         """The second coder, or None where the file's merges are not in the order of their ids."""
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
         vocab, alphabet = model["vocab"], _byte_of_char()
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or len(merged) + 256 > len(vocab):
