@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clausemill.functions import text as T
 
 
+#: The least and the most characters of a gram.
+LOW, HIGH = 3, 5
+
+
 def padded_words(text: Column) -> Column:
     """The lower-case words of a text, each with a blank on both sides."""
     return F.transform(F.array_remove(F.split(F.lower(T.collapse(text)), " "), ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
 
-def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
+def char_grams(text: Column, low: int = LOW, high: int = HIGH) -> Column:
     """All character n-grams inside word boundaries; a padded word shorter than the least n counts once."""
 
     def of(w: Column) -> Column:
@@ -28,41 +38,249 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded_words(text), of))
 
 
-def term_counts(df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(id, gram, tf) of every row."""
-    return df.select(F.col(row_id).alias("id"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-
-
-def idf(counts: DataFrame, n: int, least: int = 2) -> DataFrame:
-    """(gram, idf) of grams in ``least`` rows or more: ln((1 + n) / (1 + df)) + 1."""
-    df = counts.groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= least)
-    return df.select("gram", (F.log((F.lit(1.0 + n)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-
-
-def unit_vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
-    """(id, gram, w): term weights scaled so that the squares of a row sum to 1."""
-    raw = counts.join(weights, "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "gram", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df: int = 2) -> DataFrame:
-    """For each test row the most similar train row by cosine: (id, best_id, similarity); 0 and null without a common gram.
-
-    Weights are fitted on train alone. The join is on grams, both sides summed per row before; ties go to the
-    least train id. The test side is the query set: its grams bound what is read of the inverted lists.
+def _gram_hashes(word: str) -> np.ndarray:
+    """The grams of ``char_grams`` of one word without its blanks, as 64-bit hashes."""
+    w = f" {word} "
+    found = [w[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(w) - n + 1)]
+    return np.fromiter((xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in found), dtype=np.uint64, count=len(found))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> np.ndarray:
+        found = _gram_hashes(word)
+        if len(self) >= 100_000:
+            self.clear()
+        self[word] = found
+        return found
+
+
+_HASHES = _Hashes()
+
+
+def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram number, tf) of some texts' grams, by row, and the sorted gram hashes that the numbers mean."""
+    local: dict[str, int] = {}
+    rows, words = [], []
+    for i, t in enumerate(texts):
+        own = [local.setdefault(w, len(local)) for w in t.split(" ") if w]
+        rows.append(len(own))
+        words += own
+    if not words:
+        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),)
+    grams = [_HASHES[w] for w in local]
+    sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+    begins = np.cumsum(sizes) - sizes
+    hashes, numbers = np.unique(np.concatenate(grams), return_inverse=True)
+    word = np.array(words, dtype=np.int64)
+    n = sizes[word]
+    at = np.repeat(begins[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    key = np.repeat(np.repeat(np.arange(len(texts)), rows), n) * len(hashes) + numbers[at]
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first] // len(hashes), key[first] % len(hashes), np.diff(np.append(first, len(key))), hashes
+
+
+def _chunks(texts: pa.Array, chars: int = 150_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of about so many characters, each with the place of its first."""
+    first, held, own = 0, 0, []
+    for i, value in enumerate(texts):
+        own.append(value.as_py())
+        held += len(own[-1])
+        if held >= chars or len(own) >= rows or i + 1 == len(texts):
+            yield first, own
+            first, held, own = i + 1, 0, []
+
+
+def _counted(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(hashes, return_inverse=True)
+    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """(gram, df) over a task's texts; a gram comes again only where the task has more than ``most``."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], names=["gram", "df"])
+
+    for batch in batches:
+        for _, texts in _chunks(batch.column(0)):
+            _, gram, _, hashes = _cells(texts)
+            parts.append((hashes, np.bincount(gram, minlength=len(hashes))))
+            held += len(hashes)
+            if held >= most:
+                parts = [_counted(*map(np.concatenate, zip(*parts, strict=True)))]
+                held = len(parts[0][0])
+                if held >= most / 2:
+                    yield told()
+                    parts, held = [], 0
+    if parts:
+        parts = [_counted(*map(np.concatenate, zip(*parts, strict=True)))]
+        yield told()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            grams, dfs = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for i in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array([grams], pa.binary()), pa.array([dfs], pa.binary())], names=["grams", "dfs"])
+
+
+def _weight_blocks(train: DataFrame, n: int, least: int, block_grams: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted grams of ``least`` rows or more with ln((1 + n) / (1 + df)) + 1, in blocks of bounded size."""
+    df = train.select("text").mapInArrow(_document_counts, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        grams, dfs = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(grams)
+        return grams[order], np.log((1.0 + n) / (1.0 + dfs[order])) + 1.0
+
+    for row in df.mapInArrow(_packed, "grams binary, dfs binary").toLocalIterator():
+        parts.append((np.frombuffer(row.grams, dtype=np.uint64), np.frombuffer(row.dfs, dtype=np.int64)))
+        if sum(len(g) for g, _ in parts) >= block_grams:
+            yield block()
+            parts.clear()
+    if parts:
+        yield block()
+
+
+def _found(grams: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each asked gram in the sorted ones, and whether it is there."""
+    if not len(grams):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+    return at, grams[at] == asked
+
+
+class _Items:
+    """The unit vectors of the test texts: sorted grams, and for each its weight in train and its items with theirs."""
+
+    def __init__(self, texts: list[list[str]]):
+        self.n = len(texts)
+        cells = [_cells([" ".join(own)]) for own in texts]
+        self.item = np.repeat(np.arange(self.n), [len(c[1]) for c in cells])
+        self.gram = np.concatenate([np.empty(0, dtype=np.uint64), *[c[3][c[1]] for c in cells]])
+        self.tf = np.concatenate([np.empty(0), *[c[2].astype(float) for c in cells]])
+        self.idf = np.zeros(len(self.gram))
+
+    def weigh(self, grams: np.ndarray, weights: np.ndarray) -> None:
+        at, there = _found(grams, self.gram)
+        self.idf[there] = weights[at[there]]
+
+    def close(self) -> None:
+        w = self.tf * self.idf
+        norm = np.sqrt(np.bincount(self.item, weights=w * w, minlength=self.n))
+        keep = np.flatnonzero(self.idf > 0)
+        keep = keep[np.argsort(self.gram[keep], kind="stable")]
+        self.item, gram, self.w = self.item[keep], self.gram[keep], (w[keep] / norm[self.item[keep]])
+        self.gram, self.begin, self.size = np.unique(gram, return_index=True, return_counts=True)
+        self.idf = self.idf[keep][self.begin]
+        del self.tf
+
+    def dots(self, row: np.ndarray, gram: np.ndarray, tf: np.ndarray, hashes: np.ndarray, rows: int, most: int = 2_000_000) -> np.ndarray:
+        """The products of rows and items, before the rows' norms. At most about ``most`` terms are held at a time."""
+        out = np.zeros(rows * self.n)
+        at, there = _found(self.gram, hashes)
+        held = there[gram]
+        row, at, tf = row[held], at[gram[held]], tf[held]
+        ends = np.cumsum(self.size[at])
+        a = 0
+        while a < len(row):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+            n = self.size[at[a:b]]
+            place = np.repeat(self.begin[at[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            values = np.repeat(tf[a:b] * self.idf[at[a:b]], n) * self.w[place]
+            out += np.bincount(np.repeat(row[a:b] * self.n, n) + self.item[place], weights=values, minlength=len(out))
+            a = b
+        return out.reshape(rows, self.n)
+
+
+def _squares(row: np.ndarray, gram: np.ndarray, tf: np.ndarray, hashes: np.ndarray, rows: int, block) -> np.ndarray:
+    """The part of the rows' squared norms that a block of weights makes up."""
+    at, there = _found(block[0], hashes)
+    idf = np.where(there, block[1][at], 0.0) if len(block[0]) else np.zeros(len(hashes))
+    return np.bincount(row, weights=(tf * idf[gram]) ** 2, minlength=rows)
+
+
+def _norms(block):
+    """Adds a block's part to the column ``squares``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [_squares(*_cells(texts), len(texts), block.value) for _, texts in _chunks(batch.column(2))]
+            squares = batch.column(3).to_numpy() + np.concatenate([np.empty(0), *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(squares)], names=list(batch.schema.names))
+
+    return run
+
+
+def _best(block, items):
+    """For each item the most similar of a task's rows, with the last block's part of the norms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = items.value
+        best: dict[int, tuple] = {}
+        for batch in batches:
+            squares = batch.column(3).to_numpy()
+            for first, texts in _chunks(batch.column(2)):
+                cells = _cells(texts)
+                norm = np.sqrt(squares[first : first + len(texts)] + _squares(*cells, len(texts), block.value))
+                scores = asked.dots(*cells, len(texts)) / np.where(norm > 0, norm, 1.0)[:, None]
+                rounded = np.round(scores, 9)
+                top = rounded.max(axis=0)
+                for k in np.flatnonzero(scores.max(axis=0) > 0).tolist():
+                    if k in best and top[k] < best[k][0][0]:
+                        continue
+                    for j in np.flatnonzero(rounded[:, k] == top[k]).tolist():
+                        if scores[j, k] > 0:
+                            row_id, part = batch.column(0)[first + j].as_py(), batch.column(1)[first + j].as_py()
+                            order = (float(top[k]), row_id is not None, -(row_id or 0), -part)
+                            if k not in best or order > best[k][0]:
+                                best[k] = (order, row_id, part, float(scores[j, k]))
+        found = [(k, *v[1:]) for k, v in best.items()]
+        columns = list(zip(*found, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["item", "best_id", "best_part", "similarity"])
+
+    return run
+
+
+def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df: int = 2, part: str | None = None, block_grams: int = 8_000_000) -> DataFrame:
+    """For each test id the most similar train row by cosine: (id, best_id, similarity); 0 and null without a common gram.
+
+    Weights are fitted on train alone. Every train row is held against every test text; ties go to the least
+    train id. With ``part``, a train row is known by (row_id, part), ``best_part`` is told too, and ties go to
+    the least pair. Train rows that share an id are texts of their own; test rows that share one are one text.
+
+    The test side is the query set, which is broadcast with its inverted lists, so no list of train rows is
+    shuffled: a task scores its own rows and tells its best for each test text. What is shuffled are counts of
+    grams, summed per task before. The weights are broadcast in blocks of ``block_grams``, one pass over train
+    for each, in which the squared norms of the train rows are summed.
     """
-    train_counts, n = term_counts(train, row_id, text), train.count()
-    weights = idf(train_counts, n, least_df)
-    test_counts = term_counts(test, row_id, text)
-    mine = unit_vectors(test_counts, weights)
-    theirs = unit_vectors(train_counts, weights)
-    asked = mine.select("gram").distinct()
-    lists = theirs.join(asked, "gram", "left_semi").select("gram", F.col("id").alias("best_id"), F.col("w").alias("w2"))
-    scores = mine.join(lists, "gram").groupBy("id", "best_id").agg(F.sum(F.col("w") * F.col("w2")).alias("similarity"))
-    top = scores.groupBy("id").agg(F.max_by(F.struct("best_id", "similarity"), F.struct(F.round("similarity", 9), -F.col("best_id"))).alias("t"))
-    ids = test.select(F.col(row_id).alias("id")).distinct()
-    return ids.join(top, "id", "left").select("id", F.col("t.best_id").alias("best_id"), F.coalesce("t.similarity", F.lit(0.0)).alias("similarity"))
+    context = train.sparkSession.sparkContext
+    texts: dict = {}
+    for r in test.select(F.col(row_id).alias("id"), F.lower(T.collapse(F.col(text))).alias("text")).toLocalIterator():
+        texts.setdefault(r.id, []).append(r.text)
+    items = _Items(list(texts.values()))
+    place = F.lit(0) if part is None else F.col(part)
+    rows = train.select(F.col(row_id).cast("long").alias("id"), place.cast("long").alias("part"), F.lower(T.collapse(F.col(text))).alias("text"), F.lit(0.0).alias("squares"))
+    blocks = []
+    for block in _weight_blocks(rows, train.count(), least_df, block_grams):
+        items.weigh(*block)
+        blocks.append(context.broadcast(block))
+    items.close()
+    for block in blocks[:-1]:
+        rows = rows.mapInArrow(_norms(block), rows.schema)
+    last = blocks[-1] if blocks else context.broadcast((np.empty(0, dtype=np.uint64), np.empty(0)))
+    scores = rows.mapInArrow(_best(last, context.broadcast(items)), "item long, best_id long, best_part long, similarity double")
+    order = F.struct(F.round("similarity", 9), -F.col("best_id"), -F.col("best_part"))
+    top = scores.groupBy("item").agg(F.max_by(F.struct("best_id", "best_part", "similarity"), order).alias("t"))
+    kind = StructType([StructField("item", LongType()), StructField("id", test.schema[row_id].dataType)])
+    ids = train.sparkSession.createDataFrame(list(enumerate(texts)), kind)
+    told = [F.col("t.best_id").alias("best_id")] + ([] if part is None else [F.col("t.best_part").alias("best_part")])
+    return ids.join(top, "item", "left").select("id", *told, F.coalesce("t.similarity", F.lit(0.0)).alias("similarity"))
 
 
 def threshold_flags(similarity: Column, thresholds: tuple[float, ...] = (0.80, 0.90, 0.95)) -> list[Column]:

@@ -304,11 +304,11 @@ def benchmark_containment(spark, sf_dir):
 
 @query("tfidf_nearest")
 def tfidf_nearest(spark, sf_dir):
-    """Contamination of benchmark items by conversation turns: top-1 cosine of character n-grams. Tests hold it against brute force."""
-    train = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+    """Contamination of benchmark items by paragraphs (lines) of all documents: top-1 cosine of character n-grams. Tests hold it against brute force."""
+    train = D.paragraphs(table(spark, sf_dir, "documents"), separator=r"\n").withColumnRenamed("doc_id", "row_id")
     test = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
-    near = similarity.nearest(train, test, "row_id", "text")
-    return near.select("id", "best_id", F.round("similarity", 6).alias("similarity"), *similarity.threshold_flags(F.col("similarity")))
+    near = similarity.nearest(train, test, "row_id", "text", part="paragraph_id").withColumnRenamed("best_part", "paragraph_id")
+    return near.select("id", "best_id", "paragraph_id", F.round("similarity", 6).alias("similarity"), *similarity.threshold_flags(F.col("similarity")))
 
 
 @query("contamination_shares")

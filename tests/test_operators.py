@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import numeric as N
 from clausemill.functions import text as T
 from clausemill.operators import documents, paired, relational, resample, retrieval, scoring, similarity, splits
+from clausemill.plans.catalog import QUERIES
 from clausemill.schemas import assert_no_violations, first_column, require
 
 QUIET = dict(deadline=None, suppress_health_check=list(HealthCheck))
@@ -198,6 +199,29 @@ def test_nearest_by_grams(spark):
         assert abs(got[i].similarity - best[0]) < 1e-8 and (not best[0] or got[i].best_id == -best[1])
 
 
+def test_nearest_by_parts_in_blocks(spark):
+    train = [(5, 1, "the quick brown fox"), (5, 0, "the quick brown fox"), (None, 0, "the quick brown fox"), (2, 3, "lazy dogs sleep"), (9, 0, "lazy dogs sleep all day"), (7, 0, None)]
+    test = [(None, "the quick brown fox"), (1, "lazy dogs sleep"), (2, "99999"), (3, None)]
+    frames = spark.createDataFrame(train, "row_id long, part long, text string").repartition(3), spark.createDataFrame(test, "row_id long, text string")
+    for block_grams in (1, 10**6):
+        got = {r.id: (r.best_id, r.best_part, round(r.similarity, 9)) for r in similarity.nearest(*frames, "row_id", "text", part="part", block_grams=block_grams).collect()}
+        assert got == {None: (5, 0, 1.0), 1: (2, 3, 1.0), 2: (None, None, 0.0), 3: (None, None, 0.0)}
+
+
+def test_contamination_reads_all_documents(spark, tmp_path):
+    r = random.Random(3)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    items = [words(30) for _ in range(3)]
+    docs = [(i, words(40) + "\n\n" + words(20)) for i in range(20)] + [(50, words(300) + "\n" + items[1] + "\n" + words(300)), (51, words(9) + "\n" + items[1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, "user", items[0])], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.id: x for x in QUERIES["tfidf_nearest"](spark, str(tmp_path)).collect()}
+    assert (got[1].best_id, got[1].paragraph_id, got[1].similarity, got[1].at_least_95) == (50, 1, 1.0, True)
+    assert not got[0].at_least_80 and not got[2].at_least_80
+    assert QUERIES["contamination_shares"](spark, str(tmp_path)).first().share_at_least_95 == pytest.approx(1 / 3)
+
+
 def test_merged_changes(spark):
     rows = [
         (1, 0, "The service may now collect device location data", "fair", "added"), (1, 1, "The service MAY now collect device location data!", "harmful", "modified"),
