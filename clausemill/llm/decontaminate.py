@@ -14,7 +14,9 @@ turn, so a benchmark of any size is looked up whole.
 
 Defined results for odd input: a null text has no words; an item without words matches nothing; an item with
 fewer words than the window must occur whole; equal rows give equal results, row by row; items that share an
-id count once; empty tables give no matches; other columns pass through untouched, but for the names added.
+id are texts of their own under one id; items with a null id are windows like all others, and their matches
+have a null item_id (the query counts all of them as one item, which adds nothing to the digest of ids); empty
+tables give no matches; other columns pass through untouched, but for the names added.
 """
 
 from __future__ import annotations
@@ -42,19 +44,20 @@ def split_words(text: str | None) -> list[bytes]:
 class Block:
     """A block of the benchmark: its vocabulary and its windows, the windows grouped by length and content."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int):
+        self.ids = [item for item, _ in items]
         self.vocabulary: dict[bytes, int] = {}
         for _, words in items:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.least = min([window, *(len(w) for _, w in items if w)], default=window)
         by_size: dict[int, dict[tuple, list]] = {}
-        for item, words in items:
+        for item, (_, words) in enumerate(items):
             ids = [self.vocabulary[w] for w in words]
             size = min(window, len(ids))
             for s in range(len(ids) - size + 1 if size else 0):
                 by_size.setdefault(size, {}).setdefault(tuple(ids[s : s + size]), []).append((item, s))
-        #: For each length: the distinct windows, and where each occurs as ranges of (item, start).
+        #: For each length: the distinct windows, and where each occurs as ranges of (number of the item, start).
         self.windows = []
         for size, found in sorted(by_size.items()):
             bounds = np.cumsum([0, *map(len, found.values())])
@@ -104,9 +107,9 @@ def search(text: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np
     return (bound(False), bound(True)) if len(order) else (np.zeros(len(windows), dtype=np.int64),) * 2
 
 
-def shard_matches(block: Block, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+def shard_matches(block: Block, docs: list[np.ndarray]) -> list[list[tuple[int | None, int, int, int]]]:
     """For each document of a shard its longest matches: (item, start in the item, start in the document, words)."""
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in docs]
+    out: list[list[tuple[int | None, int, int, int]]] = [[] for _ in docs]
     depth = max((w[0] for w in block.windows), default=0)
     if not depth:
         return out
@@ -138,11 +141,11 @@ def shard_matches(block: Block, docs: list[np.ndarray]) -> list[list[tuple[int,
     last = np.append(first[1:], len(item)) - 1
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         d = int(doc[a])
-        out[d].append((int(item[a]), int(start[a]), int(place[a] - begins[d]), int(start[b] - start[a] + size[b])))
+        out[d].append((block.ids[item[a]], int(start[a]), int(place[a] - begins[d]), int(start[b] - start[a] + size[b])))
     return out
 
 
-def hit_words(matches: list[tuple[int, int, int, int]]) -> int:
+def hit_words(matches: list[tuple[int | None, int, int, int]]) -> int:
     """Words inside any match."""
     total = end = 0
     for start, size in sorted((m[2], m[3]) for m in matches):
@@ -152,7 +155,7 @@ def hit_words(matches: list[tuple[int, int, int, int]]) -> int:
 
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
-    items: list[tuple[int, list[bytes]]] = []
+    items: list[tuple[int | None, list[bytes]]] = []
     held = 0
     for row in benchmark.select(F.col(item_id).cast("long"), F.col(text)).toLocalIterator():
         words = split_words(row[1])
@@ -177,7 +180,6 @@ def find_matches(
 ) -> DataFrame:
     """The documents with ``n_words``, ``n_hit`` (words inside a match) and ``matches`` (the longest ones)."""
     context = docs.sparkSession.sparkContext
-    benchmark = benchmark.where(F.col(item_id).isNotNull())
     columns = [c for c in docs.columns if c not in ("n_words", "n_hit", "matches")]
     found = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast(_MATCH_SQL).alias("matches"))
     schema = found.schema

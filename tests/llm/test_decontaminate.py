@@ -3,6 +3,9 @@ import random
 import pytest
 
 from clausemill.llm.decontaminate import decontaminate, find_matches, split_words
+from clausemill.llm.oracles import ORACLES
+from clausemill.llm.query_decontaminate import op8_decontamination
+from tests.oracle import compare, connect
 
 DOC = "doc_id long, text string, n_words string, lang string"
 ITEM = "item_id long, text string"
@@ -54,3 +57,16 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], ITEM)
     assert find_matches(docs, items).first().n_hit == 0
     assert decontaminate(docs.limit(0), spark.createDataFrame([(1, "a")], ITEM)).collect() == []
+
+
+def test_items_without_an_id(spark, tmp_path):
+    text = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    items = [(1, text(1, 12)), (None, text(2, 12)), (None, "x y " + text(3, 14)), (None, None), (1, text(4, 11)), (None, text(1, 12))]
+    docs = [(1, "a " + text(2, 12) + " b"), (2, text(3, 14) + " " + text(2, 11)), (3, text(1, 12)), (4, text(4, 11) + " " + text(3, 10)), (5, "none " + text(3, 9)), (6, None)]
+    spark.createDataFrame(items, ITEM).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in op8_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (12, 1, True), 2: (25, 1, True), 3: (12, 2, True), 4: (21, 2, True), 5: (0, 0, False), 6: (0, 0, False)}
+    assert compare(op8_decontamination(spark, str(tmp_path)), ORACLES["op8_decontamination"], connect(str(tmp_path))) is None
+    found = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)).where("doc_id = 2").first()
+    assert sorted((tuple(m) for m in found.matches), key=str) == [(None, 0, 14, 11), (None, 2, 0, 14)]

@@ -79,3 +79,9 @@ def test_nulls_and_extra_columns(spark, tmp_path):
         docs = spark.createDataFrame(stage_(spark, docs, str(tmp_path)).collect(), SCHEMA)
     assert docs.columns == corpus_pipeline.COLUMNS and docs.where("doc_id IS NULL").count() == 0 and docs.count() > 30
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 30
+
+
+def test_an_item_without_an_id_is_a_leak(spark, tmp_path):
+    rows, items = corpus(8)
+    spark.createDataFrame([(None, items[0]), *list(enumerate(items))[1:]], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r[0] for r in rows} - {r[0] for r in stage(spark, tmp_path, 3, [r for r in rows if r[0] >= 120])} >= {130, 131, 132, 133}
