@@ -49,7 +49,7 @@ def weighted_f1(cells: DataFrame, *keys: str) -> DataFrame:
     return c.groupBy(*keys, "replicate").agg(F.avg(f1).alias("macro_f1"), ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f1"))
 
 
-def bootstrap_interval(cells: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_interval(cells: DataFrame, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """metric, point, mean, ci_low, ci_high of macro and micro F1: percentiles 2.5 and 97.5 over the replicates."""
     point = weighted_f1(cells.withColumn("replicate", F.lit(-1)).withColumn("weight", F.lit(1)))
     draws = weighted_f1(replicated(cells, replicates, seed))
@@ -59,7 +59,7 @@ def bootstrap_interval(cells: DataFrame, replicates: int = 200, seed: int = 42)
     return long(point).select("metric", F.col("value").alias("point")).join(spread, "metric").select("metric", "point", "mean", F.col("b")[0].alias("ci_low"), F.col("b")[1].alias("ci_high"))
 
 
-def paired_delta(cells: DataFrame, replicates: int = 200, seed: int = 42, metric: str = "macro_f1") -> DataFrame:
+def paired_delta(cells: DataFrame, replicates: int = 1000, seed: int = 42, metric: str = "macro_f1") -> DataFrame:
     """Difference of two models' metric (columns ``prediction_a`` and ``prediction_b``), on the same replicates.
 
     p is the share of replicates whose difference, centred, is at least as far from 0 as the observed one.

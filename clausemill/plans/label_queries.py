@@ -159,13 +159,13 @@ def mcnemar_counts(spark, sf_dir):
 @query("bootstrap_interval")
 def bootstrap_interval(spark, sf_dir):
     """Seeded hash weights are not portable to SQL; tests check the weights, the point and the spread."""
-    return resample.bootstrap_interval(cells(spark, sf_dir), 200)
+    return resample.bootstrap_interval(cells(spark, sf_dir))
 
 
 @query("paired_bootstrap")
 def paired_bootstrap(spark, sf_dir):
     c = cells(spark, sf_dir).withColumnRenamed("prediction", "prediction_a")
-    return resample.paired_delta(c, 200)
+    return resample.paired_delta(c)
 
 
 @query("seed_deltas", f"""

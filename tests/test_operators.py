@@ -11,6 +11,7 @@ from clausemill.functions import numeric as N
 from clausemill.functions import text as T
 from clausemill.operators import documents, paired, relational, resample, retrieval, scoring, similarity, splits
 from clausemill.plans.catalog import QUERIES
+from clausemill.plans.label_queries import cells
 from clausemill.schemas import assert_no_violations, first_column, require
 
 QUIET = dict(deadline=None, suppress_health_check=list(HealthCheck))
@@ -179,6 +180,13 @@ def plain_grams(text, low=3, high=5):
     return out
 
 
+def test_bootstrap_queries_draw_a_thousand_times(spark, sf_dir):
+    assert QUERIES["paired_bootstrap"](spark, sf_dir).first().replicates == 1000
+    c = cells(spark, sf_dir)
+    want = {r.metric: r.ci_low for r in resample.bootstrap_interval(c, 1000).collect()}
+    assert {r.metric: r.ci_low for r in QUERIES["bootstrap_interval"](spark, sf_dir).collect()} == pytest.approx(want)
+
+
 def test_nearest_by_grams(spark):
     r = random.Random(2)
     text = lambda: " ".join("".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 5)))
