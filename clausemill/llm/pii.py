@@ -37,7 +37,7 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What a text must hold for a base pattern of the kind, or a wide one, to match.
-NEEDS = {"email": r"@|[(\[{] ?(?i:at) ?[)\]}]", "ip": r"[0-9](?:\.|\[\.\])[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][ .-]?[0-9]", "phone": r"[0-9][ ().-]{0,2}[0-9]"}
+NEEDS = {"email": r"@|[(\[{] ?(?i:at) ?[)\]}]", "ip": r"[0-9](?:\.|\[\.\])[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f:]", "card": r"[0-9][ .-]?[0-9]", "phone": r"[0-9][ ().-]{0,2}[0-9]|\+[0-9][ ().0-9-]+[0-9]"}
 #: Candidate patterns.
 WIDE = {
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]++ ?(?:@|[(\[{] ?(?i:at) ?[)\]}]) ?[\p{L}0-9-]++(?:(?:\.| ?[(\[{] ?(?i:dot) ?[)\]}] ?)[\p{L}0-9-]++)++",

@@ -51,6 +51,23 @@ def test_base_spans_on_odd_texts(spark):
         assert [(s.kind, s.start, s.end) for s in got[i].base] == base(t), (t or "")[:80]
 
 
+def test_pre_tests_are_implied_by_the_patterns(spark):
+    phone = "+4 - 9 - 1 - 5 - 1 - 2 - 3 - 4 - 5"
+    texts = [phone, f"é {phone} (", "x +4   9   1   5   1   2   3   4   5 y", "fe80::1", "2001::5", "a::b"]
+    got = found(spark, texts)
+    for i, t in enumerate(texts):
+        assert [(s.kind, s.start, s.end) for s in got[i].base] == base(t), t
+    assert [(s.kind, s.start, s.end) for s in got[0].base] == [("phone", 0, len(phone))]
+    spans = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", *[F.transform(pii.candidates(F.col("text"), k), lambda c: c["start"]).alias(k) for k in pii.KINDS]).collect()
+    assert {r.i: r.ip for r in spans} == {0: [], 1: [], 2: [], 3: [0], 4: [0], 5: [0]}
+    r = random.Random(9)
+    parts = ["+", "1", "23", " - ", "  ", "(", ").", "::", ":", "fe", "a", "[.]", ".", "@", " (at) ", "{ dot }", "é", "x", "4111"]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(2, 18))) for _ in range(1500)]
+    missed = spark.createDataFrame([(t,) for t in made], "t string")
+    for k in pii.KINDS:
+        assert missed.where((F.col("t").rlike(pii.BASE[k]) | F.col("t").rlike(pii.WIDE[k])) & ~F.col("t").rlike(pii.NEEDS[k])).collect() == []
+
+
 def test_added_spans_do_not_touch_base_spans(spark):
     texts = ["call 4111111111111111 4111111111111111 now", "mail jane (at) example (dot) com please", "phone: (663) 555-6869 today", "token = 2669109448945250", "x 1234567812345678 y"] * 3
     got = found(spark, texts)
