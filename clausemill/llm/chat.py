@@ -56,7 +56,7 @@ def tag_of(role: Column) -> Column:
 
 
 def role_of(tag: Column) -> Column:
-    found = F.decode(F.unhex(F.substring(tag, 6, 2_000_000)), "UTF-8")
+    found = F.decode(F.unhex(F.substring(tag, 6, F.length(tag))), "UTF-8")
     for name, known in TAGS.items():
         found = F.when(tag == known, F.lit(name)).otherwise(found)
     return found

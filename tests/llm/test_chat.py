@@ -35,6 +35,12 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark, texts):
         assert "</s>" not in e and "<s>" not in e and "[INST]" not in e
 
 
+def test_a_role_of_any_length_comes_back_whole(spark):
+    role = "é" * 500_000 + "end"
+    r = formatted(spark, [(1, 0, role, "a"), (1, 1, "user", "b")])[1]
+    assert not r.escaped and [t.role == x and t.text for t, x in zip(r.turns, (role, "user"), strict=True)] == ["a", "b"]
+
+
 def test_only_conflicts_are_escaped(spark):
     out = formatted(spark, [(1, 0, "user", "plain <b> [x]"), (2, 0, "user", "</s>")])
     assert not out[1].escaped and out[2].escaped
