@@ -266,6 +266,21 @@ def jaccard_bands(spark, sf_dir):
     )
 
 
+@query(
+    "jaccard_pairs",
+    f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), b AS (SELECT item_id, {_WORDS.format("text")} AS v FROM benchmark),
+    p AS (SELECT item_id, doc_id, len(list_intersect(v, w)) AS i, len(v) AS na, len(w) AS nb FROM b CROSS JOIN d)
+    SELECT item_id, doc_id, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE i / greatest(na + nb - i, 1) END, 9) AS jaccard FROM p
+    """,
+)
+def jaccard_pairs(spark, sf_dir):
+    """Word-set similarity of every benchmark item and every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", T.word_set(F.col("text")).alias("w"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.word_set(F.col("text")).alias("v"))
+    return d.crossJoin(b).select("item_id", "doc_id", F.round(T.jaccard(F.col("v"), F.col("w"), 1.0), 9).alias("jaccard"))
+
+
 @query("merged_changes")
 def merged_changes(spark, sf_dir):
     """Greedy merging of the paragraphs of each source's short documents, as lists of changes."""

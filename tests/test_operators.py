@@ -230,6 +230,13 @@ def test_contamination_reads_all_documents(spark, tmp_path):
     assert QUERIES["contamination_shares"](spark, str(tmp_path)).first().share_at_least_95 == pytest.approx(1 / 3)
 
 
+def test_jaccard_of_ids_far_apart(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c d"), (70, "x y z"), (900, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "D c b e"), (6, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.item_id, r.doc_id): r.jaccard for r in QUERIES["jaccard_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(5, 1): 0.6, (5, 70): 0.0, (5, 900): 0.0, (6, 1): 0.0, (6, 70): 0.0, (6, 900): 1.0}
+
+
 def test_merged_changes(spark):
     rows = [
         (1, 0, "The service may now collect device location data", "fair", "added"), (1, 1, "The service MAY now collect device location data!", "harmful", "modified"),
