@@ -17,7 +17,8 @@ sizes bound the overlap; so does, within groups that stay open, a bitmap of toke
 3. A node keeps its repeated tokens in the first order. Unless its prefix reaches one, it has no link.
 4. Star rounds: in every token's group each node is tried against one pivot, then against a few of those that
    lie in other components, so the pairs are linear in the group; verified links give components. Then the pairs that lie in different components, and only those, are
-   tried: links inside a component change nothing, and no other link is left out.
+   tried: links inside a component change no component, and no other link is left out. So the result is
+   components; the links inside them, or their number per document, are not found.
 
 Defined results for odd input: a null or empty text, or one without words, has no shingle and is linked with
 nothing; a shorter text than a shingle is one shingle; equal rows are one node; documents with a null id are
