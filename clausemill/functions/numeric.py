@@ -51,16 +51,49 @@ def number_or_zero(json_text: Column, path: str) -> Column:
     return F.when(raw.rlike(r"^-?[0-9]"), F.coalesce(raw.try_cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def seconds_text(ms: Column) -> Column:
-    return F.format_string("%.1f", ms / 1000)
+def _whole(x: Column, digits: int) -> Column:
+    """|x| times 10^digits as a whole number: rounded by the exact binary value, ties to even.
 
+    The product with the power is split into itself and its rounding error, so a value just beside a tie is not
+    taken for one; rounding of the shortest decimal form, as the built-in functions do it, takes it for one.
+    """
+    power = float(10**digits)
 
-def flag_text(b: Column) -> Column:
-    return F.when(b.isNull(), "").when(b, "true").otherwise("false")
+    def of(x: Column) -> Column:
+        wide = x * 134217729.0
+        high = wide - (wide - x)
+        p = x * power
+        error = (high * power - p) + (x - high) * power
+        low = F.floor(p)
+        beyond = ((p - low) - 0.5) + error
+        return low + F.when((beyond > 0) | ((beyond == 0) & (F.pmod(low, F.lit(2)) == 1)), 1).otherwise(0)
+
+    return F.transform(F.array(F.abs(x.cast("double"))), of).getItem(0)
 
 
 def half_even(x: Column, digits: int = 4) -> Column:
-    return F.bround(x, digits)
+    """x rounded to some digits (7 at most), by its exact binary value, ties to even; sizes from 10^11 on are left."""
+    size = F.when(F.abs(x) < 1e11, _whole(x, digits) / F.lit(float(10**digits))).otherwise(F.abs(x))
+    return F.when(x < 0, -size).otherwise(size)
+
+
+def fixed(x: Column, digits: int, plus: bool = False) -> Column:
+    """x with so many digits (1 to 7) behind the point, rounded as ``half_even``; null for null and for sizes from 10^11 on."""
+
+    def written(n: Column) -> Column:
+        text = F.lpad(n.cast("string"), F.greatest(F.length(n.cast("string")), F.lit(digits + 1)), F.lit("0"))
+        return F.concat(F.substring(text, F.lit(1), F.length(text) - digits), F.lit("."), F.right(text, F.lit(digits)))
+
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("+" if plus else "")
+    return F.when(F.abs(x) < 1e11, F.concat(sign, F.transform(F.array(_whole(x, digits)), written).getItem(0)))
+
+
+def seconds_text(ms: Column) -> Column:
+    return fixed(ms / 1000, 1)
+
+
+def flag_text(b: Column) -> Column:
+    return F.when(b.isNull(), "").when(b, "true").otherwise("false")
 
 
 def elapsed_ms(ts: Column, start: Column) -> Column:
@@ -75,7 +108,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def topic_probabilities(logits: Column, topics: list[str], digits: int = 4) -> Column:
     """Map of topic to probability, from an array of logits in topic order."""
-    return F.map_from_arrays(F.array(*map(F.lit, topics)), F.transform(F.slice(logits, 1, len(topics)), lambda x: F.bround(sigmoid(x.cast("double")), digits)))
+    return F.map_from_arrays(F.array(*map(F.lit, topics)), F.transform(F.slice(logits, 1, len(topics)), lambda x: half_even(sigmoid(x.cast("double")), digits)))
 
 
 def predicted_topics(logits: Column, topics: list[str], threshold: float = 0.5) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from clausemill.functions.numeric import fixed
+
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -239,15 +241,15 @@ def run_id(*parts: Column) -> Column:
 
 
 def interval_cell(point: Column, low: Column, high: Column) -> Column:
-    return F.format_string("%.3f [%.3f, %.3f]", point, low, high)
+    return F.concat(fixed(point, 3), F.lit(" ["), fixed(low, 3), F.lit(", "), fixed(high, 3), F.lit("]"))
 
 
 def spread_cell(mean: Column, sd: Column) -> Column:
-    return F.format_string("%.3f ± %.3f", mean, sd)
+    return F.concat(fixed(mean, 3), F.lit(" ± "), fixed(sd, 3))
 
 
 def delta_cell(x: Column) -> Column:
-    return F.format_string("%+.3f", x)
+    return fixed(x, 3, plus=True)
 
 
 def expanded_query(c: Column, synonyms: dict[str, str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.functions.numeric import half_even
 from clausemill.operators.relational import running_sum
 
 TokenCount = Callable[[Column], Column]
@@ -106,12 +107,12 @@ def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
     It is found in running sums of the counts of distinct values, so no list of all values is gathered.
     """
-    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
-    through = running_sum(sizes, F.col("k"), "through", [value], list(keys))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    through = running_sum(sizes, F.col("__n"), "__through", [value], list(keys))
     own = sizes.groupBy(*keys) if keys else sizes
-    totals = own.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.sum("k").alias("total"))
+    totals = own.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.sum("__n").alias("__total"))
     told = through.join(totals, list(keys)) if keys else through.crossJoin(F.broadcast(totals))
-    told = told.where(F.col("through") > F.floor(F.col("total") / 2))
+    told = told.where(F.col("__through") > F.floor(F.col("__total") / 2))
     out = told.groupBy(*keys, "least", "most") if keys else told.groupBy("least", "most")
     return out.agg(F.min(value).alias("upper_median")).select(*keys, "least", "upper_median", "most")
 
@@ -141,7 +142,7 @@ def clause_list(predictions: DataFrame, harm: list[str] | None = None) -> DataFr
     """The flat clause list of an answer: text, primary topic, harm class, confidence; filtered by harm before any costly step."""
     names = harm_filter(harm)
     rows = predictions.where(F.col("predicted_harm_class").isin(names))
-    return rows.select("chunk_id", "text", F.coalesce(F.get("predicted_topics", F.lit(0)), F.lit("unclassified")).alias("primary_topic"), "predicted_harm_class", F.bround("harm_confidence", 4).alias("harm_confidence"))
+    return rows.select("chunk_id", "text", F.coalesce(F.get("predicted_topics", F.lit(0)), F.lit("unclassified")).alias("primary_topic"), "predicted_harm_class", half_even(F.col("harm_confidence")).alias("harm_confidence"))
 
 
 #: Names of the harm classes by which a caller may ask for them.

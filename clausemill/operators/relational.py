@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def suffixed(df: DataFrame, suffix: str, keep: list[str]) -> DataFrame:
@@ -58,26 +59,55 @@ def value_counts(df: DataFrame, *columns: str) -> DataFrame:
     return n.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__total")).drop("__total").orderBy(F.desc("n"), *columns)
 
 
-def running_sum(df: DataFrame, value: Column, name: str, order: list, keys: list[str] = ()) -> DataFrame:
+#: Values looked at for each range that rows are dealt into, and ranges for each shuffle partition.
+_LOOKED_AT, _RANGES = 16, 2
+
+
+def range_bounds(df: DataFrame, by: list[str]) -> DataFrame:
+    """One row with ``__bounds``, a sorted array of structs of ``by`` that cuts the rows into ranges.
+
+    One pass takes some value out of each of a fixed number of hash classes, which is a sample of the distinct
+    values; the classes, not the rows, bound what reaches the driver. The bounds come back as literals, so every
+    plan that uses them deals the rows alike, whatever it prunes and however often a task is run.
+    """
+    spark = df.sparkSession
+    ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*by)
+    seen = df.groupBy(F.pmod(F.xxhash64(*by), F.lit(ranges * _LOOKED_AT)).alias("__class")).agg(F.any_value(key).alias("k"))
+    found = [r.k for r in seen.select("k").orderBy("k").collect()]
+    step = max(1, len(found) // ranges)
+    return spark.createDataFrame([(found[step::step],)], T.StructType([T.StructField("__bounds", T.ArrayType(df.select(key.alias("k")).schema["k"].dataType))]))
+
+
+def range_of(bounds: Column, key: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted bounds lie below the key: a binary search, as a pure function of the row."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(bounds, low + s - 1) < key, low + s).otherwise(low))
+
+
+def running_sum(df: DataFrame, value: Column, name: str, order: list[str], keys: list[str] = ()) -> DataFrame:
     """Adds the sum of ``value`` over all rows up to this one in a total order, for each key.
 
-    Rows are dealt by range, also within a key, and summed in their partitions; the sums of the partitions
-    before are added. The number of partitions is given, so both looks at them see the same ones.
+    The order is ascending, nulls first. Rows are dealt into ranges of (keys, order) by bounds that are fixed
+    before, also within a key, and summed in their ranges; the sums of the ranges before are added. A row's range
+    depends on the row and the bounds alone, so both looks at the rows, and a task that is run again, agree.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.withColumn("__value", value).repartitionByRange(n, *keys, *order).withColumn("__part", F.spark_partition_id())
+    by = [*keys, *order]
+    bounds = range_bounds(df, by)
+    most = len(bounds.first()["__bounds"])
+    placed = df.withColumn("__value", value).crossJoin(F.broadcast(bounds)).withColumn("__part", range_of(F.col("__bounds"), F.struct(*by), most)).drop("__bounds")
     local = Window.partitionBy("__part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = parts.groupBy("__part", *keys).agg(F.sum("__value").alias("__sum"))
+    sums = placed.groupBy("__part", *keys).agg(F.sum("__value").alias("__sum"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     same = F.col("a.__part") == F.col("b.__part")
     for k in keys:  # a null key is a key
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    told = parts.withColumn("__local", F.sum("__value").over(local)).alias("a").join(sums.alias("b"), same)
+    told = placed.withColumn("__local", F.sum("__value").over(local)).alias("a").join(sums.alias("b"), same)
     return told.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a.__local") + F.col("b.__before")).alias(name))
 
 
-def numbered(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
     """Row numbers from 0 in a total order, to be written once at ingest.
 
     The order must be total, so that a second look gives the same numbers.
@@ -85,7 +115,7 @@ def numbered(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     return running_sum(df, F.lit(1).cast("long"), "__n", order).withColumn(name, F.col("__n") - 1).drop("__n")
 
 
-def positions(df: DataFrame, order: list, start: int, stop: int) -> DataFrame:
+def positions(df: DataFrame, order: list[str], start: int, stop: int) -> DataFrame:
     """Rows at places [start, stop) of a total order; bad bounds raise."""
     if not 0 <= start <= stop:
         raise ValueError(f"bad bounds: {start}, {stop}")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.functions.numeric import seconds_text
 
 #: The closed vocabularies of the event log.
 SCREENS = ("profile", "analyzing", "results", "preview", "ask_ai")
@@ -161,14 +162,14 @@ def session_rollup(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     concerns = F.from_json(F.get_json_object("p_concerns", "$.value"), "array<string>")
     listed = F.get_json_object("p_concerns", "$.value").startswith("[")
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    seconds = lambda c: F.format_string("%.1f", F.coalesce(F.col(c), F.lit(0.0)) / 1000)
+    seconds = lambda c: seconds_text(F.coalesce(F.col(c), F.lit(0.0)))
     sessions = told.select(
         *KEYS, "started_at", "ended", blank("end_reason").alias("end_reason"),
         F.coalesce(F.col("end_ms").try_cast("long"), F.col("max_t")).alias("duration_ms"),
         *[blank(c).alias(c) for c in ("note", "app_commit", "model_dir", "ollama_model", "risk_scorer", "diff_inject_classifier_context")],
         "n_client_events", "n_heartbeats",
         *[seconds(f"{s}_{k}").alias(f"{s}_{k}_s") for s in SCREENS for k in ("wall", "active")],
-        F.when(F.col("results_ms").isNull(), "").otherwise(F.format_string("%.1f", F.col("results_ms") / 1000)).alias("time_to_results_s"),
+        F.when(F.col("results_ms").isNull(), "").otherwise(seconds_text(F.col("results_ms"))).alias("time_to_results_s"),
         value("service").alias("profile_service"), value("role").alias("profile_role"),
         F.when(listed, F.array_join(concerns, ";")).otherwise(value("concerns")).alias("profile_concerns"),
         value("mode").alias("profile_mode"), F.coalesce(F.get_json_object("p_context", "$.length"), F.lit("")).alias("profile_context_length"),
