@@ -66,14 +66,14 @@ _LOOKED_AT, _RANGES = 16, 2
 def range_bounds(df: DataFrame, by: list[str]) -> DataFrame:
     """One row with ``__bounds``, a sorted array of structs of ``by`` that cuts the rows into ranges.
 
-    One pass takes some value out of each of a fixed number of hash classes, which is a sample of the distinct
-    values; the classes, not the rows, bound what reaches the driver. The bounds come back as literals, so every
+    One pass takes the value with the largest second hash out of each of a fixed number of hash classes, which is a
+    sample of the distinct values whatever order they come in; the classes, not the rows, bound what reaches the driver. The bounds come back as literals, so every
     plan that uses them deals the rows alike, whatever it prunes and however often a task is run.
     """
     spark = df.sparkSession
     ranges = _RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*by)
-    seen = df.groupBy(F.pmod(F.xxhash64(*by), F.lit(ranges * _LOOKED_AT)).alias("__class")).agg(F.any_value(key).alias("k"))
+    seen = df.groupBy(F.pmod(F.xxhash64(*by), F.lit(ranges * _LOOKED_AT)).alias("__class")).agg(F.max_by(key, F.xxhash64(*by, F.lit(1))).alias("k"))
     found = [r.k for r in seen.select("k").orderBy("k").collect()]
     step = max(1, len(found) // ranges)
     return spark.createDataFrame([(found[step::step],)], T.StructType([T.StructField("__bounds", T.ArrayType(df.select(key.alias("k")).schema["k"].dataType))]))

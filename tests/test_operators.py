@@ -150,6 +150,13 @@ def test_row_numbers_and_ranks_of_many_rows_with_payload(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_ranges_are_even_whatever_the_order_of_rows(spark):
+    for df in (spark.range(20_000), spark.range(20_000).select((-F.col("id")).alias("id"))):
+        bounds = relational.range_bounds(df, ["id"])
+        sizes = [r["count"] for r in df.crossJoin(bounds).groupBy(relational.range_of(F.col("__bounds"), F.struct("id"), 100).alias("p")).count().collect()]
+        assert len(sizes) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 3 * 20_000 / len(sizes)
+
+
 def test_row_numbers_put_nulls_first_and_need_no_rows(spark):
     df = spark.createDataFrame([(None, "a"), (2.5, "b"), (float("nan"), "c"), (-1.0, "d")], "v double, p string")
     assert {r.p: r.row_id for r in relational.numbered(df, ["v"]).collect()} == {"a": 0, "d": 1, "b": 2, "c": 3}
