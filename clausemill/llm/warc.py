@@ -5,16 +5,18 @@ of its time, to the latest earlier full response of the same canonical URL. Its
 modification, payload digest) are compared with that response's, and the headers that a 304 answer may update
 replace the stored ones.
 
-The as-of join has two levels, so that a URL with very many captures is no single task: inside a slice of time
-of a URL by a window, and from slice to slice by a window over one row a slice, its last response.
+Captures are dealt into ranges of (URL, time, record id) by bounds that are fixed before, so a URL with very many
+captures, also at one time, is split over tasks. The as-of join has two levels: inside a range by a window, and
+from range to range by a window over one row for each range that a URL reaches, its last response there.
 
 Outcomes: ``matched`` (a validator agrees and none differs), ``changed`` (one differs), ``unchecked`` (none can
 be compared), ``missing`` (no earlier response).
 
-Defined results for odd input: a null URL is a URL of its own, which resolves to nothing; captures at the same time
-are ordered by record id, null first; equal rows are captures of their own (neither is earlier than the other,
-unless the order of rows puts it there); null headers are none; a record with a null time has no place in the
-order and is ``missing``; an empty table gives an empty table; other columns are ignored.
+Defined results for odd input: a revisit with a null URL or a null time is ``missing`` and enters no window; captures
+at the same time are ordered by record id, null first; equal rows are captures of their own (neither is earlier than
+the other, unless the order of rows puts it there); null headers are none; header names are the same in any case of
+letters, and of several fields with one name the distinct values are joined by ", " in order of the names as given; an
+empty table gives an empty table; other columns are ignored, also ones whose names differ by case only.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausemill.llm.columns import let, picked
+from clausemill.operators.relational import range_bounds, range_of
+
 #: Header fields that a 304 answer may update.
 PERMITTED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "via", "warning")
 #: Query parameters that do not name a page.
@@ -43,37 +48,51 @@ def _checked(mine: Column, theirs: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), 0).when(a == b, 1).otherwise(-1)
 
 
+def _by_name(headers: Column) -> Column:
+    """Headers under lower-case names, one value each; none for null."""
+    entries = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def of(e: Column) -> Column:
+        told = lambda n: F.array_distinct(F.filter(F.transform(F.filter(e, lambda x: x["key"] == n), lambda x: x["value"]), lambda v: v.isNotNull()))
+        names = F.array_distinct(F.transform(e, lambda x: x["key"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: let(told(n), lambda v: F.when(F.size(v) > 0, F.array_join(v, ", ")))))
+
+    return F.when(headers.isNotNull(), let(entries, of)).otherwise(F.expr("map()").cast("map<string,string>"))
+
+
 def merged_headers(stored: Column, told: Column) -> Column:
     """The stored headers, with those replaced that the revisit may update; names in lower case."""
-    low = lambda h: F.map_from_entries(F.transform(F.map_entries(h), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"])))
-    none = F.expr("map()").cast("map<string,string>")
-    old, new = F.coalesce(low(stored), none), F.map_filter(F.coalesce(low(told), none), lambda k, v: k.isin(*PERMITTED))
+    old, new = _by_name(stored), F.map_filter(_by_name(told), lambda k, v: k.isin(*PERMITTED))
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
 
 
 RECORD = "record_id long, url string, ts timestamp, kind string, status int, etag string, last_modified string, digest string, headers map<string,string>"
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row a revisit of RECORD: record_id, url_key, ts, response_id, response_ts, outcome and headers."""
     own = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     full = (F.col("kind") == "response") & (F.coalesce(F.col("status"), F.lit(200)) == 200)
-    keyed = records.select(
-        "record_id", "kind", "ts", "etag", "last_modified", "digest", "headers",
-        canonical_url(F.col("url")).alias("url_key"),
-        F.floor(F.unix_micros("ts") / F.lit(slice_seconds * 1_000_000)).alias("slice"),
-        F.when(full & F.col("url").isNotNull() & F.col("ts").isNotNull(), own).alias("full"),
-    ).where(F.col("full").isNotNull() | (F.col("kind") == "revisit"))
-    inside = Window.partitionBy("url_key", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = picked(records, **{c: c for c in (x.split()[0] for x in RECORD.split(", "))}).withColumn("url_key", canonical_url(F.col("url")))
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    keyed = keyed.select("record_id", "kind", "ts", "etag", "last_modified", "digest", "headers", "url_key", placed.alias("placed"), F.when(full & placed, own).alias("full"))
+    lost = keyed.where("NOT placed AND kind = 'revisit'").select("record_id", "url_key", "ts", "etag", "last_modified", "digest", "headers", F.lit(None).cast(keyed.schema["full"].dataType).alias("found"))
+    keyed = keyed.where(F.col("placed") & (F.col("full").isNotNull() | (F.col("kind") == "revisit"))).drop("placed")
+
+    by = ["url_key", "ts", "record_id"]
+    bounds = range_bounds(keyed, by)
+    most = len(bounds.first()["__bounds"])
+    keyed = keyed.crossJoin(F.broadcast(bounds)).withColumn("part", range_of(F.col("__bounds"), F.struct(*by), most)).drop("__bounds")
+    inside = Window.partitionBy("url_key", "part").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     near = keyed.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'").drop("full", "kind")
     stamp = F.struct(F.col("full.ts").alias("ts"), F.col("full.record_id").alias("id"))
-    ends = keyed.where(F.col("full").isNotNull()).groupBy("url_key", "slice").agg(F.max_by("full", stamp).alias("end"))
-    # a slice without responses still needs the last one before it
-    asked = near.where(F.col("near").isNull()).select("url_key", "slice").distinct()
-    steps = ends.join(asked, ["url_key", "slice"], "full")
-    before = Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = steps.withColumn("carried", F.last("end", ignorenulls=True).over(before)).where(F.col("carried").isNotNull()).select("url_key", "slice", "carried")
-    told = near.join(carried, ["url_key", "slice"], "left").withColumn("found", F.coalesce("near", "carried"))
+    ends = keyed.where(F.col("full").isNotNull()).groupBy("url_key", "part").agg(F.max_by("full", stamp).alias("end"))
+    # a range without responses still needs the last one before it
+    asked = near.where(F.col("near").isNull()).select("url_key", "part").distinct()
+    steps = ends.join(asked, ["url_key", "part"], "full")
+    before = Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = steps.withColumn("carried", F.last("end", ignorenulls=True).over(before)).where(F.col("carried").isNotNull()).select("url_key", "part", "carried")
+    told = near.join(carried, ["url_key", "part"], "left").withColumn("found", F.coalesce("near", "carried")).select(lost.columns).union(lost)
     votes = F.array(*[_checked(F.col(c), F.col(f"found.{c}")) for c in ("etag", "last_modified", "digest")])
     outcome = F.when(F.col("found").isNull(), "missing").when(F.array_contains(votes, -1), "changed").when(F.array_contains(votes, 1), "matched").otherwise("unchecked")
     return told.select(
@@ -84,5 +103,5 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = 86_400) -> DataFra
 
 def with_bodies(resolved: DataFrame, bodies: DataFrame) -> DataFrame:
     """The matched revisits with ``body``, from (record_id, body)."""
-    known = bodies.select(F.col("record_id").alias("response_id"), "body")
+    known = picked(bodies, response_id="record_id", body="body")
     return resolved.where("outcome = 'matched'").join(known, "response_id")
