@@ -4,7 +4,8 @@ Everything is a column expression over one row, so there is no shuffle and no Py
 
 Defined results for odd input: a null text counts as the empty text, which has no words and fails the
 base rule; a text of any length is read whole; equal rows give equal results, row by row; an empty table
-gives an empty table; other columns pass through untouched, but for the names added.
+gives an empty table; other columns pass through untouched, whatever their names, but for those named as an
+added one in any case of letters, which it replaces.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import BLANKS, let, occurrences, words
+from clausemill.llm.columns import BLANKS, Passing, let, occurrences, words
 
 #: Phrases of page furniture, matched without regard to case.
 BOILERPLATE = (
@@ -93,29 +94,34 @@ def repeated_window_words(word_hashes: Column, size: int) -> Column:
     return let(word_hashes, of).cast("long")
 
 
-def line_passes(line: Column, rules: Rules) -> Column:
-    """Whether one line passes all line rules; a line without words passes."""
-    chars = F.length(line)
-    found = words(line)
-    capitals, small = occurrences(line, r"[\p{Lu}]"), occurrences(line, r"[\p{Ll}]")
-
-    def judged(w: Column) -> Column:
-        n = F.size(w)
-        symbols = occurrences(line, r"[#*$%&|<>]")
-        separators = occurrences(line, r"[|»›>·•]")
-        exclaimed = occurrences(line, r"!") / F.lit(2.0)
-        fails = (
-            (symbols > rules.max_symbol_share * chars)
-            | ((capitals + small >= rules.min_letters) & (capitals > rules.max_capital_share * (capitals + small)))
-            | ((n >= 3) & (exclaimed > rules.max_exclaimed_share * n))
-            | ((separators >= rules.min_separators) & (separators > rules.max_separator_share * n))
-            | ((n >= rules.min_line_words) & (F.size(F.array_distinct(w)) < rules.min_distinct_share * n))
-            | ((n <= rules.max_fragment_words) & ~line.rlike(r"""[.!?…:;。！？"'”’»)\]]\s*$"""))
-            | ((n <= 40) & F.lower(line).rlike("|".join(BOILERPLATE)))
-        )
-        return (n == 0) | ~fails
-
-    return let(found, judged)
+def line_passes(line: Column, found: Column, rules: Rules) -> Column:
+    """Whether one line with its words passes all line rules; a line without words passes."""
+    chars, n = F.length(line), F.size(found)
+    symbols = occurrences(line, r"[#*$%&|<>]")
+    separators = occurrences(line, r"[|»›>·•]")
+    exclaimed = occurrences(line, r"!") / F.lit(2.0)
+
+    def shouted(capitals: Column) -> Column:
+        of = lambda small: (capitals + small >= rules.min_letters) & (capitals > rules.max_capital_share * (capitals + small))
+        # the first test follows from the others and spares most lines the second count
+        return (capitals > rules.max_capital_share * rules.min_letters) & let(occurrences(line, r"[\p{Ll}]"), of)
+
+    def furniture(low: Column) -> Column:
+        has = F.lit(False)
+        for phrase in BOILERPLATE:
+            has = has | F.contains(low, F.lit(phrase))
+        return has
+
+    fails = (
+        (symbols > rules.max_symbol_share * chars)
+        | let(occurrences(line, r"[\p{Lu}]"), shouted)
+        | ((n >= 3) & (exclaimed > rules.max_exclaimed_share * n))
+        | let(separators, lambda s: (s >= rules.min_separators) & (s > rules.max_separator_share * n))
+        | ((n >= rules.min_line_words) & (F.size(F.array_distinct(found)) < rules.min_distinct_share * n))
+        | ((n <= rules.max_fragment_words) & ~line.rlike(r"""[.!?…:;。！？"'”’»)\]]\s*$"""))
+        | ((n <= 40) & let(F.lower(line), furniture))
+    )
+    return (n == 0) | ~fails
 
 
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "base_failed", "kept_share", "kept")
@@ -127,26 +133,25 @@ def line_first_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "tex
     ``kept`` is false where the base rule fails, where no word is left, or where the passing lines hold
     less than ``min_kept_share`` of the word characters.
     """
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    counted = (
-        docs.select(*kept, F.col(text).alias("__given")).withColumn("__text", F.coalesce(F.col("__given"), F.lit("")))
-        .withColumn("__words", words(F.col("__text")))
-        .withColumn("__lines", F.split("__text", "\n"))
+    passing = Passing(docs, ADDED)
+    lined = passing.inner.select(*passing.kept, F.coalesce(F.col(passing.inside(text)), F.lit("")).alias("whole")).withColumn(
+        "lines", F.transform(F.split("whole", "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words")))
     )
+    # a line's end is a blank, so the words of the text are those of its lines
+    counted = lined.withColumn("words", F.flatten(F.transform("lines", lambda x: x["words"])))
     measured = counted.select(
-        *kept,
-        "__lines",
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        occurrences(F.col("__text"), r"[#*$%&|<>]").alias("n_symbols"),
+        *passing.kept,
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        occurrences(F.col("whole"), r"[#*$%&|<>]").alias("n_symbols"),
         let(
-            F.filter("__lines", lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")),
+            F.transform(F.filter("lines", lambda x: F.size(x["words"]) > 0), lambda x: x["line"]),
             lambda x: F.size(x) - F.size(F.array_distinct(x)),
         )
         .cast("long")
         .alias("n_dup_lines"),
-        repeated_window_words(F.transform("__words", lambda w: F.xxhash64(w)), rules.window).alias("n_repeat_words"),
-        F.array_join(F.filter("__lines", lambda x: line_passes(x, rules)), "\n").alias("clean_text"),
+        repeated_window_words(F.transform("words", lambda w: F.xxhash64(w)), rules.window).alias("n_repeat_words"),
+        F.array_join(F.transform(F.filter("lines", lambda x: line_passes(x["line"], x["words"], rules)), lambda x: x["line"]), "\n").alias("clean_text"),
     )
     judged = measured.withColumn(
         "base_failed",
@@ -155,4 +160,5 @@ def line_first_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "tex
         "kept_share",
         F.when(F.col("word_chars") > 0, F.length(F.regexp_replace("clean_text", BLANKS + "+", "")) / F.col("word_chars")).otherwise(0.0),
     )
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= rules.min_kept_share)).drop("__lines")
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= rules.min_kept_share))
+    return passing.outer(judged, *ADDED)

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from clausemill.llm.columns import words
 from clausemill.llm.quality import Rules, line_first_quality, line_passes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,7 +43,7 @@ def test_line_rules(spark):
     good = ["A plain sentence that ends as it should.", "No stop but long enough to be a line of text", "", "   ", "Of.", "He said \"yes\"", "The EU and the USA signed it in 1995.", "Licensed under the Apache License, Version 2.0."]
     bad = ["Home | News | Sport | Contact | Login", "Read more", "&&& *** $$$ ### word", "CLICK!! HERE!! NOW!! TO!! WIN!!", "THE WHOLE LINE IS SHOUTED AT THE READER", "buy " * 15, "We use cookies to improve your visit.", "© 2020 All rights reserved."]
     df = spark.createDataFrame([(t,) for t in good + bad], "t string")
-    assert [r[0] for r in df.select(line_passes(F.col("t"), Rules())).collect()] == [True] * len(good) + [False] * len(bad)
+    assert [r[0] for r in df.select(line_passes(F.col("t"), words(F.col("t")), Rules())).collect()] == [True] * len(good) + [False] * len(bad)
 
 
 def test_verdict_and_clean_text(spark):
