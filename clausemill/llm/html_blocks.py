@@ -15,6 +15,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else ends it, as its end tag and the start tag of the body may be left out.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: An opening tag closes open elements of its group, up to the nearest element that bounds the search.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -88,8 +90,14 @@ def blocks_of(page: str) -> list[Block]:
             if stack[k][0] in bounds:
                 return
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            pop()
+
     def text(s: str) -> None:
         nonlocal linked
+        if s.strip():
+            end_head()
         if s and not skipping:
             parts.append(s)
             if links:
@@ -132,6 +140,8 @@ def blocks_of(page: str) -> list[Block]:
             elif any(t == tag for t, _ in stack):
                 close({tag}, frozenset() if tag in BLOCK else BLOCK)
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag in ("br", "wbr"):
             text(" " if tag == "br" else "")
             continue

@@ -7,7 +7,8 @@ Viterbi. Pages are independent rows: nothing is shuffled, and the model is a sma
 
 Defined results for odd input: a null or empty page, or one without main text, gives the empty text; pages of
 any length are read whole; equal rows give equal results, row by row; an empty table gives an empty table;
-other columns pass through untouched, but for the names added.
+other columns pass through untouched, whatever their names, but for one named as ``out`` in any case of letters,
+which it replaces.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausemill.llm.columns import Passing
 from clausemill.llm.html_blocks import HEADINGS, Block, blocks_of
 
 #: Words in class and id names, by what they announce.
@@ -185,15 +188,16 @@ def main_text(page: str | None, model: tuple[Weights, list[list[float]]]) -> str
 def extract(pages: DataFrame, html: str = "html", out: str = "text", model: tuple[Weights, list[list[float]]] | None = None) -> DataFrame:
     """The pages with their main text in place of the html, in column ``out``."""
     model = model or default_model()
-    columns = [c for c in pages.columns if c not in (html, out)]
-    source = pages.select(*columns, pages[html].cast("string").alias("__html"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__html"] + [T.StructField(out, T.StringType())])
+    passing = Passing(pages, [out], without=[html])
+    n = len(passing.kept)
+    source = passing.inner.select(*passing.kept, F.col(passing.inside(html)).cast("string").alias("page"))
+    schema = T.StructType(source.schema.fields[:n] + [T.StructField(out, T.StringType())])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            texts = pa.array([main_text(x.as_py(), known) for x in batch.column(len(columns))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], texts], names=[*columns, out])
+            texts = pa.array([main_text(x.as_py(), known) for x in batch.column(n)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], texts], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return passing.outer(source.mapInArrow(run, schema), out)

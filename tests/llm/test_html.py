@@ -50,6 +50,15 @@ def test_blocks_of_broken_html():
     assert blocks_of("<div class=ad><p>x</p></div>")[0].path == [("div", "ad"), ("p", "")]
 
 
+def test_heads_without_an_end_tag(model):
+    article = "<article><h1>Some title here</h1><p>Some text that is here, and a bit more of it.</p></article>"
+    want = "Some title here\nSome text that is here, and a bit more of it."
+    for start in ("<html><head><title>x</title><body>", "<html><head><title>x</title>", "<head><meta charset=utf-8><script>a<b</script>\n<link rel=x>", "<title>x</title>", "<head></head><body>", "<HEAD><style>p{}</style></HEAD>"):
+        assert html_crf.main_text(start + article, model) == want, start
+    assert [b.text for b in blocks_of("<head><title>x</title>loose text<p>more")] == ["loose text", "more"]
+    assert [b.text for b in blocks_of("<head> \n <title>x</title> </head>y")] == ["y"]
+
+
 def test_long_and_deep_pages_are_read_whole(model):
     long = "<article>" + "<p>Word word word word.</p>" * 3000 + "</article>"
     assert html_crf.main_text(long, model).count("\n") == 2999
