@@ -15,8 +15,9 @@ all maximal runs. Windows have ``min_words`` lines at most, so log2 of that boun
 
 Defined results for odd input: a null or empty text, or one without words, is left as it is; a text of any
 length is used whole; equal rows are copies of each other, of which one stays; blank lines inside a deleted
-run go with it, others stay; an empty table gives an empty table; other columns pass through untouched, but
-for the names added.
+run go with it, others stay; an empty table gives an empty table; rows with one id are ordered by their place in
+the input; other columns pass through untouched, whatever their names, but for one named ``n_deleted`` in any case
+of letters, which the added one replaces.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausemill.llm.columns import Passing
 from clausemill.llm.store import Store
 
 _LINES = "row long, doc_id long, i int, id long, ahead int, ahead_from int, ahead_to int, back int, back_from int, back_to int"
@@ -82,7 +84,10 @@ def doubled(ranks: DataFrame, h: int, store: Store, parts: int) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) -> DataFrame:
-    """(row, from_line, to_line) of windows that are later copies."""
+    """The windows that are later copies: (row, doc_id, start, size, from_line, to_line, first, copies).
+
+    ``first`` is the place of the earliest copy, ``copies`` the size of the suffix-array interval.
+    """
     # written, so that the join deals both sides anew and the engine can split a line that very many documents hold
     often = store.save(lines.groupBy("id").count().where("count > 1").select("id"), "often")
     active = store.save(lines.join(often, "id", "left_semi"), "active")
@@ -98,16 +103,18 @@ def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) ->
         named = own.join(ranks.select("row", F.col("i").alias("start"), F.col("rank").alias("first")), ["row", "start"])
         last = ranks.select("row", (F.col("i") + h).alias("stop"), F.col("rank").alias("second"))
         named = named.withColumn("stop", F.col("start") + F.col("size")).join(last, ["row", "stop"])
-        place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"), F.col("start").alias("start"))
-        named = store.save(named.select("row", "size", "from_line", "to_line", "first", "second", place.alias("place")), f"named-{h}")
+        place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"), F.col("start").alias("start"), F.col("from_line").alias("from_line"))
+        named = store.save(named.select("row", "doc_id", "start", "size", "from_line", "to_line", "first", "second", place.alias("place")), f"named-{h}")
         earliest = named.groupBy("size", "first", "second").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1")
         earliest = store.save(earliest, f"earliest-{h}")
-        found.append(named.join(earliest, ["size", "first", "second"]).where("place != earliest").select("row", "from_line", "to_line"))
+        later = named.join(earliest, ["size", "first", "second"]).where("place != earliest")
+        found.append(later.select("row", "doc_id", "start", "size", "from_line", "to_line", F.col("earliest").alias("first"), F.col("n").alias("copies")))
         if 2 * h <= longest:
             ranks = doubled(ranks, h, store, parts)
         h *= 2
     if not found:
-        return windows.select("row", "from_line", "to_line").limit(0)
+        place = "struct<none:boolean,doc:bigint,row:bigint,start:int,from_line:int>"
+        return windows.select("row", "doc_id", "start", "size", "from_line", "to_line", F.lit(None).cast(place).alias("first"), F.lit(0).cast("long").alias("copies")).where("false")
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -124,33 +131,61 @@ def without(text: str, runs: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(kept), len(lines) - len(kept)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with ``text`` less the later copies of repeated runs, and ``n_deleted`` lines."""
+def _held(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[Passing, Store, DataFrame, DataFrame]:
+    """The documents with a row number, written, and the copies of their repeated windows."""
     spark = docs.sparkSession
-    store = Store(spark, "lines")
-    columns = [c for c in docs.columns if c not in ("__row", "n_deleted")]
-    held = store.save(docs.select(F.monotonically_increasing_id().alias("__row"), *columns), "docs")
+    passing, store = Passing(docs, ["n_deleted"]), Store(spark, "lines")
+    held = store.save(passing.inner.select(F.monotonically_increasing_id().alias("row"), *passing.kept), "docs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = held.select("__row", F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_lines(min_words), _LINES)
-    runs = repeated_runs(store.save(lines, "lines"), store, min_words, parts)
-    runs = runs.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("from_line", "to_line")).alias("__runs"))
-    runs = store.save(runs, "runs")
+    lines = held.select("row", F.col(passing.inside(doc_id)).cast("long"), F.col(passing.inside(text)).cast("string")).mapInArrow(_lines(min_words), _LINES)
+    return passing, store, held, repeated_runs(store.save(lines, "lines"), store, min_words, parts)
+
+
+def find_runs(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The maximal repeated runs that are later copies, one row each: where, how many lines agree, and with what.
+
+    (doc_id, from_line, to_line, n_lines, first_doc_id, first_line, copies): ``n_lines`` lines with a word, the
+    longest common prefix of the two suffixes, agree with the earliest copy, which starts at ``first_line`` of
+    ``first_doc_id``; ``copies`` is how many suffixes the interval of its least window holds, at the most. Lines are
+    numbered from 0, blank ones included. A run parts where an earlier copy of its further windows begins.
+    """
+    _, _, _, runs = _held(docs, doc_id, text, min_words)
+    own = runs.withColumn("diagonal", F.col("start") - F.col("first.start"))
+    by = Window.partitionBy("row", "first.row", "diagonal").orderBy("start")
+    reach = F.max(F.col("start") + F.col("size")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")
+    islands = own.withColumn("opens", opens).withColumn("island", F.sum("opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    grouped = islands.groupBy("row", F.col("first.row").alias("first_row"), "diagonal", "island").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.min("from_line").alias("from_line"),
+        F.max("to_line").alias("to_line"),
+        (F.max(F.col("start") + F.col("size")) - F.min("start")).cast("long").alias("n_lines"),
+        F.min_by("first", "start").alias("first"),
+        F.max("copies").alias("copies"),
+    )
+    return grouped.select("doc_id", "from_line", "to_line", "n_lines", F.col("first.doc").alias("first_doc_id"), F.col("first.from_line").alias("first_line"), "copies")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with ``text`` less the later copies of repeated runs, and ``n_deleted`` lines."""
+    passing, store, held, runs = _held(docs, doc_id, text, min_words)
+    runs = store.save(runs.groupBy("row").agg(F.collect_set(F.struct("from_line", "to_line")).alias("runs")), "runs")
     store.keep("docs", "runs")
     # always a merge join: the texts are dealt once whatever the size of the runs, so the plan is one for all sizes
-    told = held.join(runs.hint("merge"), "__row", "left").select(*columns, "__runs")
-    at = columns.index(text)
-    schema = T.StructType([told.schema[c] for c in columns] + [T.StructField("n_deleted", T.LongType())])
+    told = held.join(runs.hint("merge"), "row", "left").select(*passing.kept, "runs")
+    n, at = len(passing.kept), passing.kept.index(passing.inside(text))
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if i == at else f for i, f in enumerate(told.schema.fields[:n])] + [T.StructField("n_deleted", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for value, own in zip(batch.column(at), batch.column(len(columns)), strict=True):
+            for value, own in zip(batch.column(at), batch.column(n), strict=True):
                 pairs = [(x["from_line"], x["to_line"]) for x in own.as_py() or ()]
-                new, n = without(value.as_py(), pairs) if pairs else (value.as_py(), 0)
+                new, lost = without(value.as_py(), pairs) if pairs else (value.as_py(), 0)
                 texts.append(new)
-                gone.append(n)
-            arrays = list(batch.columns[: len(columns)])
+                gone.append(lost)
+            arrays = list(batch.columns[:n])
             arrays[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int64())], names=[*columns, "n_deleted"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int64())], names=schema.names)
 
-    return told.mapInArrow(run, schema)
+    return passing.outer(told.mapInArrow(run, schema), "n_deleted")

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from clausemill.llm.line_dedup import dedup_lines, windows_of, without
+from clausemill.llm.line_dedup import dedup_lines, find_runs, windows_of, without
 
 SCHEMA = "doc_id long, text string, row string"
 
@@ -68,6 +68,19 @@ def test_long_runs_need_many_rounds(spark):
     assert (got[1].n_deleted, got[2].n_deleted, got[3].n_deleted) == (0, 40, 0) and got[2].text == "c\nd"
 
 
+def test_runs_with_their_common_prefix_and_first_copy(spark):
+    run = [f"w{i} x{i}" for i in range(30)]
+    texts = {1: ["a", *run, "b"], 2: ["c", "", *run[:12], "", *run[12:], "d"], 3: [*run[5:25], "e"], 4: ["f", *run[:10], "g", *run[20:]], 5: ["own line here"] * 2}
+    rows = [(i, "\n".join(t), "x") for i, t in texts.items()]
+    got = sorted(tuple(r) for r in find_runs(spark.createDataFrame(rows, SCHEMA).repartition(2), min_words=10).collect())
+    # 3 holds a part of the run: its windows occur in 1 first; copies counts the fullest window of each run
+    assert [r[:6] for r in got] == [(2, 2, 32, 30, 1, 1), (3, 0, 19, 20, 1, 6), (4, 1, 10, 10, 1, 1), (4, 12, 21, 10, 1, 21)]
+    assert all(2 <= r[6] <= 4 for r in got)
+    for doc, from_line, to_line, n, first, first_line, _ in got:
+        of = lambda d, a: [x for x in texts[d][a:] if x.split()][:n]  # noqa: B023, E731
+        assert of(doc, from_line) == of(first, first_line) and len([x for x in texts[doc][from_line : to_line + 1] if x.split()]) == n
+
+
 def test_nulls_repeated_rows_and_empty(spark):
     text = "one two three\n\nfour five six"
     rows = [(None, None, "x"), (None, text, "x"), (4, text, "x"), (4, text, "x"), (5, "", "x"), (6, " \n ", "x"), (7, "one two three", "x")]
