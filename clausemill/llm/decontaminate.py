@@ -9,14 +9,19 @@ diagonal join to the longest verbatim matches with their places.
 
 Shards are built and searched where the documents are: nothing is shuffled, a shard's arrays are all that
 a task holds, and a lost task repeats its own shards. The benchmark is the query set and is read in blocks
-of at most ``block_words`` words; each block is broadcast (that bounds its size) and passed over all rows in
-turn, so a benchmark of any size is looked up whole.
+of at most ``block_words`` words and one item; a block is broadcast (that bounds its size) and passed over all
+rows. Only one block is alive at a time: what a block has found is written in the shared checkpoint folder before
+the next one is sent, so a benchmark of any size is looked up whole in bounded memory. One block needs no write.
+
+Words that are hit and the items are found in time and memory that grow with the places found; the matches
+themselves, which are as many as pairs of places, are only told ``with_matches``.
 
 Defined results for odd input: a null text has no words; an item without words matches nothing; an item with
 fewer words than the window must occur whole; equal rows give equal results, row by row; items that share an
 id are texts of their own under one id; items with a null id are windows like all others, and their matches
 have a null item_id (the query counts all of them as one item, which adds nothing to the digest of ids); empty
-tables give no matches; other columns pass through untouched, but for the names added.
+tables give no matches; other columns pass through untouched, whatever their names, but for those named as an
+added one in any case of letters, which it replaces.
 """
 
 from __future__ import annotations
@@ -28,13 +33,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from clausemill.llm.columns import Passing, picked
+from clausemill.llm.store import Store
 
 #: Bytes of words stay, A-Z in lower case; all others separate. Bytes from 0x80 on are parts of letters.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("item_start", pa.int64()), ("doc_start", pa.int64()), ("n_words", pa.int64())]))
-_MATCH_SQL = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "item_start", "doc_start", "n_words")]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
+_MATCH_FIELDS = ("item_id", "item_start", "doc_start", "n_words")
+_MATCH = pa.list_(pa.struct([(n, pa.int64()) for n in _MATCH_FIELDS]))
+_MATCH_SQL = "array<struct<item_id:long,item_start:long,doc_start:long,n_words:long>>"
+#: Windows looked up at once, and (document, item) pairs held before repeated ones go.
+_AT_ONCE, _PAIRS = 50_000, 2_000_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -51,18 +62,22 @@ class Block:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.least = min([window, *(len(w) for _, w in items if w)], default=window)
-        by_size: dict[int, dict[tuple, list]] = {}
-        for item, (_, words) in enumerate(items):
-            ids = [self.vocabulary[w] for w in words]
-            size = min(window, len(ids))
-            for s in range(len(ids) - size + 1 if size else 0):
-                by_size.setdefault(size, {}).setdefault(tuple(ids[s : s + size]), []).append((item, s))
+        n = np.array([len(w) for _, w in items], dtype=np.int64)
+        begins = np.cumsum(n) - n
+        text = np.concatenate([np.empty(0, dtype=np.int64), *[self.numbers(w) for _, w in items]])
+        sizes = np.minimum(n, window)
+        counts = np.where(sizes > 0, n - sizes + 1, 0)
+        item = np.repeat(np.arange(len(items)), counts)
+        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         #: For each length: the distinct windows, and where each occurs as ranges of (number of the item, start).
         self.windows = []
-        for size, found in sorted(by_size.items()):
-            bounds = np.cumsum([0, *map(len, found.values())])
-            at = np.array([p for ps in found.values() for p in ps], dtype=np.int64).reshape(-1, 2)
-            self.windows.append((size, np.array(list(found), dtype=np.int64).reshape(len(found), size), bounds, at))
+        for size in sorted(set(sizes[sizes > 0].tolist())):
+            own = np.flatnonzero(sizes[item] == size)
+            rows = text[(begins[item[own]] + start[own])[:, None] + np.arange(size)].astype(np.int32)
+            order = np.lexsort(packed_keys(rows.astype(np.int64), len(self.vocabulary).bit_length())[::-1])
+            own, rows = own[order], rows[order]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+            self.windows.append((size, rows[new], np.append(new, len(own)), np.stack([item[own], start[own]], axis=1)))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), dtype=np.int64, count=len(words))
@@ -107,31 +122,9 @@ def search(text: np.ndarray, order: np.ndarray, windows: np.ndarray) -> tuple[np
     return (bound(False), bound(True)) if len(order) else (np.zeros(len(windows), dtype=np.int64),) * 2
 
 
-def shard_matches(block: Block, docs: list[np.ndarray]) -> list[list[tuple[int | None, int, int, int]]]:
-    """For each document of a shard its longest matches: (item, start in the item, start in the document, words)."""
-    out: list[list[tuple[int | None, int, int, int]]] = [[] for _ in docs]
-    depth = max((w[0] for w in block.windows), default=0)
-    if not depth:
-        return out
-    gap = np.zeros(depth, dtype=np.int64)
-    text = np.concatenate([x for d in docs for x in (d, gap)] + [gap])
-    begins = np.cumsum([0, *(len(d) + depth for d in docs)])
-    known = np.concatenate([[0], np.cumsum(text > 0)])
-    places = np.arange(len(text) - depth)
-    starts = places[known[places + block.least] - known[places] == block.least]
-    order = suffix_array(text, starts, depth, len(block.vocabulary).bit_length())
-    items, at_item, at_text, sizes = [], [], [], []
-    for size, windows, bounds, where in block.windows:
-        low, high = search(text, order, windows)
-        for w in np.flatnonzero(high > low):
-            places, own = order[low[w] : high[w]], where[bounds[w] : bounds[w + 1]]
-            items.append(np.tile(own[:, 0], len(places)))
-            at_item.append(np.tile(own[:, 1], len(places)))
-            at_text.append(np.repeat(places, len(own)))
-            sizes.append(np.full(len(places) * len(own), size))
-    if not items:
-        return out
-    item, start, place, size = map(np.concatenate, (items, at_item, at_text, sizes))
+def _longest(found: list[tuple[np.ndarray, ...]], block: Block, begins: np.ndarray, out: list[list]) -> None:
+    """Joins neighbours on one diagonal to the longest matches: (item, start in the item, start in the document, words)."""
+    item, start, place, size = map(np.concatenate, zip(*found, strict=True))
     doc = np.searchsorted(begins, place, side="right") - 1
     order = np.lexsort((start, place - start, item, doc))
     item, start, place, size, doc = (x[order] for x in (item, start, place, size, doc))
@@ -142,22 +135,71 @@ def shard_matches(block: Block, docs: list[np.ndarray]) -> list[list[tuple[int |
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         d = int(doc[a])
         out[d].append((block.ids[item[a]], int(start[a]), int(place[a] - begins[d]), int(start[b] - start[a] + size[b])))
-    return out
 
 
-def hit_words(matches: list[tuple[int | None, int, int, int]]) -> int:
-    """Words inside any match."""
-    total = end = 0
-    for start, size in sorted((m[2], m[3]) for m in matches):
-        total += max(0, start + size - max(end, start))
-        end = max(end, start + size)
-    return total
+def search_shard(block: Block, docs: list[np.ndarray], with_matches: bool) -> tuple[list[list], list[set], list[list]]:
+    """For each document of a shard: the (start, size) of its hit words, the ids of the items found, and the longest matches."""
+    spans: list[list] = [[] for _ in docs]
+    ids: list[set] = [set() for _ in docs]
+    matches: list[list] = [[] for _ in docs]
+    depth = max((w[0] for w in block.windows), default=0)
+    if not depth:
+        return spans, ids, matches
+    gap = np.zeros(depth, dtype=np.int64)
+    text = np.concatenate([x for d in docs for x in (d, gap)] + [gap])
+    begins = np.cumsum([0, *(len(d) + depth for d in docs)])
+    known = np.concatenate([[0], np.cumsum(text > 0)])
+    places = np.arange(len(text) - depth)
+    starts = places[known[places + block.least] - known[places] == block.least]
+    order = suffix_array(text, starts, depth, len(block.vocabulary).bit_length())
+    cover = np.zeros(len(text) + 1, dtype=np.int32)
+    pairs, held, found = [], 0, []
+    for size, windows, bounds, where in block.windows:
+        for at in range(0, len(windows) if len(order) else 0, _AT_ONCE):
+            low, high = search(text, order, windows[at : at + _AT_ONCE])
+            for w in np.flatnonzero(high > low):
+                places, own = order[low[w] : high[w]], where[bounds[at + w] : bounds[at + w + 1]]
+                cover[places] += 1
+                cover[places + size] -= 1
+                there = np.unique(np.searchsorted(begins, places, side="right") - 1)
+                pairs.append((there[:, None] * len(block.ids) + np.unique(own[:, 0])).ravel())
+                held += len(pairs[-1])
+                if held >= _PAIRS:
+                    pairs = [np.unique(np.concatenate(pairs))]
+                    held = 0
+                if with_matches:
+                    found.append((np.tile(own[:, 0], len(places)), np.tile(own[:, 1], len(places)), np.repeat(places, len(own)), np.full(len(places) * len(own), size)))
+    if not pairs:
+        return spans, ids, matches
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8), [0]])))
+    first, last = edges[::2], edges[1::2]
+    doc = np.searchsorted(begins, first, side="right") - 1
+    for d, a, n in zip(doc.tolist(), (first - begins[doc]).tolist(), (last - first).tolist(), strict=True):
+        spans[d].append((a, n))
+    for key in np.unique(np.concatenate(pairs)).tolist():
+        ids[key // len(block.ids)].add(block.ids[key % len(block.ids)])
+    if with_matches:
+        _longest(found, block, begins, matches)
+    return spans, ids, matches
+
+
+def joined_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (start, size) spans of words in either list, apart and in order."""
+    if not a or not b:
+        return a or b
+    out: list[tuple[int, int]] = []
+    for start, size in sorted(a + b):
+        if out and start <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], start + size - out[-1][0]))
+        else:
+            out.append((start, size))
+    return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
     items: list[tuple[int | None, list[bytes]]] = []
     held = 0
-    for row in benchmark.select(F.col(item_id).cast("long"), F.col(text)).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         words = split_words(row[1])
         items.append((row[0], words))
         held += len(words)
@@ -177,48 +219,59 @@ def find_matches(
     item_text: str = "text",
     shard_words: int = 500_000,
     block_words: int = 2_000_000,
+    with_matches: bool = False,
 ) -> DataFrame:
-    """The documents with ``n_words``, ``n_hit`` (words inside a match) and ``matches`` (the longest ones)."""
-    context = docs.sparkSession.sparkContext
-    columns = [c for c in docs.columns if c not in ("n_words", "n_hit", "matches")]
-    found = docs.select(*columns, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast(_MATCH_SQL).alias("matches"))
+    """The documents with ``n_words``, ``n_hit`` (words inside a match), ``item_ids`` and on request ``matches``, the longest ones."""
+    spark = docs.sparkSession
+    added = ["n_words", "n_hit", "item_ids", *(["matches"] if with_matches else [])]
+    passing = Passing(docs, added)
+    n = len(passing.kept)
+    at = passing.kept.index(passing.inside(text))
+    empty = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,size:long>>").alias("spans"), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast(_MATCH_SQL).alias("matches")]
+    found = passing.inner.select(*passing.kept, *empty)
     schema = found.schema
-    at = columns.index(text)
 
     def stage(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                texts, before = batch.column(at), batch.column(len(columns) + 2)
-                first, held, docs_, n_words, all_matches = 0, 0, [], [], []
-
-                def close(first: int, n: int) -> None:
-                    for j, own in enumerate(shard_matches(block, docs_)):
-                        old = before[first + j].as_py() or []
-                        all_matches.append([tuple(m.values()) for m in old] + own)
-
-                for i, value in enumerate(texts):
+                n_words, spans, ids, matches = [], [], [], []
+                held, docs_ = 0, []
+                for i, value in enumerate(batch.column(at)):
                     words = split_words(value.as_py())
                     n_words.append(len(words))
                     docs_.append(block.numbers(words))
                     held += len(words)
-                    if held >= shard_words or i + 1 == len(texts):
-                        close(first, len(docs_))
-                        first, held, docs_ = i + 1, 0, []
-                hits = [hit_words(m) for m in all_matches]
-                names = ("item_id", "item_start", "doc_start", "n_words")
-                matches = pa.array([[dict(zip(names, m, strict=True)) for m in own] for own in all_matches], _MATCH)
-                arrays = [batch.column(k) for k in range(len(columns))] + [pa.array(n_words, pa.int64()), pa.array(hits, pa.int64()), matches]
-                yield pa.RecordBatch.from_arrays(arrays, names=list(batch.schema.names))
+                    if held >= shard_words or i + 1 == batch.num_rows:
+                        for column, more in zip((spans, ids, matches), search_shard(block, docs_, with_matches), strict=True):
+                            column += more
+                        held, docs_ = 0, []
+                old = [batch.column(n + k).to_pylist() for k in (1, 2, 3)]
+                spans = [joined_spans([(x["start"], x["size"]) for x in a or ()], b) for a, b in zip(old[0], spans, strict=True)]
+                ids = [sorted({*(a or ()), *b}, key=lambda x: (x is not None, x or 0)) for a, b in zip(old[1], ids, strict=True)]
+                matches = [(a or []) + [dict(zip(_MATCH_FIELDS, m, strict=True)) for m in b] for a, b in zip(old[2], matches, strict=True)]
+                own = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "size": b} for a, b in x] for x in spans], _SPANS), pa.array(ids, pa.list_(pa.int64())), pa.array(matches, _MATCH)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *own], names=schema.names)
 
         return run
 
-    blocks = list(_blocks(benchmark, item_id, item_text, window, block_words)) or [Block([], window)]
-    for block in blocks:
-        found = found.mapInArrow(stage(context.broadcast(block)), schema)
-    return found
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    store, written = Store(spark, "decontaminate"), []
+    blocks = _blocks(picked(benchmark, item_id=item_id, text=item_text), window, block_words)
+    block = next(blocks, None) or Block([], window)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        found, block = found.mapInArrow(stage(shared), schema), next(blocks, None)
+        if block is not None:  # written before the next block is sent, so that only one is alive
+            found = store.save(found, f"block-{len(written)}")
+            shared.destroy()
+            store.drop(*written[-1:])
+            written.append(f"block-{len(written)}")
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["size"])
+    return passing.outer(found.withColumn("n_hit", hit), *added)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents without a match, with their own columns."""
-    return find_matches(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    passing = Passing(docs, [])
+    found = find_matches(passing.inner, benchmark, text=passing.inside(text), **options)
+    return passing.outer(found.where("n_hit = 0"))

@@ -9,7 +9,7 @@ from clausemill.llm.decontaminate import find_matches
 
 def op8_decontamination(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    items = F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string")))
+    items = F.transform("item_ids", lambda i: i.cast("string"))
     return (
         find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
         .select("doc_id", "n_words", "n_hit", F.sort_array(items).alias("items"))

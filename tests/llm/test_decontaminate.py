@@ -31,13 +31,14 @@ def test_against_brute_force(spark, shard_words, block_words):
     items = [(i, text(r.choice([0, 1, 2, 4, 5, 9, 12]))) for i in range(12)] + [(99, None), (3, "a a a a a a")]
     docs = [(i, text(r.randint(0, 60)) + " " + (r.choice(items)[1] or ""), "n", "x") for i in range(60)]
     docs += [(None, None, "n", "x"), (7, "", "n", "x"), docs[0], docs[0], (8, "a " * 500, "n", "x")]
-    got = find_matches(spark.createDataFrame(docs, DOC).coalesce(2), spark.createDataFrame(items, ITEM), window=4, shard_words=shard_words, block_words=block_words)
-    assert set(got.columns) == {"doc_id", "text", "lang", "n_words", "n_hit", "matches"}
+    got = find_matches(spark.createDataFrame(docs, DOC).coalesce(2), spark.createDataFrame(items, ITEM), window=4, shard_words=shard_words, block_words=block_words, with_matches=True)
+    assert got.columns == ["doc_id", "text", "lang", "n_words", "n_hit", "item_ids", "matches"]
     rows = got.collect()
     assert len(rows) == len(docs)
     for row in rows:
         n, hit, ids = brute(row.text, items, 4)
         assert (row.n_words, row.n_hit, {m.item_id for m in row.matches}) == (n, hit, ids)
+        assert len(row.item_ids) == len(ids) and set(row.item_ids) == ids
         words = split_words(row.text)
         for m in row.matches:
             assert any(
@@ -48,7 +49,7 @@ def test_against_brute_force(spark, shard_words, block_words):
 def test_longest_match_and_place(spark):
     docs = spark.createDataFrame([(1, "x y one two three four five z one two")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "zero one two three four five six")], ITEM)
-    row = find_matches(docs, items, window=3).first()
+    row = find_matches(docs, items, window=3, with_matches=True).first()
     assert [tuple(m) for m in row.matches] == [(5, 1, 2, 5)] and row.n_hit == 5
     assert decontaminate(docs, items, window=3).count() == 0
 
@@ -68,5 +69,37 @@ def test_items_without_an_id(spark, tmp_path):
     got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in op8_decontamination(spark, str(tmp_path)).collect()}
     assert got == {1: (12, 1, True), 2: (25, 1, True), 3: (12, 2, True), 4: (21, 2, True), 5: (0, 0, False), 6: (0, 0, False)}
     assert compare(op8_decontamination(spark, str(tmp_path)), ORACLES["op8_decontamination"], connect(str(tmp_path))) is None
-    found = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM)).where("doc_id = 2").first()
+    found = find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEM), with_matches=True).where("doc_id = 2").first()
     assert sorted((tuple(m) for m in found.matches), key=str) == [(None, 0, 14, 11), (None, 2, 0, 14)]
+
+
+def test_only_one_block_is_alive(spark, monkeypatch):
+    """Many small blocks: each broadcast is gone before the next, and the plan that is left has one pass over rows."""
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice(["a", "b", "c", "d"]) for _ in range(n))
+    items, docs = [(i, text(9)) for i in range(20)], [(i, text(40), "n", "x") for i in range(30)]
+    alive, most = set(), []
+    context = type(spark.sparkContext)
+    plain = context.broadcast
+
+    def counted(self, value):
+        made = plain(self, value)
+        alive.add(id(made))
+        most.append(len(alive))
+        destroy = made.destroy
+        made.destroy = lambda *a: (alive.discard(id(made)), destroy(*a))
+        return made
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    got = find_matches(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM).coalesce(1), window=6, block_words=18)
+    assert len(most) == 10 and max(most) == 1
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    for row in got.collect():
+        n, hit, ids = brute(row.text, items, 6)
+        assert (row.n_words, row.n_hit, set(row.item_ids)) == (n, hit, ids)
+
+
+def test_a_repeated_word_hits_in_linear_space(spark):
+    docs = spark.createDataFrame([(1, "z " * 200_000, "n", "x")], DOC)
+    row = find_matches(docs, spark.createDataFrame([(1, "z " * 3_000), (2, "z " * 4_000)], ITEM)).first()
+    assert (row.n_words, row.n_hit, row.item_ids) == (200_000, 200_000, [1, 2])
