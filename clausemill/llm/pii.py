@@ -14,17 +14,19 @@ driver hold one row for each pattern: at most 4 kinds x 3^5 votes x 2^4 features
 
 Defined results for odd input: a null text counts as empty and has no span; texts are read whole; equal rows
 give equal results, row by row; an empty table gives an empty table and a model that keeps its priors; other
-columns pass through untouched, but for the names added. Offsets are code points, ends exclusive.
+columns pass through untouched, whatever their names, but for those named as an added one in any case of letters,
+which it replaces. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import let
+from clausemill.llm.columns import Passing, let
 from clausemill.llm.store import Store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -68,25 +70,56 @@ VOTES = ("strict", "valid", "listed", "context", "bounded")
 SHAPE = ("grouped", "plain", "long", "quoted")
 
 
+def _levels(n: Column) -> Column:
+    """1 to the number of doublings that reach n; none for 0 and 1."""
+    most = F.ceil(F.log2(n.cast("double"))).cast("int")
+    return F.when(n > 1, F.sequence(F.lit(1), most)).otherwise(F.expr("array()").cast("array<int>"))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it (by an associative function), in as many passes as doublings reach the size."""
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k - 1).cast("int")
+        return F.transform(acc, lambda v, i: let(F.get(acc, i - back), lambda w: F.when(w.isNull(), v).otherwise(join(v, w))))
+
+    return let(values, lambda x: F.aggregate(_levels(F.size(x)), x, step))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, leftmost and without overlap: array of (start, end, match, before, after)."""
+    """All matches of a pattern, leftmost and without overlap: array of (start, end, match, before, after).
+
+    The starts are running sums of the lengths between, so a text with many matches costs n log n.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kind = "array<struct<start:long,end:long,match:string,before:string,after:string>>"
-
-    def place(g: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
-            i = F.size(acc["spans"])
-            start = acc["at"] + F.length(F.get(g, i))
-            end = start + F.length(m)
-            span = F.struct(
-                start.cast("long").alias("start"), end.cast("long").alias("end"), m.alias("match"), F.right(F.get(g, i), F.lit(40)).alias("before"), F.left(F.get(g, i + 1), F.lit(2)).alias("after")
+
+    def place(g: Column, f: Column) -> Column:
+        steps = F.transform(f, lambda m, i: (F.length(F.get(g, i)) + F.coalesce(F.length(F.get(f, i - 1)), F.lit(0))).cast("long"))
+
+        def span(starts: Column) -> Column:
+            return F.transform(
+                f,
+                lambda m, i: F.struct(
+                    F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(m)).alias("end"), m.alias("match"), F.right(F.get(g, i), F.lit(40)).alias("before"), F.left(F.get(g, i + 1), F.lit(2)).alias("after")
+                ),
             )
-            return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-        first = F.struct(F.lit(0).cast("long").alias("at"), F.expr("array()").cast(kind).alias("spans"))
-        return F.aggregate(found, first, step, lambda acc: acc["spans"])
+        return let(running(steps, lambda v, w: v + w), span)
+
+    return let(found, lambda f: let(gaps, lambda g: place(g, f)))
+
+
+def reach_of(spans: Column) -> Column:
+    """Spans by start, each with the farthest end up to it: array of (start, far), which ``touched`` searches."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("far"))))
+    return running(ordered, lambda v, w: F.struct(v["start"].alias("start"), F.greatest(v["far"], w["far"]).alias("far")))
+
 
-    return let(gaps, place)
+def touched(reach: Column, span: Column) -> Column:
+    """Whether a span overlaps one of those: a binary search for the last that starts before its end."""
+    steps = F.transform(F.reverse(F.concat(F.array(F.lit(0)), _levels(F.size(reach)))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    last = F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(reach, low + s - 1)["start"] < span["end"], low + s).otherwise(low))
+    return F.coalesce(let(last, lambda i: F.get(reach, i - 1)["far"] > span["start"]), F.lit(False))
 
 
 def _digits(text: Column) -> Column:
@@ -252,24 +285,26 @@ def _score(c: Column, weights: dict[str, list[float]]) -> Column:
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows without their text, with ``base`` and ``added``: arrays of (kind, start, end), by kind as listed, then start."""
     store = Store(docs.sparkSession, "pii")
-    kept = [c for c in docs.columns if c not in (text, "base", "added")]
-    whole = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    passing = Passing(docs, ["base", "added"], without=[text])
+    whole = passing.inner.select(*passing.kept, F.coalesce(F.col(passing.inside(text)), F.lit("")).alias("whole"))
     only = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-    base = F.concat(*[F.transform(base_spans(F.col("__text"), k), only(k)) for k in KINDS])
-    wide = F.concat(*[candidates(F.col("__text"), k) for k in KINDS])
-    found = store.save(whole.select(*kept, base.alias("base"), wide.alias("__candidates")), "candidates")
+    base = F.concat(*[F.transform(base_spans(F.col("whole"), k), only(k)) for k in KINDS])
+    wide = F.concat(*[candidates(F.col("whole"), k) for k in KINDS])
+    found = store.save(whole.select(*passing.kept, base.alias("base"), wide.alias("candidates")), "candidates")
 
-    patterns = found.select(F.explode("__candidates").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in VOTES + SHAPE]).count().collect()
+    patterns = found.select(F.explode("candidates").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in VOTES + SHAPE]).count().collect()
     weights = fit([tuple(r) for r in patterns])
 
-    def fresh(b: Column) -> Column:
-        return F.filter("__candidates", lambda c: (_score(c, weights) > 0) & ~F.exists(b, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    real = F.filter("candidates", lambda c: _score(c, weights) > 0)
+    free = lambda own, others: F.when((F.size(own) == 0) | (F.size(others) == 0), own).otherwise(let(reach_of(others), lambda r: F.filter(own, lambda c: ~touched(r, c))))
 
     def apart(c: Column) -> Column:  # candidates of two kinds may meet: the first kind listed stays
-        return F.filter(c, lambda x, i: ~F.exists(c, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]) & (_rank(y["kind"]) < _rank(x["kind"]))))
+        of = lambda kinds: F.filter(c, lambda x: x["kind"].isin(*kinds))
+        return F.when(F.size(c) < 2, c).otherwise(F.concat(of(KINDS[:1]), *[let(of(KINDS[:k]), lambda before: free(of([KINDS[k]]), before)) for k in range(1, len(KINDS))]))  # noqa: B023
 
-    added = let(F.col("base"), lambda b: let(fresh(b), apart))
-    return found.select(*kept, "base", F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("added"))
+    added = let(real, lambda r: let(free(r, F.col("base")), apart))
+    done = found.select(*passing.kept, "base", F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))).alias("added"))
+    return passing.outer(done, "base", "added")
 
 
 def _rank(kind: Column) -> Column:

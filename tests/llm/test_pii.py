@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -68,6 +69,34 @@ def test_pre_tests_are_implied_by_the_patterns(spark):
         assert missed.where((F.col("t").rlike(pii.BASE[k]) | F.col("t").rlike(pii.WIDE[k])) & ~F.col("t").rlike(pii.NEEDS[k])).collect() == []
 
 
+def test_overlaps_against_all_pairs(spark):
+    r = random.Random(6)
+    spans = lambda n: sorted((a, a + r.randint(1, 12)) for a in (r.randint(0, 150) for _ in range(n)))
+    rows = [(spans(r.randint(0, 17)), spans(r.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame(rows, "a array<struct<start:long,end:long>>, b array<struct<start:long,end:long>>")
+    got = df.select("a", "b", F.transform("b", lambda x: pii.touched(pii.reach_of(F.col("a")), x)).alias("t"), pii.running(F.transform("a", lambda x: x["start"]), lambda v, w: v + w).alias("s")).collect()
+    for row in got:
+        assert list(row.t) == [any(x.start < y.end and y.start < x.end for x in row.a) for y in row.b]
+        assert list(row.s) == [sum(x.start for x in row.a[: i + 1]) for i in range(len(row.a))]
+
+
+def test_time_grows_in_proportion_to_matches(spark):
+    """32,000 matches in one text: base spans exact, and far from the 16-fold time that all pairs would take."""
+    parts = lambda n: " ".join(f"u{i}@x.org 10.{i % 256}.0.1 4111 1111 1111 {i % 10000:04d}" for i in range(n))
+    took = {}
+    for n in (2_000, 2_000, 8_000):
+        text = parts(n)
+        began = time.time()
+        row = found(spark, [text])[0]
+        took[n] = time.time() - began
+        assert [(s.kind, s.start, s.end) for s in row.base] == base(text)
+        both = sorted((s.start, s.end, s.kind) for s in [*row.base, *row.added])
+        for a in row.added:
+            assert not any(b.start < a.end and a.start < b.end for b in row.base[:50])
+        assert len(set(both)) == len(both)
+    assert took[8_000] < 10 * took[2_000] + 5
+
+
 def test_added_spans_do_not_touch_base_spans(spark):
     texts = ["call 4111111111111111 4111111111111111 now", "mail jane (at) example (dot) com please", "phone: (663) 555-6869 today", "token = 2669109448945250", "x 1234567812345678 y"] * 3
     got = found(spark, texts)
