@@ -8,15 +8,17 @@ TAG is INST for user, ANS for assistant, SYS for system, and any other role writ
 after ``ROLE:``. A control string is ``<s>``, ``</s>`` or a bracketed tag. Inside a text every control
 string, bare or already carrying backslashes behind its first character, gets one more backslash there,
 so ``</s>`` becomes ``<\\/s>`` and ``<\\/s>`` becomes ``<\\\\/s>``; the parser takes one off. The two rewrites
-are each other's inverse, and no control string is left inside an escaped text, so ``</s>`` can only end a turn.
+are each other's inverse, and no bare control string is left inside an escaped text, so ``</s>`` can only end a turn.
 
-A conversation is rendered as it is, parsed again and compared with its source; only where the turns that
-come back differ is it rendered again with the conflicting strings escaped, which always comes back identical.
+Every turn is rendered as it is and parsed again; where what comes back differs from the source, its text is escaped.
+As a turn's end is also an end for the parser, the turns of a conversation come back as they do alone. The whole
+conversation is then parsed and compared with its source; one that still differed would have all its texts escaped
+and be compared again, and raise if it differed then. A text with a bare control string is not in the grammar.
 
 Defined results for odd input: a null text counts as empty and a null role as the empty role; turns are
 ordered by turn number (null first), then role and text; equal rows are kept as turns of their own; rows
 with a null conversation id form one conversation; an empty table gives an empty table; other columns are
-ignored. The contract asks for one row and one digest a conversation, so one conversation's turns meet in
+ignored, also ones whose names differ by case only. The contract asks for one row and one digest a conversation, so one conversation's turns meet in
 one row: that, not the table, is what a task must hold.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import let
+from clausemill.llm.columns import let, picked, running
 
 #: The tag of each known role.
 TAGS = {"user": "INST", "assistant": "ANS", "system": "SYS"}
@@ -33,7 +35,7 @@ TAGS = {"user": "INST", "assistant": "ANS", "system": "SYS"}
 _CONTROL = (r"<(\\*)(/?s)>", r"\[(\\*)(/?(?:INST|ANS|SYS|ROLE:[0-9a-f]*))\]")
 _ESCAPED = (r"<\\(\\*)(/?s)>", r"\[\\(\\*)(/?(?:INST|ANS|SYS|ROLE:[0-9a-f]*))\]")
 
-TURN = "struct<role:string,text:string>"
+_BARE = r"</?s>|\[/?(?:INST|ANS|SYS|ROLE:[0-9a-f]*)\]"
 
 
 def escape(text: Column) -> Column:
@@ -62,15 +64,19 @@ def role_of(tag: Column) -> Column:
     return found
 
 
-def render(turns: Column, escaped: bool) -> Column:
-    """The formatted text of an array of (role, text)."""
+def _rendered(role: Column, text: Column) -> Column:
+    """One turn, its text taken as it stands."""
+    return let(tag_of(role), lambda tag: F.concat(F.lit("<s>["), tag, F.lit("] "), text, F.lit(" [/"), tag, F.lit("]</s>")))
 
-    def one(t: Column) -> Column:
-        return let(
-            tag_of(t["role"]),
-            lambda tag: F.concat(F.lit("<s>["), tag, F.lit("] "), escape(t["text"]) if escaped else t["text"], F.lit(" [/"), tag, F.lit("]</s>")),
-        )
 
+def conflicting(turn: Column) -> Column:
+    """Whether a turn, rendered as it is, comes back differently."""
+    return ~F.coalesce(parse(_rendered(turn["role"], turn["text"])) == F.array(turn), F.lit(False))
+
+
+def render(turns: Column, escaped: Column) -> Column:
+    """The formatted text of an array of (role, text), the texts escaped where the array of marks says so."""
+    one = lambda t, i: _rendered(t["role"], F.when(F.get(escaped, i), escape(t["text"])).otherwise(t["text"]))
     return F.array_join(F.transform(turns, one), "")
 
 
@@ -86,8 +92,9 @@ def _read(piece: Column) -> Column:
     def with_tag(tag: Column) -> Column:
         head, tail = F.concat(F.lit("<s>["), tag, F.lit("] ")), F.concat(F.lit(" [/"), tag, F.lit("]"))
         size = F.length(piece) - F.length(head) - F.length(tail)
-        good = piece.startswith(head) & piece.endswith(tail) & (size >= 0)
-        return F.struct(tag.alias("tag"), F.substring(piece, F.length(head) + 1, F.greatest(size, F.lit(0))).alias("raw"), good.alias("good"))
+        framed = piece.startswith(head) & piece.endswith(tail) & (size >= 0)
+        raw = F.substring(piece, F.length(head) + 1, F.greatest(size, F.lit(0)))
+        return let(raw, lambda r: F.struct(tag.alias("tag"), r.alias("raw"), (framed & ~r.rlike(_BARE)).alias("good")))
 
     return let(F.regexp_extract(piece, r"\A<s>\[([A-Z]+(?::[0-9a-f]*)?)\] ", 1), with_tag)
 
@@ -100,7 +107,8 @@ def parse(formatted: Column) -> Column:
 
     def of(p: Column) -> Column:
         read = F.transform(p, _read)
-        return let(read, lambda r: F.when(F.forall(r, lambda x: x["good"]), F.transform(r, turn)))
+        whole = (formatted == "") | formatted.endswith("</s>")
+        return let(read, lambda r: F.when(whole & F.forall(r, lambda x: x["good"]), F.transform(r, turn)))
 
     def turn(x: Column) -> Column:
         return F.struct(role_of(x["tag"]).alias("role"), unescape(x["raw"]).alias("text"))
@@ -112,32 +120,33 @@ def loss_spans(formatted: Column) -> Column:
     """Array of (start, length): the code points of the formatted text under the loss mask."""
 
     def of(p: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast("array<struct<start:int,length:int>>").alias("spans"))
+        ends = running(F.transform(p, lambda x: F.length(x) + 4), lambda v, w: v + w)
 
-        def step(acc: Column, x: Column) -> Column:
-            r = _read(x)
-            own = F.struct((acc["at"] + F.length(r["tag"]) + 6).alias("start"), F.length(r["raw"]).alias("length"))
-            spans = F.when(r["tag"] == TAGS["assistant"], F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"])
-            return F.struct((acc["at"] + F.length(x) + 4).alias("at"), spans.alias("spans"))
+        def spans(e: Column) -> Column:
+            own = F.transform(p, lambda x, i: let(_read(x), lambda r: F.struct(r["tag"].alias("tag"), (F.coalesce(F.get(e, i - 1), F.lit(0)) + F.length(r["tag"]) + 6).alias("start"), F.length(r["raw"]).alias("length"))))
+            return F.transform(F.filter(own, lambda s: s["tag"] == TAGS["assistant"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
-        return F.aggregate(p, start, step, lambda acc: acc["spans"])
+        return let(ends, spans)
 
     return let(_pieces(formatted), of)
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: its id, ``formatted``, ``escaped``, ``turns`` as read back and ``loss_spans``."""
+    """One row a conversation: its id, ``formatted``, ``escaped`` (how many turns), ``turns`` as read back and ``loss_spans``."""
     source = (
-        turns.select(
-            F.col(conv).alias("conv_id"),
-            F.struct(
-                F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-            ).alias("t"),
-        )
+        picked(turns, conv_id=conv, turn=turn, role=role, text=text)
+        .select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
         .groupBy("conv_id")
         .agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     )
-    plain = source.withColumn("plain", render(F.col("source"), False))
-    tested = plain.withColumn("same", F.coalesce(parse(F.col("plain")) == F.col("source"), F.lit(False)))
-    formatted = tested.select("conv_id", (~F.col("same")).alias("escaped"), F.when(F.col("same"), F.col("plain")).otherwise(render(F.col("source"), True)).alias("formatted"))
-    return formatted.withColumn("turns", parse(F.col("formatted"))).withColumn("loss_spans", loss_spans(F.col("formatted")))
+    marked = source.withColumn("marks", F.transform("source", conflicting))
+    formatted = marked.withColumn("formatted", render(F.col("source"), F.col("marks"))).withColumn("turns", parse(F.col("formatted")))
+    same = F.coalesce(F.col("turns") == F.col("source"), F.lit(False))
+    # the second comparison: none has been seen to need it
+    again = formatted.withColumn("same", same).withColumn("marks", F.when(F.col("same"), F.col("marks")).otherwise(F.transform("source", lambda t: F.lit(True))))
+    again = again.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(render(F.col("source"), F.col("marks"))))
+    again = again.withColumn("turns", F.when(F.col("same"), F.col("turns")).otherwise(parse(F.col("formatted"))))
+    lost = F.raise_error(F.concat(F.lit("conversation does not come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    told = again.withColumn("turns", F.when(same, F.col("turns")).otherwise(lost.cast(again.schema["turns"].dataType)))
+    escaped = F.size(F.filter("marks", lambda m: m)).alias("escaped")
+    return told.select("conv_id", escaped, "formatted", "turns", loss_spans(F.col("formatted")).alias("loss_spans"))

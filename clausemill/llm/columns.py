@@ -26,6 +26,22 @@ def occurrences(text: Column, char_class: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, f"{char_class}+", ""))).cast("long")
 
 
+def levels(n: Column) -> Column:
+    """1 to the number of doublings that reach n; none for 0 and 1."""
+    most = F.ceil(F.log2(n.cast("double"))).cast("int")
+    return F.when(n > 1, F.sequence(F.lit(1), most)).otherwise(F.expr("array()").cast("array<int>"))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each value joined with all before it (by an associative function), in as many passes as doublings reach the size."""
+
+    def step(acc: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k - 1).cast("int")
+        return F.transform(acc, lambda v, i: let(F.get(acc, i - back), lambda w: F.when(w.isNull(), v).otherwise(join(v, w))))
+
+    return let(values, lambda x: F.aggregate(levels(F.size(x)), x, step))
+
+
 def place_of(columns: list[str], name: str) -> int:
     """Where a column is: the first of that very name, else the first that differs by case only."""
     for same in (lambda c: c == name, lambda c: c.lower() == name.lower()):

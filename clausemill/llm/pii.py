@@ -21,12 +21,11 @@ which it replaces. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import Passing, let
+from clausemill.llm.columns import Passing, let, levels, running
 from clausemill.llm.store import Store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -70,22 +69,6 @@ VOTES = ("strict", "valid", "listed", "context", "bounded")
 SHAPE = ("grouped", "plain", "long", "quoted")
 
 
-def _levels(n: Column) -> Column:
-    """1 to the number of doublings that reach n; none for 0 and 1."""
-    most = F.ceil(F.log2(n.cast("double"))).cast("int")
-    return F.when(n > 1, F.sequence(F.lit(1), most)).otherwise(F.expr("array()").cast("array<int>"))
-
-
-def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """Each value joined with all before it (by an associative function), in as many passes as doublings reach the size."""
-
-    def step(acc: Column, k: Column) -> Column:
-        back = F.pow(F.lit(2.0), k - 1).cast("int")
-        return F.transform(acc, lambda v, i: let(F.get(acc, i - back), lambda w: F.when(w.isNull(), v).otherwise(join(v, w))))
-
-    return let(values, lambda x: F.aggregate(_levels(F.size(x)), x, step))
-
-
 def located(text: Column, pattern: str) -> Column:
     """All matches of a pattern, leftmost and without overlap: array of (start, end, match, before, after).
 
@@ -117,7 +100,7 @@ def reach_of(spans: Column) -> Column:
 
 def touched(reach: Column, span: Column) -> Column:
     """Whether a span overlaps one of those: a binary search for the last that starts before its end."""
-    steps = F.transform(F.reverse(F.concat(F.array(F.lit(0)), _levels(F.size(reach)))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    steps = F.transform(F.reverse(F.concat(F.array(F.lit(0)), levels(F.size(reach)))), lambda k: F.pow(F.lit(2.0), k).cast("int"))
     last = F.aggregate(steps, F.lit(0), lambda low, s: F.when(F.get(reach, low + s - 1)["start"] < span["end"], low + s).otherwise(low))
     return F.coalesce(let(last, lambda i: F.get(reach, i - 1)["far"] > span["start"]), F.lit(False))
 
@@ -204,8 +187,11 @@ def _judged(kind: str, s: Column) -> Column:
     )
 
 
+_CANDIDATE = f"struct<kind:string,start:long,end:long,{','.join(f'{n}:int' for n in VOTES + SHAPE)}>"
+
+
 def candidates(text: Column, kind: str) -> Column:
-    none = F.filter(F.array(_judged(kind, F.struct(*[F.lit(0).cast("long").alias(n) for n in ("start", "end")], *[F.lit("").alias(n) for n in ("match", "before", "after")]))), lambda c: F.lit(False))
+    none = F.expr("array()").cast(f"array<{_CANDIDATE}>")
     return F.when(text.rlike(NEEDS[kind]), F.transform(located(text, WIDE[kind]), lambda s: _judged(kind, s))).otherwise(none)
 
 

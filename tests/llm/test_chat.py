@@ -38,15 +38,35 @@ def test_escape_is_reversible_and_leaves_no_control_string(spark, texts):
 def test_a_role_of_any_length_comes_back_whole(spark):
     role = "é" * 500_000 + "end"
     r = formatted(spark, [(1, 0, role, "a"), (1, 1, "user", "b")])[1]
-    assert not r.escaped and [t.role == x and t.text for t, x in zip(r.turns, (role, "user"), strict=True)] == ["a", "b"]
+    assert r.escaped == 0 and [t.role == x and t.text for t, x in zip(r.turns, (role, "user"), strict=True)] == ["a", "b"]
 
 
 def test_only_conflicts_are_escaped(spark):
     out = formatted(spark, [(1, 0, "user", "plain <b> [x]"), (2, 0, "user", "</s>")])
-    assert not out[1].escaped and out[2].escaped
+    assert out[1].escaped == 0 and out[2].escaped == 1
     assert out[1].formatted == "<s>[INST] plain <b> [x] [/INST]</s>"
 
 
+def test_a_clean_turn_beside_a_conflicting_one_stays_as_it_is(spark):
+    rows = [(1, 0, "user", "clean <\\ text"), (1, 1, "assistant", "a </s> b"), (1, 2, "user", "[INST]"), (1, 3, "assistant", "c <\\/s> d"), (1, 4, "user", "fine")]
+    r = formatted(spark, rows)[1]
+    assert r.escaped == 3 and [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows]
+    assert r.formatted == "<s>[INST] clean <\\ text [/INST]</s><s>[ANS] a <\\/s> b [/ANS]</s><s>[INST] [\\INST] [/INST]</s><s>[ANS] c <\\\\/s> d [/ANS]</s><s>[INST] fine [/INST]</s>"
+    assert [chat_text(r, s) for s in r.loss_spans] == ["a <\\/s> b", "c <\\\\/s> d"]
+
+
+def chat_text(r, span):
+    return r.formatted[span.start : span.start + span.length]
+
+
+def test_very_long_texts_many_turns_and_clashing_columns(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", "x" * (t % 7)) for t in range(6000)] + [(2, 0, "assistant", "</s> é" * 200_000)]
+    df = spark.createDataFrame(rows, SCHEMA).select("*", F.lit("a").alias("formatted"), F.lit("b").alias("TEXT"), F.lit(1).alias("source"), F.lit(2).alias("Role"))
+    out = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    assert len(out[1].turns) == 6000 and out[1].escaped == 0 and [chat_text(out[1], s) for s in out[1].loss_spans] == [x[3] for x in rows[1:6000:2]]
+    assert out[2].turns[0].text == rows[-1][3] and out[2].escaped == 1
+
+
 def test_nulls_ties_and_empty(spark):
     out = formatted(spark, [(None, None, None, None), (None, 1, "user", "b"), (None, 1, "user", "b")])
     assert [(t.role, t.text) for t in out[None].turns] == [("", ""), ("user", "b"), ("user", "b")]
@@ -54,10 +74,10 @@ def test_nulls_ties_and_empty(spark):
 
 
 def test_parser_rejects_what_is_not_in_the_grammar(spark):
-    texts = ["<s>[INST] a [/ANS]</s>", "junk", "<s>[INST] a [/INST]</s>tail", "<s>[INST] a [/INST]"]
+    texts = ["<s>[INST] a [/ANS]</s>", "junk", "<s>[INST] a [/INST]</s>tail", "<s>[INST] a [/INST]", "<s>[INST] [ANS] [/INST]</s>", "<s>[INST] <s> [/INST]</s>"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
 
-    assert df.select(chat.parse(F.col("t"))).first()[0] is None
+    assert [r[0] for r in df.select(chat.parse(F.col("t"))).collect()] == [None] * len(texts)
 
 
 def test_query_digests(spark, sf_dir):

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from clausemill.llm import pii
+from clausemill.llm.columns import running
 from clausemill.llm.query_pii import op10_pii
 
 PLAIN = {
@@ -74,7 +75,7 @@ def test_overlaps_against_all_pairs(spark):
     spans = lambda n: sorted((a, a + r.randint(1, 12)) for a in (r.randint(0, 150) for _ in range(n)))
     rows = [(spans(r.randint(0, 17)), spans(r.randint(1, 9))) for _ in range(300)]
     df = spark.createDataFrame(rows, "a array<struct<start:long,end:long>>, b array<struct<start:long,end:long>>")
-    got = df.select("a", "b", F.transform("b", lambda x: pii.touched(pii.reach_of(F.col("a")), x)).alias("t"), pii.running(F.transform("a", lambda x: x["start"]), lambda v, w: v + w).alias("s")).collect()
+    got = df.select("a", "b", F.transform("b", lambda x: pii.touched(pii.reach_of(F.col("a")), x)).alias("t"), running(F.transform("a", lambda x: x["start"]), lambda v, w: v + w).alias("s")).collect()
     for row in got:
         assert list(row.t) == [any(x.start < y.end and y.start < x.end for x in row.a) for y in row.b]
         assert list(row.s) == [sum(x.start for x in row.a[: i + 1]) for i in range(len(row.a))]
