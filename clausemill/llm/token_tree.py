@@ -7,28 +7,43 @@ finds its leaves by the sums of characters, encodes again the text of those leav
 as context where the edit has spoiled a cut; then the sums above change. Leaves that have grown are split
 when the tree is built anew, which their number bounds.
 
+The tree outlives the call: on request the rows come back with the edited text and its ``tree``, the characters
+and tokens of each leaf and a hash of the text. Rows that bring their tree are not encoded again but where edits
+touch them, so a job over a batch of edits costs what the edits touch. A tree whose hash is not that of the text
+is built anew.
+
 Documents are independent rows: nothing is shuffled but where an edit log is joined.
 
 Defined results for odd input: a null text counts as empty and has no token; places outside the text are moved
 to its nearest end; a null replacement is empty; edits apply in order, each to the text the one before left;
 equal rows give equal results, row by row; an empty table gives an empty table; other columns pass through
-untouched, but for the names added.
+untouched, whatever their names, but for those named as an added one in any case of letters, which it replaces.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausemill.llm.columns import Passing, picked
 from clausemill.llm.tokenizer import coder, vocabulary
 
 _CUT = re.compile(r"(?<=[!-~\w])(?=[ \n\t\r])")
 EDIT = "struct<start:long,length:long,replacement:string>"
+TREE = "struct<text_hash:long,chars:array<int>,tokens:array<int>>"
+
+
+def text_hash(text: str) -> int:
+    """A signed 64-bit hash of a text."""
+    found = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return found - (1 << 64) if found >= 1 << 63 else found
 
 
 def leaves_of(text: str, size: int) -> list[str]:
@@ -45,19 +60,19 @@ def leaves_of(text: str, size: int) -> list[str]:
 class TokenTree:
     """The token count of a text under edits."""
 
-    def __init__(self, text: str, count: Callable[[str], int], size: int = 256):
+    def __init__(self, text: str, count: Callable[[str], int], size: int = 256, stored: dict | None = None):
         self.count, self.size = count, size
         self.encoded = 0
-        self._build(leaves_of(text, size))
+        if stored and stored["text_hash"] == text_hash(text) and sum(stored["chars"]) == len(text):
+            ends = [0, *accumulate(stored["chars"])]
+            self._fill([(text[a:b], n) for a, b, n in zip(ends[:-1], ends[1:], stored["tokens"], strict=True)])
+        else:
+            self._fill([(x, self._encode(x)) for x in leaves_of(text, size)])
 
-    def _build(self, leaves: list[str]) -> None:
-        self.width = 1 << max(0, (len(leaves) - 1).bit_length())
-        self.leaves = leaves + [""] * (self.width - len(leaves))
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, leaf in enumerate(leaves):
-            self.chars[self.width + k], self.tokens[self.width + k] = len(leaf), self._encode(leaf)
-        for k in range(self.width - 1, 0, -1):
-            self._sum(k)
+    def stored(self) -> dict:
+        """The tree as TREE: its leaves with text, in order."""
+        own = [k for k, x in enumerate(self.leaves) if x]
+        return {"text_hash": text_hash(self.text()), "chars": [len(self.leaves[k]) for k in own], "tokens": [self.tokens[self.width + k] for k in own]}
 
     def _encode(self, piece: str) -> int:
         self.encoded += len(piece)
@@ -137,35 +152,51 @@ class TokenTree:
             self._sum(k)
 
 
-ADDED = ("n_tokens", "n_leaves", "edited_chars", "edited_tokens", "encoded_again")
+ADDED = ("n_tokens", "n_leaves", "edited_chars", "edited_tokens", "encoded_again", "encoded_chars")
 
 
-def count_tokens(docs: DataFrame, vocabulary_path: str | None = None, text: str = "text", edits: str | None = "edits", leaf: int = 256) -> DataFrame:
-    """The rows less text and edits, with the counts before and after the edits of column ``edits`` (array of EDIT).
+def count_tokens(
+    docs: DataFrame,
+    vocabulary_path: str | None = None,
+    text: str = "text",
+    edits: str | None = "edits",
+    leaf: int = 256,
+    tree: str = "tree",
+    keep_tree: bool = False,
+) -> DataFrame:
+    """The rows less text, edits and tree, with the counts before and after the edits of column ``edits`` (array of EDIT).
 
-    ``encoded_again`` is how many characters the edits had encoded; without a column of edits there are none.
+    ``encoded_again`` is how many characters the edits had encoded, ``encoded_chars`` how many the call had, which is
+    the same where the rows bring a column ``tree``. With ``keep_tree`` the edited text and its tree are told too,
+    under the names of those columns.
     """
     path = vocabulary_path or vocabulary()
-    kept = [c for c in docs.columns if c not in (text, edits, *ADDED)]
-    given = F.col(edits) if edits and edits in docs.columns else F.lit(None)
-    source = docs.select(*kept, F.col(text).alias("__text"), given.cast(f"array<{EDIT}>").alias("__edits"))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in ADDED])
+    told = [*ADDED, *([text, tree] if keep_tree else [])]
+    there = {c.lower() for c in docs.columns}
+    given = [c for c in (text, edits, tree) if c and c.lower() in there]
+    passing = Passing(docs, told, without=[text, *given])
+    at = lambda name, kind: (F.col(passing.inside(name)) if name in given else F.lit(None)).cast(kind)
+    n = len(passing.kept)
+    source = passing.inner.select(*passing.kept, at(text, "string").alias("text"), at(edits, f"array<{EDIT}>").alias("edits"), at(tree, TREE).alias("tree"))
+    kinds = [T.StructField(c, T.LongType()) for c in ADDED] + ([T.StructField(text, T.StringType()), T.StructField(tree, source.schema["tree"].dataType)] if keep_tree else [])
+    schema = T.StructType(source.schema.fields[:n] + kinds)
+    arrow = [pa.int64()] * len(ADDED) + [pa.string(), pa.struct([("text_hash", pa.int64()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
         for batch in batches:
             rows = []
-            for value, log in zip(batch.column(len(kept)), batch.column(len(kept) + 1), strict=True):
-                tree = TokenTree(value.as_py() or "", code.count, leaf)
-                before, size, encoded = tree.total, sum(1 for x in tree.leaves if x), tree.encoded
+            for value, log, stored in zip(*(batch.column(n + k) for k in range(3)), strict=True):
+                one = TokenTree(value.as_py() or "", code.count, leaf, stored.as_py())
+                before, size, encoded = one.total, sum(1 for x in one.leaves if x), one.encoded
                 for e in log.as_py() or ():
                     if e is not None:
-                        tree.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
-                rows.append((before, size, tree.length, tree.total, tree.encoded - encoded))
-            added = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(ADDED)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *added], names=[*kept, *ADDED])
+                        one.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
+                rows.append((before, size, one.length, one.total, one.encoded - encoded, one.encoded, *((one.text(), one.stored()) if keep_tree else ())))
+            added = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(told), arrow, strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *added], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return passing.outer(source.mapInArrow(run, schema), *told)
 
 
 def with_edits(docs: DataFrame, log: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -173,8 +204,9 @@ def with_edits(docs: DataFrame, log: DataFrame, doc_id: str = "doc_id") -> DataF
 
     One document's edits meet in one row. Rows that share an id get the same edits; a null id gets none.
     """
-    step = F.struct("seq", "start", "length", "replacement")
-    per = log.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_list(step)).alias("__log"))
-    told = docs.join(per, docs[doc_id] == per["__id"], "left")
-    own = F.transform("__log", lambda e: F.struct(e["start"].cast("long").alias("start"), e["length"].cast("long").alias("length"), e["replacement"].alias("replacement")))
-    return told.select(*[docs[c] for c in docs.columns if c != "edits"], F.coalesce(own, F.expr("array()").cast(f"array<{EDIT}>")).alias("edits"))
+    passing = Passing(docs, ["edits"])
+    step = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "replacement")
+    per = picked(log, id="doc_id", seq="seq", start="start", length="length", replacement="replacement").groupBy("id").agg(F.sort_array(F.collect_list(step)).alias("log"))
+    told = passing.inner.join(per, F.col(passing.inside(doc_id)) == F.col("id"), "left")
+    own = F.transform("log", lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"), e["replacement"].alias("replacement")))
+    return passing.outer(told.withColumn("edits", F.coalesce(own, F.expr("array()").cast(f"array<{EDIT}>"))), "edits")

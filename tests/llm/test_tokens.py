@@ -2,6 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clausemill.llm.query_tokens import op1_token_counts
@@ -65,6 +66,27 @@ def test_operator_with_a_log(spark, whole):
     assert count_tokens(docs.limit(0)).collect() == []
 
 
+def test_a_second_batch_of_edits_encodes_only_what_it_touches(spark, whole):
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, text_of(r, 3000), "x") for i in range(20)] + [(20, None, "x"), (21, "some words here. " * 40_000, "x")], "doc_id long, text string, Tree string")
+    texts = {x.doc_id: x.text or "" for x in docs.collect()}
+    first = count_tokens(docs.drop("Tree"), edits=None, keep_tree=True)
+    held = spark.createDataFrame(first.collect(), first.schema)
+    for seed in (5, 6):
+        r = random.Random(seed)
+        log = [(i, s, r.randint(0, len(t)), r.choice([0, 3, 20]), text_of(r, 3)) for i, t in texts.items() for s in range(2) if i % 3 != seed % 3]
+        out = count_tokens(with_edits(held.select("doc_id", "text", "tree"), spark.createDataFrame(log, "doc_id long, seq int, start int, length int, replacement string")), keep_tree=True)
+        held = spark.createDataFrame(out.collect(), out.schema)
+        for i, _, start, length, new in log:
+            texts[i] = edited(texts[i], start, length, new)
+        for x in held.collect():
+            touched = sum(e[0] == x.doc_id for e in log)
+            assert x.text == texts[x.doc_id] and x.edited_tokens == whole(x.text) and x.edited_chars == len(x.text)
+            assert x.encoded_chars == x.encoded_again <= 2500 * touched, (x.doc_id, touched)
+    stale = held.withColumn("text", F.concat(F.lit("b"), F.substring("text", 2, 10**9)))
+    assert all(x.n_tokens == whole(x.text) for x in count_tokens(stale, edits=None, keep_tree=True).collect())
+
+
 def test_query_against_whole_texts(spark, sf_dir, whole):
     got = {r.doc_id: r for r in op1_token_counts(spark, sf_dir).collect()}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
