@@ -1,11 +1,12 @@
 """Packing of token sequences into windows by multiway differencing.
 
-Each document is cut into full windows and a rest; the rest is cut into a few pieces of unlike sizes. Full
-windows stand alone. The other pieces of a block are packed by Karmarkar-Karp differencing into k windows:
-every piece starts as a partial partition of k sums of which one is not zero; the two partial partitions
-with the largest imbalance are merged, the largest sum of one with the smallest of the other, until one is
-left. k starts at the fewest windows that could hold the block and rises whenever a window exceeds its
-capacity.
+Each document is cut into full windows, which stand alone, and a rest, which stays whole if it can. The rests of a
+block are packed by Karmarkar-Karp differencing into k windows: every rest starts as a partial partition of k sums
+of which one is not zero; the two partial partitions with the largest imbalance are merged, the largest sum of one
+with the smallest of the other, until one is left. That leaves sums near each other, some above the capacity.
+Only what lies above is cut off, from the window's largest rest, and goes into the room of other windows, whole where
+it fits one; no piece is cut shorter than ``fine``. k starts at the fewest windows that could hold the block and
+rises whenever the windows exceed their capacity even so.
 
 Blocks are runs of consecutive rows within one input partition, so nothing is shuffled, memory is that of
 one block, and a lost task gives the same pieces again when it is run again over the same partition. A
@@ -13,13 +14,14 @@ sequence id holds the partition, then a running number.
 
 Defined results for odd input: a null text counts as empty, so its document is the end id alone; a null
 document id is kept as null; equal rows are packed each on its own; a document of any length is cut as above;
-an empty table gives an empty table; other columns are ignored.
+an empty table gives an empty table; other columns are ignored, also ones whose names differ by case only.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.llm.columns import picked
 from clausemill.llm.tokenizer import coder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -75,41 +78,62 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return groups + [[] for _ in range(k - len(groups))]
 
 
-def pack_block(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Groups of indexes, none above capacity: differencing over the fewest windows that hold."""
+#: (index of the rest, start in it, length)
+Piece = tuple[int, int, int]
+
+
+def level(windows: list[list[Piece]], capacity: int, fine: int) -> bool:
+    """Moves what lies above the capacity into the room of other windows, in place; false where it finds none."""
+    residue: list[Piece] = []
+    rooms: list[tuple[int, int]] = []
+    for w, pieces in enumerate(windows):
+        held = sum(p[2] for p in pieces)
+        while held > capacity:
+            at = max(range(len(pieces)), key=lambda j: pieces[j][2])
+            i, start, size = pieces[at]
+            cut = max(held - capacity, fine)
+            if size - cut < fine:
+                cut = size
+                del pieces[at]
+            else:
+                pieces[at] = (i, start, size - cut)
+            residue.append((i, start + size - cut, cut))
+            held -= cut
+        if held < capacity:
+            rooms.append((capacity - held, w))
+    rooms.sort()
+    for i, start, size in sorted(residue, key=lambda p: -p[2]):
+        while size:
+            at = bisect_left(rooms, (size, -1))
+            if at == len(rooms):  # none holds it whole
+                if not rooms or rooms[-1][0] < fine:
+                    return False
+                at = len(rooms) - 1
+            room, w = rooms.pop(at)
+            part = size if room >= size else min(room, max(fine, size - fine))
+            windows[w].append((i, start, part))
+            start, size = start + part, size - part
+            if room > part:
+                insort(rooms, (room - part, w))
+    return True
+
+
+def pack_block(sizes: list[int], capacity: int, fine: int = 8) -> list[list[Piece]]:
+    """Windows of pieces of the rests, none above capacity: differencing over the fewest windows that hold them."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
-        groups = difference(sizes, k)
-        if all(sum(sizes[i] for i in g) <= capacity for g in groups):
-            return [g for g in groups if g]
+        windows = [[(i, 0, sizes[i]) for i in g] for g in difference(sizes, k)]
+        if level(windows, capacity, fine):
+            return [w for w in windows if w]
         k += 1
 
 
-def cuts(n: int, capacity: int, piece: int, tail: int, fine: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: full windows, then the rest.
-
-    The rest is cut into even pieces of ``piece`` at most, a tail below ``tail`` and a sliver below ``fine``:
-    differencing levels the large pieces with the tails and what is left with the slivers.
-    """
-    found = [(at, capacity) for at in range(0, n - n % capacity, capacity)]
-    rest, at = n % capacity, n - n % capacity
-    body, end = rest - rest % tail, rest % tail
-    parts = -(-body // piece)
-    for size in [*(body // parts + (j < body % parts) for j in range(parts)), end - end % fine, end % fine]:
-        if size:
-            found.append((at, size))
-            at += size
-    return found
-
-
 def pack_documents(
     docs: DataFrame,
     vocabulary_path: str | None = None,
     capacity: int = 1024,
-    piece: int = 512,
-    tail: int = 128,
-    fine: int = 16,
-    block: int = 2048,
+    fine: int = 8,
+    block: int = 1024,
     end_id: int = 0,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -136,15 +160,18 @@ def pack_documents(
                 names.append("ids")
             return pa.RecordBatch.from_arrays(arrays, names)
 
+        def piece(key, own: bytes, start: int, n: int, sequence: int, offset: int) -> tuple:
+            return (key, start, len(own) // 4, zlib.crc32(own), n, sequence, offset, own if with_ids else None)
+
         def packed() -> list[tuple]:
             nonlocal number
             found = []
-            for group in pack_block([p[2] for p in pending], capacity):
+            for window in pack_block([len(rest) // 4 for _, rest, _, _ in pending], capacity, fine):
                 at = 0
-                for i in group:
-                    p = pending[i]
-                    found.append((*p[:5], base + number, at, p[5]))
-                    at += p[2]
+                for i, begin, length in window:
+                    key, rest, start, n = pending[i]
+                    found.append(piece(key, rest[4 * begin : 4 * (begin + length)], start + begin, n, base + number, at))
+                    at += length
                 number += 1
             pending.clear()
             return found
@@ -154,14 +181,12 @@ def pack_documents(
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = code.encode(value.as_py() or "") + end
                 n = len(ids) // 4
-                for start, length in cuts(n, capacity, piece, tail, fine):
-                    own = ids[4 * start : 4 * (start + length)]
-                    row = (key, start, length, zlib.crc32(own), n, own if with_ids else None)
-                    if length == capacity:
-                        out.append((*row[:5], base + number, 0, row[5]))
-                        number += 1
-                    else:
-                        pending.append(row)
+                full = n - n % capacity
+                for start in range(0, full, capacity):
+                    out.append(piece(key, ids[4 * start : 4 * (start + capacity)], start, n, base + number, 0))
+                    number += 1
+                if full < n:
+                    pending.append((key, ids[4 * full :], full, n))
                 if len(pending) >= block:
                     out += packed()
                 if len(out) >= 20_000:
@@ -171,4 +196,4 @@ def pack_documents(
         if out:
             yield rows(out)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from clausemill.llm.packing import cuts, difference, pack_block, pack_documents
+from clausemill.llm.packing import difference, pack_block, pack_documents
 from clausemill.llm.tokenizer import Coder, vocabulary
 
 
@@ -32,23 +32,39 @@ def test_classic_example_of_two_way_differencing():
     assert sorted(sum([8, 7, 6, 5, 4][i] for i in g) for g in difference([8, 7, 6, 5, 4], 2)) == [14, 16]
 
 
-def test_window_count_rises_until_nothing_exceeds():
-    groups = pack_block([600, 600, 600], 1024)
-    assert len(groups) == 3
+def covered(windows, sizes, capacity):
+    """Every token of every rest is in one piece, and no window holds too much."""
+    assert all(0 < sum(n for _, _, n in w) <= capacity for w in windows)
+    for i, size in enumerate(sizes):
+        own = sorted((start, n) for w in windows for j, start, n in w if j == i)
+        assert [a for a, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) == size
+
+
+def test_only_the_residue_is_cut():
+    windows = pack_block([600, 600, 600], 1024)
+    covered(windows, [600, 600, 600], 1024)
+    assert len(windows) == 2 and sum(map(len, windows)) == 4  # one cut
     r = random.Random(1)
-    sizes = [r.randint(1, 256) for _ in range(2048)]
-    groups = pack_block(sizes, 1024)
-    assert max(sum(sizes[i] for i in g) for g in groups) <= 1024
-    assert len(groups) * 1024 <= 1.01 * sum(sizes) + 1024
+    for most in (40, 256, 1023):
+        sizes = [r.randint(1, most) for _ in range(1024)]
+        windows = pack_block(sizes, 1024)
+        covered(windows, sizes, 1024)
+        cut = {i for w in windows for i, _, n in w if n < sizes[i]}
+        assert len(cut) < 0.5 * len(sizes) and len(windows) * 1024 <= 1.01 * sum(sizes) + 1024
+        assert all(n >= 8 for w in windows for i, _, n in w if n < sizes[i])
 
 
-def test_cuts_cover_every_token_once():
-    for n in (1, 255, 256, 257, 1023, 1024, 1025, 5000):
-        at = 0
-        for start, length in cuts(n, 1024, 512, 128, 16):
-            assert start == at and (length == 1024 or 1 <= length <= 512)
-            at += length
-        assert at == n
+def test_window_count_rises_where_cuts_do_not_help():
+    sizes = [1023] * 5 + [10]
+    windows = pack_block(sizes, 1024, fine=16)
+    covered(windows, sizes, 1024)
+    assert len(windows) == 6 and all(n == sizes[i] for w in windows for i, _, n in w)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 63), min_size=1, max_size=60), st.integers(1, 20))
+def test_blocks_of_any_sizes(sizes, fine):
+    covered(pack_block(sizes, 64, fine), sizes, 64)
 
 
 def test_coder_agrees_with_the_tokenizer():
@@ -84,4 +100,14 @@ def test_pack_documents_round_trip(spark, sf_dir):
             at += p.length
         assert at <= 1024
         padded += 1024 - at
+    total = sum(r.length for r in rows)
+    assert padded < 0.02 * total
+    short = {r.doc_id for r in rows if r.doc_tokens <= 1024 and (r.doc_id or 0) >= 0}
+    whole_ones = {r.doc_id for r in rows if r.length == r.doc_tokens}
+    assert len(short & whole_ones) > 0.6 * len(short)
     assert pack_documents(docs.limit(0)).collect() == []
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 2, 3)], "doc_id long, text string, TEXT string, length int, sequence_id int")
+    assert [(r.doc_id, r.length, r.offset) for r in pack_documents(docs).collect()] == [(1, 3, 0)]
