@@ -5,10 +5,12 @@ two sets reach the similarity, they share a token among the first ``n - ceil(t *
 total order of the tokens. Three orders are used, all with rare tokens first: by exact document frequency;
 and twice by its power of two with differently mixed hashes inside. A pair is a candidate only if it shares a
 prefix token under each of them. The orders also give the places of the shared token, which with the
-sizes bound the overlap; so does, within groups that stay open, a bitmap of token parities. Tokens of one document only never make a pair, so only repeated ones are kept.
+sizes bound the overlap; so does, within groups that stay open, a bitmap of token parities. Tokens of one document
+only never make a pair, so only repeated ones are kept. A node's name is a 64-bit digest of its set: among 10^10
+different sets about three pairs are expected to share one, and would count as equal.
 
-1. One pass makes (document, set size, node) and the tokens that are frequent within a batch (in 8 documents
-   or more). Tokens whose frequent parts sum to half of ``hot_share`` of all documents are hot; their number has
+1. One pass makes (document, set size, node) and the tokens that are frequent within a task (in 8 documents or
+   more), counted in bounded memory whatever the size of batches. Tokens whose frequent parts sum to half of ``hot_share`` of all documents are hot; their number has
    a bound that does not grow with the input (twice the mean set size over that share), so they are broadcast.
    That changes where a token is counted and its place among the frequent ones, never a result.
 2. A second pass sends every other token to a bucket, as packed arrays. A bucket finds the tokens of two or
@@ -16,8 +18,8 @@ sizes bound the overlap; so does, within groups that stay open, a bitmap of toke
    with their frequency, so no bucket gathers a hot token.
 3. A node keeps its repeated tokens in the first order. Unless its prefix reaches one, it has no link.
 4. Star rounds: in every token's group each node is tried against one pivot, then against a few of those that
-   lie in other components, so the pairs are linear in the group; verified links give components. Then the pairs that lie in different components, and only those, are
-   tried: links inside a component change no component, and no other link is left out. So the result is
+   lie in other components, so the pairs are linear in the group; verified links give components. Then the pairs
+   that lie in different components, and only those, are tried: links inside a component change no component, and no other link is left out. So the result is
    components; the links inside them, or their number per document, are not found.
 
 Defined results for odd input: a null or empty text, or one without words, has no shingle and is linked with
@@ -38,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import let
+from clausemill.llm.columns import Passing, let, picked
 from clausemill.llm.components import components
 from clausemill.llm.store import Store
 
@@ -89,28 +91,49 @@ def node_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Tokens that a task counts at a time.
+_COUNTED = 2_000_000
+
+
+def _frequent(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The summed counts of tokens, at most half of ``_COUNTED``: where there are more, all counts fall by that of the first left out."""
+    tokens, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    counts = np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
+    if len(tokens) > _COUNTED // 2:
+        less = np.partition(counts, -(_COUNTED // 2) - 1)[-(_COUNTED // 2) - 1]
+        keep = counts > less
+        tokens, counts = tokens[keep], counts[keep] - less
+    return tokens, counts
+
+
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _profile(size: int, hot_share: float, hot_least: int):
-    """First pass: (doc_id, n, node, null) rows, and (null, count, null, token) rows of locally frequent tokens."""
+    """First pass: (doc_id, n, node, null) rows, and (null, count, null, token) rows of a task's frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often: dict[int, int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = rows = 0
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
             nodes = [node_of(s) for s in sets]
             n = [len(s) for s in sets]
             yield _batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "token": pa.nulls(len(n), pa.int64())})
             own = list({k: s for k, s in zip(nodes, sets, strict=True)}.values())
+            rows += len(own)
             if own:
-                tokens, counts = np.unique(np.concatenate(own), return_counts=True)
-                many = counts >= max(8, hot_share * len(own))
-                for t, c in zip(tokens[many].view(np.int64).tolist(), counts[many].tolist(), strict=True):
-                    often[t] = often.get(t, 0) + c
-        if often:
-            yield _batch({"doc_id": pa.nulls(len(often), pa.int64()), "n": pa.array(list(often.values()), pa.int64()), "node": pa.nulls(len(often), pa.int64()), "token": pa.array(list(often), pa.int64())})
+                parts.append(np.unique(np.concatenate(own), return_counts=True))
+                held += len(parts[-1][0])
+                if held >= _COUNTED:
+                    parts = [_frequent(parts)]
+                    held = len(parts[0][0])
+        if parts:
+            tokens, counts = _frequent(parts)
+            many = counts >= max(8, hot_share * rows / 4)
+            none = pa.nulls(int(many.sum()), pa.int64())
+            yield _batch({"doc_id": none, "n": pa.array(counts[many], pa.int64()), "node": none, "token": pa.array(tokens[many].view(np.int64), pa.int64())})
 
     return run
 
@@ -301,7 +324,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the least document id of its component."""
     spark, store = docs.sparkSession, Store(docs.sparkSession, "jaccard")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = picked(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     profile = store.save(docs.mapInArrow(_profile(size, hot_share, hot_least), "doc_id long, n long, node long, token long"), "profile")
     members = profile.where("token IS NULL").select("doc_id", "n", "node")
     n_docs, n_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -374,12 +397,14 @@ def _route(buckets: int):
     return run
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near duplicates, the one with the least document id (null last); rows without words all stay."""
-    held = Store(docs.sparkSession, "keep-one").save(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    found = near_duplicates(held, doc_id="__row", **options).where("n_shingles > 0").toDF("__row", "n", "group")
-    place = F.struct(F.isnull(doc_id).alias("none"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
-    grouped = held.select("__row", place.alias("place")).join(found, "__row")
+    passing = Passing(docs, [])
+    held = Store(docs.sparkSession, "keep-one").save(passing.inner.select(F.monotonically_increasing_id().alias("row"), *passing.kept), "docs")
+    found = near_duplicates(held, doc_id="row", text=passing.inside(text), **options).where("n_shingles > 0").toDF("row", "n", "group")
+    own = passing.inside(doc_id)
+    place = F.struct(F.isnull(own).alias("none"), F.col(own).alias("id"), F.col("row").alias("row"))
+    grouped = held.select("row", place.alias("place")).join(found, "row")
     firsts = grouped.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = grouped.select("__row", "group").join(firsts, "group").where(F.col("__row") != F.col("first.row")).select("__row")
-    return held.join(gone, "__row", "left_anti").drop("__row")
+    gone = grouped.select("row", "group").join(firsts, "group").where(F.col("row") != F.col("first.row")).select("row")
+    return passing.outer(held.join(gone, "row", "left_anti"))

@@ -74,3 +74,22 @@ def test_keep_one_with_repeated_ids(spark):
     rows = [(5, "a b c d e f", "x"), (5, "other words that stand alone here", "x"), (3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (None, "a b c d e f", "x")]
     kept = sorted((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert kept == [(3, "a b c d e f"), (5, "other words that stand alone here")]
+
+
+def test_frequent_tokens_do_not_depend_on_batches(monkeypatch):
+    """A token in every tenth document is told whatever the size of batches, and with few counters too."""
+    import pyarrow as pa
+
+    from clausemill.llm import jaccard
+
+    docs = [f"{' '.join(f'own{i}x{j}' for j in range(12))} {'the hot five words here' if i % 10 == 0 else ''}" for i in range(600)]
+    hot = jaccard.shingles("the hot five words here", 5).view("int64")[0]
+    told = {}
+    for rows in (7, 50, 600):
+        for counted in (400, 2_000_000):
+            monkeypatch.setattr(jaccard, "_COUNTED", counted)
+            batches = [pa.RecordBatch.from_arrays([pa.array(range(a, min(a + rows, 600)), pa.int64()), pa.array(docs[a : a + rows])], names=["doc_id", "text"]) for a in range(0, 600, rows)]
+            out = [r for b in jaccard._profile(5, 1 / 4096, 512)(iter(batches)) for r in b.to_pylist() if r["token"] is not None]
+            told[rows, counted] = {r["token"]: r["n"] for r in out}
+    assert all(hot in found for found in told.values())
+    assert {found[hot] for (_, counted), found in told.items() if counted > 400} == {60}
