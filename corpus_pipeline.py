@@ -7,6 +7,7 @@ executor costs no earlier stage. All stages but the last return the columns of `
 
 from __future__ import annotations
 
+import threading
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +20,54 @@ from clausemill.llm.packing import pack_documents
 from clausemill.llm.quality import line_first_quality
 from clausemill.llm.store import Store
 
-#: Stores of the stages so far, whose results have been written when the next stage begins.
-_SPENT: list[Store] = []
+#: What stages have left in the shared folder, by application, input and thread, so that no run meets another's.
+_LEFT: dict[tuple, list[Store]] = {}
+
+
+def _key(spark: SparkSession, sf_dir: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, threading.get_ident()
+
+
+def _read_from(docs: DataFrame) -> list[str]:
+    """The folders that a DataFrame reads files from."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    found = []
+    while leaves.hasNext():
+        leaf = leaves.next()
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            roots = leaf.relation().location().rootPaths().iterator()
+            while roots.hasNext():
+                found.append(roots.next().toUri().getPath())
+    return found
+
+
+def _folder(store: Store) -> str:
+    """The folder of a store without scheme and host."""
+    return store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store.path).toUri().getPath()
+
+
+def _clear(key: tuple, docs: DataFrame | None = None) -> None:
+    """Drops what a run's stages have left, but for what ``docs`` still reads, as the result of a stage that is not written yet does."""
+    left = _LEFT.pop(key, [])
+    roots = _read_from(docs) if docs is not None and left else []
+    for store in left:
+        own = _folder(store)
+        if any(r == own or r.startswith(f"{own}/") for r in roots):
+            _LEFT.setdefault(key, []).append(store)
+        else:
+            store.remove()
 
 
 def _stage(f):
-    """A stage that first drops what the stages before it have left in the shared folder."""
+    """A stage that first drops what the stages before it in its run have left in the shared folder."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _SPENT:
-            _SPENT.pop().remove()
+        key = _key(spark, sf_dir)
+        _clear(key, docs)
         with Store.noted() as made:
             out = f(spark, docs, sf_dir)
-        _SPENT.extend(made)
+        _LEFT.setdefault(key, []).extend(made)
         return out
 
     return run
@@ -92,6 +127,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = store.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        _clear(_key(spark, sf_dir))
         if k:
             store.drop(f"stage-{k - 1}")
     return docs
