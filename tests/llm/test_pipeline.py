@@ -64,6 +64,58 @@ def test_run_is_the_stages_in_order(spark, tmp_path):
     assert got == {r[0] for r in rows} and len(got) > 30
 
 
+def test_stages_that_are_not_written_between_keep_what_they_read(spark, tmp_path):
+    """Stage on stage without writing, and another input's stage between: nothing that is still read goes away."""
+    rows, items = corpus(9)
+    for name in ("a", "b"):
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    lazy = corpus_pipeline.STAGES[0][1](spark, spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/a")
+    lazy = corpus_pipeline.STAGES[1][1](spark, lazy, f"{tmp_path}/a")
+    corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, SCHEMA), f"{tmp_path}/b").count()
+    lazy = corpus_pipeline.STAGES[2][1](spark, lazy, f"{tmp_path}/a")
+    lazy = corpus_pipeline.STAGES[3][1](spark, lazy, f"{tmp_path}/a")
+    got = sorted(tuple(r) for r in lazy.collect())
+    for k in range(4):
+        rows = stage(spark, tmp_path / "b", k, rows)
+    assert got == rows
+
+
+def packed_ids(rows, whole):
+    """doc_id to the token ids that its text must have."""
+    return {r[0]: [*whole.encode(r[1], add_special_tokens=False).ids, 0] for r in rows}
+
+
+def test_run_against_a_plain_pipeline(spark, tmp_path):
+    """The packed ids of run() against one made of the brute-force versions of every stage."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows, items = corpus(10)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [(r[0], r[1]) for r in rows if r[0] < 140]  # the corpus says which documents the rules must reject
+    kept = [(i, t) for i, t, gone in brute_lines(kept, 50) if not gone or t.split()]
+    named = {i: c for i, _, c in brute_jaccard(kept)}
+    kept = [(i, t) for i, t in kept if named[i] == i]
+    windows = {tuple(w[s : s + 10]) for t in items for w in [split_words(t)] for s in range(len(w) - 9)}
+    kept = [(i, t) for i, t in kept if not any(tuple(w[p : p + 10]) in windows for w in [split_words(t)] for p in range(len(w) - 9))]
+    want = packed_ids(kept, Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(want)
+    for i, pieces in got.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            assert p.start == at and p.doc_tokens == len(want[i])
+            at += p.length
+            assert p.ids_crc32 == zlib.crc32(np.array(want[i][p.start : at], "<u4").tobytes())
+        assert at == len(want[i])
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
