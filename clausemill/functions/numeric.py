@@ -116,3 +116,9 @@ def predicted_topics(logits: Column, topics: list[str], threshold: float = 0.5)
     rows = F.transform(F.slice(logits, 1, len(topics)), lambda x, i: F.struct((-sigmoid(x.cast("double"))).alias("p"), i.alias("i")))
     chosen = F.filter(rows, lambda r: r["p"] <= -threshold)
     return F.transform(F.array_sort(chosen), lambda r: F.get(F.array(*map(F.lit, topics)), r["i"]))
+
+
+def pooled(vectors: Column, mask: Column, last: bool = False) -> Column:
+    """The vector of the first (or last) real token of a padded sequence: the place where the mask is above 0; null without one."""
+    real = F.filter(F.transform(vectors, lambda v, i: F.when(F.coalesce(F.get(mask, i), F.lit(0)) > 0, F.struct(i.alias("at"), v.alias("v")))), lambda x: x.isNotNull())
+    return F.when(F.size(real) > 0, F.element_at(real, -1 if last else 1)["v"])

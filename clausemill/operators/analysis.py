@@ -16,7 +16,7 @@ def analyze(docs: DataFrame, scorer: scoring.Scorer, limit: int = 256, separator
 
     The scorer answers a JSON object with score -1, 0 or 1 and a title, which names the topic.
     """
-    pieces = documents.chunks(documents.paragraphs(docs, separator=separator), limit=limit).withColumn("row_id", F.xxhash64("doc_id", "chunk_id"))
+    pieces = documents.document_chunks(docs, separator=separator, limit=limit).withColumn("row_id", F.xxhash64("doc_id", "chunk_id"))
     answers = scoring.parsed(scoring.scored(pieces, scorer)).select("row_id", "score", F.get_json_object(T.unfenced(F.col("raw")), "$.title").alias("topic"))
     told = pieces.join(answers, "row_id").drop("row_id")
     names = F.array(*map(F.lit, HARM))

@@ -33,31 +33,46 @@ def sentences(c: Column) -> Column:
 
 def packed(parts: Column, count: TokenCount, limit: int) -> Column:
     """Greedy packing: parts joined by a space while their counts fit the limit; a larger part stands alone."""
-    sized = F.transform(parts, lambda p: F.struct(p.alias("p"), count(p).cast("int").alias("n")))
-    start = F.struct(F.expr("array()").cast("array<array<string>>").alias("done"), F.expr("array()").cast("array<string>").alias("open"), F.lit(0).alias("n"))
+    start = F.struct(F.expr("array()").cast("array<int>").alias("cuts"), F.lit(0).alias("n"), F.lit(1).alias("i"))
 
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] + x["n"] > limit) & (F.size(acc["open"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(x["p"])).otherwise(F.concat(acc["open"], F.array(x["p"]))).alias("open"),
-            F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"),
-        )
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["n"] + n > limit) | (acc["i"] == 1)
+        return F.struct(F.when(full, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"), F.when(full, n).otherwise(acc["n"] + n).alias("n"), (acc["i"] + 1).alias("i"))
 
-    closed = lambda acc: F.transform(F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]), lambda c: F.array_join(c, " "))
-    return F.aggregate(sized, start, step, closed)
+    def joined(p: Column) -> Column:  # only the places of cuts are gathered, not the texts
+        cuts = F.aggregate(F.transform(p, lambda x: count(x).cast("int")), start, step, lambda acc: acc["cuts"])
+        one = lambda c: F.transform(c, lambda at, i: F.array_join(F.slice(p, at, F.coalesce(F.get(c, i + 1), F.size(p) + 1) - at), " "))
+        return F.transform(F.array(cuts), one).getItem(0)
+
+    return F.transform(F.array(parts), joined).getItem(0)
+
+
+def _cut(text: Column, count: TokenCount, limit: int) -> Column:
+    """A paragraph in chunks: whole if it fits, else its sentences packed."""
+    return F.when(count(text) <= limit, F.array(text)).otherwise(packed(sentences(text), count, limit))
 
 
 def chunks(paras: DataFrame, count: TokenCount = word_tokens, limit: int = 256) -> DataFrame:
     """(doc_id, chunk_id, paragraph_id, text, estimated_tokens, is_subchunk) of the paragraphs that are not skipped."""
-    cut = F.when(count(F.col("text")) <= limit, F.array("text")).otherwise(packed(sentences(F.col("text")), count, limit))
-    rows = paras.where("NOT skipped").select("doc_id", "paragraph_id", cut.alias("parts"))
+    rows = paras.where("NOT skipped").select("doc_id", "paragraph_id", _cut(F.col("text"), count, limit).alias("parts"))
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_id", "parts"))).alias("ps"))
+    return _numbered(lists, count)
+
+
+def _numbered(lists: DataFrame, count: TokenCount) -> DataFrame:
     flat = F.flatten(F.transform("ps", lambda p: F.transform(p["parts"], lambda t: F.struct(p["paragraph_id"].alias("paragraph_id"), t.alias("text"), (F.size(p["parts"]) > 1).alias("is_subchunk")))))
     told = lists.select("doc_id", F.posexplode(flat).alias("chunk_id", "c"))
     return told.select("doc_id", "chunk_id", "c.paragraph_id", "c.text", count(F.col("c.text")).alias("estimated_tokens"), "c.is_subchunk")
 
 
+def document_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = r"\n\n", least: int = 15, count: TokenCount = word_tokens, limit: int = 256) -> DataFrame:
+    """``chunks`` of ``paragraphs``, numbered inside each document's row: nothing is shuffled, and rows that share an id stay apart."""
+    parts = F.filter(F.transform(F.split(T.line_ends(F.col(text)), separator), T.strip), lambda p: p != "")
+    placed = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("paragraph_id"), p.alias("text"))), lambda p: F.length(p["text"]) >= least)
+    ps = F.transform(placed, lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), _cut(p["text"], count, limit).alias("parts")))
+    return _numbered(docs.select(F.col(doc_id).alias("doc_id"), ps.alias("ps")), count)
+
+
 def overlapping_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks of about ``size`` characters that overlap; a paragraph end, else a sentence end, in the second half ends a chunk."""
     if not 0 <= overlap < size // 2:

@@ -178,7 +178,7 @@ WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w >= INTERVAL
 k AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM o)
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n_events, round(sum(value), 6) AS value FROM k GROUP BY user_id, s""")
 def stream_gap_sessions(spark, sf_dir):
-    """The gap sessions read as a stream, through the memory sink."""
+    """The gap sessions read as a stream, written as Parquet and read again."""
     out = S.drained(spark, S.gap_sessions(_stream(spark, sf_dir), late="3650 days"), f"gaps_{uuid.uuid4().hex}", "complete")
     return stamped(out)
 

@@ -390,6 +390,21 @@ def vector_compaction(spark, sf_dir):
     return e.select("vec_id", N.compacted(F.col("embedding"), [0, 2, 5]).alias("kept"), N.one_hot_logits(F.array(F.col("label") % 4), 4).alias("one_hot"))
 
 
+@query("token_pooling", """
+WITH m AS (SELECT vec_id, embedding AS e, CASE WHEN vec_id % 2 = 0 THEN list_transform(range(len(embedding)), lambda i: CASE WHEN i < 1 + vec_id % 5 THEN 1 ELSE 0 END)
+  ELSE list_transform(range(len(embedding)), lambda i: CASE WHEN i >= vec_id % 5 THEN 1 ELSE 0 END) END AS m FROM embeddings),
+p AS (SELECT vec_id, e, list_filter(range(len(e)), lambda i: m[i + 1] > 0) AS r FROM m)
+SELECT vec_id, [e[r[1] + 1], CAST(r[1] AS FLOAT)] AS first, [e[r[-1] + 1], CAST(r[-1] AS FLOAT)] AS last FROM p""")
+def token_pooling(spark, sf_dir):
+    """First and last real token of sequences padded on the right (even ids) and on the left (odd ids); a token is (value, place)."""
+    e = table(spark, sf_dir, "embeddings")
+    k = F.col("vec_id") % 5
+    tokens = F.transform("embedding", lambda x, i: F.array(x.cast("float"), i.cast("float")))
+    mask = F.transform("embedding", lambda x, i: F.when(F.col("vec_id") % 2 == 0, i < 1 + k).otherwise(i >= k).cast("int"))
+    told = e.select("vec_id", tokens.alias("t"), mask.alias("m"))
+    return told.select("vec_id", N.pooled(F.col("t"), F.col("m")).alias("first"), N.pooled(F.col("t"), F.col("m"), last=True).alias("last"))
+
+
 @query("formatted_cells", "SELECT l_returnflag, printf('%.3f [%.3f, %.3f]', avg(l_discount), min(l_discount), max(l_discount)) AS cell, printf('%.1f', sum(l_quantity) / 1000) AS seconds FROM lineitem GROUP BY 1")
 def formatted_cells(spark, sf_dir):
     from clausemill.functions.text import interval_cell

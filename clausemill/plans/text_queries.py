@@ -86,8 +86,8 @@ def paragraph_segment(spark, sf_dir):
 
 
 def _pieces(spark, sf_dir):
-    paras = D.paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"), separator="\n")
-    return paras, D.chunks(paras, limit=64)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.paragraphs(docs, separator="\n"), D.document_chunks(docs, separator="\n", limit=64)
 
 
 @query("document_chunks")
@@ -302,15 +302,18 @@ def merged_changes(spark, sf_dir):
 def benchmark_containment(spark, sf_dir):
     """Items that stand whole in a document, blanks and case aside.
 
-    The benchmark is the query set and bounded; it is held against all documents by their words' eight-word runs first.
+    The benchmark is the query set; an item is looked for in the documents that hold the rarest of its four-word runs.
     """
     inner = lambda c: F.transform(F.array(F.split(T.matching_text(c), " ")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 4, F.lit(2))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))))[0]
     items = table(spark, sf_dir, "benchmark").select("item_id", T.matching_text(F.col("text")).alias("n"), inner(F.col("text")).alias("runs"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", T.matching_text(F.col("text")))
     words = F.split("h", " ")
     theirs = docs.select("doc_id", F.explode(F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 4), " ")))))[0]).alias("run"))
-    mine = items.select("item_id", F.element_at("runs", 1).alias("run"))
-    near = theirs.join(mine, "run").select("item_id", "doc_id").distinct()
+    asked = items.select("item_id", F.explode("runs").alias("run"))
+    found = theirs.join(asked.select("run").distinct(), "run")
+    often = asked.join(found.groupBy("run").agg(F.count("*").alias("n")), "run", "left").na.fill(0, ["n"])
+    rarest = often.groupBy("item_id").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    near = found.join(rarest, "run").select("item_id", "doc_id").distinct()
     full = near.join(items.select("item_id", "n"), "item_id").join(docs.select("doc_id", "h"), "doc_id")
     few = items.where((F.size(F.split("n", " ")) < 6) & (F.col("n") != "")).select("item_id", "n")  # too short for a run
     full = full.unionByName(docs.select("doc_id", "h").join(few, F.contains("h", "n")).select(full.columns))

@@ -15,9 +15,27 @@ def csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
     (df.select(*columns) if columns else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
+#: The most rows of a result that comes to the driver as one file or table.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL):
+    """All rows as a pandas frame; more than ``most`` raise instead of filling the driver."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: write them as CSV or Parquet")
+    return df.limit(most).toPandas()
+
+
+def _small_rows(df: DataFrame, most: int = SMALL) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them as CSV or Parquet")
+    return rows
+
+
 def bom_csv(df: DataFrame, path: str) -> None:
     """One CSV file for spreadsheets, with a byte order mark; for small results, which come to the driver."""
-    df.toPandas().to_csv(path, index=False, encoding="utf-8-sig")
+    small(df).to_csv(path, index=False, encoding="utf-8-sig")
 
 
 def arrays(df: DataFrame, path: str, *partition: str) -> None:
@@ -83,7 +101,7 @@ def latex(df: DataFrame, caption: str, label: str, digits: int = 3) -> str:
             return "--"
         return f"{x:.{digits}f}" if isinstance(x, float) else "".join(_TEX.get(c, c) for c in str(x))
 
-    rows = [" & ".join(cell(x) for x in r) + r" \\" for r in df.collect()]
+    rows = [" & ".join(cell(x) for x in r) + r" \\" for r in map(tuple, _small_rows(df))]
     kinds = "".join("r" if f.dataType.typeName() in ("double", "float", "long", "integer", "decimal") else "l" for f in df.schema.fields)
     head = " & ".join(cell(c) for c in df.columns) + r" \\"
     lines = [r"\begin{table}[t]", r"\centering", rf"\caption{{{caption}}}", rf"\label{{{label}}}", rf"\begin{{tabular}}{{{kinds}}}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}", r"\end{table}"]
@@ -96,5 +114,5 @@ def paper_table(df: DataFrame, folder: str, stem: str, caption: str) -> tuple[st
     tex, twin = f"{folder}/{stem}.tex", f"{folder}/{stem}.csv"
     with open(tex, "w", encoding="utf-8") as f:
         f.write(latex(df, caption, f"tab:{stem}"))
-    df.toPandas().to_csv(twin, index=False)
+    small(df).to_csv(twin, index=False)
     return tex, twin

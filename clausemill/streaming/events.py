@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from clausemill.session import checkpoint_dir
+
 #: The types that a client may send.
 CLIENT_EVENTS = (
     "client_hello", "screen_view", "heartbeat", "click", "profile_selection", "analysis_result", "change_card_expand",
@@ -120,7 +122,14 @@ def idempotent(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def drained(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives for what is there now, by way of a table in memory: for tests and small logs."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All rows that a stream gives for what is there now, by way of Parquet in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    rows = f"{path}/rows"
+    spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(f"{rows}/epoch=-1")
+
+    def each(batch: DataFrame, epoch: int) -> None:  # an epoch that is run again overwrites itself; a complete one is all there is
+        batch.write.mode("overwrite").parquet(f"{rows}/epoch={epoch if mode == 'append' else 0}")
+
+    q = df.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(df.schema).option("basePath", rows).parquet(rows).select(df.columns)

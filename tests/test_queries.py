@@ -1,4 +1,7 @@
+from collections import Counter
+
 import pytest
+import regex
 
 from clausemill.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
@@ -17,3 +20,52 @@ def test_query_against_its_oracle(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_an_oracle_gives_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def plain_chunks(text, limit=64):
+    """Paragraphs (lines), sentences and greedy packing by loops: (paragraph, text, tokens, cut)."""
+    count = lambda t: len(regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", t))
+    lines = [t for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if (t := x.strip())]
+    for k, line in enumerate(lines):
+        if len(line) < 15:
+            continue
+        parts = [line]
+        if count(line) > limit:
+            sentences = [t for x in regex.split(r"(?<=[.!?][\"')\]]?)(?<=\S)\s+", line) if (t := x.strip())]
+            groups, n = [], 0
+            for s in sentences:
+                if groups and n + count(s) <= limit:
+                    groups[-1].append(s)
+                    n += count(s)
+                else:
+                    groups.append([s])
+                    n = count(s)
+            parts = [" ".join(g) for g in groups]
+        for p in parts:
+            yield k, p, count(p), len(parts) > 1
+
+
+def test_chunks_report_and_restored_paragraphs_against_loops(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {(i, k): c for i, t in docs.items() for k, c in enumerate(plain_chunks(t))}
+    got = {(r.doc_id, r.chunk_id): (r.paragraph_id, r.text, r.estimated_tokens, r.is_subchunk) for r in QUERIES["document_chunks"](spark, sf_dir).collect()}
+    assert got == want and any(c[3] for c in want.values())
+    harm = Counter(r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect())
+    for r in QUERIES["document_report"](spark, sf_dir).collect():
+        own = [c for (i, _), c in want.items() if i == r.doc_id]
+        lines = [x.strip() for x in docs[r.doc_id].split("\n") if x.strip()]
+        assert (r.n_paragraphs, r.n_skipped, r.n_chunks, r.n_tokens) == (len(lines), sum(len(x) < 15 for x in lines), len(own), sum(c[2] for c in own))
+        assert r.n_subchunked == len({c[0] for c in own if c[3]}) and (r.harmful_share is None) == (r.doc_id not in harm)
+    rows = QUERIES["restored_paragraphs"](spark, sf_dir).collect()
+    places = [(r.doc_id, r.paragraph_id, -1 if r.chunk_id is None else r.chunk_id) for r in rows]
+    assert places == sorted(places)
+    kept = {(r.doc_id, r.chunk_id): (r.paragraph_id, r.estimated_tokens) for r in rows if r.chunk_id is not None}
+    assert kept == {key: (c[0], c[2]) for key, c in want.items()}
+    assert Counter(i for i, _, c in places if c < 0) == Counter(i for i, t in docs.items() for x in t.split("\n") if 0 < len(x.strip()) < 15)
+
+
+def test_analysis_scores_every_chunk_once(spark, sf_dir):
+    rows = QUERIES["analyzed_documents"](spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {(i, k): c[1] for i, t in docs.items() for k, c in enumerate(plain_chunks(t, 256))}
+    assert {(r.doc_id, r.chunk_id): r.text for r in rows} == want and len(rows) == len(want)

@@ -113,3 +113,22 @@ def test_small_sinks(spark, tmp_path):
     sinks.arrays(df, f"{tmp_path}/p", "n")
     assert readers.embeddings(spark, f"{tmp_path}/p").where("n = 2").count() == 1
     assert sinks.without_stamps(df.withColumn("t", F.current_timestamp()).withColumn("created_at", F.lit("x"))).columns == df.columns
+
+
+def test_large_results_do_not_come_to_the_driver(spark, tmp_path):
+    from clausemill.sources import sinks
+
+    with pytest.raises(ValueError, match="more than"):
+        sinks.small(spark.range(11), 10)
+    assert len(sinks.small(spark.range(10), 10)) == 10
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from clausemill.session import checkpoint_dir
+
+    none = SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: none))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
