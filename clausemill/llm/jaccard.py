@@ -6,8 +6,9 @@ total order of the tokens. Three orders are used, all with rare tokens first: by
 and twice by its power of two with differently mixed hashes inside. A pair is a candidate only if it shares a
 prefix token under each of them. The orders also give the places of the shared token, which with the
 sizes bound the overlap; so does, within groups that stay open, a bitmap of token parities. Tokens of one document
-only never make a pair, so only repeated ones are kept. A node's name is a 64-bit digest of its set: among 10^10
-different sets about three pairs are expected to share one, and would count as equal.
+only never make a pair, so only repeated ones are kept. A set has a digest of 128 bits. A node's name is the first
+half; where sets that differ in the second half share the first (about three pairs among 10^10 sets), those sets
+take the second half as their name. These few first halves are the only names that come to the driver.
 
 1. One pass makes (document, set size, node) and the tokens that are frequent within a task (in 8 documents or
    more), counted in bounded memory whatever the size of batches. Tokens whose frequent parts sum to half of ``hot_share`` of all documents are hot; their number has
@@ -87,8 +88,11 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
-def node_of(found: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+def node_of(found: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """The two halves of a set's digest, the first cut to ``bits``."""
+    digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+    first, second = (int.from_bytes(h, "little", signed=True) for h in (digest[:8], digest[8:]))
+    return first >> (64 - bits), second
 
 
 #: Tokens that a task counts at a time.
@@ -110,17 +114,21 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _profile(size: int, hot_share: float, hot_least: int):
-    """First pass: (doc_id, n, node, null) rows, and (null, count, null, token) rows of a task's frequent tokens."""
+_PROFILE = "doc_id long, n long, node long, other long, token long"
+
+
+def _profile(size: int, hot_share: float, hot_least: int, bits: int = 64):
+    """First pass: (doc_id, n, node, other, null) rows, and (null, count, null, null, token) rows of a task's frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = rows = 0
         for batch in batches:
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
-            nodes = [node_of(s) for s in sets]
+            nodes = [node_of(s, bits) for s in sets]
             n = [len(s) for s in sets]
-            yield _batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "token": pa.nulls(len(n), pa.int64())})
+            first, second = (pa.array([x[i] for x in nodes], pa.int64()) for i in range(2))
+            yield _batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": first, "other": second, "token": pa.nulls(len(n), pa.int64())})
             own = list({k: s for k, s in zip(nodes, sets, strict=True)}.values())
             rows += len(own)
             if own:
@@ -133,7 +141,7 @@ def _profile(size: int, hot_share: float, hot_least: int):
             tokens, counts = _frequent(parts)
             many = counts >= max(8, hot_share * rows / 4)
             none = pa.nulls(int(many.sum()), pa.int64())
-            yield _batch({"doc_id": none, "n": pa.array(counts[many], pa.int64()), "node": none, "token": pa.array(tokens[many].view(np.int64), pa.int64())})
+            yield _batch({"doc_id": none, "n": pa.array(counts[many], pa.int64()), "node": none, "other": none, "token": pa.array(tokens[many].view(np.int64), pa.int64())})
 
     return run
 
@@ -158,11 +166,11 @@ def _dealt(bucket: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, tokens: np.
         yield (int(bucket[a]), nodes[first].tobytes(), sizes[first].astype(np.uint32).tobytes(), counts.tobytes(), tokens[a:b].tobytes(), dfs[a:b].astype(np.uint32).tobytes() if dfs is not None else b"")
 
 
-def _send(size: int, buckets: int, hot, flush: int = 1_000_000):
+def _send(size: int, buckets: int, hot, bits: int = 64, flush: int = 1_000_000):
     """Second pass: tokens to token buckets (kind 0); hot ones with their frequency to node buckets (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens, hot_dfs = hot.value
+        hot_tokens, hot_dfs, shared_names = hot.value
 
         def told(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
             n = np.array([len(s) for s in sets.values()], dtype=np.int64)
@@ -186,7 +194,9 @@ def _send(size: int, buckets: int, hot, flush: int = 1_000_000):
         for batch in batches:
             for t in batch.column(0):
                 s = shingles(t.as_py(), size)
-                if len(s) and (k := node_of(s)) not in sets:
+                k, other = node_of(s, bits)
+                k = other if k in shared_names else k
+                if len(s) and k not in sets:
                     sets[k] = s
                     held += len(s)
                     if held >= flush:
@@ -321,21 +331,30 @@ def near_duplicates(
     hot_share: float = HOT_SHARE,
     hot_least: int = HOT_LEAST,
     bucket_tokens: int = BUCKET_TOKENS,
+    name_bits: int = 64,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the least document id of its component."""
+    """(doc_id, n_shingles, component_id) for every row: the least document id of its component.
+
+    ``name_bits`` is the length of nodes' first names; fewer bits make more nodes take their second, and no other result.
+    """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "jaccard")
     docs = picked(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    profile = store.save(docs.mapInArrow(_profile(size, hot_share, hot_least), "doc_id long, n long, node long, token long"), "profile")
-    members = profile.where("token IS NULL").select("doc_id", "n", "node")
+    profile = store.save(docs.mapInArrow(_profile(size, hot_share, hot_least, name_bits), _PROFILE), "profile")
+    members = profile.where("token IS NULL").select("doc_id", "n", "node", "other")
+    several = members.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high")
+    shared_names = {r.node for r in several.select("node").collect()}
+    if shared_names:
+        members = members.withColumn("node", F.when(F.col("node").isin(shared_names), F.col("other")).otherwise(F.col("node")))
+    members = members.drop("other")
     n_docs, n_tokens = members.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     hot_from = max(hot_least, hot_share * n_docs / 2)
     hot = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("df")).where(F.col("df") >= hot_from).toPandas()
     hot_tokens = hot["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot_tokens)
-    shared = spark.sparkContext.broadcast((hot_tokens[order], hot["df"].to_numpy(np.int64)[order]))
+    shared = spark.sparkContext.broadcast((hot_tokens[order], hot["df"].to_numpy(np.int64)[order], shared_names))
     buckets = max(8, math.ceil(n_tokens / bucket_tokens))
 
-    sent = docs.select("text").mapInArrow(_send(size, buckets, shared), _MESSAGE)
+    sent = docs.select("text").mapInArrow(_send(size, buckets, shared, name_bits), _MESSAGE)
     # one pass, two readers: the messages of both kinds go through the same exchange
     dealt = sent.groupBy("bucket", "kind")
     told = dealt.applyInArrow(_route(buckets), _MESSAGE)

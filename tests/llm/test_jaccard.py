@@ -51,6 +51,13 @@ def test_against_brute_force(spark):
         assert sorted([tuple(r) for r in got], key=str) == want, seed
 
 
+def test_sets_that_share_a_name(spark):
+    rows = corpus(5)
+    for bits in (1, 5, 64):
+        got = near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), name_bits=bits).collect()
+        assert sorted([tuple(r) for r in got], key=str) == brute(rows), bits
+
+
 def test_links_form_chains(spark):
     words = [f"w{i}" for i in range(60)]
     rows = []
