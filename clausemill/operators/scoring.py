@@ -44,7 +44,7 @@ class HashScorer:
         out = []
         for t in texts:
             n = int.from_bytes(hashlib.md5(f"{self.name}:{t}".encode()).digest()[:4], "big")
-            out.append("no answer" if self.fail_every and n % self.fail_every == 0 else json.dumps({"score": n % 3 - 1, "title": f"t{n % 7}", "description": t[:20]}))
+            out.append("no answer" if self.fail_every and n % self.fail_every == 0 else json.dumps({"score": n % 3 - 1, "title": f"t{n % 7}", "description": t[:20]}, ensure_ascii=False))
         return out
 
 

@@ -1,7 +1,7 @@
 """Splits of a labelled table: stratified, by group, by source; leakage checks.
 
-Membership follows a seeded hash of the row id, so it does not depend on partitioning and a lost task gives
-the same rows again. Strata are cut by rank within the stratum, so proportions hold to one row.
+Membership follows a seeded MD5 of the row id, so it does not depend on partitioning, a lost task gives the
+same rows again, and any other engine can repeat it. Strata are cut by rank within the stratum, so proportions hold to one row.
 """
 
 from __future__ import annotations
@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 RARE = "__rare__"
 
 
+def seeded(seed: int, key: Column) -> Column:
+    """The order of a key under a seed: the MD5 of ``seed:key`` in hexadecimal; a null key counts as the empty one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+
+
 def stratum(primary: Column, harm: Column) -> Column:
     return F.concat(F.coalesce(primary, F.lit("none")), F.lit("__harm"), F.coalesce(harm, F.lit(-1)).cast("string"))
 
@@ -25,7 +30,7 @@ def collapse_rare(df: DataFrame, key: str, least: int) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, row_id: str = "row_id", seed: int = 42, validation: float = 0.1, test: float = 0.1, least: int = 5) -> DataFrame:
     """Adds ``split``: test, validation or train, in the given shares of each stratum; rare strata are cut together."""
     held = collapse_rare(df.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("none"))), "__key", least)
-    by = Window.partitionBy("__key").orderBy(F.xxhash64(F.lit(seed), F.col(row_id)), row_id)
+    by = Window.partitionBy("__key").orderBy(seeded(seed, F.col(row_id)), row_id)
     place = (F.row_number().over(by) - 0.5) / F.count("*").over(Window.partitionBy("__key"))
     split = F.when(place < test, "test").when(place < test + validation, "validation").otherwise("train")
     return held.withColumn("split", split).drop("__key")
@@ -33,7 +38,7 @@ def stratified_split(df: DataFrame, key: str, row_id: str = "row_id", seed: int
 
 def group_split(df: DataFrame, group: str, seed: int = 42, validation: float = 0.1, test: float = 0.1) -> DataFrame:
     """Adds ``split`` by a hash of the group, so that a group is never on two sides; no shuffle."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(10_000)) / 10_000
+    place = F.conv(F.substring(seeded(seed, F.col(group)), 1, 8), 16, 10).cast("long") / 2**32
     return df.withColumn("split", F.when(place < test, "test").when(place < test + validation, "validation").otherwise("train"))
 
 
@@ -61,13 +66,13 @@ def hold_out(df: DataFrame, source: str, sources: str = "sources") -> DataFrame:
 
 
 def assignment(df: DataFrame, text: str, row_id: str = "row_id") -> DataFrame:
-    """The split to persist: row id, split and a hash of the text to check it by."""
-    return df.select(F.col(row_id).alias("row_id"), "split", F.xxhash64(F.col(text)).alias("text_hash"))
+    """The split to persist: row id, split and the MD5 of the text to check it by; a null text counts as the empty one."""
+    return df.select(F.col(row_id).alias("row_id"), "split", F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
 
 
 def check_assignment(df: DataFrame, stored: DataFrame, text: str) -> DataFrame:
     """One row of counts: rows without a split, splits without a row, and texts that changed; all must be 0."""
-    now = df.select("row_id", F.xxhash64(F.col(text)).alias("now"))
+    now = df.select("row_id", F.md5(F.coalesce(F.col(text), F.lit(""))).alias("now"))
     both = now.join(stored, "row_id", "full")
     return both.agg(
         F.count_if(F.col("split").isNull()).alias("without_split"),
@@ -78,6 +83,6 @@ def check_assignment(df: DataFrame, stored: DataFrame, text: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, klass: str, size: int, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """One row of every class, then others up to ``size``, by a seeded hash. A sampling operator: its limit is its purpose."""
-    order = F.xxhash64(F.lit(seed), F.col(row_id))
+    order = seeded(seed, F.col(row_id))
     first = F.row_number().over(Window.partitionBy(klass).orderBy(order, row_id)) == 1
     return df.withColumn("__later", (~first).cast("int")).orderBy("__later", order, row_id).limit(size).drop("__later")

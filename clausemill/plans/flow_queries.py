@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from clausemill.functions import numeric as N
 from clausemill.functions import text as T
 from clausemill.operators import analysis, metrics, probes, retrieval, scoring
-from clausemill.plans.label_queries import harm
+from clausemill.plans import oracle_parts as O
+from clausemill.plans.label_queries import HARM, harm
 from clausemill.plans.registry import query
-from clausemill.plans.table_queries import _search, stamped
+from clausemill.plans.table_queries import BM25, _search, stamped
 from clausemill.session import table
 from clausemill.streaming import events as S
 
@@ -124,18 +125,30 @@ def embedding_probe(spark, sf_dir):
     return metrics.class_summary(metrics.confusion(out.withColumn("mask", F.lit(1.0))))
 
 
-@query("analyzed_documents")
+@query("analyzed_documents", f"WITH RECURSIVE {O.analysis()} SELECT * FROM an")
 def analyzed_documents(spark, sf_dir):
     """Text to predictions with the deterministic scorer."""
     return analysis.analyze(table(spark, sf_dir, "documents").select("doc_id", "text"), scoring.HashScorer(), separator="\n")
 
 
-@query("explained_clauses")
+_EXPLAINED = O.DRAW.format("explain", "text")
+
+
+@query("explained_clauses", f"""
+WITH RECURSIVE {O.analysis()} SELECT doc_id, chunk_id, text, predicted_harm_class, 't' || {_EXPLAINED} % 7 AS title, substr(text, 1, 20) AS description FROM an WHERE predicted_harm_class = 'Harmful'""")
 def explained_clauses(spark, sf_dir):
     return analysis.explain(analyzed_documents(spark, sf_dir), scoring.HashScorer("explain"), ["harmful"])
 
 
-@query("version_changes")
+_CHANGED = f"""
+SELECT doc_id AS document, chunk_id AS pos, text AS what, lower(predicted_harm_class) AS harm_label, CASE WHEN EXISTS (FROM gone g WHERE g.doc_id = c.doc_id AND g.paragraph_id = c.paragraph_id) THEN 'modified' ELSE 'added' END AS change_type FROM came c
+UNION ALL SELECT doc_id, chunk_id, text, lower(predicted_harm_class), 'removed' FROM gone g WHERE NOT EXISTS (FROM came c WHERE g.doc_id = c.doc_id AND g.paragraph_id = c.paragraph_id)"""
+
+
+@query("version_changes", f"""
+WITH RECURSIVE newer AS (SELECT doc_id, regexp_replace(text, '^\\S+', 'Changed') || chr(10) || 'This paragraph is new and of some length.' AS text FROM documents), {O.analysis()}, {O.analysis(docs="newer", s="2")},
+a1 AS (SELECT *, {O.CHANGE.format("text")} AS key FROM an), a2 AS (SELECT *, {O.CHANGE.format("text")} AS key FROM an2), gone AS (SELECT * FROM a1 ANTI JOIN a2 USING (doc_id, key)), came AS (SELECT * FROM a2 ANTI JOIN a1 USING (doc_id, key)),
+{O.merged(_CHANGED)} SELECT * FROM merged""")
 def version_changes(spark, sf_dir):
     """Each document against a version whose first words are changed and to which a paragraph is added."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -144,15 +157,26 @@ def version_changes(spark, sf_dir):
     return analysis.version_changes(run(d), run(new))
 
 
-@query("grouped_comparison")
+@query("grouped_comparison", f"""
+WITH {HARM}, z AS (SELECT 'single' AS side, truth, predicted, doc_id FROM h UNION ALL SELECT 'group', truth, predicted, doc_id FROM h WHERE doc_id % 11 <> 0),
+k AS (SELECT unnest([0, 1, 2]) AS k), t AS (SELECT side, k, count(*) FILTER (truth = k AND predicted = k) AS tp, count(*) FILTER (truth = k OR predicted = k) + count(*) FILTER (truth = k AND predicted = k) AS both_ FROM z, k GROUP BY 1, 2),
+f AS (SELECT side, round(avg(2 * tp / both_), 9) AS f1 FROM t WHERE both_ > 0 GROUP BY 1), b AS (SELECT sum(ceil(n / 20)) AS calls FROM (SELECT count(*) AS n FROM h GROUP BY doc_id % 3))
+SELECT (SELECT count(*) FROM h) AS rows, (SELECT count(*) FROM h WHERE doc_id % 11 <> 0) AS valid_rows, (SELECT round(avg(1.0), 9) FROM h) AS agreement, (SELECT f1 FROM f WHERE side = 'single') AS single_f1, (SELECT f1 FROM f WHERE side = 'group') AS group_f1,
+  CAST(calls AS BIGINT) AS calls, round(100.0 * (1 - calls / (SELECT count(*) FROM h)), 9) AS reduction_percent FROM b""")
 def grouped_comparison(spark, sf_dir):
     h = harm(spark, sf_dir).select(F.col("doc_id").alias("row_id"), (F.col("truth") - 1).alias("truth"), (F.col("predicted") - 1).alias("score"))
     grouped = h.select("row_id", F.when(F.col("row_id") % 11 != 0, F.col("score")).alias("score"))
     calls = scoring.batches(h.withColumn("g", F.col("row_id") % 3), 20, "g", "row_id").select("g", "batch").distinct()
-    return analysis.comparison_summary(h, grouped, calls)
+    s = analysis.comparison_summary(h, grouped, calls)
+    return s.withColumns({c: F.round(c, 9) for c in ("agreement", "single_f1", "group_f1", "reduction_percent")})
+
+
+_PAIR = O.DRAW.format("rerank", "b.text || chr(10) || chr(10) || d.text")
 
 
-@query("reranked_chunks")
+@query("reranked_chunks", f"""
+WITH {BM25}, s AS (SELECT query_id, chunk_id, CAST({_PAIR} % 3 - 1 AS DOUBLE) AS score FROM r JOIN benchmark b ON b.item_id = query_id JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 10)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 4""", rank="INTEGER")
 def reranked_chunks(spark, sf_dir):
     queries, chunks, ranked = _search(spark, sf_dir, 10)
     pairs = ranked.select("query_id", "chunk_id").join(queries, "query_id").join(chunks, "chunk_id")
@@ -183,7 +207,7 @@ def stream_gap_sessions(spark, sf_dir):
     return stamped(out)
 
 
-@query("stream_stamped_events")
+@query("stream_stamped_events", O.STAMPED)
 def stream_stamped_events(spark, sf_dir):
     """The events through the session state machine: a signup starts a session, an error ends it."""
     kind = F.when(F.col("event_type") == "signup", "session_start").when(F.col("event_type") == "error", "session_end").otherwise(F.col("event_type"))

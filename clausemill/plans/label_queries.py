@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.operators import fusion, metrics, resample, scoring, splits
+from clausemill.plans import oracle_parts as O
 from clausemill.plans.registry import query
 from clausemill.session import table
 
@@ -194,9 +195,16 @@ def _labelled(spark, sf_dir):
     return d.join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("doc_id").alias("row_id"), "text", "source", splits.stratum(F.col("lang"), F.col("quality")).alias("stratum"))
 
 
-@query("split_assignment")
+LABELLED = """
+x AS (SELECT doc_id AS row_id, text, lang || '__harm' || quality AS stratum FROM documents JOIN labels USING (doc_id))"""
+
+
+@query("split_assignment", f"""
+WITH {LABELLED}, n AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY stratum) < 5 THEN '__rare__' ELSE stratum END AS k FROM x),
+r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY md5('42:' || row_id), row_id) - 0.5) / count(*) OVER (PARTITION BY k) AS place FROM n)
+SELECT row_id, CASE WHEN place < 0.1 THEN 'test' WHEN place < 0.2 THEN 'validation' ELSE 'train' END AS split, md5(text) AS text_hash FROM r""")
 def split_assignment(spark, sf_dir):
-    """Membership follows a seeded hash; tests check shares, coverage and that nothing depends on partitions."""
+    """Membership follows a seeded hash, which other engines can repeat."""
     s = splits.stratified_split(_labelled(spark, sf_dir), "stratum")
     return splits.assignment(s, "text")
 
@@ -211,7 +219,9 @@ def split_sizes(spark, sf_dir):
     return s.groupBy("stratum").agg(*[F.count_if(F.col("split") == x).alias(x) for x in ("test", "validation", "train")])
 
 
-@query("group_split")
+@query("group_split", """
+WITH p AS (SELECT source, CAST('0x' || md5('42:' || source)[1:8] AS BIGINT) / 4294967296 AS place FROM documents)
+SELECT source, CASE WHEN place < 0.1 THEN 'test' WHEN place < 0.2 THEN 'validation' ELSE 'train' END AS split, count(*) AS count FROM p GROUP BY 1, 2""")
 def group_split(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
     return splits.group_split(d, "source").groupBy("source", "split").count()
@@ -254,7 +264,8 @@ def assignment_check(spark, sf_dir):
     return splits.check_assignment(d, splits.assignment(d, "text"), "text")
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"""
+WITH {LABELLED}, f AS (SELECT *, md5('42:' || row_id) AS h, row_number() OVER (PARTITION BY stratum ORDER BY md5('42:' || row_id), row_id) > 1 AS later FROM x) SELECT row_id, stratum FROM f ORDER BY later, h, row_id LIMIT 60""")
 def stratified_sample(spark, sf_dir):
     return splits.stratified_sample(_labelled(spark, sf_dir), "stratum", 60).select("row_id", "stratum")
 
@@ -434,7 +445,13 @@ def mapped_annotations(spark, sf_dir):
 # ---- scorer runs
 
 
-@query("scored_run")
+_DRAWN = O.DRAW.format("hash", "text")
+
+
+@query("scored_run", f"""
+WITH n AS (SELECT item_id, text, {_DRAWN} AS n FROM benchmark), a AS (SELECT *, n % 9 <> 0 AS ok FROM n)
+SELECT item_id AS row_id, CASE WHEN ok THEN '{{"score": ' || (n % 3 - 1) || ', "title": "t' || n % 7 || '", "description": ' || to_json(substr(text, 1, 20)) || '}}' ELSE 'no answer' END AS raw,
+  CASE WHEN ok THEN CAST(n % 3 - 1 AS INTEGER) END AS score, ok AS parse_ok, ok AND trim(substr(text, 1, 20)) <> '' AS complete FROM a""")
 def scored_run(spark, sf_dir):
     """The deterministic scorer over all benchmark items, answers parsed."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")

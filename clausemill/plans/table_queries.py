@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import numeric as N
 from clausemill.operators import fusion, relational as R
 from clausemill.operators import retrieval, sessions
+from clausemill.plans import oracle_parts as O
 from clausemill.plans.registry import query
 from clausemill.schemas import violations, with_columns_of
 from clausemill.session import table
@@ -334,22 +335,25 @@ def _measured(spark, sf_dir):
     return ranked, retrieval.relevance(answers, one(chunks), "contract")
 
 
-@query("answer_relevance")
+@query("answer_relevance", f"WITH {O.RELEVANT} SELECT query_id, chunk_id FROM rel")
 def answer_relevance(spark, sf_dir):
-    """Which documents hold an item or six of its words in a row; tests hold it against brute force."""
+    """Which documents hold an item or six of its words in a row."""
     return _measured(spark, sf_dir)[1]
 
 
-@query("ir_metrics")
+@query("ir_metrics", f"WITH {BM25}, {O.RELEVANT}, {O.MEASURED} SELECT * FROM me")
 def ir_metrics(spark, sf_dir):
     ranked, relevant = _measured(spark, sf_dir)
     m = retrieval.measures(ranked, relevant, 15)
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in retrieval.MEASURES])
 
 
-@query("ir_summary")
+@query("ir_summary", f"""
+WITH {BM25}, {O.RELEVANT}, {O.MEASURED}, u AS (UNPIVOT me ON hit, mrr, precision, recall, ndcg INTO NAME measure VALUE value)
+SELECT measure, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS least, max(value) AS most FROM u GROUP BY measure""")
 def ir_summary(spark, sf_dir):
-    return retrieval.summary(ir_metrics(spark, sf_dir))
+    s = retrieval.summary(ir_metrics(spark, sf_dir))
+    return s.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query("ir_measures_oracle", f"""
