@@ -107,3 +107,31 @@ m AS (SELECT *, coalesce(open_, false) <> (event_type = 'session_start') AS logg
 o AS (SELECT *, row_number() OVER w - 1 AS place, first_value(participant) OVER w AS own, first_value(session) OVER w AS its, first_value(server_ms) OVER w AS began FROM m WINDOW w AS (PARTITION BY study, part, logged ORDER BY arrival))
 SELECT study, arrival, server_ms, event_type, data, CASE WHEN logged THEN own END AS participant_id, CASE WHEN logged THEN its END AS session_id, CASE WHEN logged THEN place END AS seq, CASE WHEN logged THEN server_ms - began END AS t_ms, logged,
   CASE WHEN logged THEN NULL WHEN event_type = 'session_start' THEN 'already_active' ELSE 'no_active_session' END AS reason FROM o"""
+
+SCREENS = ("profile", "analyzing", "results", "preview", "ask_ai")
+
+#: ``sp``: for each session and screen the wall and active time inside the session, over entries; the log is made from the events.
+SCREEN_TIMES = f"""
+sl AS (SELECT CAST(user_id AS VARCHAR) AS participant_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS session_id, event_id, ts, event_type, value, {list(SCREENS)}[CAST(event_id // 7 % 5 + 1 AS INT)] AS scr, epoch_us(ts) // 1000 - epoch_ms(date_trunc('day', ts)) AS t FROM events),
+sr AS (SELECT *, event_type = 'view' AS beat, CASE event_type WHEN 'view' THEN round(value * 100) ELSE round(value * 90) END AS wall, round(value * 50) AS active FROM sl WHERE event_type = 'view' OR event_type = 'signup' AND round(value * 90) >= 100),
+sb AS (SELECT *, coalesce(NOT lag(beat) OVER w OR beat AND wall < lag(wall) OVER w, true) AS opens FROM sr WINDOW w AS (PARTITION BY participant_id, session_id, scr ORDER BY event_id)),
+se AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY participant_id, session_id, scr ORDER BY event_id) AS entry FROM sb),
+ss AS (SELECT participant_id, session_id, scr, entry, max(active) AS active, greatest(0, max(wall) - greatest(0, arg_min(wall - t, event_id))) AS inside FROM se GROUP BY 1, 2, 3, 4),
+sp AS (SELECT participant_id, session_id, scr, sum(inside) AS wall, sum(least(active, inside)) AS active FROM ss GROUP BY 1, 2, 3)"""
+
+
+def _seconds(scr: str, what: str) -> str:
+    return f"printf('%.1f', coalesce(max({what}) FILTER (scr = '{scr}'), 0) / 1000) AS {scr}_{what}_s"
+
+
+_NAMES = "participant_id, session_id"
+#: The session roll-up of that log, which has no starts, ends, selections or cards.
+SESSIONS = f"""
+WITH {SCREEN_TIMES}, sw AS (SELECT {_NAMES}, {", ".join(_seconds(s, w) for s in SCREENS for w in ("wall", "active"))} FROM sp GROUP BY ALL),
+sc AS (SELECT {_NAMES}, CAST(arg_min(ts, event_id) AS VARCHAR) AS started_at, false AS ended, '' AS end_reason, max(t) AS duration_ms, '' AS note, 'v1' AS app_commit, '' AS model_dir, '' AS ollama_model, '' AS risk_scorer, '' AS diff_inject_classifier_context,
+  count(*) AS n_client_events, count(*) FILTER (event_type = 'view') AS n_heartbeats, coalesce(printf('%.1f', arg_min(t, event_id) FILTER (scr = 'results') / 1000), '') AS time_to_results_s,
+  '' AS profile_service, '' AS profile_role, '' AS profile_concerns, '' AS profile_mode, '' AS profile_context_length, CAST(NULL AS INTEGER) AS n_cards_shown, CAST(NULL AS INTEGER) AS n_harmful_shown,
+  CAST(0 AS BIGINT) AS n_cards_expanded_unique, CAST(0 AS BIGINT) AS n_expands, CAST(0 AS BIGINT) AS n_original_clause_open_unique, CAST(0 AS BIGINT) AS n_cards_seen_1s, count(*) FILTER (event_type = 'error') AS n_category_toggles,
+  CAST(0 AS BIGINT) AS n_preview_toggles, CAST(0 AS BIGINT) AS n_ask_ai_opens, count(*) FILTER (event_type NOT IN ('view', 'click', 'signup', 'error')) AS n_ask_ai_messages,
+  CAST(coalesce(sum(event_id % 13) FILTER (event_type NOT IN ('view', 'click', 'signup', 'error')), 0) AS BIGINT) AS ask_ai_chars, count(*) FILTER (event_type = 'click') AS n_clicks FROM sl GROUP BY ALL)
+SELECT sc.*, {", ".join(f"coalesce({s}_{w}_s, '0.0') AS {s}_{w}_s" for s in SCREENS for w in ("wall", "active"))} FROM sc LEFT JOIN sw USING ({_NAMES})"""

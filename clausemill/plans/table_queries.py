@@ -190,9 +190,9 @@ def study_log(spark, sf_dir):
     )
 
 
-@query("study_sessions")
+@query("study_sessions", O.SESSIONS)
 def study_sessions(spark, sf_dir):
-    """The whole session roll-up; the golden fixture in the tests checks its cells."""
+    """The whole session roll-up."""
     return sessions.session_rollup(study_log(spark, sf_dir))[0]
 
 
