@@ -79,8 +79,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 @_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without the lines that fail."""
-    kept = line_first_quality(docs.select(*COLUMNS)).where("kept")
-    return kept.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    judged = line_first_quality(docs.select(*COLUMNS))
+    # behind a generator: the optimizer would repeat all rules in a filter below and work them out twice
+    told = judged.select("doc_id", "lang", "source", F.inline(F.array(F.struct(F.col("clean_text").alias("text"), "kept"))))
+    return told.where("kept").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 @_stage
