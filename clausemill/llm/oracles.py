@@ -149,3 +149,46 @@ reach AS (SELECT r, r AS other FROM n UNION SELECT reach.r, e.b FROM reach JOIN
 c AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.other GROUP BY reach.r)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN c USING (r)
 """
+
+# CRC-32 of an id's decimal digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)))"""
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# All pairs of distinct names of like length; five cells about the diagonal, row by row.
+_CELL = "CASE WHEN i - 1 + {o} BETWEEN 0 AND lq THEN least(s{o} + CASE WHEN a[i + 1] = b[i - 1 + {o}] THEN 0 ELSE 1 END, {more} CASE WHEN i >= 1 AND a[i + 1] = b[i - 2 + {o}] AND a[i] = b[i - 1 + {o}] THEN p{o} + 1 ELSE 3 END, {left} 3) ELSE 3 END AS n{o}"
+_CELLS = ", ".join(_CELL.format(o=o, more=f"s{o + 1} + 1," if o < 4 else "", left=f"n{o - 1} + 1," if o else "") for o in range(5))
+ORACLES["op12_edit_distance_names"] = rf"""
+WITH RECURSIVE c AS (
+  SELECT name, count(*) AS n, min(client_id) AS first, CAST(coalesce(sum(crc), 0) AS BIGINT) AS crc
+  FROM (SELECT {_LOWER.format("name")} AS name, client_id, {_CRC.format("client_id")} AS crc FROM clients WHERE name <> '') GROUP BY name
+), h AS (SELECT vendor_id, name, {_CRC.format("vendor_id")} AS h FROM vendors WHERE name <> ''),
+v AS (
+  SELECT vendor_id, {_LOWER.format("CASE WHEN h % 2 = 0 AND len(name) >= 2 THEN name[:h % (len(name) - 1)] || name[h % (len(name) - 1) + 2] || name[h % (len(name) - 1) + 1] || name[h % (len(name) - 1) + 3:] ELSE name END")} AS name FROM h
+), p AS (
+  SELECT v.name AS q, c.name AS n, string_split(v.name, '') AS b, string_split(c.name, '') AS a, len(v.name) AS lq, len(c.name) AS ln
+  FROM (SELECT DISTINCT name FROM v) v, c WHERE abs(len(v.name) - len(c.name)) <= 2
+), d AS (
+  SELECT *, 0 AS i, 3 AS s0, 3 AS s1, 0 AS s2, CASE WHEN lq >= 1 THEN 1 ELSE 3 END AS s3, CASE WHEN lq >= 2 THEN 2 ELSE 3 END AS s4, 3 AS p0, 3 AS p1, 3 AS p2, 3 AS p3, 3 AS p4 FROM p
+  UNION ALL
+  SELECT q, n, b, a, lq, ln, i + 1, n0, n1, n2, n3, n4, s0, s1, s2, s3, s4
+  FROM (SELECT *, {_CELLS} FROM d WHERE i < ln AND least(s0, s1, s2, s3, s4) <= 2)
+), near AS (SELECT q, n, [s0, s1, s2, s3, s4][lq - ln + 3] AS distance FROM d WHERE i = ln)
+SELECT vendor_id, CAST(distance AS INTEGER) AS distance, CAST(sum(c.n) AS BIGINT) AS n_clients, min(first) AS first_client_id, CAST(sum(crc) AS BIGINT) AS clients_crc
+FROM near JOIN c ON c.name = near.n JOIN v ON v.name = near.q WHERE distance <= 2 GROUP BY vendor_id, distance
+"""
+
+ORACLES["op13_embedding_neardup"] = r"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, row_number() OVER () AS r, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS good
+  FROM embeddings
+), links AS (
+  SELECT x.r AS a, y.r AS b FROM e x JOIN e y ON x.label = y.label AND x.r <> y.r AND x.good AND y.good AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+), reach AS (SELECT r AS a, r AS b FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT reach.a AS r, min(e.vec_id) AS component_id FROM reach JOIN e ON e.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM e JOIN least USING (r) LEFT JOIN n USING (r)
+"""
