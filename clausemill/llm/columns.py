@@ -16,6 +16,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def utf8(text: Column) -> Column:
+    """The text with bytes that are not UTF-8 as U+FFFD: the one rule of all operators, at their entry."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of other characters than blanks; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS + "+"), "")
