@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass, field
+from typing import Any
 
 #: Element groups of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,15 +36,34 @@ _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
+class Above:
+    """An open element and those above it, shared by all blocks below; ``told`` is what a reader keeps about it."""
+
+    __slots__ = ("names", "parent", "tag", "told")
+
+    def __init__(self, parent: Above | None, tag: str, names: str):
+        self.parent, self.tag, self.names = parent, tag, names
+        self.told: Any = None
+
+
 @dataclass
 class Block:
-    """One block: its text, the elements above it (tag, class and id words), and how much of it is in links."""
+    """One block: its text, the innermost element above it, how much of it is in links, and the inline tags in it."""
 
     text: str
-    path: list[tuple[str, str]]
+    above: Above | None
     link_chars: int = 0
     tags: frozenset = field(default_factory=frozenset)
 
+    @property
+    def path(self) -> list[tuple[str, str]]:
+        """The elements above it (tag, class and id words), outermost first."""
+        out, node = [], self.above
+        while node is not None:
+            out.append((node.tag, node.names))
+            node = node.parent
+        return out[::-1]
+
 
 def _named(attributes: str) -> str:
     """The class, id and role words of a tag in lower case; ``hidden`` where the element is not shown."""
@@ -57,9 +78,15 @@ def _named(attributes: str) -> str:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """All blocks with text, in page order; character references decoded, white space runs as one space."""
+    """All blocks with text, in page order; character references decoded, white space runs as one space.
+
+    Where elements of a tag are open is kept by tag, so an end tag costs the same at any depth.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, Above | None]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)
+    in_block: list[int] = []
+    in_bound: list[int] = []
     parts: list[str] = []
     linked = 0
     inline: set[str] = set()
@@ -70,7 +97,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            found.append(Block(text, [x for x in stack if x[0] in BLOCK or x[1]], min(linked, len(text)), frozenset(inline)))
+            found.append(Block(text, stack[-1][1] if stack else None, min(linked, len(text)), frozenset(inline)))
         parts.clear()
         inline.clear()
         linked = 0
@@ -78,17 +105,34 @@ def blocks_of(page: str) -> list[Block]:
     def pop() -> None:
         nonlocal skipping, links
         tag, _ = stack.pop()
+        places[tag].pop()
+        if tag in BLOCK:
+            in_block.pop()
+        if tag in _BOUNDS:
+            in_bound.pop()
         skipping -= tag in SKIPPED
         links -= tag == "a"
 
-    def close(group: set[str] | frozenset, bounds: set[str] | frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in group:
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in bounds:
-                return
+    def push(tag: str, names: str) -> None:
+        nonlocal skipping, links
+        above = stack[-1][1] if stack else None
+        places[tag].append(len(stack))
+        if tag in BLOCK:
+            in_block.append(len(stack))
+        if tag in _BOUNDS:
+            in_bound.append(len(stack))
+        stack.append((tag, Above(above, tag, names) if tag in BLOCK or names else above))
+        skipping += tag in SKIPPED
+        links += tag == "a"
+
+    def innermost(tags: set[str] | frozenset) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=-1)
+
+    def close(group: set[str] | frozenset, bound: int) -> None:
+        """Closes the innermost open element of the group, unless that lies outside the bound."""
+        k = innermost(group)
+        while k >= max(bound, 0) and len(stack) > k:
+            pop()
 
     def end_head() -> None:
         if stack and stack[-1][0] == "head":
@@ -133,12 +177,10 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if tag == "p" and not any(t == "p" for t, _ in stack):
-                continue
             if tag in HEADINGS:
-                close(HEADINGS, _BOUNDS)
-            elif any(t == tag for t, _ in stack):
-                close({tag}, frozenset() if tag in BLOCK else BLOCK)
+                close(HEADINGS, in_bound[-1] if in_bound else -1)
+            else:
+                close({tag}, in_block[-1] if in_block and tag not in BLOCK else -1)
             continue
         if tag not in IN_HEAD:
             end_head()
@@ -147,9 +189,9 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            close({"p"}, _BOUNDS)
+            close({"p"}, in_bound[-1] if in_bound else -1)
             if tag in CLOSES:
-                close(*CLOSES[tag])
+                close(CLOSES[tag][0], innermost(CLOSES[tag][1]))
             if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
                 pop()
         if tag in VOID:
@@ -161,8 +203,6 @@ def blocks_of(page: str) -> list[Block]:
             at = stop.start() if stop else end
         if tag not in BLOCK:
             inline.add(tag)
-        stack.append((tag, _named(attributes) if attributes else ""))
-        skipping += tag in SKIPPED
-        links += tag == "a"
+        push(tag, _named(attributes) if attributes else "")
     flush()
     return found

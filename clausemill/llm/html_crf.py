@@ -6,7 +6,7 @@ documented bound) by stochastic gradient steps on the likelihood, with forward-b
 Viterbi. Pages are independent rows: nothing is shuffled, and the model is a small table of weights.
 
 Defined results for odd input: a null or empty page, or one without main text, gives the empty text; pages of
-any length are read whole; equal rows give equal results, row by row; an empty table gives an empty table;
+any length are read whole, in time that grows with them at any depth; bytes that are not UTF-8 become U+FFFD; equal rows give equal results, row by row; an empty table gives an empty table;
 other columns pass through untouched, whatever their names, but for one named as ``out`` in any case of letters,
 which it replaces.
 """
@@ -17,14 +17,15 @@ import math
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.llm.columns import Passing
-from clausemill.llm.html_blocks import HEADINGS, Block, blocks_of
+from clausemill.llm.columns import Passing, utf8
+from clausemill.llm.html_blocks import HEADINGS, Above, Block, blocks_of
 
 #: Words in class and id names, by what they announce.
 NAMES = {
@@ -57,9 +58,40 @@ def named_kinds(names: str) -> set[str]:
     return kinds
 
 
+@dataclass(frozen=True)
+class _Told:
+    """What the elements above a block add: the innermost telling tag, the known tags, the kinds of names, and the nearest ones."""
+
+    tag: str = "none"
+    tags: frozenset = frozenset()
+    kinds: frozenset = frozenset()
+    nearest: tuple[str, ...] = ()
+
+
+_NONE, _KNOWN_TAGS = _Told(), frozenset(_STATE) | HEADINGS
+
+
+def told_by(above: Above | None) -> _Told:
+    """What an element and those above it add; each element is looked at once, and sets that do not change are shared."""
+    todo = []
+    while above is not None and above.told is None:
+        todo.append(above)
+        above = above.parent
+    told = _NONE if above is None else above.told
+    for node in reversed(todo):
+        kinds = named_kinds(node.names) if node.names else frozenset()
+        told = node.told = _Told(
+            told.tag if node.tag in ("div", "span", "body", "html") else node.tag,
+            told.tags if node.tag in told.tags or node.tag not in _KNOWN_TAGS else told.tags | {node.tag},
+            told.kinds if told.kinds >= kinds else told.kinds | kinds,
+            tuple(sorted(kinds)) or told.nearest,
+        )
+    return told
+
+
 def features(block: Block) -> list[str]:
     """The features of one block."""
-    text, tags = block.text, [t for t, _ in block.path]
+    text, told = block.text, told_by(block.above)
     n = text.count(" ") + 1
     share = block.link_chars / len(text)
     out = [
@@ -67,20 +99,17 @@ def features(block: Block) -> list[str]:
         f"words{min(n.bit_length(), 7)}",
         "links" + ("0" if share == 0 else "1" if share < 0.34 else "2" if share < 0.8 else "3"),
         "end." if text[-1] in ".!?…:”\"'»)" else "end-",
-        f"tag:{next((t for t in reversed(tags) if t not in ('div', 'span', 'body', 'html')), 'none')}",
+        f"tag:{told.tag}",
     ]
-    above = set(tags)
+    above = told.tags
     out += [f"in:{t}" for t in _STATE if t in above]
     if not above & {"article", "main"}:
         out.append("no-article")
-    kinds = [named_kinds(names) if names else () for _, names in block.path]
-    out += sorted({f"name:{k}" for ks in kinds for k in ks})
-    nearest = next((ks for ks in reversed(kinds) if ks), None)
-    if nearest:
-        out += [f"near:{k}" for k in sorted(nearest)]
+    out += sorted(f"name:{k}" for k in told.kinds)
+    out += [f"near:{k}" for k in told.nearest]
     if "©" in text or "(c)" in text.lower():
         out.append("copyright")
-    if any(t in HEADINGS for t in tags):
+    if above & HEADINGS:
         out.append("heading-in" if above & {"article", "main"} else "heading-out")
     return out
 
@@ -190,7 +219,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", model: tupl
     model = model or default_model()
     passing = Passing(pages, [out], without=[html])
     n = len(passing.kept)
-    source = passing.inner.select(*passing.kept, F.col(passing.inside(html)).cast("string").alias("page"))
+    source = passing.inner.select(*passing.kept, utf8(F.col(passing.inside(html))).alias("page"))
     schema = T.StructType(source.schema.fields[:n] + [T.StructField(out, T.StringType())])
     shared = pages.sparkSession.sparkContext.broadcast(model)
 

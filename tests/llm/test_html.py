@@ -8,6 +8,7 @@ import pytest
 
 from clausemill.llm import html_crf
 from clausemill.llm.html_blocks import blocks_of
+from clausemill.llm.html_crf import features
 from clausemill.llm.html_pages import labelled_page
 from clausemill.llm.query_html import op6_html_text
 
@@ -82,3 +83,27 @@ def test_query_on_the_pages(spark, sf_dir):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"<p>|</p>|<h1>|</h1>", article))
         assert got[r.page_id].text == "\n".join(x for x in parts if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_time_and_memory_grow_with_the_page():
+    import time
+
+    def took(page):
+        began = time.perf_counter()
+        blocks = blocks_of(page)
+        for b in blocks:
+            features(b)
+        return time.perf_counter() - began, blocks
+
+    makers = [
+        lambda n: "<span>" * n + "</b>" * n + "x",
+        lambda n: "<div>x" * n,
+        lambda n: "<p>" + "<span>" * n + "<hr>x" * n,
+        lambda n: "<div class=menu>x<i>" * n + "</u></div>" * n,
+        lambda n: "<ul>" + "<li>x<b>" * n,
+    ]
+    for make in makers:
+        (small, _), (large, blocks) = took(make(2_000)), took(make(16_000))
+        assert large < 32 * max(small, 0.01), (large, small)
+    deep = took("<div>x" * 4_000)[1]
+    assert len({id(b.above) for b in deep}) == 4_000 and deep[-1].path[:2] == [("div", ""), ("div", "")] and len(deep[-1].path) == 4_000
