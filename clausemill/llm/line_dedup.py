@@ -1,6 +1,7 @@
 """Removal of repeated line runs, by a suffix array over line-ID sequences.
 
-A document is the sequence of the IDs (64-bit hashes) of its lines with a word; no run crosses a document.
+A document is the sequence of the IDs of its lines with a word; no run crosses a document. An ID is a hash of 128 bits
+(among 10^12 distinct lines the chance that any two share one is below 10^-14); those that occur again are numbered.
 Distributed prefix doubling ranks the suffixes: the rank of a suffix by its first 2h lines is the order of the
 pair (rank by the first h lines, the same h lines further on) among all distinct pairs, which are counted with
 map-side combining, dealt by range and numbered in order. Suffixes whose pair occurs once have no longer
@@ -14,8 +15,9 @@ null last, then row and line) stays and the later ones are deleted, which delete
 all maximal runs. Windows have ``min_words`` lines at most, so log2 of that bounds the rounds.
 
 Defined results for odd input: a null or empty text, or one without words, is left as it is; a text of any
-length is used whole; equal rows are copies of each other, of which one stays; blank lines inside a deleted
-run go with it, others stay; an empty table gives an empty table; rows with one id are ordered by their place in
+length is used whole; bytes that are not UTF-8 become U+FFFD, also in what is told; equal rows are copies of each other, of which one stays; blank lines inside a deleted
+run go with it, others stay; where a later copy overlaps the earliest one in a document, as in a line that is said
+four times over, the lines that they share go with the later copy, so of a run of copies its first lines stay; an empty table gives an empty table; rows with one id are ordered by their place in
 the input; other columns pass through untouched, whatever their names, but for one named ``n_deleted`` in any case
 of letters, which the added one replaces.
 """
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.llm.columns import Passing
+from clausemill.llm.columns import Passing, utf8
 from clausemill.llm.store import Store
 
-_LINES = "row long, doc_id long, i int, id long, ahead int, ahead_from int, ahead_to int, back int, back_from int, back_to int"
+_LINES = "row long, doc_id long, i int, id long, more long, ahead int, ahead_from int, ahead_to int, back int, back_from int, back_to int"
 
 
 def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,25 +51,25 @@ def windows_of(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(9)]
+            parts: list[list[np.ndarray]] = [[] for _ in range(10)]
             keys = []
             for row, doc, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
                 lines = [(k, x, n) for k, x in enumerate((text.as_py() or "").encode("utf-8", "surrogatepass").split(b"\n")) if (n := len(x.split()))]
                 if not lines:
                     continue
                 at = np.array([x[0] for x in lines], dtype=np.int32)
-                ids = np.array([xxhash.xxh3_64_intdigest(x[1]) for x in lines], dtype=np.uint64).view(np.int64)
+                ids = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[1]) for x in lines), dtype=np.int64).reshape(-1, 2)
                 ahead, back = windows_of(np.array([x[2] for x in lines]), least)
                 i = np.arange(len(lines))
-                own = (np.full(len(lines), row), i, ids, ahead, at, at[np.where(ahead > 0, i + ahead - 1, 0)], back, at[np.where(back > 0, i - back + 1, 0)], at)
+                own = (np.full(len(lines), row), i, ids[:, 0], ids[:, 1], ahead, at, at[np.where(ahead > 0, i + ahead - 1, 0)], back, at[np.where(back > 0, i - back + 1, 0)], at)
                 for part, x in zip(parts, own, strict=True):
                     part.append(x)
                 keys.append((doc, len(lines)))
             if not keys:
                 continue
-            row, i, ids, *rest = (np.concatenate(p) for p in parts)
+            row, i, ids, more, *rest = (np.concatenate(p) for p in parts)
             docs = pa.array([d for d, _ in keys], pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), [n for _, n in keys])))
-            arrays = [pa.array(row, pa.int64()), docs, pa.array(i.astype(np.int32)), pa.array(ids), *(pa.array(x.astype(np.int32)) for x in rest)]
+            arrays = [pa.array(row, pa.int64()), docs, pa.array(i.astype(np.int32)), pa.array(ids), pa.array(more), *(pa.array(x.astype(np.int32)) for x in rest)]
             yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _LINES.split(", ")])
 
     return run
@@ -89,15 +91,16 @@ def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) ->
     ``first`` is the place of the earliest copy, ``copies`` the size of the suffix-array interval.
     """
     # written, so that the join deals both sides anew and the engine can split a line that very many documents hold
-    often = store.save(lines.groupBy("id").count().where("count > 1").select("id"), "often")
-    active = store.save(lines.join(often, "id", "left_semi"), "active")
+    often = lines.groupBy("id", "more").count().where("count > 1").select("id", "more")
+    often = store.save(often.withColumn("line", F.monotonically_increasing_id()), "often")
+    active = store.save(lines.join(often, ["id", "more"]).drop("id", "more"), "active")
     pick = lambda c, start: F.struct(start.cast("int").alias("start"), F.col(c).alias("size"), F.col(f"{c}_from").alias("from_line"), F.col(f"{c}_to").alias("to_line"))
     both = F.array_distinct(F.array(pick("ahead", F.col("i")), pick("back", F.col("i") - F.col("back") + 1)))
     windows = active.select("row", "doc_id", F.explode(both).alias("w")).where("w.size > 0").select("row", "doc_id", "w.*").distinct()
     windows = store.save(windows, "windows")
     longest = windows.agg(F.max("size")).first()[0] or 0
 
-    ranks, h, found = active.select("row", "i", F.col("id").alias("rank")), 1, []
+    ranks, h, found = active.select("row", "i", F.col("line").alias("rank")), 1, []
     while h <= longest:
         own = windows.where((F.col("size") >= h) & (F.col("size") < 2 * h))
         named = own.join(ranks.select("row", F.col("i").alias("start"), F.col("rank").alias("first")), ["row", "start"])
@@ -135,9 +138,10 @@ def _held(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[Pass
     """The documents with a row number, written, and the copies of their repeated windows."""
     spark = docs.sparkSession
     passing, store = Passing(docs, ["n_deleted"]), Store(spark, "lines")
-    held = store.save(passing.inner.select(F.monotonically_increasing_id().alias("row"), *passing.kept), "docs")
+    clean = [utf8(F.col(c)).alias(c) if c == passing.inside(text) else c for c in passing.kept]
+    held = store.save(passing.inner.select(F.monotonically_increasing_id().alias("row"), *clean), "docs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = held.select("row", F.col(passing.inside(doc_id)).cast("long"), F.col(passing.inside(text)).cast("string")).mapInArrow(_lines(min_words), _LINES)
+    lines = held.select("row", F.col(passing.inside(doc_id)).cast("long"), F.col(passing.inside(text))).mapInArrow(_lines(min_words), _LINES)
     return passing, store, held, repeated_runs(store.save(lines, "lines"), store, min_words, parts)
 
 

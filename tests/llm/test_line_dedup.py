@@ -88,3 +88,18 @@ def test_nulls_repeated_rows_and_empty(spark):
     assert got == [(False, 4, "", 3), (False, 4, text, 0), (False, 5, "", 0), (False, 6, " \n ", 0), (False, 7, "one two three", 0), (True, 0, "", 0), (True, 0, "", 3)]
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
     assert without("a\nb\nc\nd", [(1, 2), (0, 1)]) == ("d", 3)
+
+
+def test_a_later_copy_takes_the_lines_that_it_shares_with_the_first(spark):
+    line, other = " ".join(f"w{k}" for k in range(30)), " ".join(f"v{k}" for k in range(30))
+    rows = [(1, "\n".join([line] * 4), "x"), (2, "\n".join([line, other] * 3), "x")]
+    got = sorted((x.doc_id, x.text, x.n_deleted) for x in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted(brute(rows, 50)) and got[0][1] == line
+
+
+def test_ids_tell_lines_apart_by_both_halves(spark):
+    from clausemill.llm.line_dedup import _lines  # the two halves of one digest, so no line is named by 64 bits alone
+
+    batch = spark.createDataFrame([(0, 1, "a b\nc d")], "row long, doc_id long, text string")
+    found = batch.mapInArrow(_lines(50), "row long, doc_id long, i int, id long, more long, ahead int, ahead_from int, ahead_to int, back int, back_from int, back_to int").collect()
+    assert len({(r.id, r.more) for r in found}) == 2 and all(r.id != r.more for r in found)
