@@ -13,8 +13,9 @@ Outcomes: ``matched`` (a validator agrees and none differs), ``changed`` (one di
 be compared), ``missing`` (no earlier response).
 
 Defined results for odd input: a revisit with a null URL or a null time is ``missing`` and enters no window; captures
-at the same time are ordered by record id, null first; equal rows are captures of their own (neither is earlier than
-the other, unless the order of rows puts it there); null headers are none; header names are the same in any case of
+at the same time are ordered by record id, null first, and those with one id too by their validators, kind and headers,
+so a task that is run again finds the same; equal rows are captures of their own, of which any may come first; bytes of
+a URL that are not UTF-8 become U+FFFD; null headers are none; header names are the same in any case of
 letters, and of several fields with one name the distinct values are joined by ", " in order of the names as given; an
 empty table gives an empty table; other columns are ignored, also ones whose names differ by case only.
 """
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import let, picked
+from clausemill.llm.columns import let, picked, utf8
 from clausemill.operators.relational import range_bounds, range_of
 
 #: Header fields that a 304 answer may update.
@@ -71,11 +72,13 @@ RECORD = "record_id long, url string, ts timestamp, kind string, status int, eta
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row a revisit of RECORD: record_id, url_key, ts, response_id, response_ts, outcome and headers."""
-    own = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
+    # a total order of captures that differ in anything that is told or compared
+    tie = F.struct(F.coalesce(F.to_json(F.struct("etag", "last_modified", "digest", "kind")), F.lit("")).alias("a"), F.array_sort(F.map_entries("headers")).alias("b"))
+    own = F.struct("ts", "record_id", tie.alias("tie"), "etag", "last_modified", "digest", "headers")
     full = (F.col("kind") == "response") & (F.coalesce(F.col("status"), F.lit(200)) == 200)
-    keyed = picked(records, **{c: c for c in (x.split()[0] for x in RECORD.split(", "))}).withColumn("url_key", canonical_url(F.col("url")))
+    keyed = picked(records, **{c: c for c in (x.split()[0] for x in RECORD.split(", "))}).withColumn("url_key", canonical_url(utf8(F.col("url"))))
     placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    keyed = keyed.select("record_id", "kind", "ts", "etag", "last_modified", "digest", "headers", "url_key", placed.alias("placed"), F.when(full & placed, own).alias("full"))
+    keyed = keyed.select("record_id", "kind", "ts", "etag", "last_modified", "digest", "headers", "url_key", placed.alias("placed"), tie.alias("tie"), F.when(full & placed, own).alias("full"))
     lost = keyed.where("NOT placed AND kind = 'revisit'").select("record_id", "url_key", "ts", "etag", "last_modified", "digest", "headers", F.lit(None).cast(keyed.schema["full"].dataType).alias("found"))
     keyed = keyed.where(F.col("placed") & (F.col("full").isNotNull() | (F.col("kind") == "revisit"))).drop("placed")
 
@@ -83,9 +86,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     bounds = range_bounds(keyed, by)
     most = len(bounds.first()["__bounds"])
     keyed = keyed.crossJoin(F.broadcast(bounds)).withColumn("part", range_of(F.col("__bounds"), F.struct(*by), most)).drop("__bounds")
-    inside = Window.partitionBy("url_key", "part").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("url_key", "part").orderBy("ts", "record_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     near = keyed.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'").drop("full", "kind")
-    stamp = F.struct(F.col("full.ts").alias("ts"), F.col("full.record_id").alias("id"))
+    stamp = F.struct(F.col("full.ts").alias("ts"), F.col("full.record_id").alias("id"), F.col("full.tie").alias("tie"))
     ends = keyed.where(F.col("full").isNotNull()).groupBy("url_key", "part").agg(F.max_by("full", stamp).alias("end"))
     # a range without responses still needs the last one before it
     asked = near.where(F.col("near").isNull()).select("url_key", "part").distinct()
