@@ -13,9 +13,10 @@ are each other's inverse, and no bare control string is left inside an escaped t
 Every turn is rendered as it is and parsed again; where what comes back differs from the source, its text is escaped.
 As a turn's end is also an end for the parser, the turns of a conversation come back as they do alone. The whole
 conversation is then parsed and compared with its source; one that still differed would have all its texts escaped
-and be compared again, and raise if it differed then. A text with a bare control string is not in the grammar.
+and be compared again, and be marked as not ``faithful`` if it differed then (none is known). A text with a bare control string is not in the grammar.
 
-Defined results for odd input: a null text counts as empty and a null role as the empty role; turns are
+Defined results for odd input: a null text counts as empty and a null role as the empty role; bytes that are not
+UTF-8 become U+FFFD in the source; turns are
 ordered by turn number (null first), then role and text; equal rows are kept as turns of their own; rows
 with a null conversation id form one conversation; an empty table gives an empty table; other columns are
 ignored, also ones whose names differ by case only. The contract asks for one row and one digest a conversation, so one conversation's turns meet in
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import let, picked, running
+from clausemill.llm.columns import let, picked, running, utf8
 
 #: The tag of each known role.
 TAGS = {"user": "INST", "assistant": "ANS", "system": "SYS"}
@@ -132,10 +133,12 @@ def loss_spans(formatted: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row a conversation: its id, ``formatted``, ``escaped`` (how many turns), ``turns`` as read back and ``loss_spans``."""
+    """One row a conversation: its id, ``formatted``, ``escaped`` (how many turns), ``turns`` as read back, ``loss_spans``, and
+    ``faithful``: whether what is read back equals the source.
+    """
     source = (
         picked(turns, conv_id=conv, turn=turn, role=role, text=text)
-        .select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+        .select("conv_id", F.struct("turn", utf8(F.coalesce("role", F.lit(""))).alias("role"), utf8(F.coalesce("text", F.lit(""))).alias("text")).alias("t"))
         .groupBy("conv_id")
         .agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     )
@@ -146,7 +149,6 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     again = formatted.withColumn("same", same).withColumn("marks", F.when(F.col("same"), F.col("marks")).otherwise(F.transform("source", lambda t: F.lit(True))))
     again = again.withColumn("formatted", F.when(F.col("same"), F.col("formatted")).otherwise(render(F.col("source"), F.col("marks"))))
     again = again.withColumn("turns", F.when(F.col("same"), F.col("turns")).otherwise(parse(F.col("formatted"))))
-    lost = F.raise_error(F.concat(F.lit("conversation does not come back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
-    told = again.withColumn("turns", F.when(same, F.col("turns")).otherwise(lost.cast(again.schema["turns"].dataType)))
+    told = again.withColumn("faithful", same)
     escaped = F.size(F.filter("marks", lambda m: m)).alias("escaped")
-    return told.select("conv_id", escaped, "formatted", "turns", loss_spans(F.col("formatted")).alias("loss_spans"))
+    return told.select("conv_id", escaped, "formatted", "faithful", "turns", loss_spans(F.col("formatted")).alias("loss_spans"))
