@@ -16,7 +16,8 @@ the next one is sent, so a benchmark of any size is looked up whole in bounded m
 Words that are hit and the items are found in time and memory that grow with the places found; the matches
 themselves, which are as many as pairs of places, are only told ``with_matches``.
 
-Defined results for odd input: a null text has no words; an item without words matches nothing; an item with
+Defined results for odd input: a null text has no words; bytes that are not UTF-8 become U+FFFD, also in what is
+passed on; an item without words matches nothing; an item with
 fewer words than the window must occur whole; equal rows give equal results, row by row; items that share an
 id are texts of their own under one id; items with a null id are windows like all others, and their matches
 have a null item_id (the query counts all of them as one item, which adds nothing to the digest of ids); empty
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import Passing, picked
+from clausemill.llm.columns import Passing, picked, utf8
 from clausemill.llm.store import Store
 
 #: Bytes of words stay, A-Z in lower case; all others separate. Bytes from 0x80 on are parts of letters.
@@ -199,7 +200,7 @@ def joined_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tup
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
     items: list[tuple[int | None, list[bytes]]] = []
     held = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("long"), utf8(F.col("text"))).toLocalIterator():
         words = split_words(row[1])
         items.append((row[0], words))
         held += len(words)
@@ -228,7 +229,8 @@ def find_matches(
     n = len(passing.kept)
     at = passing.kept.index(passing.inside(text))
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,size:long>>").alias("spans"), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast(_MATCH_SQL).alias("matches")]
-    found = passing.inner.select(*passing.kept, *empty)
+    clean = [utf8(F.col(c)).alias(c) if c == passing.inside(text) else c for c in passing.kept]
+    found = passing.inner.select(*clean, *empty)
     schema = found.schema
 
     def stage(shared):

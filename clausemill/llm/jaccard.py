@@ -24,7 +24,7 @@ take the second half as their name. These few first halves are the only names th
    components; the links inside them, or their number per document, are not found.
 
 Defined results for odd input: a null or empty text, or one without words, has no shingle and is linked with
-nothing; a shorter text than a shingle is one shingle; equal rows are one node; documents with a null id are
+nothing; bytes that are not UTF-8 become U+FFFD; a shorter text than a shingle is one shingle; equal rows are one node; documents with a null id are
 counted but give no component id (null if there is no other in the component); empty tables give empty
 tables; other columns are ignored.
 """
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import Passing, let, picked
+from clausemill.llm.columns import Passing, let, picked, utf8
 from clausemill.llm.components import components
 from clausemill.llm.store import Store
 
@@ -338,7 +338,7 @@ def near_duplicates(
     ``name_bits`` is the length of nodes' first names; fewer bits make more nodes take their second, and no other result.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "jaccard")
-    docs = picked(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("text"))
     profile = store.save(docs.mapInArrow(_profile(size, hot_share, hot_least, name_bits), _PROFILE), "profile")
     members = profile.where("token IS NULL").select("doc_id", "n", "node", "other")
     several = members.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low != high")

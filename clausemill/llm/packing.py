@@ -13,7 +13,7 @@ one block, and a lost task gives the same pieces again when it is run again over
 sequence id holds the partition, then a running number.
 
 Defined results for odd input: a null text counts as empty, so its document is the end id alone; a null
-document id is kept as null; equal rows are packed each on its own; a document of any length is cut as above;
+document id is kept as null; bytes that are not UTF-8 become U+FFFD; equal rows are packed each on its own; a document of any length is cut as above;
 an empty table gives an empty table; other columns are ignored, also ones whose names differ by case only.
 """
 
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import picked
+from clausemill.llm.columns import picked, utf8
 from clausemill.llm.tokenizer import coder, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -196,4 +196,4 @@ def pack_documents(
         if out:
             yield rows(out)
 
-    return picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return picked(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long"), utf8(F.col("text"))).mapInArrow(run, schema)

@@ -12,7 +12,8 @@
 Extraction, votes, counts and decisions are column expressions over whole texts. The tables that reach the
 driver hold one row for each pattern: at most 4 kinds x 3^5 votes x 2^4 features, whatever the input.
 
-Defined results for odd input: a null text counts as empty and has no span; texts are read whole; equal rows
+Defined results for odd input: a null text counts as empty and has no span; texts are read whole; bytes that are not UTF-8 become
+U+FFFD, which counts in offsets; equal rows
 give equal results, row by row; an empty table gives an empty table and a model that keeps its priors; other
 columns pass through untouched, whatever their names, but for those named as an added one in any case of letters,
 which it replaces. Offsets are code points, ends exclusive.
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import Passing, let, levels, running
+from clausemill.llm.columns import Passing, let, levels, running, utf8
 from clausemill.llm.store import Store
 
 KINDS = ("email", "ip", "card", "phone")
@@ -272,7 +273,7 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows without their text, with ``base`` and ``added``: arrays of (kind, start, end), by kind as listed, then start."""
     store = Store(docs.sparkSession, "pii")
     passing = Passing(docs, ["base", "added"], without=[text])
-    whole = passing.inner.select(*passing.kept, F.coalesce(F.col(passing.inside(text)), F.lit("")).alias("whole"))
+    whole = passing.inner.select(*passing.kept, F.coalesce(utf8(F.col(passing.inside(text))), F.lit("")).alias("whole"))
     only = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.concat(*[F.transform(base_spans(F.col("whole"), k), only(k)) for k in KINDS])
     wide = F.concat(*[candidates(F.col("whole"), k) for k in KINDS])

@@ -3,7 +3,7 @@
 Everything is a column expression over one row, so there is no shuffle and no Python on the executors.
 
 Defined results for odd input: a null text counts as the empty text, which has no words and fails the
-base rule; a text of any length is read whole; equal rows give equal results, row by row; an empty table
+base rule; bytes that are not UTF-8 become U+FFFD in what is judged; a text of any length is read whole; equal rows give equal results, row by row; an empty table
 gives an empty table; other columns pass through untouched, whatever their names, but for those named as an
 added one in any case of letters, which it replaces.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import BLANKS, Passing, let, occurrences, words
+from clausemill.llm.columns import BLANKS, Passing, let, occurrences, utf8, words
 
 #: Phrases of page furniture, matched without regard to case.
 BOILERPLATE = (
@@ -134,7 +134,7 @@ def line_first_quality(docs: DataFrame, rules: Rules = Rules(), text: str = "tex
     less than ``min_kept_share`` of the word characters.
     """
     passing = Passing(docs, ADDED)
-    lined = passing.inner.select(*passing.kept, F.coalesce(F.col(passing.inside(text)), F.lit("")).alias("whole")).withColumn(
+    lined = passing.inner.select(*passing.kept, F.coalesce(utf8(F.col(passing.inside(text))), F.lit("")).alias("whole")).withColumn(
         "lines", F.transform(F.split("whole", "\n"), lambda x: F.struct(x.alias("line"), words(x).alias("words")))
     )
     # a line's end is a blank, so the words of the text are those of its lines

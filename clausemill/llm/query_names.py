@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clausemill.llm.columns import utf8
 from clausemill.llm.trie_join import near_names, plain_name
 
 
@@ -19,7 +20,7 @@ def misspelt(name: Column, vendor_id: Column) -> Column:
 def op12_edit_distance_names(spark, sf_dir):
     clients = spark.read.parquet(f"{sf_dir}/clients.parquet").select("client_id", plain_name(F.col("name")).alias("name")).where("name != ''")
     vendors = spark.read.parquet(f"{sf_dir}/vendors.parquet")
-    vendors = vendors.select("vendor_id", plain_name(misspelt(F.make_valid_utf8("name"), F.col("vendor_id"))).alias("query")).where("query != ''")
+    vendors = vendors.select("vendor_id", plain_name(misspelt(utf8(F.col("name")), F.col("vendor_id"))).alias("query")).where("query != ''")
     # the many rows of one name are summed before anything is dealt by name; merge joins only, so nothing is broadcast
     told = clients.groupBy("name").agg(
         F.count("*").alias("n"), F.min("client_id").alias("first"), F.coalesce(F.sum(F.crc32(F.col("client_id").cast("string"))), F.lit(0)).alias("crc")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.llm.columns import picked
+from clausemill.llm.columns import picked, utf8
 from clausemill.llm.store import Store
 
 #: States between rows: nothing yet, after the system turn, after a user turn, after an assistant turn.
@@ -178,7 +178,7 @@ def repair_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     store = Store(turns.sparkSession, "repair")
     there = {} if present is None else {"present": present}
     own = picked(turns, conv_id=conv, turn=turn, role=role, text=text, **there)
-    clean = lambda c: F.make_valid_utf8(F.coalesce(F.col(c).cast("string"), F.lit(" ")))
+    clean = lambda c: utf8(F.coalesce(F.col(c).cast("string"), F.lit(" ")))
     row = F.struct(F.col("turn").cast("long").alias("turn"), clean("role").alias("role"), clean("text").alias("text"))
     rows = F.sort_array(F.collect_list(F.when(F.col("present"), row) if there else row)).alias("rows")
     grouped = own.groupBy("conv_id").agg(rows)
@@ -201,7 +201,7 @@ def damaged(turns: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     own = picked(turns, conv_id="conv_id", turn="turn", role="role", text="text")
     fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20
-    told = own.select("conv_id", "turn", blank("role").alias("role"), F.make_valid_utf8(blank("text")).alias("text"), fault.alias("fault"))
+    told = own.select("conv_id", "turn", blank("role").alias("role"), utf8(blank("text")).alias("text"), fault.alias("fault"))
     return told.select(
         "conv_id",
         "turn",

@@ -15,7 +15,7 @@ is built anew.
 Documents are independent rows: nothing is shuffled but where an edit log is joined.
 
 Defined results for odd input: a null text counts as empty and has no token; places outside the text are moved
-to its nearest end; a null replacement is empty; edits apply in order, each to the text the one before left;
+to its nearest end; a null replacement is empty; bytes that are not UTF-8 become U+FFFD, in texts and replacements; edits apply in order, each to the text the one before left;
 equal rows give equal results, row by row; an empty table gives an empty table; other columns pass through
 untouched, whatever their names, but for those named as an added one in any case of letters, which it replaces.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clausemill.llm.columns import Passing, picked
+from clausemill.llm.columns import Passing, picked, utf8
 from clausemill.llm.tokenizer import coder, vocabulary
 
 _CUT = re.compile(r"(?<=[!-~\w])(?=[ \n\t\r])")
@@ -176,8 +176,9 @@ def count_tokens(
     given = [c for c in (text, edits, tree) if c and c.lower() in there]
     passing = Passing(docs, told, without=[text, *given])
     at = lambda name, kind: (F.col(passing.inside(name)) if name in given else F.lit(None)).cast(kind)
+    clean = lambda e: F.when(e.isNotNull(), F.struct(e["start"].alias("start"), e["length"].alias("length"), utf8(e["replacement"]).alias("replacement")))
     n = len(passing.kept)
-    source = passing.inner.select(*passing.kept, at(text, "string").alias("text"), at(edits, f"array<{EDIT}>").alias("edits"), at(tree, TREE).alias("tree"))
+    source = passing.inner.select(*passing.kept, utf8(at(text, "string")).alias("text"), F.transform(at(edits, f"array<{EDIT}>"), clean).alias("edits"), at(tree, TREE).alias("tree"))
     kinds = [T.StructField(c, T.LongType()) for c in ADDED] + ([T.StructField(text, T.StringType()), T.StructField(tree, source.schema["tree"].dataType)] if keep_tree else [])
     schema = T.StructType(source.schema.fields[:n] + kinds)
     arrow = [pa.int64()] * len(ADDED) + [pa.string(), pa.struct([("text_hash", pa.int64()), ("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.llm.columns import picked
+from clausemill.llm.columns import picked, utf8
 
 #: Characters of a shard's beginning, names or queries of a unit, and the most shards that may be dealt into grids, halved.
 ZONE, UNIT, HEAVY = 5, 50_000, 1024
@@ -44,7 +44,7 @@ _PAD = 2 * MOST
 
 def plain_name(c: Column) -> Column:
     """A name in the form that is compared: A-Z in lower case, bytes that are not UTF-8 replaced."""
-    return F.translate(F.make_valid_utf8(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(utf8(c), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _codes(names: list[str], width: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def _shards(names: DataFrame, zone: int, side: int) -> DataFrame:
 
 def near_names(names: DataFrame, queries: DataFrame, name: str = "name", query: str = "name", zone: int = ZONE, unit: int = UNIT) -> DataFrame:
     """(query, name, distance): every pair of a distinct query and a distinct name within two edits, taken as they stand."""
-    one = lambda df, c: picked(df, name=c).select(F.make_valid_utf8(F.col("name").cast("string")).alias("name")).where("name != ''").distinct()
+    one = lambda df, c: picked(df, name=c).select(utf8(F.col("name")).alias("name")).where("name != ''").distinct()
     rows = _shards(one(names, name), zone, 0).unionByName(_shards(one(queries, query), zone, 1))
     shard = ["backward", "length", "part"]
     sizes = rows.groupBy(*shard).agg(F.count_if(F.col("side") == 0).alias("names"), F.count_if(F.col("side") == 1).alias("queries"))
