@@ -1,17 +1,20 @@
 """The event log as a stream: acceptance, session state, sequence numbers, roll-ups.
 
 Control rows (``session_start``, ``session_end``) and client rows of one study go through one keyed state, so
-numbers are dealt in order of arrival; the state store and the checkpoint bring it back after a restart.
+numbers are dealt in order of arrival; rows ahead of their turn wait in that state; the state store and the checkpoint
+bring it back after a restart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from clausemill.session import checkpoint_dir
 
@@ -36,6 +39,8 @@ def accepted(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 STAMPED = "study string, arrival long, server_ms long, event_type string, data string, participant_id string, session_id string, seq long, t_ms long, logged boolean, reason string"
 STATE = "participant_id string, session_id string, next_seq long, start_ms long"
+_INPUT = ["arrival", "server_ms", "event_type", "data", "participant_id", "session_id"]
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def transition(state: tuple | None, row) -> tuple[tuple | None, dict]:
@@ -56,25 +61,133 @@ def transition(state: tuple | None, row) -> tuple[tuple | None, dict]:
     return (None if row.event_type == "session_end" else (participant, session, seq + 1, start)), out
 
 
-def stamped(rows: DataFrame) -> DataFrame:
-    """STAMPED rows of a stream of (study, arrival, server_ms, event_type, data, participant_id, session_id)."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        for pdf in frames:
-            out = []
-            for row in pdf.sort_values("arrival").itertuples(index=False):
-                now, told = transition(now, row)
-                out.append({"study": key[0], "arrival": row.arrival, "server_ms": row.server_ms, "event_type": row.event_type, "data": row.data} | told)
-            if out:
-                frame = pd.DataFrame(out)
-                yield frame.astype({"seq": "Int64", "t_ms": "Int64"})
-        if now:
-            state.update(now)
-        elif state.exists:
-            state.remove()
-
-    return rows.groupBy("study").applyInPandasWithState(run, STAMPED, STATE, "append", GroupStateTimeout.NoTimeout)
+def numbered_rows(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+    """The rows, which are in order, against the state. Only starts and ends change it; the rows between them are numbered at once."""
+    n = len(rows)
+    kind = rows["event_type"].to_numpy(dtype=object)
+    out = {c: np.full(n, None, dtype=object) for c in ("participant_id", "session_id", "seq", "t_ms", "reason")} | {"logged": np.zeros(n, dtype=bool)}
+    times = rows["server_ms"].to_numpy()
+    turns = np.flatnonzero((kind == "session_start") | (kind == "session_end")).tolist()
+    at = 0
+    for turn in [*turns, n]:
+        if turn > at and state:
+            participant, session, seq, start = state
+            out["participant_id"][at:turn], out["session_id"][at:turn], out["logged"][at:turn] = participant, session, True
+            out["seq"][at:turn], out["t_ms"][at:turn] = np.arange(seq, seq + turn - at), times[at:turn] - start
+            state = (participant, session, seq + turn - at, start)
+        elif turn > at:
+            out["reason"][at:turn] = "no_active_session"
+        if turn < n:
+            state, told = transition(state, next(rows.iloc[turn : turn + 1].itertuples(index=False)))
+            for c, x in told.items():
+                out[c][turn] = x
+        at = turn + 1
+    told = rows[["arrival", "server_ms", "event_type", "data"]].reset_index(drop=True).assign(**out)
+    return state, told.astype({"seq": "Int64", "t_ms": "Int64"})
+
+
+class Sessions(StatefulProcessor):
+    """The session of each study, and the rows that came ahead of their turn.
+
+    Rows are taken in order of ``arrival`` within a micro-batch, however many Arrow batches it comes in. ``dense`` says
+    that a study's arrivals are consecutive: then a row waits, also over micro-batches and restarts, until those before
+    it have come, and one whose number is past is told as ``repeated``. With ``wait_ms`` a row waits until one of its
+    study that much later by ``server_ms`` has come. What waits longer than ``patience_ms`` of processing time is taken
+    as it is, in order. Waiting rows are kept as one block for each micro-batch, not one state entry a row.
+    """
+
+    def __init__(self, dense: bool, wait_ms: int, patience_ms: int | None, ttl_ms: int | None):
+        self.dense, self.wait_ms, self.patience_ms, self.ttl_ms = dense, wait_ms, patience_ms, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.session = handle.getValueState("session", STATE, self.ttl_ms)
+        self.place = handle.getValueState("place", "turn long, latest long, timer long")
+        self.ahead = handle.getListState("ahead", "rows binary")
+
+    def _waiting(self) -> list[pd.DataFrame]:
+        if not self.ahead.exists():
+            return []
+        return [pa.ipc.open_stream(bytes(r[0])).read_all().to_pandas() for r in self.ahead.get()]
+
+    def _taken(self, key: tuple, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        now = self.session.get() if self.session.exists() else None
+        after, told = numbered_rows(tuple(now) if now else None, rows)
+        if after:
+            self.session.update((after[0], after[1], int(after[2]), int(after[3])))
+        elif now:
+            self.session.clear()
+        told.insert(0, "study", key[0])
+        for at in range(0, len(told), 50_000):
+            yield told.iloc[at : at + 50_000]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        own = [f[_INPUT] for f in rows if len(f)]
+        before = self._waiting()
+        pdf = pd.concat(before + own, ignore_index=True).sort_values(["arrival", "server_ms"], kind="stable", ignore_index=True)
+        turn, latest, timer = self.place.get() if self.place.exists() else (None, None, None)
+        if self.dense:
+            past = np.zeros(len(pdf), dtype=bool)
+            arrival = pdf["arrival"].to_numpy()
+            past[1:] = arrival[1:] == arrival[:-1]
+            past |= arrival < (arrival[0] if turn is None else turn)
+            if past.any():
+                gone = pdf[past]
+                told = gone[["arrival", "server_ms", "event_type", "data"]].assign(study=key[0], participant_id=None, session_id=None, seq=None, t_ms=None, logged=False, reason="repeated")
+                yield told[[c.split()[0] for c in STAMPED.split(", ")]].astype({"seq": "Int64", "t_ms": "Int64"})
+                pdf = pdf[~past].reset_index(drop=True)
+            first = 0 if turn is None else turn
+            ready = np.cumprod(pdf["arrival"].to_numpy() == first + np.arange(len(pdf))).astype(bool)
+        else:
+            latest = max(int(pdf["server_ms"].max()), latest if latest is not None else -(2**62))
+            # in order: nothing passes a row that still waits
+            ready = np.cumprod(pdf["server_ms"].to_numpy() <= latest - self.wait_ms).astype(bool)
+        yield from self._release(key, pdf, ready, turn, latest, timer, bool(before), timerValues)
+
+    def _release(self, key: tuple, pdf: pd.DataFrame, ready: np.ndarray, turn, latest, timer, held: bool, times) -> Iterator[pd.DataFrame]:
+        taken, left = pdf[ready], pdf[~ready]
+        if len(taken):
+            turn = int(taken["arrival"].iloc[-1]) + 1
+            yield from self._taken(key, taken)
+        if len(left):
+            sink = pa.BufferOutputStream()
+            table = pa.Table.from_pandas(left, preserve_index=False)
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.ahead.put([(sink.getvalue().to_pybytes(),)])
+            if timer is None and self.patience_ms is not None:
+                timer = times.getCurrentProcessingTimeInMs() + self.patience_ms
+                self.handle.registerTimer(timer)
+        else:
+            if held:
+                self.ahead.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+                timer = None
+        self.place.update((turn, latest, timer))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turn, latest, _ = self.place.get()
+        before = self._waiting()
+        if before:
+            pdf = pd.concat(before, ignore_index=True)
+            yield from self._release(key, pdf, np.ones(len(pdf), dtype=bool), turn, latest, None, True, timerValues)
+        else:
+            self.place.update((turn, latest, None))
+
+
+def stamped(rows: DataFrame, dense: bool = False, wait_ms: int = 0, patience_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+    """STAMPED rows of a stream of (study, arrival, server_ms, event_type, data, participant_id, session_id), numbered in order of arrival.
+
+    See ``Sessions`` for the order across micro-batches. Dense arrivals start from 0. The state needs the RocksDB state
+    store, which is set for the session unless it already is. One study's rows of one micro-batch, and those that wait,
+    meet in one task, as its numbers do; a source's limits of a trigger bound them.
+    """
+    conf = rows.sparkSession.conf
+    if "RocksDB" not in (conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    mode = "None" if patience_ms is None and ttl_ms is None else "ProcessingTime"
+    return rows.groupBy("study").transformWithStateInPandas(Sessions(dense, wait_ms, patience_ms, ttl_ms), STAMPED, "Append", mode)
 
 
 def status(rows: DataFrame, now_ms: Column | None = None) -> DataFrame:
