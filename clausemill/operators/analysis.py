@@ -7,35 +7,35 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.operators import documents, scoring, similarity
+from clausemill.operators.ledger import Ledger
 
 HARM = ("Harmful", "Neutral", "Fair")
 
 
-def analyze(docs: DataFrame, scorer: scoring.Scorer, limit: int = 256, separator: str = r"\n\n") -> DataFrame:
+def analyze(docs: DataFrame, scorer: scoring.Scorer, limit: int = 256, separator: str = r"\n\n", ledger: Ledger | None = None) -> DataFrame:
     """Predictions of every chunk of (doc_id, text): chunk, topic, harm class.
 
-    The scorer answers a JSON object with score -1, 0 or 1 and a title, which names the topic.
+    The scorer answers a JSON object with score -1, 0 or 1 and a title, which names the topic. It sees each distinct
+    text once, and none that the ledger knows; rows keep their number, also where ids repeat or are null.
     """
-    pieces = documents.document_chunks(docs, separator=separator, limit=limit).withColumn("row_id", F.xxhash64("doc_id", "chunk_id"))
-    answers = scoring.parsed(scoring.scored(pieces, scorer)).select("row_id", "score", F.get_json_object(T.unfenced(F.col("raw")), "$.title").alias("topic"))
-    told = pieces.join(answers, "row_id").drop("row_id")
+    pieces = documents.document_chunks(docs, separator=separator, limit=limit)
+    answers = (ledger or Ledger(docs.sparkSession)).answered(pieces, scorer)
+    told = scoring.parsed(answers).withColumn("topic", F.get_json_object(T.unfenced(F.col("raw")), "$.title"))
     names = F.array(*map(F.lit, HARM))
     return told.select(
-        *pieces.drop("row_id").columns,
+        *pieces.columns,
         F.when(F.col("topic").isNotNull(), F.array("topic")).otherwise(F.expr("array()").cast("array<string>")).alias("predicted_topics"),
         F.get(names, F.col("score") + 1).alias("predicted_harm_class"),
         F.when(F.col("score").isNotNull(), 1.0).alias("harm_confidence"),
     )
 
 
-def explain(predictions: DataFrame, scorer: scoring.Scorer, harm: list[str] | None = None) -> DataFrame:
+def explain(predictions: DataFrame, scorer: scoring.Scorer, harm: list[str] | None = None, ledger: Ledger | None = None) -> DataFrame:
     """Title and description for the clauses of the asked harm classes; the filter comes before the costly calls."""
-    wanted = predictions.where(F.col("predicted_harm_class").isin(documents.harm_filter(harm))).withColumn("row_id", F.xxhash64("doc_id", "chunk_id"))
-    answers = scoring.parsed(scoring.scored(wanted, scorer)).where("complete")
+    wanted = predictions.where(F.col("predicted_harm_class").isin(documents.harm_filter(harm))).select("doc_id", "chunk_id", "text", "predicted_harm_class")
+    answers = scoring.parsed((ledger or Ledger(predictions.sparkSession)).answered(wanted, scorer)).where("complete")
     body = T.unfenced(F.col("raw"))
-    return wanted.select("row_id", "doc_id", "chunk_id", "text", "predicted_harm_class").join(
-        answers.select("row_id", F.get_json_object(body, "$.title").alias("title"), F.get_json_object(body, "$.description").alias("description")), "row_id"
-    ).drop("row_id")
+    return answers.select(*wanted.columns, F.get_json_object(body, "$.title").alias("title"), F.get_json_object(body, "$.description").alias("description"))
 
 
 def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:

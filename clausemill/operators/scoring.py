@@ -159,12 +159,15 @@ def answer_span(starts: Column, ends: Column, words: Column, most: int = 200, no
     return F.when((b < a) | (b - a + 1 > most) | (a < 1), F.lit(none)).otherwise(F.array_join(F.slice(words, a, b - a + 1), " "))
 
 
-def two_stage(rows: DataFrame, topics: Scorer, risk: Scorer, rubrics: DataFrame) -> DataFrame:
-    """Topics first, then the risk with the rubrics of the topics found only: two passes joined on the row."""
-    first = scored(rows, topics).select("row_id", F.get_json_object(T.unfenced(F.col("raw")), "$.title").alias("topic"))
-    told = rows.join(first, "row_id").join(F.broadcast(rubrics), "topic", "left")
-    second = parsed(scored(told.withColumn("text", F.concat_ws("\n", "text", "rubric")), risk))
-    return first.join(second.select("row_id", "score", "parse_ok"), "row_id")
+def two_stage(rows: DataFrame, topics: Scorer, risk: Scorer, rubrics: DataFrame, ledger=None) -> DataFrame:
+    """Topics first, then the risk with the rubric of the topic found only; each scorer sees each distinct text once."""
+    from clausemill.operators.ledger import Ledger
+
+    ledger = ledger or Ledger(rows.sparkSession)
+    first = ledger.answered(rows, topics).withColumn("topic", F.get_json_object(T.unfenced(F.col("raw")), "$.title"))
+    told = first.join(rubrics.select("topic", "rubric"), "topic", "left").withColumn("asked", F.concat_ws("\n", "text", "rubric"))
+    second = parsed(ledger.answered(told.select("row_id", "topic", "asked"), risk, "asked"))
+    return second.select("row_id", "topic", "score", "parse_ok")
 
 
 def rubric_text(scores: DataFrame, *keys: str) -> DataFrame:
@@ -173,16 +176,21 @@ def rubric_text(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score", "description"))), line), "\n").alias("rubric"))
 
 
-def graded_retrieval(questions: DataFrame, retrieve, grader: Scorer, rounds: int = 2) -> DataFrame:
+def graded_retrieval(questions: DataFrame, retrieve, grader: Scorer, rounds: int = 2, ledger=None) -> DataFrame:
     """Retrieve, grade every chunk, and ask again with an expanded query where none passes, for a few rounds.
 
-    ``retrieve(questions) -> (query_id, chunk_id, text)``; a grade of 1 passes.
+    ``retrieve(questions) -> (query_id, chunk_id, text)``; a grade of 1 passes. What a round passes is written, so later
+    rounds and readers of the result neither retrieve nor grade again.
     """
+    from clausemill.operators.ledger import Ledger
+    from clausemill.session import written
+
+    ledger = ledger or Ledger(questions.sparkSession)
     open_, done = questions, None
     for k in range(rounds):
-        found = retrieve(open_).withColumn("row_id", F.xxhash64("query_id", "chunk_id"))
-        grades = parsed(scored(found, grader)).select("row_id", "score")
-        passed = found.join(grades, "row_id").where("score = 1").select("query_id", "chunk_id", F.lit(k).alias("round"))
+        found = retrieve(open_).select("query_id", "chunk_id", "text")
+        passed = parsed(ledger.answered(found, grader)).where("score = 1").select("query_id", "chunk_id", F.lit(k).alias("round"))
+        passed = written(passed, f"passed-{k}")
         done = passed if done is None else done.unionByName(passed)
         open_ = open_.join(passed.select("query_id").distinct(), "query_id", "left_anti").withColumn("query", F.concat_ws(" ", "query", F.lit("agreement clause")))
     return done

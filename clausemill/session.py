@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any file system that the session reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder: worked out once, whatever reads them and is run again."""
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(*by) if by else df.write).parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
