@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from clausemill.functions import text as T
+from clausemill.session import written
 
 
 #: The least and the most characters of a gram.
@@ -38,23 +37,32 @@ def char_grams(text: Column, low: int = LOW, high: int = HIGH) -> Column:
     return F.flatten(F.transform(padded_words(text), of))
 
 
-def _gram_hashes(word: str) -> np.ndarray:
-    """The grams of ``char_grams`` of one word without its blanks, as 64-bit hashes."""
-    w = f" {word} "
-    found = [w[i : i + n] for n in range(LOW, HIGH + 1) for i in range(len(w) - n + 1)]
-    return np.fromiter((xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) for g in found), dtype=np.uint64, count=len(found))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        found = _gram_hashes(word)
-        if len(self) >= 100_000:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_HASHES = _Hashes()
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A fixed permutation of the 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of ``char_grams`` of words without their blanks, as 64-bit hashes, in order of words, and how many each has."""
+    text = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    begin = np.cumsum(n + 1) - (n + 1)  # of the blank before each word
+    end = begin + n + 2
+    owner = np.repeat(np.arange(len(words)), n + 1)
+    h = np.zeros(len(owner), dtype=np.uint64)
+    padded = np.concatenate([text, np.zeros(HIGH, dtype=np.uint64)])
+    place, found = [], []
+    for k in range(HIGH):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + len(h)] + np.uint64(k + 1))
+        if k + 1 >= LOW:
+            at = np.flatnonzero(np.arange(len(owner)) + k + 1 <= end[owner])
+            place.append(owner[at])
+            found.append(h[at])
+    owner = np.concatenate(place)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(found)[order], np.bincount(owner, minlength=len(words))
 
 
 def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +75,9 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         words += own
     if not words:
         return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),)
-    grams = [_HASHES[w] for w in local]
-    sizes = np.fromiter(map(len, grams), dtype=np.int64, count=len(grams))
+    grams, sizes = _gram_hashes(list(local))
     begins = np.cumsum(sizes) - sizes
-    hashes, numbers = np.unique(np.concatenate(grams), return_inverse=True)
+    hashes, numbers = np.unique(grams, return_inverse=True)
     word = np.array(words, dtype=np.int64)
     n = sizes[word]
     at = np.repeat(begins[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -120,32 +127,6 @@ def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -
         yield told()
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            grams, dfs = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for i in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array([grams], pa.binary()), pa.array([dfs], pa.binary())], names=["grams", "dfs"])
-
-
-def _weight_blocks(train: DataFrame, n: int, least: int, block_grams: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted grams of ``least`` rows or more with ln((1 + n) / (1 + df)) + 1, in blocks of bounded size."""
-    df = train.select("text").mapInArrow(_document_counts, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= least)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def block() -> tuple[np.ndarray, np.ndarray]:
-        grams, dfs = map(np.concatenate, zip(*parts, strict=True))
-        order = np.argsort(grams)
-        return grams[order], np.log((1.0 + n) / (1.0 + dfs[order])) + 1.0
-
-    for row in df.mapInArrow(_packed, "grams binary, dfs binary").toLocalIterator():
-        parts.append((np.frombuffer(row.grams, dtype=np.uint64), np.frombuffer(row.dfs, dtype=np.int64)))
-        if sum(len(g) for g, _ in parts) >= block_grams:
-            yield block()
-            parts.clear()
-    if parts:
-        yield block()
-
-
 def _found(grams: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each asked gram in the sorted ones, and whether it is there."""
     if not len(grams):
@@ -154,133 +135,211 @@ def _found(grams: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, grams[at] == asked
 
 
-class _Items:
-    """The unit vectors of the test texts: sorted grams, and for each its weight in train and its items with theirs."""
-
-    def __init__(self, texts: list[list[str]]):
-        self.n = len(texts)
-        cells = [_cells([" ".join(own)]) for own in texts]
-        self.item = np.repeat(np.arange(self.n), [len(c[1]) for c in cells])
-        self.gram = np.concatenate([np.empty(0, dtype=np.uint64), *[c[3][c[1]] for c in cells]])
-        self.tf = np.concatenate([np.empty(0), *[c[2].astype(float) for c in cells]])
-        self.idf = np.zeros(len(self.gram))
-
-    def weigh(self, grams: np.ndarray, weights: np.ndarray) -> None:
-        at, there = _found(grams, self.gram)
-        self.idf[there] = weights[at[there]]
-
-    def close(self) -> None:
-        w = self.tf * self.idf
-        norm = np.sqrt(np.bincount(self.item, weights=w * w, minlength=self.n))
-        keep = np.flatnonzero(self.idf > 0)
-        keep = keep[np.argsort(self.gram[keep], kind="stable")]
-        self.item, gram, self.w = self.item[keep], self.gram[keep], (w[keep] / norm[self.item[keep]])
-        self.gram, self.begin, self.size = np.unique(gram, return_index=True, return_counts=True)
-        self.idf = self.idf[keep][self.begin]
-        del self.tf
-
-    def dots(self, row: np.ndarray, gram: np.ndarray, tf: np.ndarray, hashes: np.ndarray, rows: int, most: int = 2_000_000) -> np.ndarray:
-        """The products of rows and items, before the rows' norms. At most about ``most`` terms are held at a time."""
+#: How far below a bound a product may lie by rounding alone.
+_SLACK = 1e-9
+
+
+class _Asked:
+    """A block of test texts as unit vectors: by item, rare grams first, with what is left of the norm from each on; and by gram."""
+
+    def __init__(self, items: list[int], texts: list[str], grams: np.ndarray, idf: np.ndarray):
+        self.items, self.n = np.array(items, dtype=np.int64), len(items)
+        item, gram, tf, hashes = _cells(texts)
+        at, there = _found(grams, hashes)
+        keep = there[gram]
+        item, gram, tf = item[keep], at[gram[keep]], tf[keep]
+        w = tf * idf[gram]
+        w = w / np.sqrt(np.bincount(item, weights=w * w, minlength=self.n))[item]
+        order = np.lexsort((gram, -idf[gram], item))
+        self.item, self.gram, self.w = item[order], gram[order], w[order]
+        self.size = np.bincount(self.item, minlength=self.n)
+        self.begin = np.cumsum(self.size) - self.size
+        after = np.append(np.cumsum((self.w**2)[::-1])[::-1], 0.0)
+        self.left = np.sqrt(np.maximum(0.0, after[:-1] - after[self.begin + self.size][self.item]))
+        self.grams, self.idf = grams, idf
+        self.by_gram = np.argsort(self.gram, kind="stable")
+        n = np.bincount(self.gram, minlength=len(grams))
+        self.edges = np.concatenate([[0], np.cumsum(n)])
+
+    def lists(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, size) by gram, items and weights of the postings under a mask, which is by gram."""
+        through = np.concatenate([[0], np.cumsum(mask)])
+        begin = through[self.edges[:-1]]
+        own = self.by_gram[mask]
+        return begin, through[self.edges[1:]] - begin, self.item[own], self.w[own]
+
+    def summed(self, lists, row: np.ndarray, gram: np.ndarray, x: np.ndarray, rows: int, most: int = 2_000_000) -> np.ndarray:
+        """The products of rows and items over some postings; about ``most`` terms are held at a time."""
+        begin, size, item, w = lists
         out = np.zeros(rows * self.n)
-        at, there = _found(self.gram, hashes)
-        held = there[gram]
-        row, at, tf = row[held], at[gram[held]], tf[held]
-        ends = np.cumsum(self.size[at])
+        ends = np.cumsum(size[gram])
         a = 0
         while a < len(row):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-            n = self.size[at[a:b]]
-            place = np.repeat(self.begin[at[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            values = np.repeat(tf[a:b] * self.idf[at[a:b]], n) * self.w[place]
-            out += np.bincount(np.repeat(row[a:b] * self.n, n) + self.item[place], weights=values, minlength=len(out))
+            n = size[gram[a:b]]
+            place = np.repeat(begin[gram[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out += np.bincount(np.repeat(row[a:b] * self.n, n) + item[place], weights=np.repeat(x[a:b], n) * w[place], minlength=len(out))
             a = b
         return out.reshape(rows, self.n)
 
-
-def _squares(row: np.ndarray, gram: np.ndarray, tf: np.ndarray, hashes: np.ndarray, rows: int, block) -> np.ndarray:
-    """The part of the rows' squared norms that a block of weights makes up."""
-    at, there = _found(block[0], hashes)
-    idf = np.where(there, block[1][at], 0.0) if len(block[0]) else np.zeros(len(hashes))
-    return np.bincount(row, weights=(tf * idf[gram]) ** 2, minlength=rows)
+    def whole(self, items: np.ndarray, vector: np.ndarray) -> np.ndarray:
+        """The products of one row, dense over the grams, with some items."""
+        n = self.size[items]
+        place = np.repeat(self.begin[items] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(np.repeat(np.arange(len(items)), n), weights=vector[self.gram[place]] * self.w[place], minlength=len(items))
 
 
-def _norms(block):
-    """Adds a block's part to the column ``squares``."""
+_CANDIDATE = "item long, best_id long, best_part long, text string, dot double, upper double, lower double"
+#: Cells of rows and items held at a time, and candidates before those below the best are let go.
+_DENSE, _HELD = 4_000_000, 20_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = [_squares(*_cells(texts), len(texts), block.value) for _, texts in _chunks(batch.column(2))]
-            squares = batch.column(3).to_numpy() + np.concatenate([np.empty(0), *more])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(squares)], names=list(batch.schema.names))
 
-    return run
+def _candidates(shared, idf_most: float):
+    """The rows that may be the most similar to an item: dot, and an upper and a lower bound of the cosine.
 
-
-def _best(block, items):
-    """For each item the most similar of a task's rows, with the last block's part of the norms."""
+    Only grams of the block have a weight here. A row's norm is at least that of its part among them, and at most that
+    with all its other grams as heavy as can be. For an item whose best lower bound so far is b, the postings from which
+    on no more than b of its norm is left make no candidate by themselves: only rows that share a gram before are looked
+    at, and complete products are made for those that the rest can still bring above b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = items.value
-        best: dict[int, tuple] = {}
+        asked = shared.value
+        best = np.zeros(asked.n)
+        found: list[tuple] = []
+        left_by_gram, item_by_gram = asked.left[asked.by_gram], asked.item[asked.by_gram]
+        dense = np.zeros(len(asked.grams))
+
+        def told() -> pa.RecordBatch:
+            own = [f for f in found if f[5] >= best[f[0]] - _SLACK]
+            columns = list(zip(*own, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+            columns[0] = asked.items[list(columns[0])].tolist()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CANDIDATE.split(", ")])
+
         for batch in batches:
-            squares = batch.column(3).to_numpy()
-            for first, texts in _chunks(batch.column(2)):
-                cells = _cells(texts)
-                norm = np.sqrt(squares[first : first + len(texts)] + _squares(*cells, len(texts), block.value))
-                scores = asked.dots(*cells, len(texts)) / np.where(norm > 0, norm, 1.0)[:, None]
-                rounded = np.round(scores, 9)
-                top = rounded.max(axis=0)
-                for k in np.flatnonzero(scores.max(axis=0) > 0).tolist():
-                    if k in best and top[k] < best[k][0][0]:
-                        continue
-                    for j in np.flatnonzero(rounded[:, k] == top[k]).tolist():
-                        if scores[j, k] > 0:
-                            row_id, part = batch.column(0)[first + j].as_py(), batch.column(1)[first + j].as_py()
-                            order = (float(top[k]), row_id is not None, -(row_id or 0), -part)
-                            if k not in best or order > best[k][0]:
-                                best[k] = (order, row_id, part, float(scores[j, k]))
-        found = [(k, *v[1:]) for k, v in best.items()]
-        columns = list(zip(*found, strict=True)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["item", "best_id", "best_part", "similarity"])
+            for first, texts in _chunks(batch.column(2), rows=max(1, min(2_000, _DENSE // max(asked.n, 1)))):
+                row, gram, tf, hashes = _cells(texts)
+                if not len(row):
+                    continue
+                at, there = _found(asked.grams, hashes)
+                known = there[gram]
+                r, g = row[known], at[gram[known]]
+                x = tf[known] * asked.idf[g]
+                inner = np.bincount(r, weights=x * x, minlength=len(texts))
+                outer = inner + idf_most**2 * np.bincount(row[~known], weights=tf[~known].astype(float) ** 2, minlength=len(texts))
+                low, high = np.sqrt(np.maximum(inner, 1e-300)), np.sqrt(np.maximum(outer, 1e-300))
+                head = left_by_gram > best[item_by_gram] - _SLACK
+                total = asked.summed(asked.lists(head), r, g, x, len(texts))
+                rest = np.zeros(asked.n)
+                np.maximum.at(rest, item_by_gram[~head], left_by_gram[~head])
+                i, j = np.nonzero(total)
+                open_ = total[i, j] / low[i] + rest[j] >= best[j] - _SLACK
+                i, j = i[open_], j[open_]
+                if len(i) > 0.02 * total.size:  # few bounds are known yet
+                    total += asked.summed(asked.lists(~head), r, g, x, len(texts))
+                    dot = total[i, j]
+                else:
+                    dot = np.empty(len(i))
+                    ends = np.searchsorted(i, np.arange(len(texts) + 1))
+                    cells = np.searchsorted(r, np.arange(len(texts) + 1))
+                    for k in np.unique(i).tolist():
+                        own = slice(cells[k], cells[k + 1])
+                        dense[g[own]] = x[own]
+                        dot[ends[k] : ends[k + 1]] = asked.whole(j[ends[k] : ends[k + 1]], dense)
+                        dense[g[own]] = 0.0
+                np.maximum.at(best, j, dot / high[i])
+                upper = dot / low[i]
+                keep = (upper >= best[j] - _SLACK) & (dot > 0)
+                ids, parts = batch.column(0), batch.column(1)
+                for a, b, d, u in zip(i[keep].tolist(), j[keep].tolist(), dot[keep].tolist(), upper[keep].tolist(), strict=True):
+                    found.append((b, ids[first + a].as_py(), parts[first + a].as_py(), texts[a], d, u, d / high[a]))
+                if len(found) > _HELD:
+                    found = [f for f in found if f[5] >= best[f[0]] - _SLACK]
+                    if len(found) > _HELD // 2:
+                        yield told()
+                        found = []
+        yield told()
 
     return run
 
 
-def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df: int = 2, part: str | None = None, block_grams: int = 8_000_000) -> DataFrame:
+def _own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, gram, tf) of (text_key, text)."""
+    for batch in batches:
+        for first, texts in _chunks(batch.column(1)):
+            row, gram, tf, hashes = _cells(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(hashes[gram].view(np.int64)), pa.array(tf)], names=["text_key", "gram", "tf"])
+
+
+def _test_blocks(asked: DataFrame, block_grams: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The test texts in runs of about so many characters, as each starts up to three grams, and one text at least."""
+    items, texts, held = [], [], 0
+    for r in asked.select("item", "text").toLocalIterator():
+        items.append(r.item)
+        texts.append(r.text)
+        held += 3 * len(r.text)
+        if held >= block_grams:
+            yield items, texts
+            items, texts, held = [], [], 0
+    if items:
+        yield items, texts
+
+
+def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df: int = 2, part: str | None = None, block_grams: int = 2_000_000) -> DataFrame:
     """For each test id the most similar train row by cosine: (id, best_id, similarity); 0 and null without a common gram.
 
     Weights are fitted on train alone. Every train row is held against every test text; ties go to the least
     train id. With ``part``, a train row is known by (row_id, part), ``best_part`` is told too, and ties go to
     the least pair. Train rows that share an id are texts of their own; test rows that share one are one text.
 
-    The test side is the query set, which is broadcast with its inverted lists, so no list of train rows is
-    shuffled: a task scores its own rows and tells its best for each test text. What is shuffled are counts of
-    grams, summed per task before. The weights are broadcast in blocks of ``block_grams``, one pass over train
-    for each, in which the squared norms of the train rows are summed.
+    The test side is the query set, broadcast in blocks of about ``block_grams`` grams with the weights of its own grams;
+    a block's candidates are written before the next one is sent. Tasks go over their own rows with bounds (see
+    ``_candidates``), so no list of train rows is shuffled: counts of grams, summed per task before, stay a table, dealt
+    by the gram, and only texts of candidates that the best lower bounds of all tasks leave meet it for their norms.
     """
-    context = train.sparkSession.sparkContext
-    texts: dict = {}
-    for r in test.select(F.col(row_id).alias("id"), F.lower(T.collapse(F.col(text))).alias("text")).toLocalIterator():
-        texts.setdefault(r.id, []).append(r.text)
-    items = _Items(list(texts.values()))
+    spark = train.sparkSession
     place = F.lit(0) if part is None else F.col(part)
-    rows = train.select(F.col(row_id).cast("long").alias("id"), place.cast("long").alias("part"), F.lower(T.collapse(F.col(text))).alias("text"), F.lit(0.0).alias("squares"))
-    blocks = []
-    for block in _weight_blocks(rows, train.count(), least_df, block_grams):
-        items.weigh(*block)
-        blocks.append(context.broadcast(block))
-    items.close()
-    for block in blocks[:-1]:
-        rows = rows.mapInArrow(_norms(block), rows.schema)
-    last = blocks[-1] if blocks else context.broadcast((np.empty(0, dtype=np.uint64), np.empty(0)))
-    scores = rows.mapInArrow(_best(last, context.broadcast(items)), "item long, best_id long, best_part long, similarity double")
-    order = F.struct(F.round("similarity", 9), -F.col("best_id"), -F.col("best_part"))
+    plain = F.lower(T.collapse(F.coalesce(F.col(text), F.lit(""))))
+    rows = train.select(F.col(row_id).cast("long").alias("id"), place.cast("long").alias("part"), plain.alias("text"))
+    asked = test.select(F.col(row_id).alias("id"), plain.alias("text")).groupBy("id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
+    asked = written(asked.withColumn("item", F.monotonically_increasing_id()), "asked")
+    df = rows.select("text").mapInArrow(_document_counts, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
+    n = rows.count()
+    weight = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
+    weights = written(df.where(F.col("df") >= least_df).select("gram", weight.alias("idf")), "weights")
+    most = float(np.log((1.0 + n) / (1.0 + least_df)) + 1.0)
+
+    tried = None
+    for items, texts in _test_blocks(asked, block_grams):
+        grams = np.unique(_cells(texts)[3])
+        own = spark.createDataFrame(pa.table({"gram": grams.view(np.int64)})).join(weights, "gram").toPandas()
+        known = own["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(known)
+        shared = spark.sparkContext.broadcast(_Asked(items, texts, known[order], own["idf"].to_numpy(float)[order]))
+        found = written(rows.mapInArrow(_candidates(shared, max(most, 0.0)), _CANDIDATE), "candidates")
+        shared.destroy()
+        tried = found if tried is None else tried.unionByName(found)
+    if tried is None:
+        tried = spark.createDataFrame([], _CANDIDATE)
+    tried = tried.withColumn("text_key", F.sha2("text", 256))
+
+    def measured(candidates: DataFrame) -> DataFrame:
+        """The candidates with their cosine; only their distinct texts are cut into grams."""
+        cells = candidates.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(_own_grams, "text_key string, gram long, tf long")
+        norms = cells.join(weights, "gram").groupBy("text_key").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+        return candidates.join(norms, "text_key").select("item", "best_id", "best_part", "text_key", (F.col("dot") / F.col("norm")).alias("similarity"))
+
+    # a few of each item first: what they reach leaves out most of the rest
+    few = tried.groupBy("item").agg(F.max_by("text_key", "upper").alias("a"), F.max_by("text_key", "lower").alias("b"), F.max_by("text_key", "dot").alias("c"), F.max("lower").alias("least"))
+    few = few.select("item", "least", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("text_key"))
+    reached = measured(tried.join(few, ["item", "text_key"])).groupBy("item").agg(F.max("similarity").alias("reached"))
+    bound = written(few.groupBy("item").agg(F.max("least").alias("least")).join(reached, "item", "left").select("item", F.greatest("least", "reached").alias("least")), "bounds")
+    scores = measured(tried.join(bound, "item").where(F.col("upper") >= F.col("least") - 1e-8))
+    order = F.struct(F.round("similarity", 9), F.col("best_id").isNotNull(), -F.col("best_id"), -F.col("best_part"))
     top = scores.groupBy("item").agg(F.max_by(F.struct("best_id", "best_part", "similarity"), order).alias("t"))
-    kind = StructType([StructField("item", LongType()), StructField("id", test.schema[row_id].dataType)])
-    ids = train.sparkSession.createDataFrame(list(enumerate(texts)), kind)
     told = [F.col("t.best_id").alias("best_id")] + ([] if part is None else [F.col("t.best_part").alias("best_part")])
-    return ids.join(top, "item", "left").select("id", *told, F.coalesce("t.similarity", F.lit(0.0)).alias("similarity"))
+    return asked.join(top, "item", "left").select("id", *told, F.coalesce("t.similarity", F.lit(0.0)).alias("similarity"))
 
 
 def threshold_flags(similarity: Column, thresholds: tuple[float, ...] = (0.80, 0.90, 0.95)) -> list[Column]:

@@ -260,6 +260,45 @@ def test_nearest_by_parts_in_blocks(spark):
         assert got == {None: (5, 0, 1.0), 1: (2, 3, 1.0), 2: (None, None, 0.0), 3: (None, None, 0.0)}
 
 
+@pytest.mark.parametrize("block_grams", [400, 10**6])
+def test_bounds_find_the_nearest_of_many_rows(spark, monkeypatch, block_grams):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    texts = [" ".join(r.choice(words[: r.choice([20, 300])]) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    train = list(enumerate(texts)) + [(k + 5000, x) for k, x in enumerate(r.sample(texts, 40))]
+    test = [(k, x if k % 3 else " ".join(x.split()[::-1][:-1]) + " " + r.choice(words)) for k, x in enumerate(r.sample(texts, 40))]
+    df = Counter(g for _, t in train for g in set(plain_grams(t)))
+    idf = {g: math.log((1 + len(train)) / (1 + n)) + 1 for g, n in df.items() if n >= 2}
+
+    def vector(t):
+        v = {g: n * idf[g] for g, n in Counter(plain_grams(t)).items() if g in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()} if size else {}
+
+    vectors = [(j, vector(s)) for j, s in train]
+    live, most = [], []
+    context = spark.sparkContext
+    real = context.broadcast
+
+    def counted(value):
+        b = real(value)
+        live.append(b)
+        most.append(len(live))
+        gone = b.destroy
+        b.destroy = lambda *a, **k: (live.remove(b), gone(*a, **k))
+        return b
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    schema = "row_id long, text string"
+    found = similarity.nearest(spark.createDataFrame(train, schema).repartition(3), spark.createDataFrame(test, schema), "row_id", "text", block_grams=block_grams)
+    assert max(most) == 1 and not live and (len(most) > 5) == (block_grams == 400)
+    got = {x.id: x for x in found.collect()}
+    for i, t in test:
+        v = vector(t)
+        best = max((round(sum(x * u.get(g, 0) for g, x in v.items()), 9), -j) for j, u in vectors)
+        assert abs(got[i].similarity - best[0]) < 1e-8 and (not best[0] or got[i].best_id == -best[1])
+
+
 def test_contamination_reads_all_documents(spark, tmp_path):
     r = random.Random(3)
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
