@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
+from clausemill.operators.relational import running_sum
 
 
 class Scorer(Protocol):
@@ -96,9 +97,9 @@ def remaining(rows: DataFrame, log: DataFrame, row_id: str = "row_id") -> DataFr
 
 
 def batches(rows: DataFrame, size: int, group: str, order: str) -> DataFrame:
-    """Adds ``batch``: runs of ``size`` rows of a group in order."""
-    by = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(by) - 1) / size).cast("long"))
+    """Adds ``batch``: runs of ``size`` rows of a group in order, numbered by range, so that no group is one task."""
+    placed = running_sum(rows, F.lit(1).cast("long"), "__n", [order], [group])
+    return placed.withColumn("batch", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n")
 
 
 def prompts(batched: DataFrame, group: str, row_id: str = "row_id", text: str = "text") -> DataFrame:

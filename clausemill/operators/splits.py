@@ -1,14 +1,17 @@
 """Splits of a labelled table: stratified, by group, by source; leakage checks.
 
 Membership follows a seeded MD5 of the row id, so it does not depend on partitioning, a lost task gives the
-same rows again, and any other engine can repeat it. Strata are cut by rank within the stratum, so proportions hold to one row.
+same rows again, and any other engine can repeat it. Strata are cut by rank within the stratum, so proportions hold to
+one row; rows that share an id are on one side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.operators.relational import running_sum
+
 RARE = "__rare__"
 
 
@@ -30,10 +33,16 @@ def collapse_rare(df: DataFrame, key: str, least: int) -> DataFrame:
 def stratified_split(df: DataFrame, key: str, row_id: str = "row_id", seed: int = 42, validation: float = 0.1, test: float = 0.1, least: int = 5) -> DataFrame:
     """Adds ``split``: test, validation or train, in the given shares of each stratum; rare strata are cut together."""
     held = collapse_rare(df.withColumn("__key", F.coalesce(F.col(key).cast("string"), F.lit("none"))), "__key", least)
-    by = Window.partitionBy("__key").orderBy(seeded(seed, F.col(row_id)), row_id)
-    place = (F.row_number().over(by) - 0.5) / F.count("*").over(Window.partitionBy("__key"))
-    split = F.when(place < test, "test").when(place < test + validation, "validation").otherwise("train")
-    return held.withColumn("split", split).drop("__key")
+    held = held.withColumn("__at", F.struct(seeded(seed, F.col(row_id)).alias("o"), F.col(row_id).alias("id")))
+    # ranks over ranges of (stratum, hash, id) alone: no stratum is one task, and no other column travels
+    ids = held.select("__key", F.col("__at.o").alias("o"), F.col("__at.id").alias("id"))
+    ranked = running_sum(ids, F.lit(1).cast("long"), "n", ["o", "id"], ["__key"]).join(ids.groupBy("__key").agg(F.count("*").alias("of")), "__key")
+    place = (F.col("n") - 0.5) / F.col("of")
+    last = lambda share: F.max(F.when(place < share, F.struct("o", "id")))
+    cuts = ranked.groupBy("__key").agg(last(test).alias("__test"), last(test + validation).alias("__validation"))
+    upto = lambda c: F.coalesce(F.col("__at") <= F.col(c), F.lit(False))
+    split = F.when(upto("__test"), "test").when(upto("__validation"), "validation").otherwise("train")
+    return held.join(cuts, "__key").withColumn("split", split).select(*df.columns, "split")
 
 
 def group_split(df: DataFrame, group: str, seed: int = 42, validation: float = 0.1, test: float = 0.1) -> DataFrame:
@@ -83,6 +92,8 @@ def check_assignment(df: DataFrame, stored: DataFrame, text: str) -> DataFrame:
 
 def stratified_sample(df: DataFrame, klass: str, size: int, row_id: str = "row_id", seed: int = 42) -> DataFrame:
     """One row of every class, then others up to ``size``, by a seeded hash. A sampling operator: its limit is its purpose."""
-    order = seeded(seed, F.col(row_id))
-    first = F.row_number().over(Window.partitionBy(klass).orderBy(order, row_id)) == 1
-    return df.withColumn("__later", (~first).cast("int")).orderBy("__later", order, row_id).limit(size).drop("__later")
+    at = F.struct(seeded(seed, F.col(row_id)).alias("o"), F.col(row_id).alias("id"))
+    told = df.withColumn("__at", at).alias("a")
+    firsts = df.groupBy(F.col(klass).alias("__klass")).agg(F.min(at).alias("__first")).alias("f")
+    told = told.join(firsts, F.col(f"a.{klass}").eqNullSafe(F.col("f.__klass"))).withColumn("__later", (F.col("__at") != F.col("__first")).cast("int"))
+    return told.orderBy("__later", "__at").limit(size).select("a.*").drop("__at")

@@ -414,10 +414,16 @@ def supervision_lost(spark, sf_dir):
     return t.select("topic_id", "lost", (F.col("total") - F.col("lost")).alias("remaining"), F.round(F.col("lost") / F.col("total"), 9).alias("share"))
 
 
-@query("label_rules", "SELECT * FROM (VALUES ('a', 'x', 't9', 'override'), ('a', 'y', 't2', 'default'), ('b', 'x', 't1', 'default')) v(source, native_label, topic_id, rule_kind)")
+@query("label_rules", """
+WITH l AS (SELECT source, lang AS native_label, quality, toxic FROM documents JOIN labels USING (doc_id)), o AS (SELECT DISTINCT source, native_label FROM l WHERE toxic = 1)
+SELECT source, native_label, 'toxic' AS topic_id, 'override' AS rule_kind FROM o
+UNION ALL SELECT DISTINCT source, native_label, 'quality' || quality, 'default' FROM l WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = l.source AND o.native_label = l.native_label)""")
 def label_rules(spark, sf_dir):
-    defaults = spark.sql("SELECT * FROM VALUES ('a', 'x', 't1'), ('a', 'x', 't2'), ('a', 'y', 't2'), ('b', 'x', 't1') AS t(source, native_label, topic_id)")
-    return fusion.label_rules(defaults, spark.sql("SELECT 'a' AS source, 'x' AS native_label, 't9' AS topic_id"))
+    """Rules from the labelled documents: a topic for each quality of a source and language, overridden where toxic documents are."""
+    told = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("native_label", F.col("lang"))
+    defaults = told.select("source", "native_label", F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("topic_id")).distinct()
+    overrides = told.where("toxic = 1").select("source", "native_label", F.lit("toxic").alias("topic_id")).distinct()
+    return fusion.label_rules(defaults, overrides)
 
 
 def _parsed(spark, sf_dir):
@@ -488,9 +494,15 @@ def best_run(spark, sf_dir):
     return scoring.best_run(o, "o_orderstatus", "o_orderpriority", value="o_totalprice", run="o_orderkey")
 
 
-@query("run_matrix", "SELECT e AS encoder, s AS seed, 'dual' AS heads, e || '__seed' || s || '__dual' AS run_id FROM (SELECT unnest(['a', 'b']) AS e), (SELECT unnest([1, 2, 3]) AS s) UNION ALL SELECT 'a', s, 'risk', 'a__seed' || s || '__risk' FROM (SELECT unnest([1, 2, 3]) AS s)")
+@query("run_matrix", """
+WITH e AS (SELECT DISTINCT lang AS encoder FROM documents), s AS (SELECT DISTINCT CAST(quality AS INT) AS seed FROM labels)
+SELECT encoder, seed, 'dual' AS heads, encoder || '__seed' || seed || '__dual' AS run_id FROM e, s
+UNION ALL SELECT encoder, seed, 'risk', encoder || '__seed' || seed || '__risk' FROM (SELECT min(encoder) AS encoder FROM e), s""")
 def run_matrix(spark, sf_dir):
-    return scoring.run_matrix(spark, ["a", "b"], [1, 2, 3], ["dual"], ("a", "risk"))
+    """A run for each language and quality of the tables, and an ablation of the first language."""
+    one = lambda df: [r[0] for r in df.distinct().orderBy(df.columns[0]).collect()]  # the axes of an experiment, a few values each
+    encoders = one(table(spark, sf_dir, "documents").select("lang"))
+    return scoring.run_matrix(spark, encoders, one(table(spark, sf_dir, "labels").select("quality")), ["dual"], (encoders[0], "risk"))
 
 
 @query("rubric_text", "WITH d AS (SELECT DISTINCT lang, doc_id % 3 - 1 AS score, 'level ' || doc_id % 3 AS description FROM documents) SELECT lang, string_agg(score || ': ' || description, chr(10) ORDER BY score) AS rubric FROM d GROUP BY lang")

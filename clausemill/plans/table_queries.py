@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausemill.functions import numeric as N
 from clausemill.operators import fusion, relational as R
-from clausemill.operators import retrieval, sessions
+from clausemill.operators import retrieval, sessions, vector_index
+from clausemill.operators.inverted import InvertedIndex
+from clausemill.operators.vector_index import VectorIndex
 from clausemill.plans import oracle_parts as O
 from clausemill.plans.registry import query
 from clausemill.schemas import violations, with_columns_of
-from clausemill.session import table
+from clausemill.session import checkpoint_dir, table
 from clausemill.streaming import events as S
 
 
@@ -288,6 +292,17 @@ def vector_topk(spark, sf_dir):
     return retrieval.vector_search(q, e.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10).select("query_id", "chunk_id", "rank")
 
 
+@query("vector_index_recall")
+def vector_index_recall(spark, sf_dir):
+    """For each query (rows whose id 100 divides) the share of its ten exact neighbours that the index finds, and the share of vectors that it reads."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    index = VectorIndex.build(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    probes = index.calibrated(10, 0.96)
+    shares = index.read(q, probes).select("query_id", F.round(F.col("read") / F.col("of"), 6).alias("share_read"))
+    return vector_index.recall(index.search(q, 10, probes), vector_topk(spark, sf_dir)).join(shares, "query_id")
+
+
 @query("vector_topk_source", """
 WITH q AS (SELECT vec_id AS query_id, label, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS score FROM q JOIN embeddings e USING (label))
 SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""", rank="INTEGER")
@@ -318,6 +333,15 @@ def bm25_topk(spark, sf_dir):
     return _search(spark, sf_dir)[2].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("bm25_index_topk", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25", rank="INTEGER")
+def bm25_index_topk(spark, sf_dir):
+    """The same ranks by way of a stored index with block maxima."""
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = InvertedIndex.build(chunks, f"{checkpoint_dir(spark)}/inverted-{uuid.uuid4().hex}", span=16)
+    return index.search(queries, 25)[0].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("rrf_fusion", f"""
 WITH {BM25}, a AS (SELECT query_id, chunk_id, rank FROM r WHERE rank <= 25), b AS (SELECT query_id, chunk_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank_b FROM a),
 u AS (SELECT query_id, chunk_id, 0.5 / (60 + rank) AS s FROM a UNION ALL SELECT query_id, chunk_id, 0.5 / (60 + rank_b) FROM b), g AS (SELECT query_id, chunk_id, round(sum(s), 12) AS score FROM u GROUP BY 1, 2)

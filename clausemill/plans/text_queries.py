@@ -32,10 +32,10 @@ def pessimistic_label(spark, sf_dir):
         .groupBy(T.collapse(F.col("text")).alias("clause"))
         .agg(
             F.count("*").alias("n_rows"),
-            F.countDistinct("source").alias("n_sources"),
+            F.size(F.collect_set("source")).cast("long").alias("n_sources"),
             F.min("quality").alias("score"),
             F.max("toxic").alias("toxic"),
-            (F.countDistinct("quality") > 1).alias("has_conflict"),
+            F.coalesce(F.min("quality") != F.max("quality"), F.lit(False)).alias("has_conflict"),
         )
     )
 
