@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.functions.numeric import half_even
 from clausemill.operators.relational import running_sum
+from clausemill.session import written
 
 TokenCount = Callable[[Column], Column]
 
@@ -47,14 +48,14 @@ def packed(parts: Column, count: TokenCount, limit: int) -> Column:
     return F.transform(F.array(parts), joined).getItem(0)
 
 
-def _cut(text: Column, count: TokenCount, limit: int) -> Column:
+def _cut(text: Column, count: TokenCount, limit: int, split: Callable[[Column], Column]) -> Column:
     """A paragraph in chunks: whole if it fits, else its sentences packed."""
-    return F.when(count(text) <= limit, F.array(text)).otherwise(packed(sentences(text), count, limit))
+    return F.when(count(text) <= limit, F.array(text)).otherwise(packed(split(text), count, limit))
 
 
-def chunks(paras: DataFrame, count: TokenCount = word_tokens, limit: int = 256) -> DataFrame:
+def chunks(paras: DataFrame, count: TokenCount = word_tokens, limit: int = 256, split: Callable[[Column], Column] = sentences) -> DataFrame:
     """(doc_id, chunk_id, paragraph_id, text, estimated_tokens, is_subchunk) of the paragraphs that are not skipped."""
-    rows = paras.where("NOT skipped").select("doc_id", "paragraph_id", _cut(F.col("text"), count, limit).alias("parts"))
+    rows = paras.where("NOT skipped").select("doc_id", "paragraph_id", _cut(F.col("text"), count, limit, split).alias("parts"))
     lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("paragraph_id", "parts"))).alias("ps"))
     return _numbered(lists, count)
 
@@ -65,14 +66,62 @@ def _numbered(lists: DataFrame, count: TokenCount) -> DataFrame:
     return told.select("doc_id", "chunk_id", "c.paragraph_id", "c.text", count(F.col("c.text")).alias("estimated_tokens"), "c.is_subchunk")
 
 
-def document_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", separator: str = r"\n\n", least: int = 15, count: TokenCount = word_tokens, limit: int = 256) -> DataFrame:
-    """``chunks`` of ``paragraphs``, numbered inside each document's row: nothing is shuffled, and rows that share an id stay apart."""
+def document_chunks(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    separator: str = r"\n\n",
+    least: int = 15,
+    count: TokenCount = word_tokens,
+    limit: int = 256,
+    split: Callable[[Column], Column] = sentences,
+) -> DataFrame:
+    """``chunks`` of ``paragraphs``, numbered inside each document's row: nothing is shuffled, and rows that share an id stay apart.
+
+    ``split`` cuts a paragraph into sentences: the rule, or a fitted ``SentenceModel.sentences``; ``count`` counts
+    tokens by a column expression. ``subword_chunks`` counts by a vocabulary.
+    """
     parts = F.filter(F.transform(F.split(T.line_ends(F.col(text)), separator), T.strip), lambda p: p != "")
     placed = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("paragraph_id"), p.alias("text"))), lambda p: F.length(p["text"]) >= least)
-    ps = F.transform(placed, lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), _cut(p["text"], count, limit).alias("parts")))
+    ps = F.transform(placed, lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), _cut(p["text"], count, limit, split).alias("parts")))
     return _numbered(docs.select(F.col(doc_id).alias("doc_id"), ps.alias("ps")), count)
 
 
+def subword_chunks(docs: DataFrame, count: TokenCount, doc_id: str = "doc_id", text: str = "text", separator: str = r"\n\n", least: int = 15, limit: int = 256, split: Callable[[Column], Column] = sentences) -> DataFrame:
+    """``document_chunks`` with the counts of ``functions.subword.counter``, which sees a document's paragraphs and sentences once.
+
+    A count of sentences joined by a blank is the sum of theirs, as no piece holds a blank.
+    """
+    parts = F.filter(F.transform(F.split(T.line_ends(F.col(text)), separator), T.strip), lambda p: p != "")
+    placed = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("paragraph_id"), p.alias("text"))), lambda p: F.length(p["text"]) >= least)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), placed.alias("ps"))
+    rows = rows.withColumn("ps", F.transform("ps", lambda p: F.struct(p["paragraph_id"].alias("paragraph_id"), F.concat(F.array(p["text"]), split(p["text"])).alias("texts"))))
+    rows = rows.withColumn("counts", count(F.transform("ps", lambda p: p["texts"])))
+    start = F.struct(F.expr("array()").cast("array<int>").alias("cuts"), F.lit(0).alias("n"), F.lit(1).alias("i"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (acc["n"] + n > limit) | (acc["i"] == 1)
+        return F.struct(F.when(full, F.concat(acc["cuts"], F.array(acc["i"]))).otherwise(acc["cuts"]).alias("cuts"), F.when(full, n).otherwise(acc["n"] + n).alias("n"), (acc["i"] + 1).alias("i"))
+
+    def chunks_of(p: Column, counts: Column) -> Column:
+        whole = F.array(F.struct(p["texts"][0].alias("text"), counts[0].alias("n"), F.lit(False).alias("sub")))
+        texts, sizes = F.slice(p["texts"], 2, F.size(p["texts"])), F.slice(counts, 2, F.size(counts))
+
+        def joined(cuts: Column) -> Column:
+            def one(at: Column, i: Column) -> Column:
+                n = F.coalesce(F.get(cuts, i + 1), F.size(texts) + 1) - at
+                total = F.aggregate(F.slice(sizes, at, n), F.lit(0), lambda a, x: a + x)
+                return F.struct(F.array_join(F.slice(texts, at, n), " ").alias("text"), total.alias("n"), (F.size(cuts) > 1).alias("sub"))
+
+            return F.transform(cuts, one)
+
+        several = F.transform(F.array(F.aggregate(sizes, start, step, lambda acc: acc["cuts"])), joined)[0]
+        return F.transform(F.when(counts[0] <= limit, whole).otherwise(several), lambda c: F.struct(p["paragraph_id"].alias("paragraph_id"), c["text"].alias("text"), c["n"].alias("n"), c["sub"].alias("sub")))
+
+    flat = F.flatten(F.transform("ps", lambda p, i: chunks_of(p, F.get("counts", i))))
+    return rows.select("doc_id", F.posexplode(flat).alias("chunk_id", "c")).select("doc_id", "chunk_id", "c.paragraph_id", "c.text", F.col("c.n").alias("estimated_tokens"), F.col("c.sub").alias("is_subchunk"))
+
+
 def overlapping_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunks of about ``size`` characters that overlap; a paragraph end, else a sentence end, in the second half ends a chunk."""
     if not 0 <= overlap < size // 2:
@@ -107,14 +156,91 @@ def overlapping_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def length_profile(df: DataFrame, value: Column, limit: float, *keys: str) -> DataFrame:
-    """Exact percentiles 50, 90, 95 and 99 (interpolated), least, largest, and the share above a limit."""
-    own = df.withColumn("__v", value)
-    own = own.groupBy(*keys) if keys else own
-    at = lambda p: F.percentile("__v", F.lit(p))
-    return own.agg(
-        F.count("__v").alias("n"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-        F.min("__v").alias("least"), F.max("__v").alias("most"), F.avg((F.col("__v") > limit).cast("double")).alias("share_over"),
-    )
+    """Exact percentiles 50, 90, 95 and 99 (interpolated), least, largest, and the share above a limit.
+
+    See ``percentiles``: no task holds all values, nor all distinct ones.
+    """
+    own = df.select(*keys, value.alias("__v"))
+    grouped = own.groupBy(*keys) if keys else own
+    told = grouped.agg(F.count("__v").alias("n"), F.min("__v").alias("least"), F.max("__v").alias("most"), F.avg((F.col("__v") > limit).cast("double")).alias("share_over"))
+    shares = percentiles(own, "__v", {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}, *keys)
+    order = [*keys, "n", "p50", "p90", "p95", "p99", "least", "most", "share_over"]
+    if not keys:
+        return told.crossJoin(F.broadcast(shares)).select(order)  # one row each
+    same = None
+    for k in keys:  # a null key is a key
+        one = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        same = one if same is None else same & one
+    return told.alias("a").join(shares.alias("b"), same, "left").select(*[F.col(f"a.{k}") for k in keys], *order[len(keys) :])
+
+
+#: Parts that one round of ``percentiles`` cuts an open range into.
+BINS = 256
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys, a column a share): the interpolated percentiles of non-null values, exactly.
+
+    Each wanted rank lies in a range of values, at first from the least to the largest. A round counts, for every open
+    range, the values in each of ``BINS`` equal parts of it, and keeps the part with the rank, from its least to its
+    largest value; a range is closed when its values are equal. The state of a task and what is shuffled are counts of
+    parts, whatever the number of values. Values are finite; each round leaves less of a range, and a few are enough
+    where values do not differ by many powers of ``BINS``.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    names = list(shares)
+    spans = (own.groupBy(*keys) if keys else own).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    # both neighbours of a rank are sought: it is interpolated between them
+    position = lambda s: F.lit(float(s)) * (F.col("n") - 1)
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(i).alias("side"), (F.floor(position(s)) if i == 0 else F.ceil(position(s))).cast("long").alias("rank")) for name, s in shares.items() for i in (0, 1)]
+    open_ = spans.where("n > 0").select(*keys, F.explode(F.array(*wanted)).alias("w"), "low", "high", F.lit(0).cast("long").alias("below"), "n").select(*keys, "w.*", "low", "high", "below", "n")
+    open_ = written(open_, "ranks")
+    while not open_.where("low < high").isEmpty():
+        # distinct ranges: several ranks may lie in one
+        ranges = open_.where("low < high").select(*keys, "low", "high").distinct()
+        joined = _same(own, ranges, keys).where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+        width = (F.col("high") / BINS) - (F.col("low") / BINS)
+        place = F.floor(F.try_divide(F.col("v") - F.col("low"), width)).cast("double")
+        part = F.when(width > 0, F.least(F.lit(BINS - 1.0), place)).otherwise((F.col("v") > F.col("low")).cast("double")).cast("int")
+        counts = joined.groupBy(*keys, "low", "high", part.alias("part")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        lists = counts.groupBy(*keys, "low", "high").agg(F.array_sort(F.collect_list(F.struct("part", "c", "least", "most"))).alias("parts"))
+        told = _same(open_.where("low < high"), lists, keys, "low", "high")
+
+        def seek(parts, rest):
+            start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("struct<below:bigint,c:bigint,least:double,most:double>").alias("found"))
+
+            def step(acc, p):
+                here = acc["found"].isNull() & (rest < acc["before"] + p["c"])
+                hit = F.struct(acc["before"].alias("below"), p["c"].alias("c"), p["least"].alias("least"), p["most"].alias("most"))
+                return F.struct((acc["before"] + p["c"]).alias("before"), F.when(here, hit).otherwise(acc["found"]).alias("found"))
+
+            return F.aggregate(parts, start, step, lambda acc: acc["found"])
+
+        found = told.withColumn("f", seek(F.col("parts"), F.col("rank") - F.col("below")))
+        found = found.select(*keys, "name", "side", "rank", F.col("f.least").alias("low"), F.col("f.most").alias("high"), (F.col("below") + F.col("f.below")).alias("below"), F.col("f.c").alias("n"))
+        open_ = written(open_.where("low >= high").unionByName(found), "ranks")
+    sizes = spans.where("n > 0").select(*keys, F.col("n").alias("of"))
+    closed = _same(open_, sizes, keys) if keys else open_.crossJoin(F.broadcast(sizes))
+    side = lambda name, i: F.max(F.when((F.col("name") == name) & (F.col("side") == i), F.col("low")))
+
+    def between(name: str):
+        place = F.lit(float(shares[name])) * (F.max("of") - 1)
+        return (side(name, 0) + (side(name, 1) - side(name, 0)) * (place - F.floor(place))).alias(name)
+
+    return (closed.groupBy(*keys) if keys else closed).agg(*[between(name) for name in names])
+
+
+def _same(a: DataFrame, b: DataFrame, keys, *more: str) -> DataFrame:
+    """Inner join on keys, where a null key is a key, and on further columns; without keys b is a few ranges, sent to all."""
+    on = None
+    for k in [*keys, *more]:
+        one = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        on = one if on is None else on & one
+    b = b if keys else F.broadcast(b)
+    joined = a.alias("a").join(b.alias("b"), on) if on is not None else a.alias("a").crossJoin(b.alias("b"))
+    return joined.select(*[F.col(f"a.{c}") for c in a.columns], *[F.col(f"b.{c}") for c in b.columns if c not in keys and c not in more])
+
+
 
 
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:

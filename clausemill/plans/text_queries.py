@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausemill.functions import subword
 from clausemill.functions import text as T
 from clausemill.operators import documents as D
-from clausemill.operators import paired, similarity
+from clausemill.operators import paired, sentence_model, similarity
 from clausemill.plans import oracle_parts as O
 from clausemill.plans.registry import query
 from clausemill.session import table
@@ -351,6 +352,40 @@ def contamination_shares(spark, sf_dir):
     return similarity.contamination(tfidf_nearest(spark, sf_dir).select("similarity"))
 
 
+_TOKENS = r"""
+tk AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\S+'), lambda w: regexp_replace(regexp_replace(w, '^["''(\[{«“‘„]+', ''), '["'')\]}»”’,;:]+$', '')), lambda w: regexp_replace(w, '\.+$', '') <> '') AS ws FROM documents),
+ty AS (SELECT regexp_matches(w, '[^.]\.$') AS stop, lower(regexp_replace(w, '\.+$', '')) AS bare FROM (SELECT unnest(ws) AS w FROM tk)),
+ct AS (SELECT CASE WHEN regexp_matches(bare, '^[+-]?\p{N}[\p{N}.,:-]*$') THEN '##number##' ELSE bare END AS type, count(*) FILTER (stop) AS w, count(*) FILTER (NOT stop) AS wo, count(*) AS n FROM ty GROUP BY 1),
+su AS (SELECT sum(n) AS total, sum(w) / sum(n) AS share FROM ct)
+"""
+
+
+@query("sentence_abbreviations", f"""
+WITH {_TOKENS}, sc AS (SELECT type, length(replace(type, '.', '')) AS l, -2 * (w * ln(share) + wo * ln(1 - share) - w * ln(0.99) - wo * ln(0.01)) AS ll, w, wo, length(type) AS full_ FROM ct, su WHERE w > 0 AND regexp_matches(type, '\\p{{L}}'))
+SELECT type, round(ll * exp(-l) * (full_ - l + 1) * pow(l, -wo), 6) AS score FROM sc WHERE ll * exp(-l) * (full_ - l + 1) * pow(l, -wo) >= 0.3""")
+def sentence_abbreviations(spark, sf_dir):
+    """The abbreviations that the sentence model learns from all documents."""
+    model = sentence_model.fit(table(spark, sf_dir, "documents"))
+    return model.table.where("kind = 'abbreviation'").select(F.col("first").alias("type"), F.round("score", 6).alias("score"))
+
+
+@query("subword_chunks")
+def subword_chunks(spark, sf_dir):
+    """Chunks of at most 128 subword tokens, by a public vocabulary's pieces; a test holds them against a plain loop."""
+    import public_tokenizers
+
+    count = subword.counter(spark, subword.vocabulary_of(str(public_tokenizers.path("word_bpe_49k.json"))))
+    return D.subword_chunks(table(spark, sf_dir, "documents"), count, separator=r"\n", limit=128).select("doc_id", "chunk_id", "paragraph_id", F.md5("text").alias("text_md5"), "estimated_tokens", "is_subchunk")
+
+
+@query("sentence_counts")
+def sentence_counts(spark, sf_dir):
+    """Sentences of every document by the fitted model and by the rule; a test holds them against a plain loop."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = sentence_model.fit(docs)
+    return docs.select("doc_id", F.size(model.sentences(F.col("text"))).alias("n_model"), F.size(D.sentences(T.strip(F.coalesce("text", F.lit(""))))).alias("n_rule"))
+
+
 @query(
     "function_samples",
     r"""
