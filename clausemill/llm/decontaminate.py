@@ -10,8 +10,10 @@ diagonal join to the longest verbatim matches with their places.
 Shards are built and searched where the documents are: nothing is shuffled, a shard's arrays are all that
 a task holds, and a lost task repeats its own shards. The benchmark is the query set and is read in blocks
 of at most ``block_words`` words and one item; a block is broadcast (that bounds its size) and passed over all
-rows. Only one block is alive at a time: what a block has found is written in the shared checkpoint folder before
-the next one is sent, so a benchmark of any size is looked up whole in bounded memory. One block needs no write.
+rows. One block needs no write. With more, the documents are written once, with numbers, and a block's pass writes
+numbers and finds alone, the first one for every row and the others for rows with a hit; they are put together by number
+at the end. So bytes written do not grow with the number of blocks, and a benchmark of any size is looked up whole in
+bounded memory: a block is let go when its pass is written.
 
 Words that are hit and the items are found in time and memory that grow with the places found; the matches
 themselves, which are as many as pairs of places, are only told ``with_matches``.
@@ -184,31 +186,18 @@ def search_shard(block: Block, docs: list[np.ndarray], with_matches: bool) -> tu
     return spans, ids, matches
 
 
-def joined_spans(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The (start, size) spans of words in either list, apart and in order."""
-    if not a or not b:
-        return a or b
-    out: list[tuple[int, int]] = []
-    for start, size in sorted(a + b):
-        if out and start <= out[-1][0] + out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], start + size - out[-1][0]))
-        else:
-            out.append((start, size))
-    return out
-
-
-def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[tuple[Block, bool]]:
+    """The blocks, one built at a time, and whether each is the last; an empty one where there are no items."""
     items: list[tuple[int | None, list[bytes]]] = []
     held = 0
     for row in benchmark.select(F.col("item_id").cast("long"), utf8(F.col("text"))).toLocalIterator():
+        if held >= block_words:
+            full, items, held = items, [], 0
+            yield Block(full, window), False
         words = split_words(row[1])
         items.append((row[0], words))
         held += len(words)
-        if held >= block_words:
-            yield Block(items, window)
-            items, held = [], 0
-    if items:
-        yield Block(items, window)
+    yield Block(items, window), True
 
 
 def find_matches(
@@ -223,53 +212,77 @@ def find_matches(
     with_matches: bool = False,
 ) -> DataFrame:
     """The documents with ``n_words``, ``n_hit`` (words inside a match), ``item_ids`` and on request ``matches``, the longest ones."""
-    spark = docs.sparkSession
     added = ["n_words", "n_hit", "item_ids", *(["matches"] if with_matches else [])]
     passing = Passing(docs, added)
-    n = len(passing.kept)
-    at = passing.kept.index(passing.inside(text))
-    empty = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,size:long>>").alias("spans"), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast(_MATCH_SQL).alias("matches")]
     clean = [utf8(F.col(c)).alias(c) if c == passing.inside(text) else c for c in passing.kept]
-    found = passing.inner.select(*clean, *empty)
-    schema = found.schema
-
-    def stage(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shared.value
-            for batch in batches:
-                n_words, spans, ids, matches = [], [], [], []
-                held, docs_ = 0, []
-                for i, value in enumerate(batch.column(at)):
-                    words = split_words(value.as_py())
-                    n_words.append(len(words))
-                    docs_.append(block.numbers(words))
-                    held += len(words)
-                    if held >= shard_words or i + 1 == batch.num_rows:
-                        for column, more in zip((spans, ids, matches), search_shard(block, docs_, with_matches), strict=True):
-                            column += more
-                        held, docs_ = 0, []
-                old = [batch.column(n + k).to_pylist() for k in (1, 2, 3)]
-                spans = [joined_spans([(x["start"], x["size"]) for x in a or ()], b) for a, b in zip(old[0], spans, strict=True)]
-                ids = [sorted({*(a or ()), *b}, key=lambda x: (x is not None, x or 0)) for a, b in zip(old[1], ids, strict=True)]
-                matches = [(a or []) + [dict(zip(_MATCH_FIELDS, m, strict=True)) for m in b] for a, b in zip(old[2], matches, strict=True)]
-                own = [pa.array(n_words, pa.int64()), pa.array([[{"start": a, "size": b} for a, b in x] for x in spans], _SPANS), pa.array(ids, pa.list_(pa.int64())), pa.array(matches, _MATCH)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *own], names=schema.names)
-
-        return run
-
-    store, written = Store(spark, "decontaminate"), []
-    blocks = _blocks(picked(benchmark, item_id=item_id, text=item_text), window, block_words)
-    block = next(blocks, None) or Block([], window)
-    while block is not None:
-        shared = spark.sparkContext.broadcast(block)
-        found, block = found.mapInArrow(stage(shared), schema), next(blocks, None)
-        if block is not None:  # written before the next block is sent, so that only one is alive
-            found = store.save(found, f"block-{len(written)}")
+    source = passing.inner.select(*clean)
+    store, held, told = None, source, None
+    for k, (block, last) in enumerate(_blocks(picked(benchmark, item_id=item_id, text=item_text), window, block_words)):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        if k == 0 and last:  # nothing is written: one pass, the documents where they are
+            return passing.outer(_looked_up(source, passing.inside(text), shared, passing.kept, shard_words, with_matches), *added)
+        if store is None:
+            store = Store(docs.sparkSession, "decontaminate")
+            held = store.save(source.withColumn("row", F.monotonically_increasing_id()), "docs")
+        found = _looked_up(held.select("row", passing.inside(text)), passing.inside(text), shared, ["row"], shard_words, with_matches)
+        found = found if k == 0 else found.where("n_hit > 0")  # the first pass tells the words of every row
+        if not last:
+            found = store.save(found, f"block-{k}")
             shared.destroy()
-            store.drop(*written[-1:])
-            written.append(f"block-{len(written)}")
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["size"])
-    return passing.outer(found.withColumn("n_hit", hit), *added)
+        told = found if told is None else told.unionByName(found)
+    merged = told.groupBy("row").agg(
+        F.max("n_words").alias("n_words"),
+        _covered(F.sort_array(F.flatten(F.collect_list("spans")))).alias("n_hit"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.flatten(F.collect_list("matches")).alias("matches"),
+    )
+    return passing.outer(held.join(merged, "row"), *added)
+
+
+def _covered(spans):
+    """How many words sorted spans (start, size) cover."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc, x):
+        end = x["start"] + x["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(end - F.greatest(acc["end"], x["start"]), F.lit(0))).alias("n"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["n"])
+
+
+def _looked_up(rows: DataFrame, text: str, shared, keep: list[str], shard_words: int, with_matches: bool) -> DataFrame:
+    """The kept columns of the rows with n_words, n_hit, spans, item_ids and matches of one block."""
+    at = rows.columns.index(text)
+    places = [rows.columns.index(c) for c in keep]
+    schema = rows.select(
+        *keep, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<struct<start:long,size:long>>").alias("spans"),
+        F.lit(None).cast("array<long>").alias("item_ids"), F.lit(None).cast(_MATCH_SQL).alias("matches"),
+    ).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            n_words, spans, ids, matches = [], [], [], []
+            held, docs_ = 0, []
+            for i, value in enumerate(batch.column(at)):
+                words = split_words(value.as_py())
+                n_words.append(len(words))
+                docs_.append(own.numbers(words))
+                held += len(words)
+                if held >= shard_words or i + 1 == batch.num_rows:
+                    for column, more in zip((spans, ids, matches), search_shard(own, docs_, with_matches), strict=True):
+                        column += more
+                    held, docs_ = 0, []
+            told = [
+                pa.array(n_words, pa.int64()),
+                pa.array([sum(n for _, n in x) for x in spans], pa.int64()),
+                pa.array([[{"start": a, "size": b} for a, b in x] for x in spans], _SPANS),
+                pa.array([sorted(x, key=lambda v: (v is not None, v or 0)) for x in ids], pa.list_(pa.int64())),
+                pa.array([[dict(zip(_MATCH_FIELDS, m, strict=True)) for m in x] for x in matches], _MATCH),
+            ]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in places], *told], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -35,6 +35,9 @@ WITH d AS (
 ), iw AS (
   SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS win
   FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i WHERE len(w) > 0)
+), places AS (
+  SELECT r AS item, s AS start, least(10, len(w)) AS size, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM i WHERE len(w) > 0)
 ), sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (
   SELECT r, size, s, array_to_string(w[s:s + size - 1], ' ') AS win
@@ -44,10 +47,14 @@ words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s
 items AS (
   SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
   FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY r
-)
+), steps AS (
+  SELECT dw.r, dw.s, item, start, dw.size, dw.s - row_number() OVER (PARTITION BY dw.r, item, dw.s - start ORDER BY dw.s) AS island FROM dw JOIN places USING (size, win)
+), runs AS (SELECT r, min(s) - 1 AS place, count(*) + min(size) - 1 AS words FROM steps GROUP BY r, item, s - start, island),
+longest AS (SELECT r, max(words) AS longest_words, arg_max(place, [words, -place]) AS longest_start FROM runs GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(longest_words, 0) AS longest_words, longest_start
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN longest USING (r)
 """
 
 # Runs by their diagonals: equal lines of two places, neighbours on one diagonal joined, runs of 50 words or more.

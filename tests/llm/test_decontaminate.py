@@ -103,3 +103,28 @@ def test_a_repeated_word_hits_in_linear_space(spark):
     docs = spark.createDataFrame([(1, "z " * 200_000, "n", "x")], DOC)
     row = find_matches(docs, spark.createDataFrame([(1, "z " * 3_000), (2, "z " * 4_000)], ITEM)).first()
     assert (row.n_words, row.n_hit, row.item_ids) == (200_000, 200_000, [1, 2])
+
+
+def test_bytes_written_do_not_grow_with_blocks(spark, monkeypatch):
+    """Documents are written once; a pass writes numbers and finds alone."""
+    from clausemill.llm import store
+
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(["a", "b", "c", "d"]) for _ in range(n))
+    items, docs = [(i, text(9)) for i in range(20)], [(i, text(400), "n", "x") for i in range(60)]
+    written = []
+    plain = store.Store.save
+
+    def noted(self, df, name):
+        written.append((name, df.columns))
+        return plain(self, df, name)
+
+    monkeypatch.setattr(store.Store, "save", noted)
+    many = {}
+    for block_words in (18, 60, 10**6):
+        written.clear()
+        got = find_matches(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), window=6, block_words=block_words, with_matches=True)
+        many[block_words] = sorted((x.doc_id, x.n_words, x.n_hit, x.item_ids, sorted(map(tuple, x.matches))) for x in got.collect())
+        assert sum("text" in str(columns) or len(columns) > 6 for _, columns in written) == 0
+        assert [name for name, columns in written if not name.startswith("block")] == (["docs"] if block_words < 10**6 else [])
+    assert many[18] == many[60] == many[10**6] and any(x[2] for x in many[18])
