@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import numeric as N
 from clausemill.functions import text as T
-from clausemill.operators import analysis, metrics, probes, retrieval, scoring
+from clausemill.operators import analysis, dual_head, metrics, probes, retrieval, scoring
 from clausemill.operators.ledger import Ledger
 from clausemill.plans import oracle_parts as O
 from clausemill.plans.label_queries import HARM, harm
 from clausemill.plans.registry import query
 from clausemill.plans.table_queries import BM25, _search, stamped
-from clausemill.session import table
+from clausemill.session import checkpoint_dir, table, written
 from clausemill.streaming import events as S
 
 COMMENT = "CASE doc_id % 7 WHEN 0 THEN 'acc_sus 0; ip -1' WHEN 1 THEN 'acc_del 1, tran 0' WHEN 2 THEN 'docu odd' WHEN 3 THEN 'uncle' WHEN 4 THEN 'zzz 1; ip' WHEN 5 THEN '' ELSE 'ip 1 ' END"
@@ -126,6 +126,19 @@ def embedding_probe(spark, sf_dir):
     return metrics.class_summary(metrics.confusion(out.withColumn("mask", F.lit(1.0))))
 
 
+@query("dual_head_training")
+def dual_head_training(spark, sf_dir):
+    """Two heads trained over all embeddings: topics from the label, masked by id, and a risk class; the losses of each epoch."""
+    n, label = F.col("vec_id"), F.col("label")
+    rows = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL AND label IS NOT NULL").select(
+        n.alias("row_id"), F.when(n % 5 == 0, "validation").otherwise("train").alias("split"), F.col("embedding").cast("array<double>").alias("x"),
+        F.array(*[(label % 4 == k).cast("double") for k in range(4)]).alias("labels"), F.array(*[(n % (k + 3) != 0).cast("double") for k in range(4)]).alias("mask"),
+        (label % 3).cast("int").alias("risk"), (n % 7 != 0).cast("double").alias("risk_mask"),
+    )
+    state = dual_head.train(written(rows, "embedded"), 4, f"{checkpoint_dir(spark)}/dual-{uuid.uuid4().hex}", epochs=6, rate=0.02)
+    return spark.createDataFrame(state.losses, "epoch int, train_loss double, validation_loss double")
+
+
 @query("analyzed_documents", f"WITH RECURSIVE {O.analysis()} SELECT * FROM an")
 def analyzed_documents(spark, sf_dir):
     """Text to predictions with the deterministic scorer."""

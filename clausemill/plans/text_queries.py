@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import subword
 from clausemill.functions import text as T
 from clausemill.operators import documents as D
-from clausemill.operators import paired, sentence_model, similarity
+from clausemill.operators import paired, retrieval, sentence_model, similarity
 from clausemill.plans import oracle_parts as O
 from clausemill.plans.registry import query
 from clausemill.session import table
@@ -150,11 +150,13 @@ def upper_median_length(spark, sf_dir):
     "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, round(stddev_pop(n_chars), 6) AS std_pop, min(n_chars) AS least, round(quantile_cont(n_chars, 0.05), 6) AS p5, round(median(n_chars), 6) AS p50, max(n_chars) AS most FROM documents",
 )
 def describe_length(spark, sf_dir):
-    c = F.col("n_chars")
-    return table(spark, sf_dir, "documents").agg(
+    c, d = F.col("n_chars"), table(spark, sf_dir, "documents")
+    told = d.agg(
         F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), F.round(F.stddev_pop(c), 6).alias("std_pop"),
-        F.min(c).alias("least"), F.round(F.percentile(c, F.lit(0.05)), 6).alias("p5"), F.round(F.median(c), 6).alias("p50"), F.max(c).alias("most"),
+        F.min(c).alias("least"), F.max(c).alias("most"),
     )
+    shares = D.percentiles(d, "n_chars", {"p5": 0.05, "p50": 0.5}).select(F.round("p5", 6).alias("p5"), F.round("p50", 6).alias("p50"))
+    return told.crossJoin(F.broadcast(shares)).select("n", "mean", "std", "std_pop", "least", "p5", "p50", "most")  # one row each
 
 
 _READ = r"""
@@ -299,7 +301,7 @@ SELECT conv_id AS document, turn AS pos, text AS what, ['harmful', 'neutral', 'f
 
 @query("merged_changes", f"WITH RECURSIVE {O.merged(_TURNS)} SELECT * FROM merged")
 def merged_changes(spark, sf_dir):
-    """Greedy merging of the paragraphs of each source's short documents, as lists of changes."""
+    """Greedy merging of the turns of each conversation, as lists of changes."""
     docs = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), F.col("text").alias("what_changed"),
         F.element_at(F.array(*map(F.lit, ("harmful", "neutral", "fair"))), (F.col("turn") % 3 + 1).cast("int")).alias("harm_label"),
@@ -332,8 +334,10 @@ def benchmark_containment(spark, sf_dir):
     near = found.join(rarest, "run").select("item_id", "doc_id").distinct()
     full = near.join(items.select("item_id", "n"), "item_id").join(docs.select("doc_id", "h"), "doc_id")
     few = items.where((F.size(F.split("n", " ")) < 6) & (F.col("n") != "")).select("item_id", "n")  # too short for a run
-    full = full.unionByName(docs.select("doc_id", "h").join(few, F.contains("h", "n")).select(full.columns))
-    return full.where(F.contains("h", "n") & (F.col("n") != "")).select("item_id", "doc_id").distinct()
+    one = lambda df: df.withColumn("corpus", F.lit(0))
+    short = retrieval.relevance(one(few.select(F.col("item_id").alias("query_id"), F.col("n").alias("answer"))), one(docs.select(F.col("doc_id").alias("chunk_id"), "text")), "corpus")
+    found = full.where(F.contains("h", "n") & (F.col("n") != "")).select("item_id", "doc_id")
+    return found.unionByName(short.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"))).distinct()
 
 
 @query("tfidf_nearest", f"WITH {O.NEAREST} SELECT id, best_id, paragraph_id, round(similarity, 6) AS similarity, similarity >= 0.8 AS at_least_80, similarity >= 0.9 AS at_least_90, similarity >= 0.95 AS at_least_95 FROM nn")

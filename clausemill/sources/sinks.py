@@ -21,9 +21,10 @@ SMALL = 100_000
 
 def small(df: DataFrame, most: int = SMALL):
     """All rows as a pandas frame; more than ``most`` raise instead of filling the driver."""
-    if df.limit(most + 1).count() > most:
+    found = df.limit(most + 1).toPandas()
+    if len(found) > most:
         raise ValueError(f"more than {most} rows: write them as CSV or Parquet")
-    return df.limit(most).toPandas()
+    return found
 
 
 def _small_rows(df: DataFrame, most: int = SMALL) -> list:
