@@ -180,12 +180,10 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def excel_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """One sheet of a workbook as texts; needs ``openpyxl`` on the driver. Definition sheets are small; data belong in CSV."""
-    if importlib.util.find_spec("openpyxl") is None:
-        raise RuntimeError("reading workbooks needs the library openpyxl")
-    import pandas as pd
+    """One sheet of a workbook as texts, the first row its header; see ``workbook.workbook_sheet``."""
+    from clausemill.sources.workbook import workbook_sheet
 
-    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype="string"))
+    return workbook_sheet(spark, path, sheet)
 
 
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
