@@ -199,3 +199,55 @@ least AS (SELECT reach.a AS r, min(e.vec_id) AS component_id FROM reach JOIN e O
 n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM e JOIN least USING (r) LEFT JOIN n USING (r)
 """
+
+# Forward over the rows: for each state the cheapest edits so far, as nine digits of cost and the letters, so that the least text is the best.
+_ADD = "lpad(CAST(CAST({s}[1:9] AS INT) + {cost} AS VARCHAR), 9, '0') || {s}[10:] || '{edit}'"
+_STEP = ", ".join(
+    f"least({_ADD.format(s=f's{q}', cost=2, edit='D')}{more}) AS t{q}"
+    for q, more in enumerate([
+        "",
+        ", CASE WHEN kind = 's' THEN " + _ADD.format(s="s0", cost="late", edit="K") + " END",
+        ", CASE WHEN kind <> 'x' THEN " + _ADD.format(s="least(s0, s1, s3)", cost="(1 + late)", edit="R") + " END, CASE WHEN kind = 'u' THEN " + _ADD.format(s="least(s0, s1, s3)", cost="late", edit="K") + " END",
+        ", CASE WHEN kind <> 'x' THEN " + _ADD.format(s="s2", cost="(1 + late)", edit="R") + " END, CASE WHEN kind = 'a' THEN " + _ADD.format(s="s2", cost="late", edit="K") + " END",
+    ])
+)
+_SPREAD = f"least(t2, {_ADD.format(s='least(t0, t1, t3)', cost=5, edit='I')}) AS u2, least(t3, {_ADD.format(s='u2', cost=5, edit='I')}) AS u3"
+ORACLES["op11_conversation_repair"] = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+f AS (
+  SELECT c.c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(v.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f
+  FROM conversations v JOIN c ON v.conv_id IS NOT DISTINCT FROM c.conv_id
+), d AS (
+  SELECT c, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]+', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE f WHEN 0 THEN []::INT[] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM f)
+), o AS (
+  SELECT *, i > min(i) OVER (PARTITION BY c, role, text) AS again,
+    NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS empty, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS broken, role[1:1] AS initial
+  FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d)
+), k AS (
+  SELECT *, CASE WHEN empty OR again THEN 'x' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS kind, CASE WHEN NOT (empty OR again) AND broken THEN 5 ELSE 0 END AS late,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair FROM o
+), n AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (empty) AS blank, count(*) FILTER (again AND NOT empty) AS duplicate,
+    count(*) FILTER (late > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM k GROUP BY c
+), dp AS (
+  SELECT c, 0 AS i, '000000000' AS s0, NULL::VARCHAR AS s1, '000000005I' AS s2, '000000010II' AS s3 FROM c
+  UNION ALL
+  SELECT c, i, t0, t1, u2, u3 FROM (SELECT *, {_SPREAD} FROM (SELECT dp.c, k.i, {_STEP} FROM dp JOIN k ON k.c = dp.c AND k.i = dp.i + 1))
+), best AS (SELECT dp.c, least(s0, s3) AS b FROM dp LEFT JOIN n USING (c) WHERE i = coalesce(n, 0)),
+e AS (SELECT c, CAST(b[1:9] AS BIGINT) AS cost, b[10:] AS audit FROM best),
+rp AS (
+  SELECT c, audit, 0 AS step, 0 AS i, 0 AS q, []::VARCHAR[] AS told FROM e
+  UNION ALL
+  SELECT c, audit, step + 1, i + CASE edit WHEN 'I' THEN 0 ELSE 1 END, p, CASE edit WHEN 'D' THEN told ELSE list_append(told, CASE edit WHEN 'K' THEN role WHEN 'R' THEN who ELSE who END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT *, CASE p WHEN 2 THEN 'user' ELSE 'assistant' END AS who FROM (
+      SELECT rp.*, k.role, k.text, audit[step + 1] AS edit, CASE audit[step + 1] WHEN 'D' THEN q WHEN 'K' THEN CASE k.initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE q WHEN 2 THEN 3 ELSE 2 END END AS p
+      FROM rp LEFT JOIN k ON k.c = rp.c AND k.i = rp.i + 1 WHERE step < len(audit)
+    )
+  )
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  cost, e.audit, sha256(array_to_string(told, chr(10))) AS repaired_sha256
+FROM c JOIN e USING (c) LEFT JOIN n USING (c) JOIN rp ON rp.c = c.c AND rp.step = len(e.audit)
+"""
