@@ -49,9 +49,22 @@ def entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def html_clean(c: Column, decode: bool = True) -> Column:
-    """Entities decoded, tags become spaces, blanks collapsed."""
-    return collapse(F.regexp_replace(entities(c) if decode else c, r"<[^>]+>", " "))
+@F.pandas_udf(StringType())
+def closed_entities(s: pd.Series) -> pd.Series:
+    """``entities``, but only of references that end in a semicolon: what a cut text left of one stays as it is."""
+    import html
+    import html.entities
+    import re
+
+    whole = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+    return s.map(lambda t: whole.sub(one, t), na_action="ignore")
+
+
+def html_clean(c: Column, decode: bool = True, closed: bool = False) -> Column:
+    """Entities decoded (only ``closed`` ones, if asked), tags become spaces, blanks collapsed."""
+    found = (closed_entities(c) if closed else entities(c)) if decode else c
+    return collapse(F.regexp_replace(found, r"<[^>]+>", " "))
 
 
 def matching_text(c: Column) -> Column:

@@ -313,6 +313,13 @@ def test_contamination_reads_all_documents(spark, tmp_path):
     assert QUERIES["contamination_shares"](spark, str(tmp_path)).first().share_at_least_95 == pytest.approx(1 / 3)
 
 
+def test_cut_references_stay(spark, tmp_path):
+    pages = [(1, "<h1>A &amp; B &am</h1><p>x&amp</p>&lt;&#65;&nbsp;&ampcopy;"), (2, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in QUERIES["html_clean_entities"](spark, str(tmp_path)).collect()}
+    assert got == {1: "A & B &am x&amp <A &ampcopy;", 2: ""}
+
+
 def test_jaccard_of_ids_far_apart(spark, tmp_path):
     spark.createDataFrame([(1, "a b c d"), (70, "x y z"), (900, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(5, "D c b e"), (6, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
