@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import text as T
 from clausemill.operators import documents, scoring, similarity
 from clausemill.operators.ledger import Ledger
+from clausemill.session import written
 
 HARM = ("Harmful", "Neutral", "Fair")
 
@@ -45,8 +46,9 @@ def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     modification, others are additions and removals.
     """
     keyed = lambda df: df.withColumn("__t", T.change_text(F.col("text")))
-    a, b = keyed(old), keyed(new)
-    gone, came = a.join(b.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti"), b.join(a.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti")
+    a, b = written(keyed(old), "old"), written(keyed(new), "new")  # both are read more than once, as is what differs
+    gone = written(a.join(b.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti"), "gone")
+    came = written(b.join(a.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti"), "came")
     pairs = gone.select("doc_id", "paragraph_id").distinct().withColumn("__both", F.lit(True))
     new_rows = came.join(pairs, ["doc_id", "paragraph_id"], "left").withColumn("change_type", F.when(F.col("__both"), "modified").otherwise("added")).drop("__both")
     left = gone.join(came.select("doc_id", "paragraph_id").distinct(), ["doc_id", "paragraph_id"], "left_anti").withColumn("change_type", F.lit("removed"))

@@ -25,6 +25,8 @@ from clausemill.operators.scoring import Scorer
 from clausemill.session import checkpoint_dir, exists, written
 
 SCHEMA = "digest binary, raw string, latency_s double, error string, answered_by string, attempts int, at long"
+#: Tasks that all waves of a call have at most, give or take a wave: beyond it a task holds more texts.
+MOST_TASKS = 8192
 #: What ``answered`` adds to the rows.
 ADDED = ("raw", "latency_s", "error", "answered_by")
 
@@ -72,6 +74,7 @@ def asker(scorer: Scorer, batch: int, retries: int, wait_s: float, fallback: Sco
         scorer.open()
         opened = False
         for pdf in frames:
+            parts = []  # one frame out for one in: frames of a batch each cost more than many a scorer
             for at in range(0, len(pdf), batch):
                 own = pdf.iloc[at : at + batch]
                 texts, began = own["text"].fillna("").tolist(), time.monotonic()
@@ -85,7 +88,10 @@ def asker(scorer: Scorer, batch: int, retries: int, wait_s: float, fallback: Sco
                     for i, a, e, n in zip(left, *tried(fallback, [texts[i] for i in left], 1), strict=True):
                         answers[i], errors[i], attempts[i], by[i] = a, e, attempts[i] + n, named(fallback)
                 each = (time.monotonic() - began) / len(texts)
-                yield pd.DataFrame({"digest": own["digest"], "raw": answers, "latency_s": each, "error": errors, "answered_by": by, "attempts": attempts, "at": time.time_ns() // 1_000_000})
+                at_ms = time.time_ns() // 1_000_000
+                parts.append((answers, [each] * len(texts), errors, by, attempts, [at_ms] * len(texts)))
+            told = [[x for p in parts for x in p[i]] for i in range(6)]
+            yield pd.DataFrame({"digest": pdf["digest"].to_numpy(), **dict(zip(("raw", "latency_s", "error", "answered_by", "attempts", "at"), told, strict=True))})
 
     return run
 
@@ -123,20 +129,21 @@ class Ledger:
         known = self.answers(scorer).where("error IS NULL").select("digest")
         asked = written(wanted.join(known, "digest", "left_anti"), "asked")
         n = asked.count()
-        waves = max(1, -(-n // (self.per_task * self.wave_tasks)))
+        per_task = max(self.per_task, -(-n // MOST_TASKS))
+        waves = max(1, -(-n // (per_task * self.wave_tasks)))
         wave = F.pmod(F.xxhash64("digest"), F.lit(waves))
         if waves > 1:
             asked = written(asked.withColumn("wave", wave), "asked", "wave")
         for k in range(waves if n else 0):
             own = asked.where(F.col("wave") == k).drop("wave") if waves > 1 else asked
-            tasks = max(1, min(self.wave_tasks, -(-n // (waves * self.per_task))))
+            tasks = max(1, min(self.wave_tasks, -(-n // (waves * per_task))))
             told = own.repartition(tasks, "digest").mapInPandas(asker(scorer, **self.options), SCHEMA)
             told.write.mode("append").parquet(f"{self.path}/{named(scorer)}")
         return n
 
     def answered(self, rows: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
         """The rows with ``raw``, ``latency_s``, ``error`` and ``answered_by``; columns of these names give way."""
-        rows = rows.drop(*ADDED)
+        rows = written(rows.drop(*ADDED), "rows")  # read twice
         self.ask(rows, scorer, text)
         told = self.answers(scorer).select(F.col("digest").alias("__digest"), *ADDED)
         return rows.withColumn("__digest", digest(F.col(text))).join(told, "__digest", "left").select(*rows.columns, *ADDED)

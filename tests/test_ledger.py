@@ -139,3 +139,14 @@ def test_a_killed_task_asks_its_own_texts_again_and_no_others(tmp_path, kill):
     subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, timeout=300)
     calls = asked(tmp_path / "log")
     assert len(calls) == 100 and max(calls.values()) == 2 and sum(n == 2 for n in calls.values()) <= 25
+
+
+def test_tasks_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    from clausemill.operators import ledger, scoring
+
+    monkeypatch.setattr(ledger, "MOST_TASKS", 3)
+    rows = spark.range(40).select(F.col("id").cast("string").alias("text"))
+    book = ledger.Ledger(spark, f"{tmp_path}/book", batch=4, per_task=1, wave_tasks=2)
+    told = book.answered(rows, scoring.HashScorer())
+    assert told.where("error IS NULL AND raw IS NOT NULL").count() == 40
+    assert len(list(tmp_path.glob("book/*/part-*"))) <= 4
