@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausemill.functions.numeric import cosine
+from clausemill.operators import query_sets
 from clausemill.operators.retrieval import top_k, vector_search
 from clausemill.session import exists
 
@@ -61,6 +61,17 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.array([[float("nan") if c is None else c for c in v] if v is not None and len(v) == dim else [0.0] * dim for v in column.to_pylist()], dtype=float).reshape(-1, dim)
 
 
+def _of_lists(state: tuple, batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The cosines of a batch (chunk_id, embedding, list), each list with the queries that read it."""
+    vectors, bits = state
+    lists = batch.column(2).to_numpy()
+    order = np.argsort(lists, kind="stable")
+    values, starts = np.unique(lists[order], return_index=True)
+    for value, rows in zip(values.tolist(), np.split(order, starts[1:]), strict=True):
+        at = pa.array(rows)
+        yield from vectors.scores(batch.column(0).take(at), batch.column(1).take(at), np.unpackbits(bits[value], count=vectors.n).astype(bool))
+
+
 class VectorIndex:
     """The tables of an index under ``path``; see ``build`` and ``open``."""
 
@@ -141,11 +152,29 @@ class VectorIndex:
         needed = np.sort([places[at[r.query_id], r.list] + 1 for r in near])
         return int(needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)])
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int = 8) -> DataFrame:
-        """(query_id, chunk_id, score, rank) by exact cosine over the lists that the queries probe."""
-        pairs = self.probed(queries, probes).join(self.lists, "list")
-        scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("embedding")), 9).alias("score"))
-        return top_k(scored, k, "query_id")
+    def search(self, queries: DataFrame, k: int = 10, probes: int = 8, block: int = 10_000) -> DataFrame:
+        """(query_id, chunk_id, score, rank) by exact cosine over the lists that the queries probe.
+
+        Queries go to the tasks in blocks of about ``block``, with a bit for each list that a query reads; a task goes over
+        its own lists and keeps k rows of each query, so no pair of query and vector is shuffled.
+        """
+        kind, told = queries.schema["query_id"].dataType.simpleString(), None
+        chunk = self.lists.schema["chunk_id"].dataType.simpleString()
+        rows = self.lists.select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"), "list")
+        source = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("v"), F.lit(1).alias("size"))
+        for own in query_sets.blocks(source, "size", block):
+            wanted = np.zeros((len(self.centroids) + 1, len(own)), dtype=bool)  # the last one is list -1
+            wanted[-1] = True
+            vectors = np.nan_to_num(_matrix(pa.array([r.v for r in own], pa.list_(pa.float64())), self.manifest["dim"]))
+            for at in range(0, len(own), 1000):
+                best = np.argsort(-(unit(vectors[at : at + 1000]) @ self.centroids.T), axis=1, kind="stable")[:, :probes]
+                wanted[best.reshape(-1), np.repeat(np.arange(at, at + len(best)), best.shape[1])] = True
+            state = (query_sets.Vectors([r.v for r in own]), np.packbits(wanted, axis=1))
+            best = query_sets.best_of(rows, [r.query_id for r in own], kind, k, state, _of_lists)
+            told = best if told is None else told.unionByName(best)
+        if told is None:
+            told = self.spark.createDataFrame([], f"query_id {kind}, chunk_id {chunk}, score double")
+        return top_k(query_sets.cosines(told), k, "query_id")
 
     def read(self, queries: DataFrame, probes: int = 8) -> DataFrame:
         """(query_id, read, of): vectors that a query's lists hold, of all."""
