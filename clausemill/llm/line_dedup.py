@@ -75,17 +75,20 @@ def _lines(least: int):
     return run
 
 
-def doubled(ranks: DataFrame, h: int, store: Store, parts: int) -> DataFrame:
-    """From the ranks (row, i, rank) by h lines those by 2h lines, of the suffixes whose 2h lines occur again."""
+def doubled(ranks: DataFrame, h: int, store: Store) -> DataFrame:
+    """From the ranks (row, i, rank) by h lines those by 2h lines, of the suffixes whose 2h lines occur again.
+
+    The ranges of names are as many as the session says, or fewer where adaptive execution joins neighbours: few names are few files.
+    """
     further = ranks.select("row", (F.col("i") - h).alias("i"), F.col("rank").alias("second"))
     pairs = ranks.withColumnRenamed("rank", "first").join(further, ["row", "i"])
     names = pairs.groupBy("first", "second").count().where("count > 1").select("first", "second")
-    ordered = names.repartitionByRange(parts, "first", "second").sortWithinPartitions("first", "second")
+    ordered = names.repartitionByRange("first", "second").sortWithinPartitions("first", "second")
     ordered = store.save(ordered.withColumn("rank", F.monotonically_increasing_id()), f"names-{2 * h}")
     return store.save(pairs.join(ordered, ["first", "second"]).select("row", "i", "rank"), f"ranks-{2 * h}")
 
 
-def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) -> DataFrame:
+def repeated_runs(lines: DataFrame, store: Store, min_words: int) -> DataFrame:
     """The windows that are later copies: (row, doc_id, start, size, from_line, to_line, first, copies).
 
     ``first`` is the place of the earliest copy, ``copies`` the size of the suffix-array interval.
@@ -113,7 +116,7 @@ def repeated_runs(lines: DataFrame, store: Store, min_words: int, parts: int) ->
         later = named.join(earliest, ["size", "first", "second"]).where("place != earliest")
         found.append(later.select("row", "doc_id", "start", "size", "from_line", "to_line", F.col("earliest").alias("first"), F.col("n").alias("copies")))
         if 2 * h <= longest:
-            ranks = doubled(ranks, h, store, parts)
+            ranks = doubled(ranks, h, store)
         h *= 2
     if not found:
         place = "struct<none:boolean,doc:bigint,row:bigint,start:int,from_line:int>"
@@ -140,9 +143,8 @@ def _held(docs: DataFrame, doc_id: str, text: str, min_words: int) -> tuple[Pass
     passing, store = Passing(docs, ["n_deleted"]), Store(spark, "lines")
     clean = [utf8(F.col(c)).alias(c) if c == passing.inside(text) else c for c in passing.kept]
     held = store.save(passing.inner.select(F.monotonically_increasing_id().alias("row"), *clean), "docs")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = held.select("row", F.col(passing.inside(doc_id)).cast("long"), F.col(passing.inside(text))).mapInArrow(_lines(min_words), _LINES)
-    return passing, store, held, repeated_runs(store.save(lines, "lines"), store, min_words, parts)
+    return passing, store, held, repeated_runs(store.save(lines, "lines"), store, min_words)
 
 
 def find_runs(docs: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -103,3 +103,22 @@ def test_ids_tell_lines_apart_by_both_halves(spark):
     batch = spark.createDataFrame([(0, 1, "a b\nc d")], "row long, doc_id long, text string")
     found = batch.mapInArrow(_lines(50), "row long, doc_id long, i int, id long, more long, ahead int, ahead_from int, ahead_to int, back int, back_from int, back_to int").collect()
     assert len({(r.id, r.more) for r in found}) == 2 and all(r.id != r.more for r in found)
+
+
+def test_few_names_are_few_files_whatever_the_number_of_shuffle_partitions(spark):
+    from clausemill.llm.line_dedup import doubled
+    from clausemill.llm.store import Store
+
+    pairs = [(row, i, rank) for row, text in enumerate(["abcab", "bcabx", "cabca", "zab"] * 30) for i, rank in enumerate(map(ord, text))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "67")
+    store = Store(spark, "few-names")
+    try:
+        ranks = doubled(spark.createDataFrame(pairs, "row long, i int, rank long"), 1, store)
+        names = spark.read.parquet(f"{store.path}/names-2")
+        told = names.orderBy("first", "second").collect()
+        assert len(names.inputFiles()) < 8 and [r["rank"] for r in told] == sorted(r["rank"] for r in told)
+        assert ranks.count() == sum(len(t) - 1 for t in ["abcab", "bcabx", "cabca", "zab"]) * 30
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        store.remove()
