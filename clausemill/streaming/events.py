@@ -62,28 +62,45 @@ def transition(state: tuple | None, row) -> tuple[tuple | None, dict]:
 
 
 def numbered_rows(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
-    """The rows, which are in order, against the state. Only starts and ends change it; the rows between them are numbered at once."""
+    """``transition`` over rows which are in order, for all of them at once.
+
+    Behind a start a session is active, whether it was taken or refused, and behind an end none is; so each row knows by
+    the last start or end before it whether one is active, and starts that find none begin the sessions.
+    """
     n = len(rows)
-    kind = rows["event_type"].to_numpy(dtype=object)
-    out = {c: np.full(n, None, dtype=object) for c in ("participant_id", "session_id", "seq", "t_ms", "reason")} | {"logged": np.zeros(n, dtype=bool)}
+    kind, place = rows["event_type"].to_numpy(dtype=object), np.arange(n)
+    starts, ends = kind == "session_start", kind == "session_end"
+    last = np.maximum.accumulate(np.where(starts | ends, place, -1)) if n else place
+    before = np.concatenate([[-1], last[:-1]]) if n else place
+    active = np.where(before >= 0, starts[before], state is not None) if n else starts
+    begun = starts & ~active
+    logged = active & ~starts | begun
     times = rows["server_ms"].to_numpy()
-    turns = np.flatnonzero((kind == "session_start") | (kind == "session_end")).tolist()
-    at = 0
-    for turn in [*turns, n]:
-        if turn > at and state:
-            participant, session, seq, start = state
-            out["participant_id"][at:turn], out["session_id"][at:turn], out["logged"][at:turn] = participant, session, True
-            out["seq"][at:turn], out["t_ms"][at:turn] = np.arange(seq, seq + turn - at), times[at:turn] - start
-            state = (participant, session, seq + turn - at, start)
-        elif turn > at:
-            out["reason"][at:turn] = "no_active_session"
-        if turn < n:
-            state, told = transition(state, next(rows.iloc[turn : turn + 1].itertuples(index=False)))
-            for c, x in told.items():
-                out[c][turn] = x
-        at = turn + 1
+    # the row that began the session of each: -1 is the one of the state
+    own = np.maximum.accumulate(np.where(begun, place, -1)) if n else place
+    old = own < 0
+    count = np.cumsum(logged)
+    first_of = np.where(old, 0, own)
+    seq = np.where(old, count - 1 + (state[2] if state else 0), count - count[first_of])
+    t_ms = times - np.where(old, state[3] if state else 0, times[first_of])
+    out = {}
+    for i, c in enumerate(("participant_id", "session_id")):
+        values = np.where(old, state[i] if state else None, rows[c].to_numpy(dtype=object)[first_of]).astype(object)
+        out[c] = np.where(logged, values, None)
+    out |= {c: pd.arrays.IntegerArray(x.astype(np.int64), ~logged) for c, x in (("seq", seq), ("t_ms", t_ms))}
+    out["reason"] = np.where(logged, None, np.where(starts, "already_active", "no_active_session")).astype(object)
+    out["logged"] = logged
     told = rows[["arrival", "server_ms", "event_type", "data"]].reset_index(drop=True).assign(**out)
-    return state, told.astype({"seq": "Int64", "t_ms": "Int64"})
+    if n and last[-1] >= 0 and ends[last[-1]]:
+        state = None
+    elif n and (state or logged.any()):
+        at = int(own[-1])
+        held = int(logged.sum()) if at < 0 else int(count[-1] - count[at] + 1)
+        if at < 0:
+            state = (state[0], state[1], state[2] + held, state[3])
+        else:
+            state = (rows["participant_id"].iloc[at], rows["session_id"].iloc[at], held, int(times[at]))
+    return state, told
 
 
 class Sessions(StatefulProcessor):

@@ -162,3 +162,23 @@ def test_status_and_sinks(spark, tmp_path):
     write(df, 0)
     write(df, 0)
     assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+
+
+def test_rows_are_numbered_at_once_and_as_one_by_one(monkeypatch):
+    r = random.Random(9)
+    kinds = ["session_start", "session_end", "click", None]
+    cases = [([r.choice(kinds) for _ in range(r.randint(0, 12))], r.choice([None, ("p", "old", 7, 100)])) for _ in range(200)]
+    made_rows = lambda ks: S.pd.DataFrame({"arrival": range(len(ks)), "server_ms": [r.randint(0, 999) for _ in ks], "event_type": ks, "data": "{}", "participant_id": r.choice(["a", None]), "session_id": [f"s{i}" for i in range(len(ks))]})
+    asked = []
+    for ks, state in cases:
+        pdf, now, want = made_rows(ks), state, []
+        for x in pdf.itertuples(index=False):
+            now, told = S.transition(now, x)
+            want.append(told)
+        asked.append((pdf, state, now, want))
+    monkeypatch.setattr(S, "transition", None)  # no row is stepped by itself
+    for pdf, state, now, want in asked:
+        after, told = S.numbered_rows(state, pdf)
+        assert after == now
+        got = [{c: None if S.pd.isna(x) else x for c, x in row.items()} for row in told[["participant_id", "session_id", "seq", "t_ms", "logged", "reason"]].to_dict("records")]
+        assert got == want
