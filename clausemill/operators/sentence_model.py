@@ -14,8 +14,12 @@ small letter follows.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,26 +94,85 @@ class SentenceModel:
 
     def sentences(self, text: Column) -> Column:
         """The sentences of a text, in order, without blanks around them."""
+
+        def cut(p: Column, starts: Column) -> Column:
+            one = lambda s: F.transform(s, lambda at, i: T.strip(F.array_join(F.slice(p, at, F.coalesce(F.get(s, i + 1), F.size(p) + 1) - at), "")))
+            return F.transform(F.array(starts), one)[0]
+
+        return self._cut(text, cut)
+
+    def count(self, text: Column) -> Column:
+        """How many ``sentences`` a text has; they are not made."""
+        return self._cut(text, lambda p, starts: F.size(starts))
+
+    def _cut(self, text: Column, told: Callable[[Column, Column], Column]) -> Column:
+        """What is told of a text's pieces, words with the blanks behind them, and of the places where sentences start, from 1.
+
+        Only a piece with a mark can end one, so only these and those behind them are looked at as tokens.
+        """
         pieces = F.regexp_extract_all(T.strip(F.coalesce(text, F.lit(""))), F.lit(r"\S+\s*"), F.lit(0))
 
         def of(p: Column) -> Column:
-            def cut(ts: Column) -> Column:
-                ends = F.transform(ts, lambda t, i: F.when((i + 1 < F.size(ts)) & self.ends(t, F.get(ts, i + 1)), i + 2))
-                starts = F.concat(F.when(F.size(p) > 0, F.array(F.lit(1))).otherwise(F.expr("array()").cast("array<int>")), F.filter(ends, lambda e: e.isNotNull()))
-                one = lambda s: F.transform(s, lambda at, i: T.strip(F.array_join(F.slice(p, at, F.coalesce(F.get(s, i + 1), F.size(p) + 1) - at), "")))
-                return F.transform(F.array(starts), one)[0]
-
-            return F.transform(F.array(F.transform(p, token)), cut)[0]
+            marked = F.transform(p, lambda x, i: F.when((i + 1 < F.size(p)) & (x.contains(".") | x.contains("!") | x.contains("?")), i))
+            both = F.transform(F.filter(marked, lambda i: i.isNotNull()), lambda i: F.struct(i.alias("i"), token(F.get(p, i)).alias("t"), token(F.get(p, i + 1)).alias("f")))
+            ends = F.transform(F.filter(both, lambda x: self.ends(x["t"], x["f"])), lambda x: x["i"] + 2)
+            starts = F.concat(F.when(F.size(p) > 0, F.array(F.lit(1))).otherwise(F.expr("array()").cast("array<int>")), ends)
+            return told(p, starts)
 
         return F.transform(F.array(pieces), of)[0]
 
 
+#: What ``\S+`` of the engine finds; words whose token has no type; and distinct words that a task holds.
+_RAW, _BARE, _HELD = re.compile(r"[^ \t\n\x0b\f\r]+"), re.compile(f"{_OPEN[:-1]}*\\.*{_CLOSE[:-2]}*"), 500_000
+
+
+class _Kinds(dict):
+    """1 for a word with a mark, behind which a sentence may end; 2 for one whose token has no type; else 0."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = kind = 2 if _BARE.fullmatch(word) else int("." in word or "!" in word or "?" in word)
+        return kind
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, following, n) over a task's texts: words as they stand, with null, and pairs behind a word with a mark."""
+    words, pairs, kinds = Counter(), Counter(), _Kinds()
+
+    def told() -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        yield pa.RecordBatch.from_arrays([pa.array(words.keys(), text), pa.nulls(len(words), text), pa.array(words.values(), pa.int64())], names=["word", "following", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], text), pa.array([b for _, b in pairs], text), pa.array(pairs.values(), pa.int64())], names=["word", "following", "n"])
+
+    for batch in batches:
+        for value in batch.column(0):
+            found = _RAW.findall(value.as_py() or "")
+            kind = bytes(map(kinds.__getitem__, found))
+            if 2 in kind:
+                found, kind = [w for w, k in zip(found, kind, strict=True) if k != 2], kind.replace(b"\x02", b"")
+            words.update(found)
+            at = kind.find(1)
+            while 0 <= at < len(found) - 1:
+                pairs[found[at], found[at + 1]] += 1
+                at = kind.find(1, at + 1)
+            if len(words) + len(pairs) > _HELD:
+                yield from told()
+                words.clear()
+                pairs.clear()
+                kinds.clear()
+    yield from told()
+
+
 def fit(docs: DataFrame, text: str = "text", abbreviation: float = ABBREVIATION, collocation: float = COLLOCATION, starter: float = STARTER) -> SentenceModel:
-    """The model of all texts. Tokens are never gathered: types, and pairs behind a period, are counted where they stand."""
+    """The model of all texts, which are read once. Tokens are never gathered.
+
+    Words as they stand, and pairs of them behind a mark, are counted in the tasks; only distinct ones are looked at as tokens.
+    """
     spark = docs.sparkSession
-    rows = docs.select(tokens(F.col(text)).alias("t"))
-    each = rows.select(F.explode("t").alias("t")).select("t.type", "t.stop")
-    types = written(each.groupBy("type").agg(F.count_if("stop").alias("with_stop"), F.count_if(~F.col("stop")).alias("without"), F.count("*").alias("n")), "types")
+    seen = docs.select(F.col(text).alias("text")).mapInArrow(_counted, "word string, following string, n long")
+    seen = written(seen.groupBy("word", "following").agg(F.sum("n").alias("n")), "words")
+    each = seen.where("following IS NULL").select(token(F.col("word")).alias("t"), "n").select("t.type", "t.stop", "n")
+    summed = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
+    types = written(each.groupBy("type").agg(summed(F.col("stop"))("with_stop"), summed(~F.col("stop"))("without"), F.sum("n").alias("n")), "types")
     total, stops = types.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("with_stop"), F.lit(0))).first()
     schema = "kind string, first string, second string, score double"
     if not total or not stops or stops == total:
@@ -123,8 +186,8 @@ def fit(docs: DataFrame, text: str = "text", abbreviation: float = ABBREVIATION,
     short = types.where((F.col("with_stop") > 0) & F.col("type").rlike(r"\p{L}")).withColumn("score", score).where(F.col("score") >= abbreviation)
     short = written(short.select("type", "score"), "abbreviations")
 
-    nexts = rows.select(F.explode(F.filter(F.transform("t", lambda t, i: F.struct(t.alias("a"), F.get("t", i + 1).alias("b"))), lambda p: p["b"].isNotNull() & (p["a"]["stop"] | p["a"]["mark"]))).alias("p"))
-    pairs = nexts.groupBy(F.col("p.a.type").alias("first"), F.col("p.b.type").alias("second"), F.col("p.a.stop").alias("stop")).agg(F.count("*").alias("both"))
+    nexts = seen.where("following IS NOT NULL").select(token(F.col("word")).alias("a"), token(F.col("following")).alias("b"), "n").where("a.stop OR a.mark")
+    pairs = nexts.groupBy(F.col("a.type").alias("first"), F.col("b.type").alias("second"), F.col("a.stop").alias("stop")).agg(F.sum("n").alias("both"))
     pairs = pairs.join(short.select(F.col("type").alias("first"), F.lit(True).alias("short")), "first", "left")
     pairs = written(pairs.withColumn("short", F.coalesce("short", F.lit(False)) & F.col("stop")), "pairs")
 

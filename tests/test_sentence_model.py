@@ -130,3 +130,19 @@ def test_query_against_a_plain_loop(spark, sf_dir):
     got = {r.doc_id: r.n_model for r in QUERIES["sentence_counts"](spark, sf_dir).collect()}
     want = {k: len(plain_sentences(t, model)) for k, t in docs.items()}
     assert got == want
+
+
+def test_texts_are_read_once_and_only_distinct_words_are_tokens(spark, monkeypatch):
+    texts = ["Dr. Who (the) ... left; He said No.,\x0band 3. \"went\" ?! a b."] * 50 + ["... ( .", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    rows = sentence_model._counted(iter([__import__("pyarrow").RecordBatch.from_pydict({"text": texts})]))
+    told = {(r["word"], r["following"]): r["n"] for b in rows for r in b.to_pylist()}
+    assert told["Dr.", None] == 50 and told["Dr.", "Who"] == 50 and told["No.,", "and"] == 50 and told["?!", "a b."] == 50
+    assert not {"...", "(", "."} & {w for w, _ in told} and sum(n for (_, f), n in told.items() if f is None) == 50 * 12
+    # the same words as the engine's tokens
+    plain = df.select(F.explode(sentence_model.tokens(F.col("text"))).alias("t")).groupBy("t.type").count()
+    counted = spark.createDataFrame([(w, n) for (w, f), n in told.items() if f is None], "w string, n long").groupBy(sentence_model.token(F.col("w"))["type"].alias("type")).agg(F.sum("n").alias("count"))
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in counted.collect()}
+    model = sentence_model.fit(spark.createDataFrame([(t,) for t in corpus()], "text string"))
+    both = df.union(spark.createDataFrame([(t,) for t in corpus()], "text string")).select(model.count(F.col("text")).alias("n"), F.size(model.sentences(F.col("text"))).alias("m"))
+    assert not both.where("n != m OR n IS NULL").count()
