@@ -104,3 +104,15 @@ def test_percentiles_are_exact(spark, make):
     assert list(whole) == pytest.approx(np.percentile([v for _, v in rows if v is not None], [100 * s for s in shares.values()]).tolist(), rel=1e-12, abs=1e-300)
     profile = {x.k: (x.n, x.p50, x.share_over) for x in documents.length_profile(df, F.col("v"), 3.0, "k").collect()}
     assert profile["one"] == (1, 3.0, 0.0) and profile["none"][0] == 0 and profile["none"][1] is None
+
+
+def test_a_run_between_blanks_is_looked_at_once(monkeypatch):
+    pieces, asked, plain = subword.Pieces(VOCABULARY), [], subword.words_of
+    monkeypatch.setattr(subword, "words_of", lambda t: (asked.append(t), plain(t))[1])
+    assert pieces.count("the fees, " * 500 + "the\n\tfees") == 4 * 500 - 500 + 500 * 1 + 3 and len(asked) == 3
+    r = random.Random(5)
+    marks = "aÁΣσé \t\n\r\x0b\x0c\x85   .,-中\x00�̣ṩIİ"
+    for _ in range(2000):
+        t = "".join(r.choice(marks) for _ in range(r.randint(0, 14)))
+        cuts = [pieces.cut(w) for w in plain(t)]
+        assert pieces.count(t) == sum(len(c) if c else 1 for c in cuts)
