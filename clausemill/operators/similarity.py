@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,20 +51,94 @@ def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     begin = np.cumsum(n + 1) - (n + 1)  # of the blank before each word
-    end = begin + n + 2
     owner = np.repeat(np.arange(len(words)), n + 1)
+    room = np.repeat(begin + n + 2, n + 1) - np.arange(len(owner))  # characters from each place to the blank behind the word
+    by_size = [np.maximum(0, n + 3 - k) for k in range(LOW, HIGH + 1)]
+    sizes = np.sum(by_size, axis=0)
+    shift = np.cumsum(sizes) - sizes - begin
+    out = np.empty(sizes.sum(), dtype=np.uint64)
     h = np.zeros(len(owner), dtype=np.uint64)
     padded = np.concatenate([text, np.zeros(HIGH, dtype=np.uint64)])
-    place, found = [], []
-    for k in range(HIGH):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + padded[k : k + len(h)] + np.uint64(k + 1))
-        if k + 1 >= LOW:
-            at = np.flatnonzero(np.arange(len(owner)) + k + 1 <= end[owner])
-            place.append(owner[at])
-            found.append(h[at])
-    owner = np.concatenate(place)
-    order = np.argsort(owner, kind="stable")
-    return np.concatenate(found)[order], np.bincount(owner, minlength=len(words))
+    for k in range(1, HIGH + 1):
+        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + padded[k - 1 : k - 1 + len(h)] + np.uint64(k))
+        if k >= LOW:
+            at = np.flatnonzero(room >= k)
+            out[shift[owner[at]] + at] = h[at]
+            shift += by_size[k - LOW]
+    return out, sizes
+
+
+#: Bytes of texts that are worked on together, so that a word's grams are cut once for many rows.
+_SIZE = 4_000_000
+
+
+def _merged(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones put together up to about so many bytes of a column of texts."""
+    own, held = [], 0
+    for batch in batches:
+        own.append(batch)
+        held += batch.column(text).nbytes
+        if held >= size / 2:
+            yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+            own, held = [], 0
+    if own:
+        yield from pa.Table.from_batches(own).combine_chunks().to_batches()
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal sorted values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), dtype=bool), values[1:] != values[:-1]]))
+
+
+class _Grams:
+    """Sorted gram hashes, found by their first bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, bits = hashes, len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount((hashes >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def found(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each asked gram, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(asked), dtype=np.int32), np.zeros(len(asked), dtype=bool)
+        part = (asked >> self.shift).astype(np.int32)
+        at = np.minimum(self.starts[part], len(self.hashes) - 1)
+        there = self.hashes[at] == asked
+        live = np.flatnonzero(~there)
+        end = self.starts[part[live] + 1]
+        while len(live):
+            more = at[live] + 1 < end
+            live, end = live[more], end[more]
+            at[live] += 1
+            there[live] = self.hashes[at[live]] == asked[live]
+            missed = ~there[live]
+            live, end = live[missed], end[missed]
+        at[~there] = 0
+        return at, there
+
+
+def _word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, word, count) of some texts, by row, and the words that the numbers mean."""
+    parts = pc.split_pattern(texts, " ")
+    found = parts.flatten().dictionary_encode()
+    words, code = found.dictionary.to_pylist(), found.indices.to_numpy()
+    bits = len(words).bit_length()
+    key = np.repeat(np.arange(len(texts)) << bits, pc.list_value_length(parts).to_numpy()) | code
+    if "" in words:
+        key = key[code != words.index("")]
+    key.sort()
+    first = _runs(key)
+    key, count = key[first], np.diff(np.append(first, len(key)))
+    return key >> bits, key & ((1 << bits) - 1), count, words
+
+
+def _expanded(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs, one behind the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,35 +163,80 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return key[first] // len(hashes), key[first] % len(hashes), np.diff(np.append(first, len(key))), hashes
 
 
-def _chunks(texts: pa.Array, chars: int = 150_000, rows: int = 2_000) -> Iterator[tuple[int, list[str]]]:
-    """The texts in runs of about so many characters, each with the place of its first."""
-    first, held, own = 0, 0, []
-    for i, value in enumerate(texts):
-        own.append(value.as_py())
-        held += len(own[-1])
-        if held >= chars or len(own) >= rows or i + 1 == len(texts):
-            yield first, own
-            first, held, own = i + 1, 0, []
+def _chunks(texts: pa.Array, size: int, rows: int = 50_000) -> Iterator[tuple[int, pa.Array]]:
+    """The texts in runs of about so many bytes, each with the place of its first."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(texts):
+        stop = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + size)) + 1
+        stop = min(stop, first + rows, len(texts))
+        yield first, texts.slice(first, stop - first)
+        first = stop
 
 
 def _counted(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(hashes, return_inverse=True)
-    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = _runs(hashes)
+    return hashes[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _rows_by_gram(texts: pa.Array, most: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted grams of some texts, and in how many of the texts each is.
+
+    A gram of one word alone is where the word is; the others are counted by row, about ``most`` cells at a time.
+    """
+    row, word, _, words = _word_pairs(texts)
+    if not len(row):
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+    grams, sizes = _gram_hashes(words)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    hashes = np.sort(grams)
+    hashes = hashes[_runs(hashes)]
+    number, _ = _Grams(hashes).found(grams)
+    one = np.empty(len(hashes), dtype=np.int32)
+    one[number] = owner  # some word that has the gram
+    alone = np.ones(len(hashes), dtype=bool)
+    alone[number[one[number] != owner]] = False
+    df = np.where(alone, np.bincount(word, minlength=len(words))[one], 0)
+    number = np.where(alone, -1, np.cumsum(~alone) - 1)[number]
+    held = number >= 0
+    number, size = number[held], np.bincount(owner[held], minlength=len(words))
+    begin = np.cumsum(size) - size
+    bits = max(1, int(np.count_nonzero(~alone)).bit_length())
+    edges = np.searchsorted(row, np.arange(len(texts) + 1))
+    ends = np.concatenate([[0], np.cumsum(size[word])])[edges]  # cells before each row
+    told = np.zeros(int(np.count_nonzero(~alone)), dtype=np.int64)
+    a, seen = 0, []
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+        b = min(b, a + (1 << (32 - bits)), len(texts)) if bits < 32 else a + 1
+        own = slice(edges[a], edges[b])
+        n = size[word[own]]
+        key = number[_expanded(begin[word[own]], n)] | np.repeat((row[own] - a) << bits, n)
+        key = key.astype(np.uint32) if bits < 32 else key
+        key.sort()
+        seen.append(key[_runs(key)] & ((1 << bits) - 1))
+        a = b
+    if len(told):
+        told += np.bincount(np.concatenate(seen), minlength=len(told))
+    df[~alone] = told
+    return hashes, df
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """(gram, df) over a task's texts; a gram comes again only where the task has more than ``most``."""
+    """(gram, df) over a task's texts; a gram comes again only where the task has more than ``most``. The texts are the df of null."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
+    held, rows = 0, 0
 
     def told() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], names=["gram", "df"])
 
-    for batch in batches:
-        for _, texts in _chunks(batch.column(0)):
-            _, gram, _, hashes = _cells(texts)
-            parts.append((hashes, np.bincount(gram, minlength=len(hashes))))
-            held += len(hashes)
+    for batch in _merged(batches, 0, _SIZE):
+        rows += batch.num_rows
+        for _, texts in _chunks(batch.column(0), _SIZE):
+            parts.append(_rows_by_gram(texts))
+            held += len(parts[-1][0])
             if held >= most:
                 parts = [_counted(*map(np.concatenate, zip(*parts, strict=True)))]
                 held = len(parts[0][0])
@@ -125,62 +246,39 @@ def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -
     if parts:
         parts = [_counted(*map(np.concatenate, zip(*parts, strict=True)))]
         yield told()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([rows], pa.int64())], names=["gram", "df"])
 
 
-def _found(grams: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each asked gram in the sorted ones, and whether it is there."""
-    if not len(grams):
-        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
-    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
-    return at, grams[at] == asked
-
-
+#: The most grams, besides a block's own, whose weights all tasks know.
+_FREQUENT = 1_000_000
 #: How far below a bound a product may lie by rounding alone.
-_SLACK = 1e-9
+_SLACK = 2e-9
 
 
 class _Asked:
-    """A block of test texts as unit vectors: by item, rare grams first, with what is left of the norm from each on; and by gram."""
+    """A block of test texts as unit vectors, and the weights of the known grams: all of the block's and the frequent ones."""
 
     def __init__(self, items: list[int], texts: list[str], grams: np.ndarray, idf: np.ndarray):
         self.items, self.n = np.array(items, dtype=np.int64), len(items)
+        self.grams, self.idf = _Grams(grams), idf
         item, gram, tf, hashes = _cells(texts)
-        at, there = _found(grams, hashes)
+        at, there = self.grams.found(hashes)
         keep = there[gram]
         item, gram, tf = item[keep], at[gram[keep]], tf[keep]
         w = tf * idf[gram]
         w = w / np.sqrt(np.bincount(item, weights=w * w, minlength=self.n))[item]
-        order = np.lexsort((gram, -idf[gram], item))
-        self.item, self.gram, self.w = item[order], gram[order], w[order]
-        self.size = np.bincount(self.item, minlength=self.n)
+        self.item, self.gram, self.w = item, gram, w  # by item
+        self.size = np.bincount(item, minlength=self.n)
         self.begin = np.cumsum(self.size) - self.size
-        after = np.append(np.cumsum((self.w**2)[::-1])[::-1], 0.0)
-        self.left = np.sqrt(np.maximum(0.0, after[:-1] - after[self.begin + self.size][self.item]))
-        self.grams, self.idf = grams, idf
-        self.by_gram = np.argsort(self.gram, kind="stable")
-        n = np.bincount(self.gram, minlength=len(grams))
-        self.edges = np.concatenate([[0], np.cumsum(n)])
-
-    def lists(self, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(begin, size) by gram, items and weights of the postings under a mask, which is by gram."""
-        through = np.concatenate([[0], np.cumsum(mask)])
-        begin = through[self.edges[:-1]]
-        own = self.by_gram[mask]
-        return begin, through[self.edges[1:]] - begin, self.item[own], self.w[own]
-
-    def summed(self, lists, row: np.ndarray, gram: np.ndarray, x: np.ndarray, rows: int, most: int = 2_000_000) -> np.ndarray:
-        """The products of rows and items over some postings; about ``most`` terms are held at a time."""
-        begin, size, item, w = lists
-        out = np.zeros(rows * self.n)
-        ends = np.cumsum(size[gram])
-        a = 0
-        while a < len(row):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
-            n = size[gram[a:b]]
-            place = np.repeat(begin[gram[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out += np.bincount(np.repeat(row[a:b] * self.n, n) + item[place], weights=np.repeat(x[a:b], n) * w[place], minlength=len(out))
-            a = b
-        return out.reshape(rows, self.n)
+
+    def by_gram(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each known gram its row among those of the block (behind them if it has none), and by row and item idf times weight."""
+        own = np.unique(self.gram)
+        place = np.full(len(self.grams), len(own), dtype=np.int64)
+        place[own] = np.arange(len(own))
+        told = np.zeros((len(own) + 1, self.n), dtype=np.float32)
+        told[place[self.gram], self.item] = self.w * self.idf[self.gram]
+        return place, told
 
     def whole(self, items: np.ndarray, vector: np.ndarray) -> np.ndarray:
         """The products of one row, dense over the grams, with some items."""
@@ -190,75 +288,138 @@ class _Asked:
 
 
 _CANDIDATE = "item long, best_id long, best_part long, text string, dot double, upper double, lower double"
-#: Cells of rows and items held at a time, and candidates before those below the best are let go.
-_DENSE, _HELD = 4_000_000, 20_000
+#: Cells of words (or rows) and items held at a time, and candidates before those below the best are let go.
+_CELLS, _HELD = 40_000_000, 20_000
+
+
+class _Chunk:
+    """Some texts against a block: bounds of all products by words, and a few rows' products gram by gram."""
+
+    def __init__(self, asked: _Asked, place: np.ndarray, by_gram: np.ndarray, texts: pa.Array, idf_most: float):
+        self.asked, self.texts, self.most = asked, texts, idf_most
+        self.place, self.by_gram = place, by_gram
+        self.dense = np.zeros(len(asked.grams))
+
+    def upper(self, pairs: tuple) -> np.ndarray:
+        """At least the cosine, by row and item.
+
+        A product is the sum of those of the words. Weights are not negative, so the norm is at least that of the
+        words' own norms, as if no two words shared a gram. Sums of singles may fall short by a part that grows with
+        their terms.
+        """
+        asked, (row, word, count, words) = self.asked, pairs
+        grams, sizes = _gram_hashes(words)
+        at, there = asked.grams.found(grams)
+        owner = np.repeat(np.arange(len(words)), sizes)[there]
+        at = at[there]
+        norms = np.bincount(owner, weights=asked.idf[at] ** 2, minlength=len(words))
+        place = self.place[at]
+        shared = place < len(self.by_gram) - 1
+        place, size = place[shared], np.bincount(owner[shared], minlength=len(words))
+        begin = np.cumsum(size) - size
+        own = np.zeros((len(words), asked.n), dtype=np.float32)
+        for k in np.unique(size[size > 0]).tolist():  # words with as many grams together
+            for at in np.array_split(np.flatnonzero(size == k), 1 + np.count_nonzero(size == k) * asked.n // 500_000):
+                held = self.by_gram.take(place[begin[at]], axis=0)
+                for i in range(1, k):
+                    held += self.by_gram.take(place[begin[at] + i], axis=0)
+                own[at] = held
+        n = len(self.texts)
+        low = np.sqrt(np.maximum(np.bincount(row, weights=count**2 * norms[word], minlength=n), 1e-6))
+        total = np.zeros((n, asked.n), dtype=np.float32)
+        rows = np.searchsorted(row, np.arange(n + 1))
+        times = count.astype(np.float32)
+        for k in np.flatnonzero(rows[1:] > rows[:-1]).tolist():
+            a, b = rows[k], rows[k + 1]
+            np.dot(times[a:b], own.take(word[a:b], axis=0), out=total[k])
+        terms = np.diff(rows) + (int(size.max()) if len(words) else 0) + 8
+        return total * ((1.0 + 2.0**-22 * terms) / low).astype(np.float32)[:, None]
+
+    def products(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The products of pairs of row and item, in order of rows, and the least and the greatest norm of each pair's row."""
+        asked = self.asked
+        own, inverse = np.unique(i, return_inverse=True)
+        row, gram, tf, hashes = _cells(self.texts.take(pa.array(own)).to_pylist())
+        at, there = asked.grams.found(hashes)
+        known = there[gram]
+        r, g = row[known], at[gram[known]]
+        x = tf[known] * asked.idf[g]
+        inner = np.bincount(r, weights=x * x, minlength=len(own))
+        outer = inner + self.most**2 * np.bincount(row[~known], weights=tf[~known].astype(float) ** 2, minlength=len(own))
+        dot = np.empty(len(i))
+        ends, cells = np.searchsorted(inverse, np.arange(len(own) + 1)), np.searchsorted(r, np.arange(len(own) + 1))
+        for k in range(len(own)):
+            a, b = cells[k], cells[k + 1]
+            self.dense[g[a:b]] = x[a:b]
+            dot[ends[k] : ends[k + 1]] = asked.whole(j[ends[k] : ends[k + 1]], self.dense)
+            self.dense[g[a:b]] = 0.0
+        return dot, np.sqrt(np.maximum(inner, 1e-300))[inverse], np.sqrt(np.maximum(outer, 1e-300))[inverse]
 
 
 def _candidates(shared, idf_most: float):
     """The rows that may be the most similar to an item: dot, and an upper and a lower bound of the cosine.
 
-    Only grams of the block have a weight here. A row's norm is at least that of its part among them, and at most that
-    with all its other grams as heavy as can be. For an item whose best lower bound so far is b, the postings from which
-    on no more than b of its norm is left make no candidate by themselves: only rows that share a gram before are looked
-    at, and complete products are made for those that the rest can still bring above b.
+    Products of all rows and items are made of words (see ``_Chunk.upper``); gram by gram only those of the highest row
+    of each item in a chunk, and then of the pairs whose bound still reaches the best lower bound so far. A row's norm is
+    at least that of its known grams, and at most that with all its other grams as heavy as can be. Of rows with one text
+    the least is told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
+        place, by_gram = asked.by_gram()
         best = np.zeros(asked.n)
-        found: list[tuple] = []
-        left_by_gram, item_by_gram = asked.left[asked.by_gram], asked.item[asked.by_gram]
-        dense = np.zeros(len(asked.grams))
+        found: dict[tuple, tuple] = {}
 
         def told() -> pa.RecordBatch:
-            own = [f for f in found if f[5] >= best[f[0]] - _SLACK]
+            own = [(k[0], *f[1:3], k[1], *f[3:]) for k, f in found.items()]
             columns = list(zip(*own, strict=True)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             columns[0] = asked.items[list(columns[0])].tolist()
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CANDIDATE.split(", ")])
 
-        for batch in batches:
-            for first, texts in _chunks(batch.column(2), rows=max(1, min(2_000, _DENSE // max(asked.n, 1)))):
-                row, gram, tf, hashes = _cells(texts)
-                if not len(row):
-                    continue
-                at, there = _found(asked.grams, hashes)
-                known = there[gram]
-                r, g = row[known], at[gram[known]]
-                x = tf[known] * asked.idf[g]
-                inner = np.bincount(r, weights=x * x, minlength=len(texts))
-                outer = inner + idf_most**2 * np.bincount(row[~known], weights=tf[~known].astype(float) ** 2, minlength=len(texts))
-                low, high = np.sqrt(np.maximum(inner, 1e-300)), np.sqrt(np.maximum(outer, 1e-300))
-                head = left_by_gram > best[item_by_gram] - _SLACK
-                total = asked.summed(asked.lists(head), r, g, x, len(texts))
-                rest = np.zeros(asked.n)
-                np.maximum.at(rest, item_by_gram[~head], left_by_gram[~head])
-                i, j = np.nonzero(total)
-                open_ = total[i, j] / low[i] + rest[j] >= best[j] - _SLACK
-                i, j = i[open_], j[open_]
-                if len(i) > 0.02 * total.size:  # few bounds are known yet
-                    total += asked.summed(asked.lists(~head), r, g, x, len(texts))
-                    dot = total[i, j]
-                else:
-                    dot = np.empty(len(i))
-                    ends = np.searchsorted(i, np.arange(len(texts) + 1))
-                    cells = np.searchsorted(r, np.arange(len(texts) + 1))
-                    for k in np.unique(i).tolist():
-                        own = slice(cells[k], cells[k + 1])
-                        dense[g[own]] = x[own]
-                        dot[ends[k] : ends[k + 1]] = asked.whole(j[ends[k] : ends[k + 1]], dense)
-                        dense[g[own]] = 0.0
-                np.maximum.at(best, j, dot / high[i])
-                upper = dot / low[i]
-                keep = (upper >= best[j] - _SLACK) & (dot > 0)
-                ids, parts = batch.column(0), batch.column(1)
-                for a, b, d, u in zip(i[keep].tolist(), j[keep].tolist(), dot[keep].tolist(), upper[keep].tolist(), strict=True):
-                    found.append((b, ids[first + a].as_py(), parts[first + a].as_py(), texts[a], d, u, d / high[a]))
+        def lessened() -> None:
+            for k in [k for k, f in found.items() if f[4] < best[k[0]] - _SLACK]:
+                del found[k]
+
+        def pieces(first: int, texts: pa.Array) -> Iterator[tuple]:
+            """The texts in parts of few enough distinct words; one text of too many is a part without words."""
+            pairs = _word_pairs(texts)
+            if len(pairs[3]) * asked.n <= _CELLS:
+                yield first, texts, pairs
+            elif len(texts) == 1:
+                yield first, texts, None
+            else:
+                half = len(texts) // 2
+                yield from pieces(first, texts.slice(0, half))
+                yield from pieces(first + half, texts.slice(half))
+
+        for batch in _merged(batches, 2, _SIZE):
+            ids, parts = batch.column(0), batch.column(1)
+            runs = _chunks(batch.column(2), _SIZE, rows=max(1, _CELLS // asked.n))
+            for first, texts, pairs in (piece for run in runs for piece in pieces(*run)):
+                chunk = _Chunk(asked, place, by_gram, texts, idf_most)
+                upper = np.full((1, asked.n), 2.0, dtype=np.float32) if pairs is None else chunk.upper(pairs)
+                top = upper.argmax(axis=0)
+                j = np.flatnonzero(upper.max(axis=0) >= best - _SLACK)
+                j = j[np.argsort(top[j], kind="stable")]
+                dot, _, high = chunk.products(top[j], j)
+                best[j] = np.maximum(best[j], dot / high)
+                i, j = np.nonzero((upper >= (best - _SLACK).astype(np.float32) * np.float32(1 - 2.0**-20)) & (upper > 0))
+                dot, low, high = chunk.products(i, j)
+                np.maximum.at(best, j, dot / high)
+                keep = (dot / low >= best[j] - _SLACK) & (dot > 0)
+                for a, b, d, u, v in zip(i[keep].tolist(), j[keep].tolist(), dot[keep].tolist(), (dot / low)[keep].tolist(), (dot / high)[keep].tolist(), strict=True):
+                    row, part = ids[first + a].as_py(), parts[first + a].as_py()
+                    key, own = (b, texts[a].as_py()), ((row is None, row or 0, part is None, part or 0), row, part, d, u, v)
+                    if key not in found or own[0] < found[key][0]:
+                        found[key] = own
                 if len(found) > _HELD:
-                    found = [f for f in found if f[5] >= best[f[0]] - _SLACK]
+                    lessened()
                     if len(found) > _HELD // 2:
                         yield told()
-                        found = []
+                        found = {}
+        lessened()
         yield told()
 
     return run
@@ -267,8 +428,8 @@ def _candidates(shared, idf_most: float):
 def _own_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text_key, gram, tf) of (text_key, text)."""
     for batch in batches:
-        for first, texts in _chunks(batch.column(1)):
-            row, gram, tf, hashes = _cells(texts)
+        for first, texts in _chunks(batch.column(1), _SIZE):
+            row, gram, tf, hashes = _cells(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + row)), pa.array(hashes[gram].view(np.int64)), pa.array(tf)], names=["text_key", "gram", "tf"])
 
 
@@ -293,10 +454,12 @@ def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df:
     train id. With ``part``, a train row is known by (row_id, part), ``best_part`` is told too, and ties go to
     the least pair. Train rows that share an id are texts of their own; test rows that share one are one text.
 
-    The test side is the query set, broadcast in blocks of about ``block_grams`` grams with the weights of its own grams;
-    a block's candidates are written before the next one is sent. Tasks go over their own rows with bounds (see
-    ``_candidates``), so no list of train rows is shuffled: counts of grams, summed per task before, stay a table, dealt
-    by the gram, and only texts of candidates that the best lower bounds of all tasks leave meet it for their norms.
+    The test side is the query set, broadcast in blocks of about ``block_grams`` grams with the weights of its own grams
+    and of the most frequent ones, whose number is bounded; a block's candidates are written before the next one is sent.
+    Train rows are cut and written once, and read for the counts and by each block. Tasks go over their own rows with
+    bounds (see ``_candidates``), so no list of train rows is shuffled: counts of grams, summed per task before, stay a
+    table, dealt by the gram, and only texts of candidates that the best lower bounds of all tasks leave meet it for
+    their norms.
     """
     spark = train.sparkSession
     place = F.lit(0) if part is None else F.col(part)
@@ -304,19 +467,28 @@ def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df:
     rows = train.select(F.col(row_id).cast("long").alias("id"), place.cast("long").alias("part"), plain.alias("text"))
     asked = test.select(F.col(row_id).alias("id"), plain.alias("text")).groupBy("id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("text"))).alias("text"))
     asked = written(asked.withColumn("item", F.monotonically_increasing_id()), "asked")
+    rows = written(rows, "rows")
     df = rows.select("text").mapInArrow(_document_counts, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-    n = rows.count()
-    weight = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
-    weights = written(df.where(F.col("df") >= least_df).select("gram", weight.alias("idf")), "weights")
+    df = written(df.where((F.col("df") >= least_df) | F.col("gram").isNull()), "df")
+    n = max((r.df for r in df.where("gram IS NULL").collect()), default=0)
+    weights = df.where("gram IS NOT NULL").withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     most = float(np.log((1.0 + n) / (1.0 + least_df)) + 1.0)
+    level = F.floor(F.log2("df") * 16)
+    often, least_level = 0, None
+    for r in sorted(weights.groupBy(level.alias("level")).count().collect(), reverse=True):
+        often += r["count"]
+        if often > _FREQUENT:
+            break
+        least_level = r.level
+    frequent = weights.where(level >= least_level if least_level is not None else F.lit(False)).select("gram", "idf").toPandas()
+    weights = weights.select("gram", "idf")
 
     tried = None
     for items, texts in _test_blocks(asked, block_grams):
         grams = np.unique(_cells(texts)[3])
-        own = spark.createDataFrame(pa.table({"gram": grams.view(np.int64)})).join(weights, "gram").toPandas()
-        known = own["gram"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(known)
-        shared = spark.sparkContext.broadcast(_Asked(items, texts, known[order], own["idf"].to_numpy(float)[order]))
+        own = pd.concat([frequent, spark.createDataFrame(pa.table({"gram": grams.view(np.int64)})).join(weights, "gram").toPandas()])
+        known, first = np.unique(own["gram"].to_numpy(np.int64).view(np.uint64), return_index=True)
+        shared = spark.sparkContext.broadcast(_Asked(items, texts, known, own["idf"].to_numpy(float)[first]))
         found = written(rows.mapInArrow(_candidates(shared, max(most, 0.0)), _CANDIDATE), "candidates")
         shared.destroy()
         tried = found if tried is None else tried.unionByName(found)
@@ -330,11 +502,7 @@ def nearest(train: DataFrame, test: DataFrame, row_id: str, text: str, least_df:
         norms = cells.join(weights, "gram").groupBy("text_key").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
         return candidates.join(norms, "text_key").select("item", "best_id", "best_part", "text_key", (F.col("dot") / F.col("norm")).alias("similarity"))
 
-    # a few of each item first: what they reach leaves out most of the rest
-    few = tried.groupBy("item").agg(F.max_by("text_key", "upper").alias("a"), F.max_by("text_key", "lower").alias("b"), F.max_by("text_key", "dot").alias("c"), F.max("lower").alias("least"))
-    few = few.select("item", "least", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("text_key"))
-    reached = measured(tried.join(few, ["item", "text_key"])).groupBy("item").agg(F.max("similarity").alias("reached"))
-    bound = written(few.groupBy("item").agg(F.max("least").alias("least")).join(reached, "item", "left").select("item", F.greatest("least", "reached").alias("least")), "bounds")
+    bound = tried.groupBy("item").agg(F.max("lower").alias("least"))
     scores = measured(tried.join(bound, "item").where(F.col("upper") >= F.col("least") - 1e-8))
     order = F.struct(F.round("similarity", 9), F.col("best_id").isNotNull(), -F.col("best_id"), -F.col("best_part"))
     top = scores.groupBy("item").agg(F.max_by(F.struct("best_id", "best_part", "similarity"), order).alias("t"))

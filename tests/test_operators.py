@@ -1,7 +1,10 @@
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -299,6 +302,55 @@ def test_bounds_find_the_nearest_of_many_rows(spark, monkeypatch, block_grams):
         assert abs(got[i].similarity - best[0]) < 1e-8 and (not best[0] or got[i].best_id == -best[1])
 
 
+def test_few_candidates_are_left_of_many_rows(spark, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(5, 20))) for _ in range(2000)]
+    test = list(enumerate(r.sample(texts, 30)))
+    train = list(enumerate(texts)) + [(k + 5000, test[0][1]) for k in range(3000)]
+    told, real = {}, similarity.written
+
+    def kept(df, name, *by):
+        told[name] = real(df, name, *by)
+        return told[name]
+
+    monkeypatch.setattr(similarity, "written", kept)
+    schema = "row_id long, text string"
+    got = {x.id: x for x in similarity.nearest(spark.createDataFrame(train, schema).repartition(3), spark.createDataFrame(test, schema), "row_id", "text").collect()}
+    assert all(round(got[i].similarity, 9) == 1.0 and got[i].best_id == texts.index(t) for i, t in test)
+    assert told["candidates"].count() <= 3 * 2 * len(test)  # a few for each task and item, copies once
+
+
+@pytest.mark.parametrize("most", [60, 4_000, 40_000_000])
+def test_candidates_in_pieces_of_any_size(monkeypatch, most):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 7))) for _ in range(200)]
+    texts = ["", "a", *(" ".join(r.choice(words) for _ in range(r.choice([1, 3, 12, 40]))) for _ in range(300))]
+    items = [" ".join(r.choice(words) for _ in range(12)) for _ in range(9)] + [texts[40], "xyzxyz"]
+    counts = Counter(g for t in texts for g in set(plain_grams(t)))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["id", "part", "text"])
+    found = pa.Table.from_batches(similarity._document_counts(iter([rows.select(["text"])]))).to_pylist()
+    assert sorted(x["df"] for x in found if x["gram"] is not None) == sorted(counts.values()) and [x["df"] for x in found if x["gram"] is None] == [len(texts)]
+    known = sorted((x["gram"] % 2**64, math.log((1 + len(texts)) / (1 + x["df"])) + 1) for x in found if x["gram"] is not None and x["df"] >= 2)
+    asked = similarity._Asked(list(range(11)), items, np.array([g for g, _ in known], dtype=np.uint64), np.array([w for _, w in known]))
+    monkeypatch.setattr(similarity, "_CELLS", most)
+    told = pa.Table.from_batches(similarity._candidates(SimpleNamespace(value=asked), math.log((1 + len(texts)) / 3) + 1)(iter([rows, rows.slice(0, 0)]))).to_pylist()
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in counts.items() if n >= 2}
+
+    def vector(t):
+        v = {g: n * idf[g] for g, n in Counter(plain_grams(t)).items() if g in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()} if size else {}
+
+    vectors = [vector(t) for t in texts]
+    for i, t in enumerate(items):
+        v = vector(t)
+        best, row = max((round(sum(x * u.get(g, 0) for g, x in v.items()), 9), -j) for j, u in enumerate(vectors))
+        own = [x for x in told if x["item"] == i]
+        assert bool(own) == bool(best) and all(x["lower"] <= best + 1e-9 for x in own)
+        assert not best or any(x["best_id"] == -row and x["upper"] >= best - 1e-9 for x in own)
+
+
 def test_contamination_reads_all_documents(spark, tmp_path):
     r = random.Random(3)
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
