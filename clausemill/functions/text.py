@@ -16,13 +16,17 @@ from pyspark.sql.types import StringType
 from clausemill.functions.numeric import fixed
 
 
+#: The characters of ``(?U)\\s``.
+BLANKS = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def collapse(c: Column) -> Column:
     """Runs of blanks become one space; outer blanks go; null becomes the empty text."""
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
 def line_ends(c: Column) -> Column:

@@ -24,6 +24,13 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+def test_strip_takes_every_blank_and_no_more(spark):
+    c = F.concat(F.col("c"), F.col("c"), F.lit("a"), F.col("c"), F.lit("b"), F.col("c"))
+    rows = spark.createDataFrame([(chr(i),) for i in [*range(0xD800), *range(0xE000, 0x10FFFF, 1)] if i < 0x10000 or i % 251 == 0], "c string")
+    told = rows.select((T.strip(c) == F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).alias("one"), (T.collapse(c) == F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")).alias("other"))
+    assert told.where("one AND other").count() == rows.count()
+
+
 def test_blanks_and_compositions(spark):
     row = one(spark, T.collapse(F.lit("  a  b\n\tc　")), T.clause_text(F.lit("ﬁne ½")), T.line_ends(F.lit(" a\r\nb ")), T.collapse(F.lit(None).cast("string")))
     assert tuple(row) == ("a b c", "fine 1⁄2", "a\nb", "")
