@@ -341,7 +341,9 @@ def test_candidates_in_pieces_of_any_size(monkeypatch, most):
     known = sorted((x["gram"] % 2**64, math.log((1 + len(texts)) / (1 + x["df"])) + 1) for x in found if x["gram"] is not None and x["df"] >= 2)
     asked = similarity._Asked(list(range(11)), items, np.array([g for g, _ in known], dtype=np.uint64), np.array([w for _, w in known]))
     monkeypatch.setattr(similarity, "_CELLS", most)
-    told = pa.Table.from_batches(similarity._candidates(SimpleNamespace(value=asked), math.log((1 + len(texts)) / 3) + 1)(iter([rows, rows.slice(0, 0)]))).to_pylist()
+    monkeypatch.setattr(similarity, "_SIZE", 4_000)
+    later = [pa.RecordBatch.from_arrays([pa.array(range(500, 500 + len(texts))), *rows.columns[1:]], names=["id", "part", "text"])]
+    told = pa.Table.from_batches(similarity._candidates(SimpleNamespace(value=asked), math.log((1 + len(texts)) / 3) + 1)(iter([rows, rows.slice(0, 0), *later]))).to_pylist()
     idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in counts.items() if n >= 2}
 
     def vector(t):
@@ -372,6 +374,23 @@ def test_contamination_reads_all_documents(spark, tmp_path):
     assert QUERIES["contamination_shares"](spark, str(tmp_path)).first().share_at_least_95 == pytest.approx(1 / 3)
 
 
+def test_shares_carry_copies_once(spark, tmp_path, monkeypatch):
+    items = [(0, "the quick brown fox jumps"), (1, "over lazy dogs at night")]
+    docs = [(i, f"{items[i % 2][1]}\nsome other words {i}") for i in range(1, 1500)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    told, real = [], similarity.written
+
+    def kept(df, name, *by):
+        out = real(df, name, *by)
+        told.extend([out] if name == "candidates" else [])
+        return out
+
+    monkeypatch.setattr(similarity, "written", kept)
+    assert tuple(QUERIES["contamination_shares"](spark, str(tmp_path)).first()) == (2, 1.0, 1.0, 1.0)
+    assert sum(df.count() for df in told) <= 2 * 2 * 8  # for each task and item
+
+
 def test_cut_references_stay(spark, tmp_path):
     pages = [(1, "<h1>A &amp; B &am</h1><p>x&amp</p>&lt;&#65;&nbsp;&ampcopy;"), (2, None)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
