@@ -46,26 +46,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _gram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _gram_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The grams of ``char_grams`` of words without their blanks, as 64-bit hashes, in order of words, and how many each has."""
-    text = np.frombuffer(" ".join(["", *words, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+    text = np.frombuffer(f" {joined} ".encode("utf-32-le"), dtype=np.uint32)
+    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     begin = np.cumsum(n + 1) - (n + 1)  # of the blank before each word
-    owner = np.repeat(np.arange(len(words)), n + 1)
-    room = np.repeat(begin + n + 2, n + 1) - np.arange(len(owner))  # characters from each place to the blank behind the word
-    by_size = [np.maximum(0, n + 3 - k) for k in range(LOW, HIGH + 1)]
-    sizes = np.sum(by_size, axis=0)
-    shift = np.cumsum(sizes) - sizes - begin
-    out = np.empty(sizes.sum(), dtype=np.uint64)
-    h = np.zeros(len(owner), dtype=np.uint64)
-    padded = np.concatenate([text, np.zeros(HIGH, dtype=np.uint64)])
+    room = np.repeat(begin + n + 2, n + 1) - np.arange(n.sum() + len(n))  # characters from each place to the blank behind the word
+    out = np.empty((len(room), HIGH - LOW + 1), dtype=np.uint64)
+    h = np.zeros(len(room), dtype=np.uint64)
+    padded = np.concatenate([text, np.zeros(HIGH, dtype=np.uint32)]).astype(np.uint64)
     for k in range(1, HIGH + 1):
-        h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + padded[k - 1 : k - 1 + len(h)] + np.uint64(k))
+        h = h * np.uint64(0x9E3779B97F4A7C15) + padded[k - 1 : k - 1 + len(h)] + np.uint64(k)
         if k >= LOW:
-            at = np.flatnonzero(room >= k)
-            out[shift[owner[at]] + at] = h[at]
-            shift += by_size[k - LOW]
-    return out, sizes
+            out[:, k - LOW] = _mixed(h)
+    return out[room[:, None] >= np.arange(LOW, HIGH + 1)], np.sum([np.maximum(0, n + 3 - k) for k in range(LOW, HIGH + 1)], axis=0)
 
 
 #: Bytes of texts that are worked on together, so that a word's grams are cut once for many rows.
@@ -121,15 +116,15 @@ class _Grams:
         return at, there
 
 
-def _word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def _word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, word, count) of some texts, by row, and the words that the numbers mean."""
     parts = pc.split_pattern(texts, " ")
     found = parts.flatten().dictionary_encode()
-    words, code = found.dictionary.to_pylist(), found.indices.to_numpy()
+    words, code = found.dictionary, found.indices.to_numpy()
     bits = len(words).bit_length()
     key = np.repeat(np.arange(len(texts)) << bits, pc.list_value_length(parts).to_numpy()) | code
-    if "" in words:
-        key = key[code != words.index("")]
+    if (blank := pc.index(words, "").as_py()) >= 0:
+        key = key[code != blank]
     key.sort()
     first = _runs(key)
     key, count = key[first], np.diff(np.append(first, len(key)))
@@ -151,7 +146,7 @@ def _cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         words += own
     if not words:
         return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),)
-    grams, sizes = _gram_hashes(list(local))
+    grams, sizes = _gram_hashes(pa.array(local, pa.string()))
     begins = np.cumsum(sizes) - sizes
     hashes, numbers = np.unique(grams, return_inverse=True)
     word = np.array(words, dtype=np.int64)
@@ -255,8 +250,12 @@ _FREQUENT = 1_000_000
 _SLACK = 2e-9
 
 
+#: The grams whose counts are a row's dense part: those that most pairs of row and item share.
+_DENSE = 2048
+
+
 class _Asked:
-    """A block of test texts as unit vectors, and the weights of the known grams: all of the block's and the frequent ones."""
+    """A block of test texts as unit vectors, the weights of the known grams (all of the block's and the frequent ones)."""
 
     def __init__(self, items: list[int], texts: list[str], grams: np.ndarray, idf: np.ndarray):
         self.items, self.n = np.array(items, dtype=np.int64), len(items)
@@ -271,15 +270,6 @@ class _Asked:
         self.size = np.bincount(item, minlength=self.n)
         self.begin = np.cumsum(self.size) - self.size
 
-    def by_gram(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each known gram its row among those of the block (behind them if it has none), and by row and item idf times weight."""
-        own = np.unique(self.gram)
-        place = np.full(len(self.grams), len(own), dtype=np.int64)
-        place[own] = np.arange(len(own))
-        told = np.zeros((len(own) + 1, self.n), dtype=np.float32)
-        told[place[self.gram], self.item] = self.w * self.idf[self.gram]
-        return place, told
-
     def whole(self, items: np.ndarray, vector: np.ndarray) -> np.ndarray:
         """The products of one row, dense over the grams, with some items."""
         n = self.size[items]
@@ -292,48 +282,85 @@ _CANDIDATE = "item long, best_id long, best_part long, text string, dot double,
 _CELLS, _HELD = 40_000_000, 20_000
 
 
+class _Lists:
+    """The block's weights for products by row: a matrix for the dense grams, lists of items for its other grams."""
+
+    def __init__(self, asked: _Asked):
+        pairs = np.exp(-asked.idf) * (1 + np.bincount(asked.gram, minlength=len(asked.grams)))  # as df times items
+        own = np.argsort(-pairs, kind="stable")[:_DENSE]
+        self.place = np.full(len(asked.grams), -1)
+        self.place[own] = np.arange(len(own))
+        self.square = (asked.idf[own] ** 2).astype(np.float32)
+        self.told = np.zeros((len(own), asked.n), dtype=np.float32)
+        at, x = self.place[asked.gram], asked.w * asked.idf[asked.gram]
+        self.told[at[at >= 0], asked.item[at >= 0]] = x[at >= 0]
+        left = np.flatnonzero(at < 0)
+        left = left[np.argsort(asked.gram[left], kind="stable")]
+        self.item, self.x = asked.item[left], x[left]
+        self.size = np.bincount(asked.gram[left], minlength=len(asked.grams))
+        self.begin = np.cumsum(self.size) - self.size
+        #: By known gram, then for all that are not known: the square of a gram that is not dense; the items of its list and, in the lowest bit, whether it is dense.
+        self.single = np.append(np.where(self.place < 0, asked.idf**2, 0.0), 0.0)
+        self.kinds = np.append(self.size << 32 | (self.place >= 0), 0)
+        #: More than single precision may take from sums of so many terms that are not negative.
+        self.most = 1.0 + 2.0**-22 * (len(own) + 16)
+
+
 class _Chunk:
-    """Some texts against a block: bounds of all products by words, and a few rows' products gram by gram."""
+    """Some texts against a block: bounds of all cosines, and a few rows' products gram by gram."""
 
-    def __init__(self, asked: _Asked, place: np.ndarray, by_gram: np.ndarray, texts: pa.Array, idf_most: float):
-        self.asked, self.texts, self.most = asked, texts, idf_most
-        self.place, self.by_gram = place, by_gram
+    def __init__(self, asked: _Asked, lists: _Lists, first: int, texts: pa.Array, idf_most: float):
+        self.asked, self.lists, self.first, self.texts, self.most = asked, lists, first, texts, idf_most
+        self.row, self.word, self.count, words = _word_pairs(texts)
+        grams, sizes = _gram_hashes(words)
+        self.at, there = asked.grams.found(grams)
+        self.at[~there] = len(asked.grams)
+        self.sizes = sizes
+        self.kinds = lists.kinds[self.at]
+        self.cells = int((self.kinds >> 32).sum()) + len(self.at)
         self.dense = np.zeros(len(asked.grams))
 
-    def upper(self, pairs: tuple) -> np.ndarray:
-        """At least the cosine, by row and item.
+    def bounds(self) -> Iterator[tuple[int, np.ndarray]]:
+        """At least the cosines, by row and item, for some rows at a time, with the place of the first.
 
-        A product is the sum of those of the words. Weights are not negative, so the norm is at least that of the
-        words' own norms, as if no two words shared a gram. Sums of singles may fall short by a part that grows with
-        their terms.
+        Products are those of the dense grams and, by lists, of the others. The norm is told for the dense grams; for
+        the others it is at least that of the words' own norms, as if no two words shared a gram, as weights are not
+        negative.
         """
-        asked, (row, word, count, words) = self.asked, pairs
-        grams, sizes = _gram_hashes(words)
-        at, there = asked.grams.found(grams)
-        owner = np.repeat(np.arange(len(words)), sizes)[there]
-        at = at[there]
-        norms = np.bincount(owner, weights=asked.idf[at] ** 2, minlength=len(words))
-        place = self.place[at]
-        shared = place < len(self.by_gram) - 1
-        place, size = place[shared], np.bincount(owner[shared], minlength=len(words))
-        begin = np.cumsum(size) - size
-        own = np.zeros((len(words), asked.n), dtype=np.float32)
-        for k in np.unique(size[size > 0]).tolist():  # words with as many grams together
-            for at in np.array_split(np.flatnonzero(size == k), 1 + np.count_nonzero(size == k) * asked.n // 500_000):
-                held = self.by_gram.take(place[begin[at]], axis=0)
-                for i in range(1, k):
-                    held += self.by_gram.take(place[begin[at] + i], axis=0)
-                own[at] = held
-        n = len(self.texts)
-        low = np.sqrt(np.maximum(np.bincount(row, weights=count**2 * norms[word], minlength=n), 1e-6))
-        total = np.zeros((n, asked.n), dtype=np.float32)
-        rows = np.searchsorted(row, np.arange(n + 1))
-        times = count.astype(np.float32)
-        for k in np.flatnonzero(rows[1:] > rows[:-1]).tolist():
-            a, b = rows[k], rows[k + 1]
-            np.dot(times[a:b], own.take(word[a:b], axis=0), out=total[k])
-        terms = np.diff(rows) + (int(size.max()) if len(words) else 0) + 8
-        return total * ((1.0 + 2.0**-22 * terms) / low).astype(np.float32)[:, None]
+        asked, lists, row, word = self.asked, self.lists, self.row, self.word
+        n, m = asked.n, len(lists.square)
+        norms, kinds = np.zeros(len(self.sizes)), np.zeros(len(self.sizes), dtype=np.int64)
+        if len(self.at):
+            some = self.sizes > 0
+            starts = (np.cumsum(self.sizes) - self.sizes)[some]
+            norms[some] = np.add.reduceat(lists.single[self.at], starts)
+            kinds[some] = np.add.reduceat(self.kinds, starts)
+        size, others = kinds & 0xFFFFFFFF, kinds >> 32
+        place = lists.place[self.at[self.kinds & 1 > 0]]
+        listed = self.at[self.kinds >> 32 > 0]
+        at = _expanded(lists.begin[listed], lists.size[listed])
+        item, x = lists.item[at], lists.x[at]
+        begin, behind = np.cumsum(size) - size, np.cumsum(others) - others
+        square = np.bincount(row, weights=self.count**2 * norms[word], minlength=len(self.texts))
+        edges = np.searchsorted(row, np.arange(len(self.texts) + 1))
+        ends = np.concatenate([[0], np.cumsum((size + others)[word])])[edges]  # cells before each row
+        a = 0
+        while a < len(self.texts):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _CELLS // 20, side="right")) - 1)
+            b = min(b, a + max(1, _CELLS // 20 // max(m, n)), len(self.texts))
+            own, times, r = word[edges[a] : edges[b]], self.count[edges[a] : edges[b]].astype(float), row[edges[a] : edges[b]] - a
+            k = size[own]
+            cell = np.repeat(r * m, k) + place[_expanded(begin[own], k)]
+            tf = np.bincount(cell, weights=np.repeat(times, k), minlength=(b - a) * m).reshape(b - a, m).astype(np.float32)
+            total = (tf @ lists.told) * lists.most
+            k = others[own]
+            at = _expanded(behind[own], k)
+            total += np.bincount(np.repeat(r * n, k) + item[at], weights=x[at] * np.repeat(times, k), minlength=(b - a) * n).reshape(b - a, n).astype(np.float32)
+            tf *= tf
+            low = np.sqrt(np.maximum(square[a:b] + (tf @ lists.square) / lists.most, 1e-6))
+            total *= (lists.most / low).astype(np.float32)[:, None]
+            yield a, total
+            a = b
 
     def products(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The products of pairs of row and item, in order of rows, and the least and the greatest norm of each pair's row."""
@@ -359,16 +386,16 @@ class _Chunk:
 def _candidates(shared, idf_most: float):
     """The rows that may be the most similar to an item: dot, and an upper and a lower bound of the cosine.
 
-    Products of all rows and items are made of words (see ``_Chunk.upper``); gram by gram only those of the highest row
-    of each item in a chunk, and then of the pairs whose bound still reaches the best lower bound so far. A row's norm is
-    at least that of its known grams, and at most that with all its other grams as heavy as can be. Of rows with one text
-    the least is told.
+    All cosines are bounded first (see ``_Chunk.bounds``); exactly made are those of the highest row of each item among
+    some rows, and then of the pairs whose bound still reaches the best lower bound so far. A row's norm is at least that
+    of its known grams, and at most that with all its other grams as heavy as can be. Of rows with one text the least is
+    told.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
-        place, by_gram = asked.by_gram()
         best = np.zeros(asked.n)
+        lists = _Lists(asked)
         found: dict[tuple, tuple] = {}
 
         def told() -> pa.RecordBatch:
@@ -383,12 +410,12 @@ def _candidates(shared, idf_most: float):
                 del found[k]
 
         def pieces(first: int, texts: pa.Array) -> Iterator[tuple]:
-            """The texts in parts of few enough distinct words; one text of too many is a part without words."""
-            pairs = _word_pairs(texts)
-            if len(pairs[3]) * asked.n <= _CELLS:
-                yield first, texts, pairs
+            """Bounds of the texts, in parts of few enough cells; one text of too many may reach all items."""
+            chunk = _Chunk(asked, lists, first, texts, idf_most)
+            if chunk.cells <= _CELLS // 4:
+                yield from ((chunk, *own) for own in chunk.bounds())
             elif len(texts) == 1:
-                yield first, texts, None
+                yield chunk, 0, np.full((1, asked.n), 2.0, dtype=np.float32)
             else:
                 half = len(texts) // 2
                 yield from pieces(first, texts.slice(0, half))
@@ -396,22 +423,24 @@ def _candidates(shared, idf_most: float):
 
         for batch in _merged(batches, 2, _SIZE):
             ids, parts = batch.column(0), batch.column(1)
-            runs = _chunks(batch.column(2), _SIZE, rows=max(1, _CELLS // asked.n))
-            for first, texts, pairs in (piece for run in runs for piece in pieces(*run)):
-                chunk = _Chunk(asked, place, by_gram, texts, idf_most)
-                upper = np.full((1, asked.n), 2.0, dtype=np.float32) if pairs is None else chunk.upper(pairs)
-                top = upper.argmax(axis=0)
-                j = np.flatnonzero(upper.max(axis=0) >= best - _SLACK)
-                j = j[np.argsort(top[j], kind="stable")]
-                dot, _, high = chunk.products(top[j], j)
+            runs = _chunks(batch.column(2), _SIZE)
+            for chunk, start, bound in (piece for run in runs for piece in pieces(*run)):
+                most = bound.max(axis=0)
+                j = np.flatnonzero((most >= best - _SLACK) & (most > 0))
+                top = bound[:, j].argmax(axis=0)
+                order = np.argsort(top, kind="stable")
+                top, j = top[order], j[order]
+                dot, _, high = chunk.products(start + top, j)
                 best[j] = np.maximum(best[j], dot / high)
-                i, j = np.nonzero((upper >= (best - _SLACK).astype(np.float32) * np.float32(1 - 2.0**-20)) & (upper > 0))
-                dot, low, high = chunk.products(i, j)
+                j = j[most[j] >= best[j] - _SLACK]
+                i, k = np.nonzero((bound[:, j] >= (best[j] - _SLACK).astype(np.float32) * np.float32(1 - 2.0**-20)) & (bound[:, j] > 0))
+                j = j[k]
+                dot, low, high = chunk.products(start + i, j)
                 np.maximum.at(best, j, dot / high)
                 keep = (dot / low >= best[j] - _SLACK) & (dot > 0)
-                for a, b, d, u, v in zip(i[keep].tolist(), j[keep].tolist(), dot[keep].tolist(), (dot / low)[keep].tolist(), (dot / high)[keep].tolist(), strict=True):
-                    row, part = ids[first + a].as_py(), parts[first + a].as_py()
-                    key, own = (b, texts[a].as_py()), ((row is None, row or 0, part is None, part or 0), row, part, d, u, v)
+                for a, b, d, u, v in zip((start + i[keep]).tolist(), j[keep].tolist(), dot[keep].tolist(), (dot / low)[keep].tolist(), (dot / high)[keep].tolist(), strict=True):
+                    row, part = ids[chunk.first + a].as_py(), parts[chunk.first + a].as_py()
+                    key, own = (b, chunk.texts[a].as_py()), ((row is None, row or 0, part is None, part or 0), row, part, d, u, v)
                     if key not in found or own[0] < found[key][0]:
                         found[key] = own
                 if len(found) > _HELD:

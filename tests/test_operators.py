@@ -360,6 +360,26 @@ def test_candidates_in_pieces_of_any_size(monkeypatch, most):
         assert not best or any(x["best_id"] == -row and x["upper"] >= best - 1e-9 for x in own)
 
 
+def test_rows_of_like_words_are_bounded_tightly(monkeypatch):
+    r = random.Random(4)
+    ends = ["".join(r.choice("bcdfgh") for _ in range(3)) for _ in range(60)]
+    words = ["".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join("international" + r.choice(ends) for _ in range(30)) + " " + " ".join(r.sample(words, 3)) for _ in range(400)]
+    items = [" ".join(["international" + x for x in r.sample(ends, 4)] + r.sample(words, 2)) for _ in range(10)]
+    texts += items
+    counts = Counter(g for t in texts for g in set(plain_grams(t)))
+    hashes = pa.Table.from_batches(similarity._document_counts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))).to_pylist()
+    known = sorted((x["gram"] % 2**64, math.log((1 + len(texts)) / (1 + x["df"])) + 1) for x in hashes if x["gram"] is not None and x["df"] >= 2)
+    assert len(known) == sum(n >= 2 for n in counts.values())
+    asked = similarity._Asked(list(range(10)), items, np.array([g for g, _ in known], dtype=np.uint64), np.array([w for _, w in known]))
+    pairs, real = [], similarity._Chunk.products
+    monkeypatch.setattr(similarity._Chunk, "products", lambda self, i, j: (pairs.append(len(i)), real(self, i, j))[1])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts)], names=["id", "part", "text"])
+    told = pa.Table.from_batches(similarity._candidates(SimpleNamespace(value=asked), math.log((1 + len(texts)) / 3) + 1)(iter([rows]))).to_pylist()
+    assert {(i, 400 + i) for i in range(10)} <= {(x["item"], x["best_id"]) for x in told}
+    assert sum(pairs) <= 10 * len(items)  # of 4,100; words that share their grams made bounds far above the cosines
+
+
 def test_contamination_reads_all_documents(spark, tmp_path):
     r = random.Random(3)
     words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
