@@ -77,6 +77,18 @@ def half_even(x: Column, digits: int = 4) -> Column:
     return F.when(x < 0, -size).otherwise(size)
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """x rounded to some digits by its product with the power, halves away from zero, as engines round doubles.
+
+    The built-in function takes the shortest decimal form: 261.8259705 is no half in binary, and its product is below one.
+    Sizes whose product has no digits behind the point are left.
+    """
+    power = float(10**digits)
+    of = lambda p: (F.floor(p) + F.when(p - F.floor(p) >= 0.5, 1).otherwise(0)) / F.lit(power)
+    size = F.when(F.abs(x) * power < 2.0**52, F.transform(F.array(F.abs(x) * power), of).getItem(0)).otherwise(F.abs(x))
+    return F.when(x < 0, -size).otherwise(size)
+
+
 def fixed(x: Column, digits: int, plus: bool = False) -> Column:
     """x with so many digits (1 to 7) behind the point, rounded as ``half_even``; null for null and for sizes from 10^11 on."""
 

@@ -330,7 +330,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ch
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25", rank="INTEGER")
 def bm25_topk(spark, sf_dir):
-    return _search(spark, sf_dir)[2].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return _search(spark, sf_dir)[2].select("query_id", "chunk_id", "rank", N.half_away(F.col("score"), 6).alias("score"))
 
 
 @query("bm25_index_topk", f"WITH {BM25} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 25", rank="INTEGER")
@@ -339,7 +339,7 @@ def bm25_index_topk(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     index = InvertedIndex.build(chunks, f"{checkpoint_dir(spark)}/inverted-{uuid.uuid4().hex}", span=16)
-    return index.search(queries, 25)[0].select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return index.search(queries, 25)[0].select("query_id", "chunk_id", "rank", N.half_away(F.col("score"), 6).alias("score"))
 
 
 @query("rrf_fusion", f"""

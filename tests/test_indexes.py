@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,32 @@ def test_the_index_is_searched_without_joins(spark, tmp_path):
     assert index.lists.count() == -(-302 // 16)  # a block is one row
     want = retrieval.bm25(queries.unionByName(spark.createDataFrame([(15, "w1 w1 w2")], queries.schema)), chunks, 5)
     assert {(r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in found.collect()} == {(r.query_id, r.rank, r.chunk_id, round(r.score, 6)) for r in want.collect()}
+
+
+@pytest.mark.parametrize("name", ["bm25_index_topk", "bm25_topk"])
+def test_scores_are_rounded_as_in_the_sql(spark, tmp_path, name):
+    from __spark_entry__ import oracle_sql, queries
+
+    r = random.Random(22)  # one score is 4.1249365, no half in binary
+    text = lambda *n: " ".join(r.choice("abcdef") for _ in range(r.randint(*n)))
+    for table, key, texts in (("documents", "doc_id", [text(3, 12) for _ in range(12)]), ("benchmark", "item_id", [text(1, 9) for _ in range(8)])):
+        spark.createDataFrame(list(enumerate(texts)), f"{key} long, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    want = con.execute(f"SELECT query_id, chunk_id, rank, score FROM ({oracle_sql()[name]})").fetchall()
+    got = [tuple(x) for x in queries()[name](spark, str(tmp_path)).select("query_id", "chunk_id", "rank", "score").collect()]
+    assert sorted(got) == sorted(want) and 4.124936 in {x[3] for x in want}
+
+
+def test_copies_score_the_same_wherever_a_sum_is_cut(monkeypatch):
+    from clausemill.operators import query_sets
+
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(40)]
+    lists = query_sets.Lists(words * 3, [q for q in range(3) for _ in words], [r.random() for _ in range(120)], 3)
+    x = np.tile([r.random() for _ in words], 6)
+    row, term = np.repeat(np.arange(6), 40), np.tile(np.arange(40), 6)
+    whole = lists.summed(row, term, x, 6)
+    monkeypatch.setattr(query_sets, "TERMS", 100)
+    assert (lists.summed(row, term, x, 6) == whole).all() and (whole == whole[0]).all()
