@@ -84,7 +84,7 @@ def word_set(c: Column) -> Column:
 
 def change_text(c: Column) -> Column:
     """Lower case; anything but a-z, 0-9 and blanks becomes a space; blanks collapsed."""
-    return collapse(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))  # one pass: blanks are among what becomes a space
 
 
 def change_words(c: Column) -> Column:

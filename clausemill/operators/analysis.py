@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
 from clausemill.operators import documents, scoring, similarity
-from clausemill.operators.ledger import Ledger
-from clausemill.session import written
+from clausemill.operators.ledger import Ledger, digest
+from clausemill.session import dropped, packed
 
 HARM = ("Harmful", "Neutral", "Fair")
 
@@ -20,11 +20,14 @@ def analyze(docs: DataFrame, scorer: scoring.Scorer, limit: int = 256, separator
     text once, and none that the ledger knows; rows keep their number, also where ids repeat or are null.
     """
     pieces = documents.document_chunks(docs, separator=separator, limit=limit)
-    answers = (ledger or Ledger(docs.sparkSession)).answered(pieces, scorer)
+    return _predictions((ledger or Ledger(docs.sparkSession)).answered(pieces, scorer), pieces.columns)
+
+
+def _predictions(answers: DataFrame, columns: list[str]) -> DataFrame:
     told = scoring.parsed(answers).withColumn("topic", F.get_json_object(T.unfenced(F.col("raw")), "$.title"))
     names = F.array(*map(F.lit, HARM))
     return told.select(
-        *pieces.columns,
+        *columns,
         F.when(F.col("topic").isNotNull(), F.array("topic")).otherwise(F.expr("array()").cast("array<string>")).alias("predicted_topics"),
         F.get(names, F.col("score") + 1).alias("predicted_harm_class"),
         F.when(F.col("score").isNotNull(), 1.0).alias("harm_confidence"),
@@ -43,12 +46,37 @@ def version_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Changes between two versions of documents, from their predictions: chunks of one side only, merged and ordered.
 
     A chunk is unchanged if its change text is on both sides; an old and a new chunk of one paragraph are one
-    modification, others are additions and removals.
+    modification, others are additions and removals. Both sides are read twice. ``compared`` goes from texts to changes
+    with less on disk.
+    """
+    return _changes(packed(_alone(old, new), "gone"), packed(_alone(new, old), "came"))
+
+
+def compared(old: DataFrame, new: DataFrame, scorer: scoring.Scorer, limit: int = 256, separator: str = r"\n\n", ledger: Ledger | None = None) -> DataFrame:
+    """``version_changes`` of ``analyze`` of both versions (doc_id, text).
+
+    All chunks of both are put to the scorer, each distinct text once; chunks are compared before they meet their
+    answers, so whole texts are written once and shuffled once to be asked and once to be compared, and only what differs is kept.
     """
-    keyed = lambda df: df.withColumn("__t", T.change_text(F.col("text")))
-    a, b = written(keyed(old), "old"), written(keyed(new), "new")  # both are read more than once, as is what differs
-    gone = written(a.join(b.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti"), "gone")
-    came = written(b.join(a.select("doc_id", "__t"), ["doc_id", "__t"], "left_anti"), "came")
+    ledger = ledger or Ledger(old.sparkSession)
+    sides = []
+    for docs in (old, new):
+        sides.append(packed(documents.document_chunks(docs, separator=separator, limit=limit), "rows"))
+        ledger.ask(sides[-1], scorer)
+    a, b = sides
+    gone, came = packed(_alone(a, b), "gone"), packed(_alone(b, a), "came")
+    for side in sides:
+        dropped(side)
+    return _changes(*(packed(_predictions(ledger.told(x, scorer), x.columns), "told") for x in (gone, came)))
+
+
+def _alone(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows whose change text no other row of their document has, by 128 bits of it."""
+    keyed = lambda df: df.withColumn("__t", digest(T.change_text(F.col("text"))))
+    return keyed(rows).join(keyed(others.select("doc_id", "text")).select("doc_id", "__t").distinct(), ["doc_id", "__t"], "left_anti").select(*rows.columns)
+
+
+def _changes(gone: DataFrame, came: DataFrame) -> DataFrame:
     pairs = gone.select("doc_id", "paragraph_id").distinct().withColumn("__both", F.lit(True))
     new_rows = came.join(pairs, ["doc_id", "paragraph_id"], "left").withColumn("change_type", F.when(F.col("__both"), "modified").otherwise("added")).drop("__both")
     left = gone.join(came.select("doc_id", "paragraph_id").distinct(), ["doc_id", "paragraph_id"], "left_anti").withColumn("change_type", F.lit("removed"))

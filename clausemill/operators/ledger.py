@@ -1,9 +1,9 @@
 """A ledger of calls: every distinct text is put to a scorer once, and its answer is kept.
 
-Answers are a table keyed by (scorer and version, digest of the text), in a folder for each scorer. Before a call the
-texts that the ledger knows are left out by an anti join; what is missing is asked in small tasks, in waves that are
-each committed, so a lost task asks its own few texts again and a job that breaks off keeps the waves before; after it,
-all answers are joined to the rows by the digest. So computing a result again, in whole or in part, calls nothing, rows
+Answers are a table keyed by (scorer and version, digest of the text), in a folder for each scorer. Before a call texts
+and known digests are dealt to small tasks by the digest, once, and what is known is left out there; what is missing is
+asked in these, in waves that are each committed, so a lost task asks its own few texts again and a job that breaks off
+keeps the waves before; after it, all answers are joined to the rows by the digest. So computing a result again, in whole or in part, calls nothing, rows
 with one text get one answer, and rows keep their number whatever ids they have.
 
 An answer that fails, or that ``accept`` refuses, is asked again after a wait that doubles; then the fallback scorer is
@@ -18,11 +18,13 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausemill.operators.scoring import Scorer
-from clausemill.session import checkpoint_dir, exists, written
+from clausemill.session import checkpoint_dir, exists, packed, tidy
 
 SCHEMA = "digest binary, raw string, latency_s double, error string, answered_by string, attempts int, at long"
 #: Tasks that all waves of a call have at most, give or take a wave: beyond it a task holds more texts.
@@ -96,6 +98,13 @@ def asker(scorer: Scorer, batch: int, retries: int, wait_s: float, fallback: Sco
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's rows without those whose digest it has had, so a text that many rows share is not dealt as often."""
+    for batch in batches:
+        first = np.unique(batch.column(0).dictionary_encode().indices.to_numpy(), return_index=True)[1]
+        yield batch if len(first) == batch.num_rows else batch.take(pa.array(first))
+
+
 class Ledger:
     """Answers by scorer and text under ``path``; a folder of its own in the checkpoint folder where none is named."""
 
@@ -124,26 +133,33 @@ class Ledger:
         return self.spark.read.schema(SCHEMA).parquet(at).groupBy("digest").agg(best.alias("a")).select("digest", "a.*")
 
     def ask(self, rows: DataFrame, scorer: Scorer, text: str = "text") -> int:
-        """Puts the texts that the ledger lacks to the scorer; how many they were."""
-        wanted = rows.select(digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text")).dropDuplicates(["digest"])
-        known = self.answers(scorer).where("error IS NULL").select("digest")
-        asked = written(wanted.join(known, "digest", "left_anti"), "asked")
-        n = asked.count()
-        per_task = max(self.per_task, -(-n // MOST_TASKS))
-        waves = max(1, -(-n // (per_task * self.wave_tasks)))
-        wave = F.pmod(F.xxhash64("digest"), F.lit(waves))
-        if waves > 1:
-            asked = written(asked.withColumn("wave", wave), "asked", "wave")
-        for k in range(waves if n else 0):
-            own = asked.where(F.col("wave") == k).drop("wave") if waves > 1 else asked
+        """Puts the texts that the ledger lacks to the scorer; how many they were. The rows are read to count digests, and by each wave."""
+        at = f"{self.path}/{named(scorer)}"
+        found = self.spark.read.schema(SCHEMA).parquet(at) if exists(self.spark, at) else self.spark.createDataFrame([], SCHEMA)
+        known = found.where("error IS NULL").select("digest")
+        wanted = rows.select(digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text"))
+        with tidy(self.spark):
+            n = wanted.select("digest").distinct().join(known, "digest", "left_anti").count()
+            per_task = max(self.per_task, -(-n // MOST_TASKS))
+            waves = max(1, -(-n // (per_task * self.wave_tasks)))
             tasks = max(1, min(self.wave_tasks, -(-n // (waves * per_task))))
-            told = own.repartition(tasks, "digest").mapInPandas(asker(scorer, **self.options), SCHEMA)
-            told.write.mode("append").parquet(f"{self.path}/{named(scorer)}")
+            own = lambda df, k: df.where(F.pmod(F.xxhash64("digest"), F.lit(waves)) == k) if waves > 1 else df
+            for k in range(waves if n else 0):
+                texts = own(wanted, k).mapInArrow(_once, wanted.schema).withColumn("known", F.lit(False))
+                both = texts.unionByName(own(known, k).select("digest", F.lit(None).cast("string").alias("text"), F.lit(True).alias("known")))
+                # dealt once: the groups are made where the texts are asked
+                asked = both.repartition(tasks, "digest").groupBy("digest").agg(F.first("text", ignorenulls=True).alias("text"), F.max("known").alias("known"))
+                told = asked.where(~F.col("known")).select("digest", "text").mapInPandas(asker(scorer, **self.options), SCHEMA)
+                told.write.mode("append").option("compression", "zstd").parquet(at)
         return n
 
     def answered(self, rows: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
         """The rows with ``raw``, ``latency_s``, ``error`` and ``answered_by``; columns of these names give way."""
-        rows = written(rows.drop(*ADDED), "rows")  # read twice
+        rows = packed(rows.drop(*ADDED), "rows")  # read more than once
         self.ask(rows, scorer, text)
+        return self.told(rows, scorer, text)
+
+    def told(self, rows: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
+        """``answered`` for rows whose texts, and maybe others, were asked before: nothing is asked or written."""
         told = self.answers(scorer).select(F.col("digest").alias("__digest"), *ADDED)
         return rows.withColumn("__digest", digest(F.col(text))).join(told, "__digest", "left").select(*rows.columns, *ADDED)

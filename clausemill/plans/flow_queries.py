@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from clausemill.functions import numeric as N
 from clausemill.functions import text as T
 from clausemill.operators import analysis, dual_head, metrics, probes, retrieval, scoring
-from clausemill.operators.ledger import Ledger
 from clausemill.plans import oracle_parts as O
 from clausemill.plans.label_queries import HARM, harm
 from clausemill.plans.registry import query
@@ -167,9 +166,7 @@ def version_changes(spark, sf_dir):
     """Each document against a version whose first words are changed and to which a paragraph is added."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     new = d.withColumn("text", F.concat(F.regexp_replace("text", r"\A\S+", "Changed"), F.lit("\nThis paragraph is new and of some length.")))
-    ledger = Ledger(spark)  # of both versions: what did not change is asked once
-    run = lambda x: analysis.analyze(x, scoring.HashScorer(), separator="\n", ledger=ledger)
-    return analysis.version_changes(run(d), run(new))
+    return analysis.compared(d, new, scoring.HashScorer(), separator="\n")  # one ledger of both: what did not change is asked once
 
 
 @query("grouped_comparison", f"""

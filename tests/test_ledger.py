@@ -150,3 +150,44 @@ def test_tasks_do_not_grow_with_the_texts(spark, tmp_path, monkeypatch):
     told = book.answered(rows, scoring.HashScorer())
     assert told.where("error IS NULL AND raw IS NOT NULL").count() == 40
     assert len(list(tmp_path.glob("book/*/part-*"))) <= 4
+
+
+def test_compared_versions_keep_only_what_differs(spark, tmp_path, monkeypatch):
+    import random
+
+    from clausemill import session
+    from clausemill.operators import ledger
+
+    from __spark_entry__ import queries
+
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choices("abcdefghij", k=7)) for _ in range(40)) + "."
+    rows = [(k, "\n".join(line() for _ in range(30))) for k in range(60)] + [(90, None), (91, ""), (92, "Too short")]
+    old = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).localCheckpoint()
+    old.write.parquet(f"{tmp_path}/in/documents.parquet")
+    for module in (session, ledger):
+        monkeypatch.setattr(module, "checkpoint_dir", lambda spark: f"{tmp_path}/own")
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet") if p.is_file())
+    found = sorted(map(tuple, queries()["version_changes"](spark, f"{tmp_path}/in").collect()))
+    assert size("own") < size("in/documents.parquet")  # no copy of the texts of both versions stays
+    new = old.withColumn("text", F.concat(F.regexp_replace("text", r"\A\S+", "Changed"), F.lit("\nThis paragraph is new and of some length.")))
+    book = Ledger(spark, f"{tmp_path}/book")
+    sides = [analysis.analyze(x, scoring.HashScorer(), separator="\n", ledger=book) for x in (old, new)]
+    assert found == sorted(map(tuple, analysis.version_changes(*sides).collect())) and len(found) >= 120
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_texts_are_dealt_once_to_be_asked(spark, tmp_path, monkeypatch):
+    from clausemill import session
+    from clausemill.operators import ledger
+
+    for module in (session, ledger):
+        monkeypatch.setattr(module, "checkpoint_dir", lambda spark: f"{tmp_path}/own")
+    plans, frame = [], type(spark.range(0))
+    told = frame.mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda self, f, schema: plans.append(self._jdf.queryExecution().executedPlan().toString()) or told(self, f, schema))
+    rows = spark.range(100).select((F.col("id") % 50).cast("string").alias("text"))
+    book = Ledger(spark, f"{tmp_path}/l")
+    assert book.ask(rows, scoring.HashScorer()) == 50 and book.ask(rows.union(spark.sql("SELECT 'new'")), scoring.HashScorer()) == 1
+    assert len(plans) == 2 and all(p.count("Exchange") == 1 for p in plans) and not list(tmp_path.glob("own/*"))  # nor is a table of them written
+    assert book.answers(scoring.HashScorer()).count() == 51
